@@ -22,7 +22,9 @@ from ..functions.distances import block_distance
 from ..session import cut_lineage, parallelism
 
 BLOCK_BYTES = 8 * 1024 * 1024
+BLOCK_ROWS = 8192
 STRIPE_BYTES = 64 * 1024 * 1024
+STRIPE_ROWS = 65536
 CHUNK_CELLS = 1 << 22
 
 
@@ -74,11 +76,11 @@ def plan_tiles(spark, d: int, n: int, m: int | None = None) -> TilePlan:
     once per stripe of the other side.
     """
     row_bytes = 8 * d + 32
-    most = max(1, BLOCK_BYTES // row_bytes)
+    most = max(1, min(BLOCK_ROWS, BLOCK_BYTES // row_bytes))
     wanted = 3 * parallelism(spark)
 
     def need(count: int) -> int:
-        return max(1, math.ceil(count * row_bytes / STRIPE_BYTES))
+        return max(1, math.ceil(count * row_bytes / STRIPE_BYTES), math.ceil(count / STRIPE_ROWS))
 
     def split(count: int, stripes: int) -> tuple[int, int]:
         rows = max(32, min(most, math.ceil(count / stripes)))
