@@ -42,7 +42,7 @@ def running_counts(points: DataFrame, weight: str = "values") -> tuple[DataFrame
         *[F.count(F.when(F.col("label") == c, 1)).alias(f"x{i}") for i, c in enumerate(names)])
     w_here = F.lit(1).cast("bigint") if weight == "values" else sum(
         (F.col(f"x{i}") for i in range(1, len(names))), F.col("x0"))
-    per = per.withColumn("w", w_here)
+    per = cut_lineage(per.withColumn("w", w_here))
     steps = [i / SLICES for i in range(1, SLICES)]
     bounds = per.groupBy("attr").agg(F.percentile_approx("value", F.array(*[F.lit(s) for s in steps])).alias("bounds"))
     # Distinct values per slice are about 1/64 of an attribute's distinct values, copies having been merged above.

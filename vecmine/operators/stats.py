@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,78 +23,85 @@ def as_row(per_attr: DataFrame) -> DataFrame:
     """One row of arrays, in attribute order; as wide as a single point."""
     names = [c for c in per_attr.columns if c != "attr"]
     packed = per_attr.agg(F.array_sort(F.collect_list(F.struct("attr", *names))).alias("r"))
-    return packed.select(*[F.transform("r", lambda s, c=c: s[c]).alias(c) for c in names])
-
-
-def percentile_position(n, p: float):
-    """1-based position p(n+1)/100 of a percentile among n sorted values."""
-    return n * p / 100.0 + p / 100.0
+    return packed.select(*[F.col(f"r.{c}").alias(c) for c in names])
 
 
 def percentiles(points: DataFrame, ps: list[float], small: int = 200_000, bins: int = 1024) -> DataFrame:
     """(attr, p, value): percentiles at position p(n+1)/100 with linear interpolation, clamped at both ends."""
     cells = long_form(points)
-    counts = cells.groupBy("attr").agg(F.count(F.lit(1)).alias("n"))
-    pos = F.col("n") * F.col("p") / 100.0 + F.col("p") / 100.0
-    wanted = counts.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in ps]))).withColumn("pos", pos)
-    wanted = wanted.withColumn("k", F.greatest(F.lit(1), F.least(F.floor("pos"), F.col("n"))).cast("bigint"))
-    wanted = wanted.withColumn("k2", F.least(F.col("k") + 1, F.col("n")))
-    need = wanted.select("attr", F.explode(F.array("k", "k2")).alias("k")).distinct()
-    found = order_statistics(cells, need, small, bins)
-    lo = found.select("attr", "k", F.col("value").alias("v1"))
-    hi = found.select("attr", F.col("k").alias("k2"), F.col("value").alias("v2"))
-    both = wanted.join(lo, ["attr", "k"]).join(hi, ["attr", "k2"])
-    frac = F.when(F.col("pos") < 1, F.lit(0.0)).when(F.col("pos") >= F.col("n"), F.lit(0.0)).otherwise(
-        F.col("pos") - F.col("k"))
-    return both.select("attr", "p", (F.col("v1") + frac * (F.col("v2") - F.col("v1"))).alias("value"))
-
-
-def order_statistics(cells: DataFrame, need: DataFrame, small: int = 200_000, bins: int = 1024) -> DataFrame:
-    """(attr, k, value): the k-th smallest value per attribute, for the (attr, k) rows in `need`.
+    bounds = _bounds(cells)
+    spots = []
+    for attr, (_, _, n) in bounds.items():
+        for p in ps:
+            pos = n * p / 100.0 + p / 100.0
+            k = int(max(1, min(math.floor(pos), n)))
+            spots.append((attr, p, k, min(k + 1, n), 0.0 if pos < 1 or pos >= n else pos - k))
+    found = order_statistics(cells, bounds, {(a, k) for a, _, k1, k2, _ in spots for k in (k1, k2)}, small, bins)
+    rows = [(a, float(p), found[a, k] + f * (found[a, k2] - found[a, k])) for a, p, k, k2, f in spots]
+    return points.sparkSession.createDataFrame(pa.table({
+        "attr": pa.array([x[0] for x in rows], pa.int32()), "p": [x[1] for x in rows], "value": [x[2] for x in rows]}))
+
+
+def _bounds(cells: DataFrame) -> dict[int, tuple[float, float, int]]:
+    """{attr: (min, max, count)}; as many entries as a point has attributes."""
+    got = cells.groupBy("attr").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count(F.lit(1)).alias("m"))
+    return {r["attr"]: (r["lo"], r["hi"], r["m"]) for r in got.collect()}
+
+
+_RANGE = pa.schema([("attr", pa.int32()), ("rng", pa.int32()), ("lo", pa.float64()), ("hi", pa.float64()), ("before", pa.int64())])
+
+
+def order_statistics(cells: DataFrame, bounds: dict, need: set[tuple[int, int]], small: int = 200_000,
+                     bins: int = 1024) -> dict[tuple[int, int], float]:
+    """{(attr, k): k-th smallest value} of the (attr, value) cells.
 
     Histograms narrow each rank down to a range with at most `small` values (or one distinct value) before any
     sorting, so no task ever sorts a whole attribute. NaN sorts last, as in Spark.
     """
     spark = cells.sparkSession
-    ordered = F.when(F.isnan("value"), F.lit(float("inf"))).otherwise(F.col("value"))
-    cells = cells.select("attr", ordered.alias("value"))
-    bounds = cells.groupBy("attr").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count(F.lit(1)).alias("m"))
-    # Few rows: one per attribute and requested rank.
-    state = [r.asDict() for r in need.join(bounds, "attr").withColumn("before", F.lit(0).cast("bigint")).collect()]
-    schema = pa.schema([("attr", pa.int32()), ("k", pa.int64()), ("lo", pa.float64()), ("hi", pa.float64()),
-                        ("m", pa.int64()), ("before", pa.int64())])
-
-    def frame(rows):
-        return F.broadcast(spark.createDataFrame(pa.Table.from_pylist(rows, schema=schema)))
-
-    def inside(rows):
-        return cells.join(frame(rows), "attr").where((F.col("value") >= F.col("lo")) & (F.col("value") <= F.col("hi")))
-
-    done = [s for s in state if s["lo"] == s["hi"]]
-    open_ = [s for s in state if s["lo"] < s["hi"]]
-    while any(s["m"] > small for s in open_):
-        wide = [s for s in open_ if s["m"] > small]
+    # Open ranges: (attr, lo, hi, values inside, values below) -> ranks looked for.
+    open_: dict[tuple, set[int]] = {}
+    for attr, k in need:
+        lo, hi, m = bounds[attr]
+        open_.setdefault((attr, lo, hi, m, 0), set()).add(k)
+    found: dict[tuple[int, int], float] = {}
+
+    def settle():
+        for key in [x for x in open_ if x[1] == x[2] or (math.isnan(x[1]) and math.isnan(x[2]))]:
+            found.update({(key[0], k): key[1] for k in open_.pop(key)})
+
+    def inside(keys):
+        rows = [{"attr": a, "rng": i, "lo": lo, "hi": hi, "before": before} for i, (a, lo, hi, _, before) in enumerate(keys)]
+        state = F.broadcast(spark.createDataFrame(pa.Table.from_pylist(rows, schema=_RANGE)))
+        return cells.join(state, "attr").where((F.col("value") >= F.col("lo")) & (F.col("value") <= F.col("hi")))
+
+    settle()
+    while wide := [x for x in open_ if x[3] > small]:
         share = F.try_divide(F.col("value") - F.col("lo"), F.col("hi") - F.col("lo"))
-        slot = F.when(F.isnan(share) | share.isNull(), F.lit(bins - 1)).otherwise(
-            F.least(F.floor(share * bins), F.lit(bins - 1))).cast("int")
-        hist = inside(wide).groupBy("attr", "k", "before", slot.alias("bin")).agg(
+        slot = F.when(F.isnan(share) | share.isNull(), F.lit(bins)).otherwise(F.least(F.floor(share * bins), F.lit(bins - 1)))
+        hist = inside(wide).groupBy("attr", "rng", "before", slot.cast("int").alias("bin")).agg(
             F.count(F.lit(1)).alias("m"), F.min("value").alias("lo"), F.max("value").alias("hi"))
-        w = Window.partitionBy("attr", "k").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-        upto = F.col("before") + F.sum("m").over(w)  # at most `bins` rows per window
-        hit = hist.withColumn("upto", upto).where((F.col("upto") >= F.col("k")) & (F.col("upto") - F.col("m") < F.col("k")))
-        narrowed = [r.asDict() for r in hit.select(
-            "attr", "k", "lo", "hi", "m", (F.col("upto") - F.col("m")).alias("before")).collect()]
-        done += [s for s in narrowed if s["lo"] == s["hi"]]
-        open_ = [s for s in open_ if s["m"] <= small] + [s for s in narrowed if s["lo"] < s["hi"]]
-    result = None
-    if done:
-        result = frame(done).select("attr", "k", F.col("lo").alias("value"))
+        w = Window.partitionBy("rng").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+        hist = hist.withColumn("upto", F.col("before") + F.sum("m").over(w))  # at most `bins` + 1 rows per window
+        ranks = [(i, k) for i, key in enumerate(wide) for k in open_[key]]
+        asked = F.broadcast(spark.createDataFrame(pa.table({
+            "rng": pa.array([x[0] for x in ranks], pa.int32()), "k": pa.array([x[1] for x in ranks], pa.int64())})))
+        hit = hist.join(asked, "rng").where((F.col("upto") >= F.col("k")) & (F.col("upto") - F.col("m") < F.col("k"))).collect()
+        for key in wide:
+            del open_[key]
+        for r in hit:  # one row per rank still open
+            open_.setdefault((r["attr"], r["lo"], r["hi"], r["m"], r["upto"] - r["m"]), set()).add(r["k"])
+        settle()
     if open_:
-        w = Window.partitionBy("attr", "k").orderBy("value")
-        ranked = inside(open_).withColumn("r", F.row_number().over(w) + F.col("before")).where("r = k").select(
-            "attr", "k", "value")
-        result = ranked if result is None else result.unionByName(ranked)
-    return result
+        keys = list(open_)
+        w = Window.partitionBy("attr", "rng").orderBy("value")
+        ranked = inside(keys).withColumn("k", F.row_number().over(w) + F.col("before"))
+        asked = F.broadcast(spark.createDataFrame(pa.table({
+            "rng": pa.array([i for i, x in enumerate(keys) for _ in open_[x]], pa.int32()),
+            "k": pa.array([k for x in keys for k in open_[x]], pa.int64())})))
+        for r in ranked.join(asked, ["rng", "k"]).select("attr", "k", "value").collect():  # one row per rank
+            found[r["attr"], r["k"]] = r["value"]
+    return found
 
 
 def column_correlation(points: DataFrame, i: int, j: int) -> DataFrame:

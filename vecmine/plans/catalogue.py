@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import silhouettes
+from . import attributes, mining, silhouettes
 
-MODULES = [silhouettes]
+MODULES = [silhouettes, attributes, mining]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
