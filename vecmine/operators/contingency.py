@@ -8,12 +8,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.special import log_gamma
+from ..session import cut_lineage, settle_small
 
 
 def contingency(df: DataFrame, row: str, col: str) -> DataFrame:
     return df.groupBy(F.col(row).alias("row_key"), F.col(col).alias("col_key")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _settled(table: DataFrame) -> DataFrame:
+    """The table evaluated once: in memory when small, in the checkpoint folder otherwise."""
+    frame, rows = settle_small(table, 128)
+    return cut_lineage(table) if rows is None else frame
+
+
 def _xlogx(x: Column) -> Column:
     return F.when(x > 0, x * F.log2(x)).otherwise(F.lit(0.0))
 
@@ -26,17 +33,13 @@ def _margins(table: DataFrame):
 
 
 def expected(table: DataFrame) -> DataFrame:
-    """(row_key, col_key, n, e): every cell of the full grid, empty ones included, with its expected count.
-
-    The grid is rows x columns of the table itself, spread over the row keys; it never depends on the data behind it.
-    """
+    """(row_key, col_key, n, e): every cell of a small full grid, empty ones included, with its expected count."""
     cells, rows, cols = _margins(table)
     total = cells.agg(F.sum("n")).scalar()
     names = cols.agg(F.collect_list(F.struct("col_key", "c")).alias("cols")).scalar()
     grid = rows.withColumn("cc", F.explode(names)).select("row_key", "r", F.col("cc.col_key").alias("col_key"), F.col("cc.c").alias("c"))
     full = grid.join(cells, ["row_key", "col_key"], "left")
-    return full.select("row_key", "col_key", F.coalesce("n", F.lit(0.0)).alias("n"), (F.col("r") * F.col("c") / total).alias("e"),
-                       F.lit(1).alias("one"))
+    return full.select("row_key", "col_key", F.coalesce("n", F.lit(0.0)).alias("n"), (F.col("r") * F.col("c") / total).alias("e"))
 
 
 def summary_counts(table: DataFrame) -> DataFrame:
@@ -45,16 +48,27 @@ def summary_counts(table: DataFrame) -> DataFrame:
 
 
 def chi_square(table: DataFrame, yates: bool = False) -> DataFrame:
-    """(chi_square, df). The continuity correction applies to 2 x 2 tables only."""
-    info = summary_counts(table)
+    """(chi_square, df). The continuity correction applies to 2 x 2 tables only.
+
+    Only occupied cells are visited: an empty cell adds its expected count, and all expected counts add up to n.
+    """
+    table = _settled(table)
+    cells, rows, cols = _margins(table)
+    total = cells.agg(F.sum("n")).scalar()
+    seen = cells.join(rows.select("row_key", "r"), "row_key").join(cols, "col_key").withColumn(
+        "e", F.col("r") * F.col("c") / total)
+    gap = F.col("n") - F.col("e")
+    stat = seen.agg((F.sum(gap * gap / F.col("e")) + F.sum("n") - F.sum("e")).alias("plain"))
     df = (F.col("nr") - 1) * (F.col("nc") - 1)
-    gap = F.abs(F.col("n") - F.col("e"))
-    plain = F.sum(gap * gap / F.col("e"))
-    cut = F.greatest(gap - 0.5, F.lit(0.0))
-    stat = expected(table).agg(plain.alias("plain"), F.sum(cut * cut / F.col("e")).alias("yates"))
-    joined = info.select(df.alias("df"), stat.select(F.struct("plain", "yates")).scalar().alias("s"))
-    value = F.when((F.col("df") == 1) & F.lit(yates), F.col("s.yates")).otherwise(F.col("s.plain"))
-    return joined.select(F.when(F.col("df") <= 0, F.lit(0.0)).otherwise(value).alias("chi_square"), "df")
+    out = summary_counts(table).select(df.alias("df"), stat.scalar().alias("plain"))
+    if yates:
+        cut = F.greatest(F.abs(F.col("n") - F.col("e")) - 0.5, F.lit(0.0))
+        small = expected(table.where(summary_counts(table).select((F.col("nr") <= 2) & (F.col("nc") <= 2)).scalar()))
+        out = out.withColumn("yates", small.agg(F.sum(cut * cut / F.col("e"))).scalar())
+        value = F.when(F.col("df") == 1, F.col("yates")).otherwise(F.col("plain"))
+    else:
+        value = F.col("plain")
+    return out.select(F.when(F.col("df") <= 0, F.lit(0.0)).otherwise(value).alias("chi_square"), "df")
 
 
 def chi_square_test(df: DataFrame, row: str, col: str) -> DataFrame:
@@ -74,6 +88,7 @@ def chi_square_test(df: DataFrame, row: str, col: str) -> DataFrame:
 
 
 def cramers_v(table: DataFrame) -> DataFrame:
+    table = _settled(table)
     info = summary_counts(table)
     chi = chi_square(table).select("chi_square").scalar()
     least = F.least(F.col("nr"), F.col("nc")) - 1
@@ -81,13 +96,27 @@ def cramers_v(table: DataFrame) -> DataFrame:
 
 
 def cochran_criterion(table: DataFrame) -> DataFrame:
-    """True unless an expected count is below 1 or more than a fifth of them are below 5."""
-    e = expected(table).agg(F.min("e").alias("smallest"), F.count(F.when(F.col("e") < 5, 1)).alias("few"), F.sum("one").alias("cells"))
-    return e.select("smallest", "few", ((F.col("smallest") >= 1) & (F.col("few") <= F.col("cells") / 5)).alias("fulfilled"))
+    """True unless an expected count is below 1 or more than a fifth of them are below 5.
+
+    Expected counts depend on the margins only, so rows are met with the distinct column totals small enough to matter.
+    """
+    table = _settled(table)
+    cells, rows, cols = _margins(table)
+    total = cells.agg(F.sum("n")).scalar()
+    rt = rows.groupBy("r").agg(F.count(F.lit(1)).alias("k"))
+    least = rt.agg(F.min("r")).scalar()
+    ct = cols.groupBy("c").agg(F.count(F.lit(1)).alias("k"))
+    thin = ct.where(F.col("c") * least < 5 * total).agg(F.collect_list(F.struct("c", "k"))).scalar()
+    few = rt.withColumn("x", F.explode(thin)).where(F.col("r") * F.col("x.c") < 5 * total).agg(
+        F.coalesce(F.sum(F.col("k") * F.col("x.k")), F.lit(0))).scalar()
+    low = rt.agg(F.min("r").alias("r")).select((F.col("r") * ct.agg(F.min("c")).scalar() / total).alias("smallest"), few.alias("few"))
+    cells_all = summary_counts(table).select(F.col("nr") * F.col("nc")).scalar()
+    return low.select("smallest", "few", ((F.col("smallest") >= 1) & (F.col("few") <= cells_all / 5)).alias("fulfilled"))
 
 
 def entropies(table: DataFrame) -> DataFrame:
     """(rows, columns, given_columns, given_rows) in bits, in one row."""
+    table = _settled(table)
     cells, rows, cols = _margins(table)
     total = cells.agg(F.sum("n").alias("t"), F.sum(_xlogx(F.col("n"))).alias("cell"))
     r = rows.agg(F.sum(_xlogx(F.col("r")))).scalar()
@@ -116,6 +145,7 @@ def gain_ratio(table: DataFrame) -> DataFrame:
 
 
 def goodman_kruskal_lambda(table: DataFrame) -> DataFrame:
+    table = _settled(table)
     cells, rows, cols = _margins(table)
     top = cols.agg(F.max("c")).scalar()
     total = cells.agg(F.sum("n")).scalar()
@@ -124,6 +154,7 @@ def goodman_kruskal_lambda(table: DataFrame) -> DataFrame:
 
 def hypergeometric_log2(table: DataFrame) -> DataFrame:
     """Negative log2 of the multiple hypergeometric probability of the table given its margins."""
+    table = _settled(table)
     cells, rows, cols = _margins(table)
     ln = lambda c: log_gamma(F.col(c) + 1.0)
     total = cells.agg(F.sum("n").alias("t"), F.sum(ln("n")).alias("cell"))

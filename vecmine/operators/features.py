@@ -69,7 +69,7 @@ def kl_divergence(points: DataFrame, bins: int = 100) -> DataFrame:
 def relief(points: DataFrame, k: int = 2) -> DataFrame:
     """Mean difference to the k nearest misses minus that to the k nearest hits, over all points, on [0, 1] data."""
     scaled = MidrangeScaler(0.5, 1.0).fit_transform(points)
-    coded = scaled.join(F.broadcast(class_index(points)), "label").select(
+    coded = scaled.join(class_index(points), "label").select(
         "id", "features", F.col("class_index").cast("bigint").alias("cls"))
     near = nearest(coded, coded, k, "manhattan", same=True, by_label=True).select("id", "neighbour", "hit")
     size = near.groupBy("id", "hit").agg(F.count(F.lit(1)).alias("c"))
@@ -116,7 +116,7 @@ def rank_scores(scores: DataFrame) -> DataFrame:
 
 def relation_to_class(points: DataFrame, metric: str = "pearson") -> DataFrame:
     """(attr, score) of the attribute column against the class-index column."""
-    coded = points.join(F.broadcast(class_index(points)), "label")
+    coded = points.join(class_index(points), "label")
     cells = long_form(coded, F.col("class_index").cast("double").alias("y"))
     x, y = F.col("value"), F.col("y")
     formula = {

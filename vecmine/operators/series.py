@@ -6,39 +6,64 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 
-def build_series(events: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
-    """(key, values array<double>): one series per key in time order. A series is one row, as everywhere here."""
-    packed = events.groupBy(F.col(key).alias("key")).agg(
-        F.array_sort(F.collect_list(F.struct(*order, F.col(value).cast("double").alias("_v")))).alias("s"))
-    return packed.select("key", F.transform("s", lambda e: e["_v"]).alias("values"))
 
+def number_rows(df: DataFrame, key: str, order: list[str], out: str = "pos") -> DataFrame:
+    """0-based position of every row within its key, in the given order.
+
+    Rows are range-partitioned on key and order together, so a key with very many rows spreads over tasks; the rows of
+    a key inside a task are numbered from that task's offset. The offsets are one row per key and task.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, key, *order).sortWithinPartitions(key, *order)
+    placed = cut_lineage(ranged.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)))
+    runs = placed.groupBy(key, "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = runs.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    pos = F.col("_at") - F.col("_first") + F.col("_before")
+    return placed.join(offsets, [key, "_part"]).withColumn(out, pos).drop("_at", "_part", "_first", "_before")
 
-def _mean(v):
-    return F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / F.size(v)
+
+def build_series(events: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
+    """(key, pos, value): one row per time point, numbered per key in time order."""
+    rows = events.select(F.col(key).alias("key"), *order, F.col(value).cast("double").alias("value"))
+    return number_rows(rows, "key", order).select("key", "pos", "value")
 
 
 def normalize_series(series: DataFrame) -> DataFrame:
     """(x - mean) / mean absolute deviation; all zero when the deviation is zero."""
-    with_mean = series.withColumn("_m", _mean(F.col("values")))
-    with_dev = with_mean.withColumn("_d", _mean(F.transform("values", lambda x: F.abs(x - F.col("_m")))))
-    out = F.transform("values", lambda x: F.coalesce(F.try_divide(x - F.col("_m"), F.col("_d")), F.lit(0.0)))
-    return with_dev.withColumn("values", out).drop("_m", "_d")
+    means = series.groupBy("key").agg(F.avg("value").alias("_m"))
+    centred = series.join(means, "key").withColumn("value", F.col("value") - F.col("_m")).drop("_m")
+    spread = centred.groupBy("key").agg(F.avg(F.abs("value")).alias("_d"))
+    return centred.join(spread, "key").withColumn(
+        "value", F.coalesce(F.try_divide(F.col("value"), F.col("_d")), F.lit(0.0))).drop("_d")
 
 
 def paa(series: DataFrame, points: int) -> DataFrame:
-    """(key, pos, time, value, size): averages of `points` stretches with rounded borders; time is the mean index."""
-    n = F.size("values")
-    edge = lambda i: F.floor(n / F.lit(float(points)) * i + 0.5).cast("int")
-    long = series.where(n >= points).select(
-        "key", "values", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("pos"))
-    cut = long.select("key", "pos", edge(F.col("pos")).alias("a"), edge(F.col("pos") + 1).alias("b"), "values")
-    part = F.slice("values", F.col("a") + 1, F.col("b") - F.col("a"))
-    return cut.select("key", "pos", ((F.col("a") + F.col("b") - 1) / 2.0).alias("time"),
-                      _mean(part).alias("value"), (F.col("b") - F.col("a")).alias("size"))
+    """(key, pos, time, value, size): averages of `points` stretches with rounded borders; time is the mean index.
+
+    Series shorter than `points` cannot be shrunk and are left out.
+    """
+    length = series.groupBy("key").agg(F.count(F.lit(1)).alias("_len"))
+    known = series.join(length.where(F.col("_len") >= points), "key")
+    step = F.col("_len") / F.lit(float(points))
+    # Stretch b covers positions floor(step * b + 0.5) up to, not including, floor(step * (b + 1) + 0.5).
+    guess = F.floor((F.col("pos") + 0.5) / step)
+    start = lambda b: F.floor(step * b + 0.5)
+    stretch = F.when(F.col("pos") < start(guess), guess - 1).when(F.col("pos") >= start(guess + 1), guess + 1).otherwise(guess)
+    return known.groupBy("key", stretch.cast("bigint").alias("_b")).agg(
+        F.avg(F.col("pos").cast("double")).alias("time"), F.avg("value").alias("value"), F.count(F.lit(1)).alias("size")
+    ).withColumnRenamed("_b", "pos")
+
+
+def series_arrays(series: DataFrame) -> DataFrame:
+    """(key, values array<double>) for the warping jobs, which need both whole series of a pair in one place."""
+    packed = series.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("s"))
+    return packed.select("key", F.col("s.value").alias("values"))
 
 
 # ---- dynamic time warping ------------------------------------------------------------------------

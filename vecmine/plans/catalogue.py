@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import attributes, mining, silhouettes
+from . import attributes, mining, silhouettes, tables
 
-MODULES = [silhouettes, attributes, mining]
+MODULES = [silhouettes, attributes, mining, tables]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}

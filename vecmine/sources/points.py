@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import row_key
+from ..session import collect_bounded
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -47,10 +49,17 @@ def spread(points: DataFrame, dims: int, *keep: str, prefix: str = "f") -> DataF
 
 
 def class_index(points: DataFrame) -> DataFrame:
-    """(label, class_index): rank of each class in natural order. Ranks the distinct labels only."""
+    """(label, class_index): rank of each class in natural order."""
     names = points.select("label").where(F.col("label").isNotNull()).distinct()
-    ordered = names.agg(F.array_sort(F.collect_set("label")).alias("all_labels"))
-    return ordered.select(F.posexplode("all_labels").alias("class_index", "label")).select("label", "class_index")
+    rows = collect_bounded(names, 64)
+    if rows is not None:
+        ranked = sorted(r["label"] for r in rows)
+        return points.sparkSession.createDataFrame(pa.table({
+            "label": pa.array(ranked, pa.string()), "class_index": pa.array(range(len(ranked)), pa.int32())}))
+    from ..operators.series import number_rows
+
+    one = names.withColumn("k", F.lit(0))
+    return number_rows(one, "k", ["label"]).select("label", F.col("pos").cast("int").alias("class_index"))
 
 
 def merge_points(*sets: DataFrame) -> DataFrame:
