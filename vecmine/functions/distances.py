@@ -180,6 +180,10 @@ def mahalanobis(x, y, inverse: Column):
 # ---- block forms: (n, d) x (m, d) -> (n, m) ------------------------------------------------------
 
 def _block_sq(X, Y):
+    if X.shape[1] <= 16:
+        def step(out, d):
+            out += d * d
+        return _accumulate(X, Y, step)
     xx = np.einsum("ij,ij->i", X, X)
     yy = np.einsum("ij,ij->i", Y, Y)
     scale = xx[:, None] + yy[None, :]

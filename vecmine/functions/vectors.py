@@ -118,3 +118,15 @@ def _trunc(a: Column) -> Column:
     return F.when(F.isnan(a) | (F.abs(a) >= F.lit(9.0e18)), a).otherwise(
         F.when(a < 0, F.ceil(a)).otherwise(F.floor(a)).cast("double")
     )
+
+
+UNROLL = 256
+
+
+def map_cells(v: Column, dims: int, fn, *stats: list[float]) -> Column:
+    """fn(cell, stat_i...) per attribute. Up to UNROLL attributes become one generated-code expression each;
+    wider vectors use an array lambda."""
+    if dims <= UNROLL:
+        return F.array(*[fn(F.get(v, i), *[F.lit(float(s[i])) for s in stats]) for i in range(dims)])
+    arrays = [F.array(*[F.lit(float(x)) for x in s]) for s in stats]
+    return F.transform(v, lambda x, i: fn(x, *[F.get(a, i) for a in arrays]))

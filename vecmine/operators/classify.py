@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.distances import MEASURES, block_distance
-from ..session import collect_bounded
+from ..session import collect_bounded, settle_small
 from ..sources.points import class_index, long_form
 from .centroids import dims_of
 from .clustering import som_assign, som_fit
@@ -191,7 +191,7 @@ def most_probable(scores: DataFrame, test: DataFrame, column: str = "probability
 
 def mutual_information(train: DataFrame) -> DataFrame:
     """(attr, mi): information between each discrete attribute and the class, base 10."""
-    counts = value_counts(train)
+    counts, _ = settle_small(value_counts(train))
     n = counts.where("attr = 0").agg(F.sum("n")).scalar()
     lg = lambda p: p * F.log10(p)
     p = F.col("n") / F.col("all")
@@ -401,7 +401,7 @@ def cross_validate_nearest_mean(points: DataFrame, folds: int = 10, seed: int =
     split = kfold_split(points, folds, seed)
     vec = array_to_vector("features")
     per = split.groupBy("fold", "label").agg(F.count(F.lit(1)).alias("n"), Summarizer.sum(vec).alias("s"))
-    per = per.select("fold", "label", "n", vector_to_array("s").alias("s"))
+    per, _ = settle_small(per.select("fold", "label", "n", vector_to_array("s").alias("s")), 8 * dims_of(points) + 64)
     whole = per.groupBy("label").agg(F.sum("n").alias("nt"), Summarizer.sum(array_to_vector("s")).alias("st"))
     whole = whole.select("label", "nt", vector_to_array("st").alias("st"),
                          F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("fold"))

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import collect_bounded, cut_lineage
+from ..session import collect_bounded, cut_lineage, settle_small
 from ..sources.points import long_form
 from .pairs import Block, batch_of, pack, plan_tiles, tile_reduce
 
@@ -45,6 +45,7 @@ def running_counts(points: DataFrame, weight: str = "values") -> tuple[DataFrame
     per = cut_lineage(per.withColumn("w", w_here))
     steps = [i / SLICES for i in range(1, SLICES)]
     bounds = per.groupBy("attr").agg(F.percentile_approx("value", F.array(*[F.lit(s) for s in steps])).alias("bounds"))
+    bounds, _ = settle_small(bounds, 8 * SLICES + 16)
     # Distinct values per slice are about 1/64 of an attribute's distinct values, copies having been merged above.
     sliced = per.join(bounds, "attr").withColumn(
         "slice", F.size(F.filter("bounds", lambda b: b < F.col("value")))).drop("bounds")
@@ -56,6 +57,7 @@ def running_counts(points: DataFrame, weight: str = "values") -> tuple[DataFrame
         "attr", "slice",
         *[F.coalesce(F.sum(f"s_{c}").over(prior), F.lit(0)).alias(f"o_{c}") for c in sums],
         *[F.sum(f"s_{c}").over(whole).alias(f"t_{c}") for c in sums])
+    offs, _ = settle_small(offs, 16 * len(sums) + 16)
     inner = Window.partitionBy("attr", "slice").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
     out = sliced.join(offs, ["attr", "slice"]).select(
         "attr", "value", *[(F.coalesce(F.sum(c).over(inner), F.lit(0)) + F.col(f"o_{c}")).alias(f"c_{c}") for c in sums],

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.distances import MEASURES
 from ..functions.hashing import hash_uniform
-from ..session import one_row
+from ..session import one_row, settle_small
 from ..sources.points import class_index, long_form
 from .classify import confusion_counts, measures, svm_weights
 from .filters import EqualWidthBinner, MidrangeScaler, retain_attributes
@@ -26,6 +26,7 @@ def _binned_entropies(points: DataFrame, bins: int) -> DataFrame:
     """(attr, t, cell, r, c): totals of n log2 n over cells, bins and classes after equal-width binning."""
     binned = EqualWidthBinner(bins).fit_transform(points)
     counts = long_form(binned, "label").groupBy("attr", "value", "label").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    counts, _ = settle_small(counts)  # at most bins x classes rows per attribute
     xlogx = lambda c: F.sum(F.when(F.col(c) > 0, F.col(c) * F.log2(c)).otherwise(0.0))
     cell = counts.groupBy("attr").agg(F.sum("n").alias("t"), xlogx("n").alias("cell"))
     rows = counts.groupBy("attr", "value").agg(F.sum("n").alias("x")).groupBy("attr").agg(xlogx("x").alias("r"))
@@ -52,6 +53,7 @@ def kl_divergence(points: DataFrame, bins: int = 100) -> DataFrame:
     scaled = MidrangeScaler(bins / 2.0, bins - 0.000001).fit_transform(points)
     cells = long_form(scaled, "label").select("attr", "label", F.floor("value").cast("int").alias("bin"))
     counts = cells.groupBy("attr", "label", "bin").agg(F.count(F.lit(1)).alias("n"))
+    counts, _ = settle_small(counts)
     # One row of `bins` shares per attribute and class.
     share = counts.groupBy("attr", "label").agg(
         F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("m"), F.sum("n").alias("t"))

@@ -1,7 +1,7 @@
 """Row and value filters, imputation and normalisation: DataFrame in, DataFrame out.
 
 Row-local filters are functions. Those that learn from data follow `fit(points)` then `transform(points)`; what they
-learn is a one-row DataFrame of arrays that is applied as a scalar subquery, so transforming never shuffles points.
+learn is one value list per statistic, as wide as a single point, so transforming never shuffles or joins points.
 """
 
 from __future__ import annotations
@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..session import one_row
 from ..sources.points import long_form
 from .pairs import nearest
 from .stats import as_row, attribute_stats, percentiles
@@ -107,89 +106,80 @@ def impute_knn(points: DataFrame, k: int = 5) -> DataFrame:
 # ---- trained normalisers -------------------------------------------------------------------------
 
 class Scaler:
-    """Base of the trained filters: `learn` gives a one-row DataFrame, `apply` uses it as a struct column."""
+    """Base of the trained filters: `learn` gives one row of arrays (as wide as a point), `cell` maps one value."""
 
-    learned: DataFrame | None = None
+    stats: tuple[str, ...] = ()
+    learned: dict[str, list[float]] | None = None
 
     def learn(self, points: DataFrame) -> DataFrame:
-        raise NotImplementedError
+        return attribute_stats(points)
 
-    def apply(self, v: Column, s: Column) -> Column:
+    def cell(self, x: Column, *stats: Column) -> Column:
         raise NotImplementedError
 
     def fit(self, points: DataFrame) -> "Scaler":
-        self.learned = self.learn(points)
+        row = as_row(self.learn(points).select("attr", *self.stats)).first()
+        self.learned = {n: list(row[n]) for n in self.stats}
         return self
 
     def transform(self, points: DataFrame) -> DataFrame:
         if self.learned is None:
             raise RuntimeError("fit the filter before transforming")
-        with_stats = points.withColumn("_s", one_row(self.learned))
-        return with_stats.withColumn("features", self.apply(F.col("features"), F.col("_s"))).drop("_s")
+        lists = [self.learned[n] for n in self.stats]
+        return points.withColumn("features", V.map_cells(F.col("features"), len(lists[0]), self.cell, *lists))
 
     def fit_transform(self, points: DataFrame) -> DataFrame:
         return self.fit(points).transform(points)
 
 
-def _each(v: Column, fn, *stats: Column) -> Column:
-    """fn(x, stat...) per attribute."""
-    return F.transform(v, lambda x, i: fn(x, *[F.get(s, i) for s in stats]))
-
-
 class MeanScaler(Scaler):
     """(x - mean) / population standard deviation."""
 
-    def learn(self, points):
-        return as_row(attribute_stats(points).select("attr", "mean", "std"))
+    stats = ("mean", "std")
 
-    def apply(self, v, s):
-        return _each(v, lambda x, m, d: F.coalesce(F.try_divide(x - m, d), F.lit(float("nan"))), s["mean"], s["std"])
+    def cell(self, x, mean, std):
+        return F.coalesce(F.try_divide(x - mean, std), F.lit(float("nan")))
 
 
 class MedianIqrScaler(Scaler):
     """(x - median) / ((Q3 - Q1) / 1.35)."""
 
+    stats = ("q1", "median", "q3")
+
     def learn(self, points):
         p = percentiles(points, [25.0, 50.0, 75.0])
-        wide = p.groupBy("attr").agg(*[F.max(F.when(F.col("p") == q, F.col("value"))).alias(n)
+        return p.groupBy("attr").agg(*[F.max(F.when(F.col("p") == q, F.col("value"))).alias(n)
                                        for q, n in ((25.0, "q1"), (50.0, "median"), (75.0, "q3"))])
-        return as_row(wide)
 
-    def apply(self, v, s):
-        return _each(v, lambda x, m, a, b: F.coalesce(F.try_divide(x - m, (b - a) / 1.35), F.lit(float("nan"))),
-                     s["median"], s["q1"], s["q3"])
+    def cell(self, x, q1, median, q3):
+        return F.coalesce(F.try_divide(x - median, (q3 - q1) / 1.35), F.lit(float("nan")))
 
 
 class MidrangeScaler(Scaler):
     """Range to `width` around `middle`; constant, missing and infinite cells become `middle`."""
 
+    stats = ("min", "max")
+
     def __init__(self, middle: float = 0.0, width: float = 2.0):
         self.middle, self.width = float(middle), float(width)
 
-    def learn(self, points):
-        return as_row(attribute_stats(points).select("attr", "min", "max"))
-
-    def apply(self, v, s):
-        def scale(x, lo, hi):
-            y = F.try_divide(x - (lo + hi) / 2, hi - lo) * self.width + self.middle
-            return F.when(y.isNull() | _bad(y), F.lit(self.middle)).otherwise(y)
-        return _each(v, scale, s["min"], s["max"])
+    def cell(self, x, lo, hi):
+        y = F.try_divide(x - (lo + hi) / 2, hi - lo) * self.width + self.middle
+        return F.when(y.isNull() | _bad(y), F.lit(self.middle)).otherwise(y)
 
 
 class EqualWidthBinner(Scaler):
     """Bin number trunc((x - min) / (max - min) * (bins - 1)); constant attributes go to bin 0."""
 
+    stats = ("min", "max")
+
     def __init__(self, bins: int = 10):
         self.bins = bins
 
-    def learn(self, points):
-        return as_row(attribute_stats(points).select("attr", "min", "max"))
-
-    def apply(self, v, s):
-        def slot(x, lo, hi):
-            y = F.try_divide(x - lo, hi - lo) * F.lit(float(self.bins - 1))
-            return F.when(y.isNull() | F.isnan(y), F.lit(0.0)).otherwise(y)
-        return V.truncate(_each(v, slot, s["min"], s["max"]))
+    def cell(self, x, lo, hi):
+        y = F.try_divide(x - lo, hi - lo) * F.lit(float(self.bins - 1))
+        y = F.when(y.isNull() | F.isnan(y), F.lit(0.0)).otherwise(y)
+        return F.when(y < 0, F.ceil(y)).otherwise(F.floor(y)).cast("double")
 
 
 def row_midrange(points: DataFrame, middle: float = 0.0, width: float = 2.0) -> DataFrame:

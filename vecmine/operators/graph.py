@@ -39,13 +39,15 @@ def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def row_normalize(m: DataFrame) -> DataFrame:
     """(src, dst, w) with every row of weights summing to one."""
+    m = cut_lineage(m)
     total = m.groupBy("src").agg(F.sum("w").alias("_t"))
     return m.join(total, "src").select("src", "dst", (F.col("w") / F.col("_t")).alias("w"))
 
 
 def transition_matrix(edges: DataFrame, nodes: DataFrame, loop: float = 1.0) -> DataFrame:
     """Symmetric edges (src < dst) plus self loops, row-normalised."""
-    both = edges.select("src", "dst", "w").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
+    two = F.array(F.struct("src", "dst", "w"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
+    both = edges.select(F.explode(two).alias("e")).select("e.*")
     loops = nodes.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(float(loop)).alias("w"))
     return row_normalize(both.unionByName(loops))
 

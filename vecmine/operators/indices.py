@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from ..functions import distances as D
 from ..functions import vectors as V
 from ..functions.special import log_gamma
-from .centroids import centroids, cluster_sizes
+from ..session import settle_small
+from .centroids import centroids, dims_of
 from .pairs import Block, batch_of, chunks, pack, plan_tiles, shape_of, tile_reduce
 
 # Which score is better, per index ("larger", "smaller" or "smaller magnitude").
@@ -100,7 +101,7 @@ def between_against(points: DataFrame, limits: DataFrame, metric: str = "euclide
 
     `limits` is (prediction, lim); it rides along with the points, so nothing is broadcast.
     """
-    known = points.select("id", "features", "prediction").join(limits, "prediction")
+    known = points.select("id", "features", "prediction").join(settle_small(limits)[0], "prediction")
     n, d = shape_of(points)
     plan = plan_tiles(points.sparkSession, d, n)
     schema = pa.schema([("below", pa.int64()), ("above", pa.int64())])
@@ -143,7 +144,7 @@ def kmeans_cost(points: DataFrame) -> DataFrame:
 
 
 def centroid_similarity(points: DataFrame) -> DataFrame:
-    cents = centroids(points).select("prediction", "centroid")
+    cents, _ = settle_small(centroids(points).select("prediction", "centroid"), 8 * dims_of(points) + 32)
     return points.join(cents, "prediction").agg(
         F.sum(D.cosine_similarity(F.col("features"), F.col("centroid"))).alias("score"))
 
@@ -213,8 +214,6 @@ def c_index(points: DataFrame, metric: str = "euclidean") -> DataFrame:
 
 def _counts(points: DataFrame, metric: str, per_cluster: bool) -> DataFrame:
     """(below, above, fw, fb): between pairs against the largest within distance, overall or per cluster."""
-    from ..session import settle_small
-
     stats, _ = settle_small(pair_statistics(points, metric), 128)
     floor = F.greatest(F.col("wmax"), F.lit(0.0))
     if per_cluster:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.distances import MEASURES, block_distance
 from ..functions.hashing import hash_uniform
-from ..session import collect_bounded
+from ..session import collect_bounded, settle_small
 from .pairs import batch_of, matrix
 
 
@@ -26,27 +28,49 @@ def initial_sample_size(k: int, delta: float) -> int:
     return max(1, math.ceil(math.log2(2 * k / delta)))
 
 
-def initial_sample(points: DataFrame, sizes: DataFrame, m: int, seeds) -> DataFrame:
-    """(run, prediction, id, features): per run and cluster the m points with the smallest draws.
+@dataclass
+class Profile:
+    """Cluster sizes and dimensions of a clustered point set, from one pass."""
+
+    sizes: DataFrame  # (prediction, n), marked for broadcast when small
+    n_of: dict[int, int] | None  # the same as a dictionary when small
+    n: int
+    k: int
+    d: int
+
+
+def profile(points: DataFrame) -> Profile:
+    per = points.groupBy("prediction").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("features")).alias("d"))
+    frame, rows = settle_small(per)
+    if rows is None:
+        r = per.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.max("d").alias("d")).first()
+        return Profile(frame.drop("d"), None, r["n"], r["k"], r["d"])
+    return Profile(frame.drop("d"), {r["prediction"]: r["n"] for r in rows}, sum(r["n"] for r in rows), len(rows),
+                   max((r["d"] for r in rows), default=0))
+
+
+def initial_sample(points: DataFrame, prof: Profile, m: int, seeds) -> tuple[DataFrame, list | None]:
+    """(run, prediction, id, features): per run and cluster the m points with the smallest draws; rows when small.
 
     A threshold a few standard deviations above m leaves a handful of candidates per cluster, so only those are
     ranked; if a cluster gets too few, everything is ranked.
     """
-    known = points.join(sizes, "prediction")
+    known = points.join(prof.sizes, "prediction")
     drawn = known.select("id", "features", "prediction", "n", F.posexplode(_draws(seeds, ":s0")).alias("run", "u"))
     likely = drawn.where(F.col("u") * F.col("n") <= F.lit(float(m + 8 * math.sqrt(m) + 24)))
     w = Window.partitionBy("run", "prediction").orderBy("u", "id")
 
     def top(df):
-        return df.withColumn("r", F.row_number().over(w)).where(F.col("r") <= m)
+        return df.withColumn("r", F.row_number().over(w)).where(F.col("r") <= m).select("run", "prediction", "id", "features")
 
-    chosen = top(likely)
-    short = chosen.groupBy("run", "prediction").agg(F.count(F.lit(1)).alias("got"), F.max("n").alias("n"))
-    complete = short.agg(F.count(F.lit(1)).alias("groups"),
-                         F.count(F.when(F.col("got") < F.least(F.col("n"), F.lit(m)), 1)).alias("few")).first()
-    if complete["few"] or complete["groups"] < len(seeds) * sizes.count():
-        chosen = top(drawn)
-    return chosen.select("run", "prediction", "id", "features")
+    if prof.n_of is not None:
+        rows = collect_bounded(top(likely), 8 * prof.d + 48)
+        if rows is not None:
+            got = Counter((r["run"], r["prediction"]) for r in rows)
+            if all(got[run, c] >= min(n, m) for run in range(len(seeds)) for c, n in prof.n_of.items()):
+                return top(likely), rows
+            return top(drawn), collect_bounded(top(drawn), 8 * prof.d + 48)
+    return top(drawn), None
 
 
 _PPS = pa.schema([("run", pa.int32()), ("id", pa.int64()), ("features", pa.list_(pa.float64())),
@@ -55,25 +79,20 @@ _PPS_DDL = "run int, id long, features array<double>, prediction long, gamma dou
 
 
 def pps_probabilities(points: DataFrame, t: int, delta: float = 0.1, seeds=(1,), metric: str = "euclidean",
-                      only_selected: bool = False, **params) -> DataFrame:
+                      only_selected: bool = False, prof: Profile | None = None, **params) -> DataFrame:
     """(run, id, features, prediction, gamma, pi, u): inclusion probabilities pi = min(1, t * gamma).
 
     gamma is the largest share of a point in the total distance of any initial-sample point of its cluster, at
-    least 1/n; clusters of at most t points are taken whole. Three passes: sizes, initial sample, its totals.
+    least 1/n; clusters of at most t points are taken whole. Passes: sizes, initial sample, its totals, the points.
     """
     spark = points.sparkSession
     points = points.select("id", "features", "prediction")
-    sizes = points.groupBy("prediction").agg(F.count(F.lit(1)).alias("n"))
-    small = collect_bounded(sizes, 32)
-    k = len(small) if small is not None else sizes.count()
-    m = initial_sample_size(k, delta)
-    s0 = initial_sample(points, sizes, m, seeds)
-    dims = points.select(F.size("features").alias("d")).first()["d"]
-    rows = collect_bounded(s0, 8 * dims + 48) if small is not None else None
+    prof = prof or profile(points)
+    s0, rows = initial_sample(points, prof, initial_sample_size(prof.k, delta), seeds)
     if rows is None:
-        return _pps_by_join(points, sizes, s0, t, seeds, metric, only_selected)
+        return _pps_by_join(points, prof.sizes, s0, t, seeds, metric, only_selected)
 
-    n_of = {r["prediction"]: r["n"] for r in small}
+    n_of = prof.n_of
     groups: dict[tuple[int, int], list] = {}
     for r in sorted(rows, key=lambda r: (r["run"], r["prediction"], r["id"])):
         groups.setdefault((r["run"], r["prediction"]), []).append(r["features"])
@@ -149,16 +168,17 @@ def _pps_by_join(points, sizes, s0, t, seeds, metric, only_selected) -> DataFram
     return out.where(F.col("u") < F.col("pi")) if only_selected else out
 
 
-def pps_sample(points: DataFrame, t: int, delta: float = 0.1, seeds=(1,), metric: str = "euclidean", **params) -> DataFrame:
+def pps_sample(points: DataFrame, t: int, delta: float = 0.1, seeds=(1,), metric: str = "euclidean",
+               prof: Profile | None = None, **params) -> DataFrame:
     """(run, id, features, prediction, pi): independent draws with the PPS probabilities."""
-    return pps_probabilities(points, t, delta, seeds, metric, True, **params).select(
+    return pps_probabilities(points, t, delta, seeds, metric, True, prof, **params).select(
         "run", "id", "features", "prediction", "pi")
 
 
-def uniform_sample(points: DataFrame, t: int, seeds=(1,)) -> DataFrame:
+def uniform_sample(points: DataFrame, t: int, seeds=(1,), prof: Profile | None = None) -> DataFrame:
     """(run, id, features, prediction, pi) with pi = min(1, t / cluster size)."""
-    sizes = points.groupBy("prediction").agg(F.count(F.lit(1)).alias("n"))
-    drawn = points.join(sizes, "prediction").select(
+    prof = prof or profile(points)
+    drawn = points.join(prof.sizes, "prediction").select(
         "id", "features", "prediction", F.least(F.lit(1.0), F.lit(float(t)) / F.col("n")).alias("pi"),
         F.posexplode(_draws(seeds, ":uni")).alias("run", "u"))
     return drawn.where(F.col("u") < F.col("pi")).select("run", "id", "features", "prediction", "pi")
@@ -188,6 +208,7 @@ def dense_position(df: DataFrame, order: list[str], out: str = "pos", buckets: i
     before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1) if by else \
         Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    offsets, _ = settle_small(offsets)
     inside = Window.partitionBy(*by, "_slice").orderBy(*order)
     return cut.join(offsets, [*by, "_slice"]).withColumn(
         out, F.row_number().over(inside) - 1 + F.col("_before")).drop("_slice", "_before")
@@ -214,7 +235,7 @@ def subsample(points: DataFrame, size: int | None = None, fraction: float | None
         limit = F.lit(size)
     else:
         per = points.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) * F.lit(float(fraction))).alias("_take"))
-        pos, limit = (pos.join(per, list(by)), F.col("_take")) if by else (pos, per.scalar())
+        pos, limit = (pos.join(settle_small(per)[0], list(by)), F.col("_take")) if by else (pos, per.scalar())
     keep = F.col("pos") < limit
     return (pos.where(keep).select(*points.columns), pos.where(~keep).select(*points.columns))
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, parallelism
 
 
 def number_rows(df: DataFrame, key: str, order: list[str], out: str = "pos") -> DataFrame:
@@ -179,5 +179,6 @@ def warp_pairs(pairs: DataFrame, method: str = "full", radius: int = 1) -> DataF
                 "key_a": out["key_a"], "key_b": out["key_b"], "distance": pa.array(out["distance"], pa.float64()),
                 "path": pa.array(out["path"], pa.int32())})
 
-    spread = pairs.select("key_a", "a", "key_b", "b")
+    # A pair costs its two lengths multiplied, so pairs are spread by number and not merged by size.
+    spread = pairs.select("key_a", "a", "key_b", "b").repartition(4 * parallelism(pairs.sparkSession), "key_a", "key_b")
     return spread.mapInArrow(run, "key_a long, key_b long, distance double, path int")

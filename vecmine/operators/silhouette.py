@@ -18,25 +18,17 @@ from ..functions.distances import block_distance
 from ..session import collect_bounded, settle_small
 from .centroids import Representatives, centroids, cluster_sizes, dims_of
 from .pairs import CHUNK_CELLS, Block, batch_of, class_sums, chunks, matrix, pack, plan_tiles, shape_of, tile_reduce
-from .sampling import pps_sample, uniform_sample
+from .sampling import Profile, pps_sample, profile, uniform_sample
 
 
 def _score(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(b - a, F.greatest(a, b)), F.lit(0.0))
 
 
-def _sizes(points: DataFrame) -> tuple[DataFrame, int, int, int]:
-    """(cluster sizes, n, k, dimensions) in one pass."""
-    per = points.groupBy("prediction").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("features")).alias("d"))
-    frame, rows = settle_small(per)
-    if rows is None:
-        r = per.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.max("d").alias("d")).first()
-        n, k, d = r["n"], r["k"], r["d"]
-    else:
-        n, k, d = sum(r["n"] for r in rows), len(rows), max((r["d"] for r in rows), default=0)
-    if k < 2:
+def _checked(prof: Profile) -> Profile:
+    if prof.k < 2:
         raise ValueError("a silhouette needs at least two clusters")
-    return frame.drop("d"), n, k, d
+    return prof
 
 
 def _finish(sums: DataFrame, sizes: DataFrame, k: int, singleton: str, runs: bool = False) -> DataFrame:
@@ -63,8 +55,8 @@ def _finish(sums: DataFrame, sizes: DataFrame, k: int, singleton: str, runs: boo
 
 def exact_scores(points: DataFrame, metric: str = "euclidean", singleton: str = "one", **params) -> DataFrame:
     """(id, prediction, a, b, s) for every point, from all pairwise distances."""
-    sizes, n, k, d = _sizes(points)
-    return _finish(class_sums(points, metric, shape=(n, d), **params), sizes, k, singleton)
+    prof = _checked(profile(points))
+    return _finish(class_sums(points, metric, shape=(prof.n, prof.d), **params), prof.sizes, prof.k, singleton)
 
 
 def summarize(scores: DataFrame) -> DataFrame:
@@ -95,17 +87,15 @@ _EST = pa.schema([("id", pa.int64()), ("prediction", pa.int64()), ("run", pa.int
 _RUN = pa.schema([("run", pa.int32()), ("total", pa.float64()), ("n", pa.int64())])
 
 
-def _gather(points: DataFrame, sample: DataFrame):
+def _gather(points: DataFrame, sample: DataFrame, prof: Profile):
     """Sample and cluster sizes as arrays when both are small enough to ship, else None."""
-    d = dims_of(points)
-    sizes = collect_bounded(cluster_sizes(points), 64)
-    if sizes is None:
+    if prof.n_of is None:
         return None
-    rows = collect_bounded(sample.select("run", "features", "prediction", "pi"), 8 * d + 32)
+    rows = collect_bounded(sample.select("run", "features", "prediction", "pi"), 8 * prof.d + 32)
     if rows is None:
         return None
-    classes = np.array(sorted(r["prediction"] for r in sizes), dtype=np.int64)
-    n_of = {r["prediction"]: r["n"] for r in sizes}
+    n_of = prof.n_of
+    classes = np.array(sorted(n_of), dtype=np.int64)
     rows.sort(key=lambda r: (r["run"], r["prediction"]))
     return {
         "classes": classes,
@@ -145,18 +135,18 @@ def _local_scores(X, pred, shared, runs: int, metric: str, singleton: str, param
 
 
 def estimate_scores(points: DataFrame, sample: DataFrame, runs: int = 1, metric: str = "euclidean",
-                    singleton: str = "one", **params) -> DataFrame:
+                    singleton: str = "one", prof: Profile | None = None, **params) -> DataFrame:
     """(id, prediction, run, a, b, s): Horvitz-Thompson estimates of every point's silhouette.
 
     `sample` has columns (run, id, features, prediction, pi). Points stay where they are while the sample
     fits the broadcast limit; a larger sample meets the points in tiles.
     """
-    shared = _gather(points, sample)
+    prof = _checked(prof or profile(points))
+    shared = _gather(points, sample, prof)
     if shared is None:
         weighted = sample.withColumn("weight", 1.0 / F.col("pi"))
-        sizes, n, k, d = _sizes(points)
-        sums = class_sums(points, metric, weighted, shape=(n, d), **params)
-        return _finish(sums, sizes, k, singleton, runs=True)
+        sums = class_sums(points, metric, weighted, shape=(prof.n, prof.d), **params)
+        return _finish(sums, prof.sizes, prof.k, singleton, runs=True)
     ship = points.sparkSession.sparkContext.broadcast(shared)
 
     def run(batches):
@@ -173,11 +163,12 @@ def estimate_scores(points: DataFrame, sample: DataFrame, runs: int = 1, metric:
 
 
 def estimate(points: DataFrame, sample: DataFrame, runs: int = 1, metric: str = "euclidean",
-             singleton: str = "one", **params) -> DataFrame:
+             singleton: str = "one", prof: Profile | None = None, **params) -> DataFrame:
     """(run, n, silh): the mean estimate of each run; only per-batch totals leave the tasks."""
-    shared = _gather(points, sample)
+    prof = _checked(prof or profile(points))
+    shared = _gather(points, sample, prof)
     if shared is None:
-        scores = estimate_scores(points, sample, runs, metric, singleton, **params)
+        scores = estimate_scores(points, sample, runs, metric, singleton, prof, **params)
         return scores.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.avg("s").alias("silh"))
     ship = points.sparkSession.sparkContext.broadcast(shared)
 
@@ -196,20 +187,16 @@ def estimate(points: DataFrame, sample: DataFrame, runs: int = 1, metric: str =
 
 def pps_silhouette(points: DataFrame, t: int | None = None, eps: float = 0.1, delta: float = 0.1,
                    seeds: list[int] = (1,), metric: str = "euclidean", **params) -> DataFrame:
-    t = t or _derived_t(points, eps, delta)
-    sample = pps_sample(points, t, delta, seeds, metric, **params)
-    return estimate(points, sample, len(seeds), metric, **params)
+    prof = profile(points)
+    sample = pps_sample(points, t or sample_size(prof.n, prof.k, eps, delta), delta, seeds, metric, prof, **params)
+    return estimate(points, sample, len(seeds), metric, prof=prof, **params)
 
 
 def uniform_silhouette(points: DataFrame, t: int | None = None, eps: float = 0.1, delta: float = 0.1,
                        seeds: list[int] = (1,), metric: str = "euclidean", **params) -> DataFrame:
-    t = t or _derived_t(points, eps, delta)
-    sample = uniform_sample(points, t, seeds)
-    return estimate(points, sample, len(seeds), metric, **params)
-
-
-def _derived_t(points: DataFrame, eps: float, delta: float) -> int:
-    return sample_size_table(points, eps, delta).first()["t"]
+    prof = profile(points)
+    sample = uniform_sample(points, t or sample_size(prof.n, prof.k, eps, delta), seeds, prof)
+    return estimate(points, sample, len(seeds), metric, prof=prof, **params)
 
 
 # ---- cheaper variants ----------------------------------------------------------------------------
@@ -217,7 +204,8 @@ def _derived_t(points: DataFrame, eps: float, delta: float) -> int:
 def representatives(points: DataFrame, metric: str = "euclidean") -> DataFrame:
     """(id = cluster, features): the member of each cluster nearest to the cluster's centroid."""
     m = D.measure(metric)
-    near = points.join(centroids(points).select("prediction", "centroid"), "prediction")
+    cents, _ = settle_small(centroids(points).select("prediction", "centroid"), 8 * dims_of(points) + 32)
+    near = points.join(cents, "prediction")
     gap = m.badness(m.column(F.col("features"), F.col("centroid")))
     return near.groupBy("prediction").agg(
         F.min_by("features", F.struct(gap.alias("g"), F.col("id"))).alias("features")

@@ -11,7 +11,13 @@ from ..session import collect_bounded
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return balanced(spark.read.parquet(f"{folder}/{name}.parquet"))
+
+
+def balanced(df: DataFrame) -> DataFrame:
+    """Spread an input with fewer splits than cores (small or badly split files); larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def embedding_points(spark: SparkSession, folder: str) -> DataFrame:
@@ -28,7 +34,7 @@ def lineitem_points(spark: SparkSession, folder: str) -> DataFrame:
     """4-D points with the return flag as class; the id is derived from the columns that identify a row."""
     key = row_key(
         F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey"),
-        F.date_format("l_shipdate", "yyyy-MM-dd"),
+        F.col("l_shipdate").cast("date").cast("string"),
     )
     return table(spark, folder, "lineitem").select(
         key.alias("id"),
