@@ -89,12 +89,12 @@ def kmeans_step(points: DataFrame, centres: DataFrame, metric: str = "euclidean"
 def kmeans(points: DataFrame, k: int = 4, iterations: int = 100, metric: str = "euclidean", seed: int = 1,
            tolerance: float = 1e-4) -> DataFrame:
     """Points with `prediction`. Starts at random positions in the bounding box; empty clusters restart there."""
-    d = dims_of(points)
-    low, high = bounding_box(points)
-    if not _fits(points, k, d):
-        return _kmeans_by_tiles(points, k, iterations, metric, seed, tolerance, low, high)
-    held = points.persist(StorageLevel.MEMORY_AND_DISK)
+    held = points.select("features").persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        low, high = bounding_box(held)
+        d = len(low)
+        if not _fits(points, k, d):
+            return _kmeans_by_tiles(points, k, iterations, metric, seed, tolerance, low, high)
         centres = _random_centres(low, high, k, [seed, 0])
         for it in range(1, iterations + 1):
             n, s = cluster_sums(held, centres, metric)

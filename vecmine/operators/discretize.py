@@ -16,8 +16,6 @@ from ..session import collect_bounded, cut_lineage, settle_small
 from ..sources.points import long_form
 from .pairs import Block, batch_of, pack, plan_tiles, tile_reduce
 
-SLICES = 64
-
 
 def _plogp(n: Column, total: Column) -> Column:
     return F.when(n > 0, n / total * F.log2(n / total)).otherwise(F.lit(0.0))
@@ -42,13 +40,10 @@ def running_counts(points: DataFrame, weight: str = "values") -> tuple[DataFrame
         *[F.count(F.when(F.col("label") == c, 1)).alias(f"x{i}") for i, c in enumerate(names)])
     w_here = F.lit(1).cast("bigint") if weight == "values" else sum(
         (F.col(f"x{i}") for i in range(1, len(names))), F.col("x0"))
-    per = cut_lineage(per.withColumn("w", w_here))
-    steps = [i / SLICES for i in range(1, SLICES)]
-    bounds = per.groupBy("attr").agg(F.percentile_approx("value", F.array(*[F.lit(s) for s in steps])).alias("bounds"))
-    bounds, _ = settle_small(bounds, 8 * SLICES + 16)
-    # Distinct values per slice are about 1/64 of an attribute's distinct values, copies having been merged above.
-    sliced = per.join(bounds, "attr").withColumn(
-        "slice", F.size(F.filter("bounds", lambda b: b < F.col("value")))).drop("bounds")
+    # Copies of a value are merged above; the distinct values are range-partitioned, one slice per task.
+    slices = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sliced = cut_lineage(per.withColumn("w", w_here).repartitionByRange(slices, "attr", "value").withColumn(
+        "slice", F.spark_partition_id()))
     sums = [f"x{i}" for i in range(len(names))] + ["w"]
     base = sliced.groupBy("attr", "slice").agg(*[F.sum(c).alias(f"s_{c}") for c in sums])
     prior = Window.partitionBy("attr").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)

@@ -61,15 +61,23 @@ def expand_inflate(m: DataFrame, power: float = 2.0, max_zero: float = 0.001) ->
 
 
 def mcl(m: DataFrame, power: float = 2.0, max_zero: float = 0.001, residual: float = 0.001, most_steps: int = 100) -> DataFrame:
-    """(id, prediction) from a transition matrix. A node belongs to its attractors, columns with diagonal >= 0.98;
-    with several attractors the smallest one names the cluster, nodes without one form their own."""
+    """(id, prediction) from a transition matrix, stepping until every row is concentrated or evenly split.
+
+    Attractors are the nodes that keep weight on themselves; attractors holding each other form one cluster, named by
+    its smallest node. A node joins its heaviest attractor; nodes without one stay alone.
+    """
     m = cut_lineage(m)
     for _ in range(most_steps):
+        m = cut_lineage(expand_inflate(m, power, max_zero))
         chaos = m.groupBy("src").agg((F.max("w") - F.sum(F.col("w") * F.col("w"))).alias("r")).agg(F.max("r")).first()[0]
         if chaos is None or chaos <= residual:
             break
-        m = cut_lineage(expand_inflate(m, power, max_zero))
-    centres = m.where("src = dst AND w >= 0.98").select(F.col("src").alias("dst"))
-    member = m.where(f"w > {max_zero}").join(centres, "dst").groupBy("src").agg(F.min("dst").alias("prediction"))
-    return m.select("src").distinct().join(member, "src", "left").select(
+    heavy = m.where(F.col("w") > max_zero)
+    centres = heavy.where("src = dst").select(F.col("src").alias("id"))
+    among = heavy.join(centres.withColumnRenamed("id", "dst"), "dst")
+    links = among.join(centres.withColumnRenamed("id", "src"), "src").select("src", "dst")
+    names = connected_components(links, centres).withColumnRenamed("id", "dst")
+    member = among.groupBy("src").agg(F.min_by("dst", F.struct(-F.col("w"), F.col("dst"))).alias("dst"))
+    named = member.join(names, "dst").select("src", F.col("component").alias("prediction"))
+    return m.select("src").distinct().join(named, "src", "left").select(
         F.col("src").alias("id"), F.coalesce("prediction", "src").alias("prediction"))

@@ -48,7 +48,7 @@ def impute_constant(s, d):
 
 def impute_knn(s, d):
     p = L.impute_knn(with_gaps(embedding_points(s, d)), 5).select("id", F.posexplode("features").alias("attr", "value"))
-    return rounded(p, "value")
+    return p.withColumn("value", F.when(F.isnan("value"), F.col("value")).otherwise(r("value")))
 
 
 def remove_attributes(s, d):

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 
 def r(c, digits: int = 6) -> Column:
-    return F.round(F.col(c) if isinstance(c, str) else c, digits)
+    """Rounded half up in plain double arithmetic: stays in generated code, and SQL can repeat it exactly."""
+    c = F.col(c) if isinstance(c, str) else c
+    scale = F.lit(10.0 ** digits)
+    return F.floor(c * scale + F.lit(0.5)) / scale
 
 
 def rounded(df, *names: str, digits: int = 6):
@@ -15,8 +18,8 @@ def rounded(df, *names: str, digits: int = 6):
 
 
 def sr(expr: str, digits: int = 6) -> str:
-    """Rounded SQL expression without negative zero."""
-    return f"(round(({expr})::double, {digits}) + 0.0)"
+    """SQL twin of `r`."""
+    return f"(floor(({expr})::double * 1e{digits}::double + 0.5::double) / 1e{digits}::double)"
 
 
 def su(id_expr: str, seed: str) -> str:
