@@ -26,6 +26,8 @@ BLOCK_ROWS = 8192
 STRIPE_BYTES = 64 * 1024 * 1024
 STRIPE_ROWS = 65536
 CHUNK_CELLS = 1 << 22
+# Distance work (cells x dimensions) that makes a tile worth a task of its own.
+TILE_WORK = 4_000_000
 
 
 def matrix(col: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -76,8 +78,10 @@ def plan_tiles(spark, d: int, n: int, m: int | None = None) -> TilePlan:
     once per stripe of the other side.
     """
     row_bytes = 8 * d + 32
+    work = n * (m if m is not None else n / 2) * max(1, d)
+    unit = int(spark.conf.get("spark.vecmine.tileWork", str(TILE_WORK)))
     most = max(1, min(BLOCK_ROWS, BLOCK_BYTES // row_bytes))
-    wanted = 3 * parallelism(spark)
+    wanted = max(1, min(3 * parallelism(spark), math.ceil(work / unit)))
 
     def need(count: int) -> int:
         return max(1, math.ceil(count * row_bytes / STRIPE_BYTES), math.ceil(count / STRIPE_ROWS))

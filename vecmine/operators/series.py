@@ -180,5 +180,5 @@ def warp_pairs(pairs: DataFrame, method: str = "full", radius: int = 1) -> DataF
                 "path": pa.array(out["path"], pa.int32())})
 
     # A pair costs its two lengths multiplied, so pairs are spread by number and not merged by size.
-    spread = pairs.select("key_a", "a", "key_b", "b").repartition(4 * parallelism(pairs.sparkSession), "key_a", "key_b")
+    spread = pairs.select("key_a", "a", "key_b", "b").repartition(2 * parallelism(pairs.sparkSession), "key_a", "key_b")
     return spread.mapInArrow(run, "key_a long, key_b long, distance double, path int")

@@ -157,7 +157,7 @@ def _draw_rows(df):
 
 QUERIES = {
     "attr_min_max": lambda s, d: A.attribute_stats(lineitem_points(s, d)).select("attr", "min", "max"),
-    "attr_mean": lambda s, d: rounded(A.attribute_stats(lineitem_points(s, d)).select("attr", "mean"), "mean"),
+    "attr_mean": lambda s, d: rounded(A.attribute_stats(lineitem_points(s, d)).select("attr", "mean"), "mean", digits=8),
     "attr_stddev": lambda s, d: rounded(A.attribute_stats(lineitem_points(s, d)).select("attr", "std"), "std"),
     "attr_percentile": attr_percentile,
     "merge_points": merge,
@@ -309,7 +309,7 @@ _STRATBOOT = f"""WITH {LI}, ps AS (SELECT *, row_number() OVER (PARTITION BY lab
 
 ORACLES = {
     "attr_min_max": f"{_ST} SELECT attr, lo AS min, hi AS max FROM st",
-    "attr_mean": f"{_ST} SELECT attr, {sr('mu')} AS mean FROM st",
+    "attr_mean": f"{_ST} SELECT attr, {sr('mu', 8)} AS mean FROM st",
     "attr_stddev": f"{_ST} SELECT attr, {sr('sd')} AS std FROM st",
     "attr_percentile": f"{_ST} " + " UNION ALL ".join(f"SELECT attr, {p}::double AS p, {sr(_pct(p))} AS value FROM st" for p in (10.0, 50.0, 99.9)),
     "merge_points": f"WITH {LI}, {EMB} SELECT label, count(*) AS n, 4::bigint AS dims FROM li GROUP BY 1 UNION ALL SELECT cast(c AS varchar), count(*), max(len(f))::bigint FROM emb GROUP BY 1",

@@ -253,7 +253,16 @@ _RATES = f"""SELECT label, {sr('tp/(tp+fn)')} AS tp_rate, {sr('tn/(tn+fp)')} AS
   {sr('(tp*tn+fp*fn)/nullif(sqrt((tp+fp)*(tp+fn)*(tn+fp)*(tn+fn)), 0)')} AS correlation, {sr('fp/nullif(tp, 0)')} AS cost,
   {sr('1-sqrt(2)*sqrt(pow(fn/(tp+fn),2)+pow(fp/(tn+fp),2))')} AS q9, {sr('0.5*(tp/(tp+fn)+tn/(tn+fp))')} AS bcr FROM (SELECT label, tp::double AS tp, fp::double AS fp, tn::double AS tn, fn::double AS fn FROM cf)"""
 
+_BAGS = f"""WITH {LI}, ps AS (SELECT *, row_number() OVER (ORDER BY {su('id', '1:pos')}, id) - 1 AS pos FROM li),
+  dr AS (SELECT bag, draw, CAST(floor((cast('0x' || substr(md5(cast(draw as varchar) || '|1:' || bag), 1, 13) as bigint) / 4503599627370496.0::double) * (SELECT count(*) FROM li)) AS BIGINT) AS pos
+    FROM range((SELECT count(*) FROM li)) t(draw), range(5) b(bag)),
+  bg AS (SELECT bag, ps.* FROM dr JOIN ps USING (pos)),
+  mn AS (SELECT bag, label AS l, avg(f0) AS m0, avg(f1) AS m1, avg(f2) AS m2, avg(f3) AS m3 FROM bg GROUP BY 1, 2),
+  pr AS (SELECT bag, id, label, arg_min(l, struct_pack(d := pow(f0 - m0, 2) + pow(f1 - m1, 2) + pow(f2 - m2, 2) + pow(f3 - m3, 2), l := l)) AS predicted FROM li, mn GROUP BY 1, 2, 3)"""
+
 ORACLES = {
+    "bagging_nearest_mean": f"{_BAGS} SELECT id, predicted AS label, {sr('count(*) / 5.0::double')} AS share FROM pr GROUP BY 1, 2",
+    "oob_error": f"{_BAGS} SELECT count(*) AS tested, {sr('avg((predicted <> label)::int)')} AS error FROM pr WHERE (bag, id) NOT IN (SELECT bag, id FROM bg)",
     "knn_join": f"WITH {EMB}, {_KNN} WHERE rk <= 3) SELECT id, nb AS neighbour, {sr('d')} AS score, CAST(rk AS INTEGER) AS rank FROM nn",
     "range_join": f"WITH {EMB} SELECT a.id, b.id AS other, {sr(_D)} AS distance FROM emb a JOIN emb b ON a.id < b.id WHERE {_D} < {EPS}",
     "assign_nearest": f"{_CE} SELECT id, arg_min(cent.c, struct_pack(d := list_distance(f, m), c := cent.c)) AS prediction, {sr('min(list_distance(f, m))')} AS distance FROM emb, cent GROUP BY id",
