@@ -55,13 +55,14 @@ def _shipped_means(means: DataFrame, dims: int, group: str | None = None):
 
 
 def nearest_mean(train: DataFrame, test: DataFrame, metric: str = "euclidean") -> DataFrame:
-    return nearest_mean_by_group(class_means(train), test, None, metric)
+    return nearest_mean_by_group(class_means(train), test, None, dims_of(train), metric)
 
 
-def nearest_mean_by_group(means: DataFrame, test: DataFrame, group: str | None, metric: str = "euclidean") -> DataFrame:
+def nearest_mean_by_group(means: DataFrame, test: DataFrame, group: str | None, dims: int,
+                          metric: str = "euclidean") -> DataFrame:
     """Label of the closest class mean, means and points matched on the integer column `group` if given."""
     m = MEASURES[metric]
-    ship = _shipped_means(means, dims_of(test), group)
+    ship = _shipped_means(means, dims, group)
     if ship is None:
         # Beyond the limit: meet on the group (or on the label set) with an ordinary join, one running minimum per point.
         keyed = means if group else means.withColumn("_g", F.lit(0))
@@ -111,7 +112,7 @@ def knn_predict(train: DataFrame, test: DataFrame, k: int = 5, metric: str = "eu
 def feature_voting(train: DataFrame, test: DataFrame) -> DataFrame:
     """Adds `predicted` and `share`: every attribute votes for the class whose mean is closest in that attribute."""
     means = class_means(train)
-    ship = _shipped_means(means, dims_of(test))
+    ship = _shipped_means(means, dims_of(train))
     if ship is None:
         m = means.select("label", F.posexplode("centroid").alias("attr", "mean"))
         met = long_form(test, "id").join(m, "attr").groupBy("id", "attr").agg(
@@ -279,14 +280,14 @@ def bagged_nearest_mean(train: DataFrame, test: DataFrame, bags: int = 10, seed:
     bag, _ = bootstrap(train, bags=bags, seed=seed)
     means = class_means(bag, "bag")
     every = test.withColumn("bag", F.explode(F.sequence(F.lit(0), F.lit(bags - 1))))
-    voted = nearest_mean_by_group(means, every, "bag")
+    voted = nearest_mean_by_group(means, every, "bag", dims_of(train))
     return voted.groupBy("id", F.col("predicted").alias("label")).agg((F.count(F.lit(1)) / F.lit(float(bags))).alias("share"))
 
 
 def out_of_bag_error(train: DataFrame, bags: int = 10, seed: int = 1) -> DataFrame:
     """(tested, error): share of wrong predictions over all (bag, out-of-bag point) pairs."""
     bag, oob = bootstrap(train, bags=bags, seed=seed)
-    voted = nearest_mean_by_group(class_means(bag, "bag"), oob, "bag")
+    voted = nearest_mean_by_group(class_means(bag, "bag"), oob, "bag", dims_of(train))
     return voted.agg(F.count(F.lit(1)).alias("tested"),
                      F.avg((F.col("predicted") != F.col("label")).cast("double")).alias("error"))
 
@@ -401,7 +402,8 @@ def cross_validate_nearest_mean(points: DataFrame, folds: int = 10, seed: int =
     split = kfold_split(points, folds, seed)
     vec = array_to_vector("features")
     per = split.groupBy("fold", "label").agg(F.count(F.lit(1)).alias("n"), Summarizer.sum(vec).alias("s"))
-    per, _ = settle_small(per.select("fold", "label", "n", vector_to_array("s").alias("s")), 8 * dims_of(points) + 64)
+    dims = dims_of(points)
+    per, _ = settle_small(per.select("fold", "label", "n", vector_to_array("s").alias("s")), 8 * dims + 64)
     whole = per.groupBy("label").agg(F.sum("n").alias("nt"), Summarizer.sum(array_to_vector("s")).alias("st"))
     whole = whole.select("label", "nt", vector_to_array("st").alias("st"),
                          F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("fold"))
@@ -410,7 +412,7 @@ def cross_validate_nearest_mean(points: DataFrame, folds: int = 10, seed: int =
     zero = F.transform("st", lambda x: F.lit(0.0))
     means = rest.where(left > 0).select("fold", "label", F.zip_with(
         "st", F.coalesce("s", zero), lambda a, b: (a - b) / left).alias("centroid"))
-    return confusion_counts(nearest_mean_by_group(means, split, "fold", metric))
+    return confusion_counts(nearest_mean_by_group(means, split, "fold", dims, metric))
 
 
 def cross_validate(points: DataFrame, fit_predict, folds: int = 10, seed: int = 1) -> DataFrame:

@@ -15,6 +15,9 @@ from .pairs import nearest
 from .stats import as_row, attribute_stats, percentiles
 
 
+NAN = float("nan")
+
+
 # ---- classes -------------------------------------------------------------------------------------
 
 def remove_class(points: DataFrame, name: str) -> DataFrame:
@@ -106,42 +109,57 @@ def impute_knn(points: DataFrame, k: int = 5) -> DataFrame:
 # ---- trained normalisers -------------------------------------------------------------------------
 
 class Scaler:
-    """Base of the trained filters: `learn` gives one row of arrays (as wide as a point), `cell` maps one value."""
+    """Base of the trained filters.
+
+    `learn` gives one row of value lists (each as wide as a point), `prepare` turns them into the constants that `cell`
+    applies to one value.
+    """
 
     stats: tuple[str, ...] = ()
-    learned: dict[str, list[float]] | None = None
+    constants: list[list[float]] | None = None
 
     def learn(self, points: DataFrame) -> DataFrame:
         return attribute_stats(points)
 
-    def cell(self, x: Column, *stats: Column) -> Column:
+    def prepare(self, *stats: float) -> tuple[float, ...]:
+        raise NotImplementedError
+
+    def cell(self, x: Column, *constants: Column) -> Column:
         raise NotImplementedError
 
     def fit(self, points: DataFrame) -> "Scaler":
         row = as_row(self.learn(points).select("attr", *self.stats)).first()
-        self.learned = {n: list(row[n]) for n in self.stats}
+        made = [self.prepare(*(NAN if v is None else v for v in values)) for values in zip(*(row[n] for n in self.stats))]
+        self.constants = [list(c) for c in zip(*made)]
         return self
 
     def transform(self, points: DataFrame) -> DataFrame:
-        if self.learned is None:
+        if self.constants is None:
             raise RuntimeError("fit the filter before transforming")
-        lists = [self.learned[n] for n in self.stats]
-        return points.withColumn("features", V.map_cells(F.col("features"), len(lists[0]), self.cell, *lists))
+        return points.withColumn(
+            "features", V.map_cells(F.col("features"), len(self.constants[0]), self.cell, *self.constants))
 
     def fit_transform(self, points: DataFrame) -> DataFrame:
         return self.fit(points).transform(points)
 
 
+def _inverse(width: float) -> float:
+    return 1.0 / width if width else NAN
+
+
 class MeanScaler(Scaler):
-    """(x - mean) / population standard deviation."""
+    """(x - mean) / population standard deviation; NaN for a constant attribute."""
 
     stats = ("mean", "std")
 
-    def cell(self, x, mean, std):
-        return F.coalesce(F.try_divide(x - mean, std), F.lit(float("nan")))
+    def prepare(self, mean, std):
+        return mean, _inverse(std)
+
+    def cell(self, x, mean, inverse):
+        return (x - mean) * inverse
 
 
-class MedianIqrScaler(Scaler):
+class MedianIqrScaler(MeanScaler):
     """(x - median) / ((Q3 - Q1) / 1.35)."""
 
     stats = ("q1", "median", "q3")
@@ -151,8 +169,8 @@ class MedianIqrScaler(Scaler):
         return p.groupBy("attr").agg(*[F.max(F.when(F.col("p") == q, F.col("value"))).alias(n)
                                        for q, n in ((25.0, "q1"), (50.0, "median"), (75.0, "q3"))])
 
-    def cell(self, x, q1, median, q3):
-        return F.coalesce(F.try_divide(x - median, (q3 - q1) / 1.35), F.lit(float("nan")))
+    def prepare(self, q1, median, q3):
+        return median, _inverse((q3 - q1) / 1.35)
 
 
 class MidrangeScaler(Scaler):
@@ -163,23 +181,30 @@ class MidrangeScaler(Scaler):
     def __init__(self, middle: float = 0.0, width: float = 2.0):
         self.middle, self.width = float(middle), float(width)
 
-    def cell(self, x, lo, hi):
-        y = F.try_divide(x - (lo + hi) / 2, hi - lo) * self.width + self.middle
-        return F.when(y.isNull() | _bad(y), F.lit(self.middle)).otherwise(y)
+    def prepare(self, low, high):
+        span = high - low
+        return (low + high) / 2, span if span > 0 else float("inf")
+
+    def cell(self, x, centre, span):
+        # NaN sorts above infinity, so it takes the other branch too.
+        y = (x - centre) / span * self.width + self.middle
+        return F.when(F.abs(x) < F.lit(float("inf")), y).otherwise(F.lit(self.middle))
 
 
 class EqualWidthBinner(Scaler):
-    """Bin number trunc((x - min) / (max - min) * (bins - 1)); constant attributes go to bin 0."""
+    """Bin number trunc((x - min) / (max - min) * (bins - 1)); constant attributes and missing cells go to bin 0."""
 
     stats = ("min", "max")
 
     def __init__(self, bins: int = 10):
         self.bins = bins
 
-    def cell(self, x, lo, hi):
-        y = F.try_divide(x - lo, hi - lo) * F.lit(float(self.bins - 1))
-        y = F.when(y.isNull() | F.isnan(y), F.lit(0.0)).otherwise(y)
-        return F.when(y < 0, F.ceil(y)).otherwise(F.floor(y)).cast("double")
+    def prepare(self, low, high):
+        return low, high - low if high > low else float("inf")
+
+    def cell(self, x, low, span):
+        y = F.nanvl((x - low) / span * F.lit(float(self.bins - 1)), F.lit(0.0))
+        return F.greatest(F.least(y, F.lit(9e15)), F.lit(-9e15)).cast("bigint").cast("double")
 
 
 def row_midrange(points: DataFrame, middle: float = 0.0, width: float = 2.0) -> DataFrame:

@@ -297,7 +297,7 @@ def nearest(queries: DataFrame, refs: DataFrame, k: int, metric: str = "euclidea
     m = MEASURES[metric]
     spark = queries.sparkSession
     n, d = shape_of(queries)
-    n_refs, _ = shape_of(refs)
+    n_refs = n if refs is queries else shape_of(refs)[0]
     extra = ["cls"] if by_label else []
     plan = plan_tiles(spark, d, n, n_refs)
     lblocks = pack(queries, plan.left_rows, *extra)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.distances import MEASURES, block_distance
 from ..functions.hashing import hash_uniform
-from ..session import collect_bounded, settle_small
+from ..session import collect_bounded, parallelism, settle_small
 from .pairs import batch_of, matrix
 
 
@@ -250,9 +250,10 @@ def bootstrap(points: DataFrame, size: int | None = None, fraction: float = 1.0,
     spark = points.sparkSession
     by = ("label",) if stratified else ()
     pos = dense_position(_with_draw(points, f"{seed}:pos"), ["u", "id"], by=by).drop("u")
-    counts = points.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
     want = F.lit(size).cast("bigint") if size is not None else F.ceil(F.col("n") * F.lit(float(fraction)))
-    draws = _draw_table(counts.withColumn("want", want), by, bags)
+    counts, rows = settle_small(points.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).withColumn("want", want))
+    total = bags * (sum(r["want"] for r in rows) if rows is not None else counts.agg(F.sum("want")).first()[0])
+    draws = _draw_table(counts, by, bags, total)
     tag = F.concat(F.lit(f"{seed}:"), F.col("bag").cast("string"), *([F.lit(":"), F.col("label")] if stratified else []))
     draws = draws.withColumn("pos", F.floor(hash_uniform(F.col("draw"), tag) * F.col("n")).cast("bigint"))
     pos = pos.withColumn("pos", F.col("pos").cast("bigint"))
@@ -262,12 +263,16 @@ def bootstrap(points: DataFrame, size: int | None = None, fraction: float = 1.0,
     return bag, oob
 
 
-def _draw_table(counts: DataFrame, by, bags: int) -> DataFrame:
-    """(by..., n, bag, draw) with `want` draws per group and bag, generated in slices so that no task builds all."""
-    slice_rows = 65536
+def _draw_table(counts: DataFrame, by, bags: int, total: int) -> DataFrame:
+    """(by..., n, bag, draw) with `want` draws per group and bag, generated in slices spread over all cores.
+
+    The partition count is explicit: slices are a few bytes each until they are expanded, so they must not be merged.
+    """
+    slice_rows = max(1024, min(65536, math.ceil(total / (4 * parallelism(counts.sparkSession)))))
+    parts = max(parallelism(counts.sparkSession), math.ceil(total / 2_000_000))
     sliced = counts.withColumn("bag", F.explode(F.sequence(F.lit(0), F.lit(bags - 1)))).withColumn(
         "s", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("want") - 1) / slice_rows))))
-    spread = sliced.repartition(*by, "bag", "s")
+    spread = sliced.repartition(parts, *by, "bag", "s")
     first = F.col("s") * slice_rows
     last = F.least(first + slice_rows, F.col("want")) - 1
     return spread.select(*by, "n", "bag", F.explode(F.sequence(first, last)).alias("draw"))
