@@ -36,6 +36,13 @@ def test_block_and_column_forms_agree(make, name):
             assert abs(r["v"] - block[r["id"], r["id"] + 1]) < 1e-9
 
 
+def test_angles_and_consistency(spark):
+    df = spark.sql("select array(1D, -1D, 0D) as x, array(1D, 1D, 0D) as y, array(1D, 2D, 3D) as p, array(2D, 2.5D, 9D) as q")
+    row = df.select(D.angular(F.col("x"), F.col("y")).alias("a"), D.consistency_index(F.col("p"), F.col("q"), 10).alias("c")).first()
+    assert abs(row["a"] - np.pi / 2) < 1e-12  # the short way round
+    assert abs(row["c"] - (1 * 10 - 9) / (3 * 7)) < 1e-12
+
+
 def test_copies_have_distance_zero():
     X = np.random.default_rng(0).normal(size=(4, 40)) * 1e3
     assert (np.diag(D.block_distance("euclidean", X, X.copy())) == 0).all()

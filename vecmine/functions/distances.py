@@ -6,6 +6,7 @@ Every measure has a direction: ``smaller`` (distances), ``larger`` (similarities
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -98,7 +99,7 @@ def jaccard_distance(x, y):
 
 def consistency_index(x, y, n: int = 100):
     a, b = V.int_set(x), V.int_set(y)
-    k = F.size(a).cast("double")
+    k = F.greatest(F.size(a), F.size(b)).cast("double")
     r = F.size(F.array_intersect(a, b)).cast("double")
     value = F.try_divide(r * n - k * k, k * (F.lit(float(n)) - k))
     return F.when((k == 0) | (k == n), F.lit(0.0)).otherwise(value)
@@ -126,12 +127,20 @@ def spearman_footrule(x, y):
 
 
 def angular(x, y):
-    """Angle between two 3-D vectors from cross and dot product."""
-    g = lambda v, i: F.get(v, i)
-    c0 = g(x, 1) * g(y, 2) - g(x, 2) * g(y, 1)
-    c1 = g(x, 2) * g(y, 0) - g(x, 0) * g(y, 2)
-    c2 = g(x, 0) * g(y, 1) - g(x, 1) * g(y, 0)
-    return F.atan2(F.sqrt(c0 * c0 + c1 * c1 + c2 * c2), V.dot(x, y))
+    """Distance in spherical angles of two 3-D vectors: polar and azimuth difference, azimuth taken the short way."""
+    full = 2.0 * math.pi
+
+    def polar(v):
+        return F.atan2(F.sqrt(F.get(v, 0) * F.get(v, 0) + F.get(v, 1) * F.get(v, 1)), F.get(v, 2))
+
+    def azimuth(v):
+        raw = F.atan2(F.get(v, 1), F.get(v, 0))
+        return F.when(raw < 0, raw + full).otherwise(raw)
+
+    tilt = polar(x) - polar(y)
+    turn = F.abs(azimuth(x) - azimuth(y))
+    turn = F.least(turn, full - turn)
+    return F.sqrt(tilt * tilt + turn * turn)
 
 
 def max_product(x, y):

@@ -259,7 +259,7 @@ def _agg(e: str, fn: str = "list_sum") -> str:
     return f"{fn}({_ZIP.format(e=e)})"
 
 
-_SETS = f"{_PAIRS40}, st AS (SELECT id, list_distinct(list_transform(x, lambda q: trunc(q)::bigint)) AS a, list_distinct(list_transform(y, lambda q: trunc(q)::bigint)) AS b FROM pr), sz AS (SELECT id, len(a)::double AS k, len(list_intersect(a, b))::double AS r, len(list_distinct(list_concat(a, b)))::double AS u FROM st)"
+_SETS = f"{_PAIRS40}, st AS (SELECT id, list_distinct(list_transform(x, lambda q: trunc(q)::bigint)) AS a, list_distinct(list_transform(y, lambda q: trunc(q)::bigint)) AS b FROM pr), sz AS (SELECT id, greatest(len(a), len(b))::double AS k, len(list_intersect(a, b))::double AS r, len(list_distinct(list_concat(a, b)))::double AS u FROM st)"
 _RANGED = f"""WITH {EMBL}, bx AS (SELECT attr, min(v) AS lo, max(v) AS hi FROM embl GROUP BY attr),
   n AS (SELECT a.id, sqrt(sum(pow((a.v - b.v) / nullif(hi - lo, 0), 2))) / sqrt(count(*)) AS d FROM embl a JOIN embl b ON b.id = a.id + 1 AND a.attr = b.attr JOIN bx ON bx.attr = a.attr GROUP BY 1)"""
 _SIM = _agg("z[1] * z[2]") + " / (sqrt(list_sum(list_transform(x, lambda q: q * q))) * sqrt(list_sum(list_transform(y, lambda q: q * q))))"
@@ -367,7 +367,7 @@ ORACLES = {
     "dist_spearman_footrule": _d(f"1 - {_agg('abs(z[1] - z[2])')} / (64 * 64 / 2.0)", _PAIRS40),
     "dist_normalized_euclidean": f"{_RANGED} SELECT id, {sr('d')} AS dist FROM n",
     "dist_normalized_euclidean_similarity": f"{_RANGED} SELECT id, {sr('1 - d')} AS dist FROM n",
-    "dist_angular": f"WITH {LI}, m AS (SELECT avg(f0) AS a, avg(f2) AS b, avg(f3) AS c FROM li) SELECT id, {sr('atan2(sqrt(pow(f2 * m.c - f3 * m.b, 2) + pow(f3 * m.a - f0 * m.c, 2) + pow(f0 * m.b - f2 * m.a, 2)), f0 * m.a + f2 * m.b + f3 * m.c)')} AS dist FROM li, m",
+    "dist_angular": f"WITH {LI}, m AS (SELECT avg(f0) AS a, avg(f2) AS b, avg(f3) AS c FROM li), g AS (SELECT id, atan2(sqrt(f0 * f0 + f2 * f2), f3) - atan2(sqrt(m.a * m.a + m.b * m.b), m.c) AS t, abs(atan2(f2, f0) - atan2(m.b, m.a)) AS p FROM li, m) SELECT id, {sr('sqrt(t * t + p * p)')} AS dist FROM g",
     "dist_max_product": _d(_agg("z[1] * z[2]", "list_max")),
     "dist_linear_kernel": _d(_agg("z[1] * z[2]")),
     "dist_polynomial_kernel": _d(f"pow({_agg('z[1] * z[2]')}, 3.0)", digits=9),
