@@ -125,7 +125,6 @@ def _dist_ranged(fn):
 def dist_mahalanobis(s, d):
     """Covariance of the whole set, inverted once (4 x 4)."""
     import numpy as np
-    from pyspark.ml.stat import Correlation  # noqa: F401
 
     p = lineitem_points(s, d)
     cols = [F.get("features", i).alias(f"x{i}") for i in range(4)]
