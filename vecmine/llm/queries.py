@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression, language, packing, piece, pii, toxicity
+from . import bagminhash, compression, language, nearest, packing, piece, pii, recompression, separators, toxicity
 from .base import crc_fold, table
 
 
@@ -46,6 +46,14 @@ def op4_language(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", (fold == 2).alias("held_out"), "lang_pred", "score", "cosine", "rejected")
 
 
+def op5_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    return recompression.dedup(documents(spark, folder))
+
+
+def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return separators.document_counts(documents(spark, folder), **bpe_files(), eod=50256)
+
+
 def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs, fold = documents(spark, folder), crc_fold(F.col("doc_id"), 3)
     labels = (table(spark, folder, "labels", "doc_id", "toxic").where("doc_id IS NOT NULL AND toxic IS NOT NULL")
@@ -59,5 +67,26 @@ def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(documents(spark, folder), **bpe_files())
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_compression, op3_piece, op4_language, op7_toxicity, op8_packing)}
-ORACLES: dict[str, str] = {}
+def op9_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return bagminhash.classes(documents(spark, folder)).select("doc_id", "class_id", "n_copies")
+
+
+def op10_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest.search(table(spark, folder, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 20 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_compression, op3_piece, op4_language, op5_substrings, op6_token_counts, op7_toxicity,
+                                   op8_packing, op9_near_duplicates, op10_nearest)}
+ORACLES: dict[str, str] = {
+    # Words with a space after each, whole windows by slices; the smallest doc_id of every window decides.
+    "op5_substrings": """
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS words FROM documents),
+     g AS (SELECT doc_id, i, md5(array_to_string(words[i : i + 49], ' ')) AS k
+           FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM w WHERE len(words) >= 50)),
+     late AS (SELECT g.doc_id, g.i FROM g JOIN (SELECT k, min(doc_id) AS least FROM g GROUP BY k) USING (k) WHERE g.doc_id > least),
+     gone AS (SELECT doc_id, list(DISTINCT p) AS ps FROM (SELECT doc_id, unnest(range(i, i + 50)) AS p FROM late) GROUP BY doc_id),
+     kept AS (SELECT w.doc_id, len(words) AS n, CASE WHEN ps IS NULL THEN words ELSE
+                     list_transform(list_filter(list_zip(words, range(1, len(words) + 1)), lambda z: NOT list_contains(ps, z[2])), lambda z: z[1]) END AS kw
+              FROM w LEFT JOIN gone USING (doc_id))
+SELECT doc_id, n AS n_words, n - len(kw) AS n_removed, sha256(array_to_string(kw, ' ')) AS kept_sha256 FROM kept""",
+}
