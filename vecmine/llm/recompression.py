@@ -13,8 +13,9 @@ A window of `WINDOW` words takes as its anchor the symbol of least mixed name am
 places. Consecutive windows with one anchor form a stretch; a stretch is named by its words, its anchor by the words
 that all its windows share. Spark then settles
 
-1. stretches: the smallest doc_id with each name. Windows of the same stretch in a later document are repeats;
-2. anchors that several different stretches share (edges of passages): the document that holds each such stretch first
+1. anchors: those of one document only drop out;
+2. stretches: the smallest doc_id with each name. Windows of the same stretch in a later document are repeats;
+3. anchors that several different stretches share (edges of passages): the document that holds each such stretch first
    lists its windows, and the smallest doc_id of every window's words decides.
 
 Both names (anchor and stretch or window) must agree, 128 bits together. Nothing is listed per window unless an anchor is
@@ -192,7 +193,10 @@ def _packed(docs: DataFrame) -> DataFrame:
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
     """(doc_id, tkey, ranges array<struct<a, b>>): starts of repeated windows as half-open ranges, in words."""
+    # Most anchors stand in one document only; nothing of theirs goes on.
     found = stretches(docs)
+    common = found.groupBy("akey").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("akey")
+    found = cut_lineage(found.join(common, "akey", "left_semi").select("doc_id", "tkey", "start", "n", "akey", "skey"))
     names = found.groupBy("akey", "skey").agg(F.min(F.struct("doc_id", "tkey", "start")).alias("f"), F.max("doc_id").alias("most"),
                                               F.max("n").alias("n"))
     names = cut_lineage(names.select("akey", "skey", F.col("f.doc_id").alias("least"), "most", "f.tkey", "f.start", "n"))
