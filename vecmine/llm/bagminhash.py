@@ -33,8 +33,9 @@ from .base import GOLD, WordHashes, flat, mix, shingles, text_slices, texts_of,
 SHINGLE = 5
 LIMIT = 0.8
 BANDS, ROWS = 32, 5
-# A pair whose signatures agree in a smaller share is not checked in the second pass: five standard errors below LIMIT.
-LOWEST_AGREEMENT = 0.64
+# A pair whose signatures agree in a smaller share is not checked in the second pass: four standard errors below LIMIT.
+LOWEST_AGREEMENT = 0.67
+BLOCK_NODES = 512
 BLOCK_TEXTS = 3000
 _U = 1.0 / (1 << 53)
 
@@ -173,25 +174,38 @@ def checked(docs: DataFrame, reps: DataFrame, pairs: DataFrame, limit: float = L
     return joined.mapInArrow(run, "src binary, dst binary")
 
 
-def _second_pairs(members: DataFrame, roots: DataFrame, registers: int) -> DataFrame:
+def _blocks(rows: DataFrame, prefix: str) -> DataFrame:
+    """Rows (band, lo, r, sig) gathered into blocks of about BLOCK_NODES per band."""
+    sizes = rows.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_NODES)).alias("k"))
+    dealt = rows.join(sizes, "band").withColumn("c", F.pmod(F.xxhash64("lo"), F.col("k")))
+    return dealt.groupBy("band", "c").agg(F.collect_list(F.struct("lo", "r", "sig")).alias(prefix)).drop("c")
+
+
+def _second_pairs(shared: DataFrame, reps: DataFrame, roots: DataFrame, registers: int) -> DataFrame:
     """(a, b) in one band and in different components, not both in the band's largest, with agreeing signatures."""
-    placed = cut_lineage(members.join(roots, "node", "left").select("band", "lo", "sig", F.coalesce("root", "node").alias("root")))
-    open_bands = placed.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("band")
-    rest = placed.join(open_bands, "band", "left_semi")
-    largest = (rest.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("band")
-               .agg(F.max_by("root", F.struct("n", "root")).alias("top")))
-    outside = rest.join(largest, "band").where("root <> top").select("band", F.col("lo").alias("a"), F.col("root").alias("ra"), F.col("sig").alias("sa"))
-    met = rest.select("band", F.col("lo").alias("b"), F.col("root").alias("rb"), F.col("sig").alias("sb")).join(outside, "band").where("ra <> rb")
+    root_of = reps.select("node", "lo").join(roots, "node").select("lo", F.xxhash64("root").alias("r"))
+    placed = shared.select("band", "lo").join(root_of, "lo")
+    open_bands = placed.groupBy("band").agg(F.min("r").alias("r0"), F.max("r").alias("r1")).where("r0 <> r1").select("band")
+    rest = cut_lineage(placed.join(open_bands, "band", "left_semi").select("band", "lo", "r"))
+    largest = (rest.groupBy("band", "r").agg(F.count(F.lit(1)).alias("n")).groupBy("band")
+               .agg(F.max(F.struct("n", "r")).alias("top")).select("band", F.col("top.r").alias("top")))
+    signed = rest.join(reps.select("lo", "sig").dropDuplicates(["lo"]), "lo").select("band", "lo", "r", "sig")
+    outside = signed.join(largest, "band").where("r <> top").select("band", "lo", "r", "sig")
+    met = _blocks(signed, "x").join(_blocks(outside, "y"), "band").select("x", "y")
     least = int(np.ceil(LOWEST_AGREEMENT * registers))
 
     def agree(batches):
         for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, registers) for c in ("sa", "sb"))
-                yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(1) >= least))
+            for xs, ys in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
+                (lx, rx, sx), (ly, ry, sy) = (
+                    (np.array([v["lo"] for v in vs]), np.array([v["r"] for v in vs]),
+                     np.frombuffer(b"".join(v["sig"] for v in vs), np.uint8).reshape(-1, registers)) for vs in (xs, ys))
+                for i in range(len(ly)):
+                    at = np.flatnonzero(((sx == sy[i]).sum(1) >= least) & (rx != ry[i]))
+                    if len(at):
+                        yield pa.record_batch([pa.array(np.minimum(lx[at], ly[i])), pa.array(np.maximum(lx[at], ly[i]))], names=["a", "b"])
 
-    near = met.select("a", "b", "sa", "sb").mapInArrow(agree, "a long, b long")
-    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    return met.mapInArrow(agree, "a long, b long").where("a <> b").distinct()
 
 
 def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, limit: float = LIMIT) -> DataFrame:
@@ -201,13 +215,12 @@ def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, limit: float
         F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_copies"), F.first("lo").alias("lo"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
     listed = reps.select("lo", F.explode("bands").alias("band"))
     pivots = listed.groupBy("band").agg(F.min("lo").alias("a"), F.max("lo").alias("most")).where("a < most").select("band", "a")
-    pairs = cut_lineage(listed.join(pivots, "band").where("lo > a").select("a", F.col("lo").alias("b")).distinct())
+    shared = cut_lineage(listed.join(pivots, "band").select("band", "a", "lo"))
+    pairs = cut_lineage(shared.where("lo > a").select("a", F.col("lo").alias("b")).distinct())
     first = cut_lineage(checked(docs, reps, pairs, limit))
     ids = reps.select(F.col("node").alias("id"))
     roots = connected_components(first, ids).select(F.col("id").alias("node"), F.col("component").alias("root"))
-    met = pivots.select("band")
-    members = reps.select("node", "lo", "sig", F.explode("bands").alias("band")).join(met, "band", "left_semi")
-    more = cut_lineage(_second_pairs(members, roots, bands * rows).join(pairs, ["a", "b"], "left_anti"))
+    more = cut_lineage(_second_pairs(shared, reps, roots, bands * rows).join(pairs, ["a", "b"], "left_anti"))
     if not more.isEmpty():
         second = checked(docs, reps, more, limit)
         roots = connected_components(first.unionByName(second), ids).select(F.col("id").alias("node"), F.col("component").alias("root"))
