@@ -6,8 +6,8 @@ the block. A text sees the points below its weights; register i keeps the earlie
 the same point there with the probability of their weighted Jaccard similarity, sum of minima over sum of maxima. Points
 come in order of time, so an element is done when its next point is later than all registers.
 
-Texts with the same words are one node. Nodes that share a band meet at the band's smallest node; the pair is checked on the
-shingles themselves. Where a band then still holds several components, everything outside the largest one meets everything
+Texts with the same words are one node. Nodes that share a band meet at the band's most connected node; the pair is checked on
+the shingles themselves. Where a band then still holds several components, everything outside the largest one meets everything
 in other components, after a comparison of signatures; so every pair that shares a band is either connected or checked.
 Similar pairs share no band with a probability of less than 1e-5 at the limit. The class of a document is the smallest
 doc_id of its component.
@@ -34,7 +34,7 @@ SHINGLE = 5
 LIMIT = 0.8
 BANDS, ROWS = 32, 5
 # A pair whose signatures agree in a smaller share is not checked in the second pass: four standard errors below LIMIT.
-LOWEST_AGREEMENT = 0.67
+LOWEST_AGREEMENT = 0.68
 BLOCK_NODES = 512
 BLOCK_TEXTS = 3000
 _U = 1.0 / (1 << 53)
@@ -145,12 +145,22 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return least / total if total else 1.0
 
 
+def _texts(docs: DataFrame, reps: DataFrame, los: DataFrame) -> DataFrame:
+    """(node, lo, z) of the nodes whose `lo` is listed; of copies only the smallest doc_id's text travels."""
+    wanted = reps.select("doc_id", "lo").join(los.distinct(), "lo", "left_semi")
+    ids = wanted.select(F.col("doc_id").alias("_id")).distinct()
+    some = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    return cut_lineage(_packed(some).dropDuplicates(["node"]))
+
+
+def _bag(z: bytes, press, memo: WordHashes):
+    words = memo.of(press.decompress(z).split())
+    return multisets(*shingles(words, np.array([0, len(words)]), SHINGLE))[1:]
+
+
 def checked(docs: DataFrame, reps: DataFrame, pairs: DataFrame, limit: float = LIMIT) -> DataFrame:
     """(src, dst) nodes of those (a, b) pairs of `lo` values whose texts are similar enough."""
-    # One row per node: of copies only the smallest doc_id's text travels.
-    wanted = reps.select("doc_id", "lo").join(pairs.select(F.explode(F.array("a", "b")).alias("lo")).distinct(), "lo", "left_semi")
-    some = docs.select("doc_id", "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-    texts = cut_lineage(_packed(some).dropDuplicates(["node"]))
+    texts = _texts(docs, reps, pairs.select(F.explode(F.array("a", "b")).alias("lo")))
     left = texts.select(F.col("lo").alias("a"), F.col("node").alias("src"), F.col("z").alias("za"))
     right = texts.select(F.col("lo").alias("b"), F.col("node").alias("dst"), F.col("z").alias("zb"))
     joined = pairs.join(right, "b").join(left, "a").select("src", "dst", "za", "zb")
@@ -159,53 +169,77 @@ def checked(docs: DataFrame, reps: DataFrame, pairs: DataFrame, limit: float = L
         press, memo = zstandard.ZstdDecompressor(), WordHashes()
         last: tuple = (None, None)
 
-        def bag(z):
-            words = memo.of(press.decompress(z).split())
-            return multisets(*shingles(words, np.array([0, len(words)]), SHINGLE))[1:]
-
         for batch in batches:
             keep = []
             for src, za, zb in zip(*(batch.column(c).to_pylist() for c in ("src", "za", "zb"))):
                 if last[0] != src:
-                    last = (src, bag(za))
-                keep.append(similarity(last[1], bag(zb)) >= limit)
+                    last = (src, _bag(za, press, memo))
+                keep.append(similarity(last[1], _bag(zb, press, memo)) >= limit)
             yield batch.select(["src", "dst"]).filter(pa.array(keep, pa.bool_()))
 
     return joined.mapInArrow(run, "src binary, dst binary")
 
 
-def _blocks(rows: DataFrame, prefix: str) -> DataFrame:
-    """Rows (band, lo, r, sig) gathered into blocks of about BLOCK_NODES per band."""
+def _blocks(rows: DataFrame, name: str) -> DataFrame:
+    """Rows of a band gathered into blocks of about BLOCK_NODES."""
     sizes = rows.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_NODES)).alias("k"))
     dealt = rows.join(sizes, "band").withColumn("c", F.pmod(F.xxhash64("lo"), F.col("k")))
-    return dealt.groupBy("band", "c").agg(F.collect_list(F.struct("lo", "r", "sig")).alias(prefix)).drop("c")
+    return dealt.groupBy("band", "pos", "c").agg(F.collect_list(F.struct("lo", "node", "r", "sig", "z")).alias(name)).drop("c")
 
 
-def _second_pairs(shared: DataFrame, reps: DataFrame, roots: DataFrame, registers: int) -> DataFrame:
-    """(a, b) in one band and in different components, not both in the band's largest, with agreeing signatures."""
+def _second_links(docs: DataFrame, shared: DataFrame, reps: DataFrame, roots: DataFrame, bands: int, rows: int, limit: float) -> DataFrame:
+    """(src, dst): links between components that share a band, found by meeting whatever is outside a band's largest component
+    with everything in the band, block by block inside tasks. A pair is looked at in the first band that it shares."""
     root_of = reps.select("node", "lo").join(roots, "node").select("lo", F.xxhash64("root").alias("r"))
-    placed = shared.select("band", "lo").join(root_of, "lo")
+    placed = shared.select("band", "pos", "lo").join(root_of, "lo")
     open_bands = placed.groupBy("band").agg(F.min("r").alias("r0"), F.max("r").alias("r1")).where("r0 <> r1").select("band")
-    rest = cut_lineage(placed.join(open_bands, "band", "left_semi").select("band", "lo", "r"))
+    rest = cut_lineage(placed.join(open_bands, "band", "left_semi").select("band", "pos", "lo", "r"))
+    if rest.isEmpty():
+        return roots.select(F.col("node").alias("src"), F.col("root").alias("dst")).where("false")
     largest = (rest.groupBy("band", "r").agg(F.count(F.lit(1)).alias("n")).groupBy("band")
                .agg(F.max(F.struct("n", "r")).alias("top")).select("band", F.col("top.r").alias("top")))
-    signed = rest.join(reps.select("lo", "sig").dropDuplicates(["lo"]), "lo").select("band", "lo", "r", "sig")
-    outside = signed.join(largest, "band").where("r <> top").select("band", "lo", "r", "sig")
-    met = _blocks(signed, "x").join(_blocks(outside, "y"), "band").select("x", "y")
-    least = int(np.ceil(LOWEST_AGREEMENT * registers))
-
-    def agree(batches):
+    texts = _texts(docs, reps, rest.select("lo"))
+    known = texts.join(reps.select("node", "sig"), "node").select("lo", "node", "sig", "z")
+    signed = cut_lineage(rest.join(known, "lo").select("band", "pos", "lo", "node", "r", "sig", "z"))
+    outside = signed.join(largest, "band").where("r <> top").select(signed.columns)
+    met = _blocks(signed, "x").join(_blocks(outside, "y").drop("pos"), "band").select("pos", "x", "y")
+    registers, least = bands * rows, int(np.ceil(LOWEST_AGREEMENT * bands * rows))
+
+    def link(batches):
+        press, memo = zstandard.ZstdDecompressor(), WordHashes()
         for batch in batches:
-            for xs, ys in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-                (lx, rx, sx), (ly, ry, sy) = (
-                    (np.array([v["lo"] for v in vs]), np.array([v["r"] for v in vs]),
-                     np.frombuffer(b"".join(v["sig"] for v in vs), np.uint8).reshape(-1, registers)) for vs in (xs, ys))
-                for i in range(len(ly)):
-                    at = np.flatnonzero(((sx == sy[i]).sum(1) >= least) & (rx != ry[i]))
-                    if len(at):
-                        yield pa.record_batch([pa.array(np.minimum(lx[at], ly[i])), pa.array(np.maximum(lx[at], ly[i]))], names=["a", "b"])
-
-    return met.mapInArrow(agree, "a long, b long").where("a <> b").distinct()
+            for pos, xs, ys in zip(*(batch.column(c).to_pylist() for c in ("pos", "x", "y"))):
+                sx, sy = (np.frombuffer(b"".join(v["sig"] for v in vs), np.uint8).reshape(-1, registers) for vs in (xs, ys))
+                rx, ry = (np.array([v["r"] for v in vs]) for vs in (xs, ys))
+                bags: dict = {}
+                merged: dict = {}
+
+                def top(r):
+                    while r in merged:
+                        r = merged[r]
+                    return r
+
+                def bag(v):
+                    if v["node"] not in bags:
+                        bags[v["node"]] = _bag(v["z"], press, memo)
+                    return bags[v["node"]]
+
+                src, dst = [], []
+                for i, y in enumerate(ys):
+                    same = sx == sy[i]
+                    near = np.flatnonzero((same.sum(1) >= least) & (rx != ry[i]))
+                    if len(near):
+                        near = near[same[near].reshape(len(near), bands, rows).all(2).argmax(1) == pos]
+                    for j in near.tolist():
+                        a, b = top(int(rx[j])), top(int(ry[i]))
+                        if a != b and similarity(bag(xs[j]), bag(y)) >= limit:
+                            merged[a] = b
+                            src.append(xs[j]["node"])
+                            dst.append(y["node"])
+                if src:
+                    yield pa.record_batch([pa.array(src, pa.binary()), pa.array(dst, pa.binary())], names=["src", "dst"])
+
+    return met.mapInArrow(link, "src binary, dst binary")
 
 
 def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, limit: float = LIMIT) -> DataFrame:
@@ -213,16 +247,19 @@ def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, limit: float
     all_rows = cut_lineage(sketches(docs, bands, rows))
     reps = cut_lineage(all_rows.where("node IS NOT NULL").groupBy("node").agg(
         F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_copies"), F.first("lo").alias("lo"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
-    listed = reps.select("lo", F.explode("bands").alias("band"))
-    pivots = listed.groupBy("band").agg(F.min("lo").alias("a"), F.max("lo").alias("most")).where("a < most").select("band", "a")
-    shared = cut_lineage(listed.join(pivots, "band").select("band", "a", "lo"))
-    pairs = cut_lineage(shared.where("lo > a").select("a", F.col("lo").alias("b")).distinct())
+    listed = reps.select("lo", F.posexplode("bands").alias("pos", "band"))
+    sizes = listed.groupBy("band").agg(F.min("lo").alias("least"), F.max("lo").alias("most"), F.count(F.lit(1)).alias("n"))
+    shared = cut_lineage(listed.join(sizes.where("least < most").select("band", "n"), "band").select("band", "pos", "lo", "n"))
+    # The pivot of a band is the node that meets most others over all its bands: the text that copies were made from, if it is there.
+    degree = shared.groupBy("lo").agg(F.sum("n").alias("d"))
+    ranked = shared.join(degree, "lo").select("band", "lo", "d")
+    pivots = ranked.groupBy("band").agg(F.max(F.struct("d", "lo")).alias("p")).select("band", F.col("p.lo").alias("a"))
+    pairs = cut_lineage(shared.select("band", "lo").join(pivots, "band").where("lo <> a").select("a", F.col("lo").alias("b")).distinct())
     first = cut_lineage(checked(docs, reps, pairs, limit))
     ids = reps.select(F.col("node").alias("id"))
     roots = connected_components(first, ids).select(F.col("id").alias("node"), F.col("component").alias("root"))
-    more = cut_lineage(_second_pairs(shared, reps, roots, bands * rows).join(pairs, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        second = checked(docs, reps, more, limit)
+    second = cut_lineage(_second_links(docs, shared, reps, roots, bands, rows, limit))
+    if not second.isEmpty():
         roots = connected_components(first.unionByName(second), ids).select(F.col("id").alias("node"), F.col("component").alias("root"))
     named = reps.select("node", "doc_id", "n_copies").join(roots, "node")
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("class_id"))
