@@ -180,11 +180,11 @@ def checked(docs: DataFrame, reps: DataFrame, pairs: DataFrame, limit: float = L
     return joined.mapInArrow(run, "src binary, dst binary")
 
 
-def _blocks(rows: DataFrame, name: str) -> DataFrame:
-    """Rows of a band gathered into blocks of about BLOCK_NODES."""
+def _blocks(rows: DataFrame, known: DataFrame, name: str) -> DataFrame:
+    """Rows (band, pos, lo, r) of a band gathered into blocks of about BLOCK_NODES, with what is known of the nodes."""
     sizes = rows.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_NODES)).alias("k"))
-    dealt = rows.join(sizes, "band").withColumn("c", F.pmod(F.xxhash64("lo"), F.col("k")))
-    return dealt.groupBy("band", "pos", "c").agg(F.collect_list(F.struct("lo", "node", "r", "sig", "z")).alias(name)).drop("c")
+    dealt = rows.join(sizes, "band").select("band", "pos", "lo", "r", F.pmod(F.xxhash64("lo"), F.col("k")).alias("c"))
+    return dealt.join(known, "lo").groupBy("band", "pos", "c").agg(F.collect_list(F.struct("lo", "node", "r", "sig", "z")).alias(name)).drop("c")
 
 
 def _second_links(docs: DataFrame, shared: DataFrame, reps: DataFrame, roots: DataFrame, bands: int, rows: int, limit: float) -> DataFrame:
@@ -200,9 +200,8 @@ def _second_links(docs: DataFrame, shared: DataFrame, reps: DataFrame, roots: Da
                .agg(F.max(F.struct("n", "r")).alias("top")).select("band", F.col("top.r").alias("top")))
     texts = _texts(docs, reps, rest.select("lo"))
     known = texts.join(reps.select("node", "sig"), "node").select("lo", "node", "sig", "z")
-    signed = cut_lineage(rest.join(known, "lo").select("band", "pos", "lo", "node", "r", "sig", "z"))
-    outside = signed.join(largest, "band").where("r <> top").select(signed.columns)
-    met = _blocks(signed, "x").join(_blocks(outside, "y").drop("pos"), "band").select("pos", "x", "y")
+    outside = rest.join(largest, "band").where("r <> top").select(rest.columns)
+    met = _blocks(rest, known, "x").join(_blocks(outside, known, "y").drop("pos"), "band").select("pos", "x", "y")
     registers, least = bands * rows, int(np.ceil(LOWEST_AGREEMENT * bands * rows))
 
     def link(batches):
