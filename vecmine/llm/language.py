@@ -201,18 +201,18 @@ def fit(train: DataFrame, buckets: int = BUCKETS, sample: int = SAMPLE, centroid
         low = np.full(len(STEPS) + 1, np.nan)
         for s in np.unique(step):
             low[s] = cos[step == s].min()
-        # A step without texts of its own takes the next lower one's limit; the lowest none at all.
-        for s in range(len(low)):
-            low[s] = (low[s - 1] if s else 0.0) if np.isnan(low[s]) else low[s]
-        floors = reject * low
-        return pd.DataFrame({"lang": pdf.lang.iloc[0], "c": [r.astype(np.float32).tobytes() for r in c], "floors": [floors.tolist()] * len(c)})
+        return pd.DataFrame({"lang": pdf.lang.iloc[0], "c": [r.astype(np.float32).tobytes() for r in c], "floors": [low.tolist()] * len(c)})
 
     learned = (picked.select("text", "lang").mapInArrow(to_vectors, "lang string, v binary, m long")
                .groupBy("lang").applyInPandas(learn, "lang string, c binary, floors array<double>").collect())
     learned.sort(key=lambda r: (r.lang, bytes(r.c)))
-    floors = np.array([r.floors for r in learned]).reshape(-1, len(STEPS) + 1)
+    # The least of all languages; a step without texts takes the next lower one's limit, the lowest none at all.
+    low = np.array([[np.inf if f is None or np.isnan(f) else f for f in r.floors] for r in learned]).reshape(-1, len(STEPS) + 1)
+    floors = low.min(0) if len(low) else np.full(len(STEPS) + 1, np.inf)
+    for s in range(len(floors)):
+        floors[s] = (floors[s - 1] if s else 0.0) if np.isinf(floors[s]) else floors[s]
     return Model(idf, [r.lang for r in learned], np.array([np.frombuffer(r.c, np.float32) for r in learned]).reshape(-1, buckets),
-                 floors.min(0) if len(floors) else np.zeros(len(STEPS) + 1))
+                 reject * floors)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

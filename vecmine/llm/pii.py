@@ -29,7 +29,7 @@ MOST_COMBINATIONS = 50_000
 CERTAIN = 0.9
 ROUNDS = 12
 # Added to the fitted skip weight of equal labels: repeats of a token that a pattern has found once follow it.
-AGREEMENT = 4.0
+AGREEMENT = 8.0
 SCHEMA = ("doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
 NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 

@@ -132,10 +132,10 @@ def log_ratios(counts: DataFrame) -> DataFrame:
             out = F.when(kind == k, total[f"{name}{k}"]).otherwise(out)
         return out
 
-    shared = (F.col("n0") + F.col("n1") + 1) / (of("N0") + of("N1") + of("W"))
-    p = [(F.greatest(F.col(f"n{c}") - 1, F.lit(0)) + of(f"T{c}") * shared) / of(f"N{c}") for c in (0, 1)]
+    shared = F.try_divide(F.col("n0") + F.col("n1") + 1, of("N0") + of("N1") + of("W"))
+    p = [F.try_divide(F.greatest(F.col(f"n{c}") - 1, F.lit(0)) + of(f"T{c}") * shared, of(f"N{c}")) for c in (0, 1)]
     # What a kind's backoff shares say by themselves is no evidence.
-    base = F.log(of("T1") / of("N1")) - F.log(of("T0") / of("N0"))
+    base = F.log(F.try_divide(of("T1"), of("N1"))) - F.log(F.try_divide(of("T0"), of("N0")))
     listed = counts.where(F.greatest("n0", "n1") > 1)
     return listed.select("key", (F.log(p[1]) - F.log(p[0]) - base).alias("r")).where("r IS NOT NULL AND NOT isnan(r)")
 
