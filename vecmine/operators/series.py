@@ -129,25 +129,6 @@ def _fast(a: np.ndarray, b: np.ndarray, cost, radius: int):
     return np.minimum.accumulate(lo[::-1])[::-1], np.maximum.accumulate(hi)
 
 
-def _greedy_length(a: np.ndarray, b: np.ndarray, total: np.ndarray) -> int:
-    i, j, length = len(a), len(b), 1
-    while i + j > 2:
-        if i == 1:
-            j -= 1
-        elif j == 1:
-            i -= 1
-        else:
-            best = min(total[i - 1, j], total[i, j - 1], total[i - 1, j - 1])
-            if best == total[i - 1, j - 1]:
-                i, j = i - 1, j - 1
-            elif best == total[i - 1, j]:
-                i -= 1
-            else:
-                j -= 1
-        length += 1
-    return length
-
-
 def warp_pairs(pairs: DataFrame, method: str = "full", radius: int = 1) -> DataFrame:
     """(key_a, key_b, distance, path) for rows (key_a, a, key_b, b): `full`, `band`, `fast` or `similarity`.
 
@@ -165,8 +146,7 @@ def warp_pairs(pairs: DataFrame, method: str = "full", radius: int = 1) -> DataF
                 absolute = lambda u, v: np.abs(u - v)
                 if method == "similarity":
                     a, b = a[~np.isnan(a)], b[~np.isnan(b)]
-                    dist, _, total = _warp(a, b, lambda u, v: (u - v) ** 2, *_full(len(a), len(b)))
-                    length = _greedy_length(a, b, total)
+                    dist, length, _ = _warp(a, b, lambda u, v: (u - v) ** 2, *_full(len(a), len(b)))
                     z = math.sqrt(dist) / length
                     dist = 1 - z / (1 + z)
                 else:
