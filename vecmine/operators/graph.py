@@ -5,34 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, narrowed, release_unused
 
 
 def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(id, component = smallest id reachable) by alternating large-star and small-star rounds.
+    """(id, component = smallest id reachable) by alternating large-star and small-star rounds, until only stars are left.
 
     `edges` is (src, dst), `nodes` is (id). Each round keeps at most one edge per old edge and node; groups are only
     ever reduced to a minimum, so a hub costs no more than its edges.
     """
+    spark = edges.sparkSession
     state = cut_lineage(edges.where("src <> dst").select(
         F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
-    before = None
     while True:
+        rows = state.count()
+        state = narrowed(state, rows)
+        # A star forest: no node above has two below it, and none is both above and below another.
+        roles = F.explode(F.array(F.struct(F.col("u").alias("w"), F.lit(1).alias("up"), F.lit(0).alias("down")),
+                                  F.struct(F.col("v").alias("w"), F.lit(0).alias("up"), F.lit(1).alias("down"))))
+        seen = state.select(roles.alias("r")).select("r.*").groupBy("w").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        if not rows or seen.where("up > 1 OR (up > 0 AND down > 0)").isEmpty():
+            break
         # Large star: every neighbour above u is linked to the smallest node around u.
-        both = state.select("u", "v").unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        ends = F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))))
+        both = state.select(ends.alias("e")).select("e.*")
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = cut_lineage(large.where("u <> v").distinct())
+        large = narrowed(cut_lineage(large.where("u <> v")), rows)
         # Small star: u and its neighbours below are linked to the smallest of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         down = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         state = cut_lineage(down.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        mark = state.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if before == (mark["n"], mark["h"]):
-            break
-        before = (mark["n"], mark["h"])
-    roots = state.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "id")
-    return nodes.select("id").join(roots, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+        del both, low, large, down, seen
+        release_unused(spark)
+    stars = state.select(F.col("u").alias("id"), F.col("v").alias("component"))
+    return nodes.select("id").join(stars, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 # ---- Markov clustering ---------------------------------------------------------------------------

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 
@@ -37,6 +38,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release_unused(spark: SparkSession) -> None:
+    """Let go of shuffle files that no live DataFrame needs any more. Spark deletes them when the driver's JVM collects
+    their handles, which a driver with little to do would put off while the executors' disks fill up."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def narrowed(df: DataFrame, rows: int, most: int = 100_000) -> DataFrame:
+    """A materialised `df` of `rows` small rows in no more partitions than they are worth: few rows in many partitions
+    would make every following exchange write a file per partition."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // most)))
+
+
 def collect_bounded(df: DataFrame, row_bytes: int) -> list | None:
     """Rows of `df` when they fit the broadcast limit, else None. Never pulls more than the limit + 1 row."""
     most = max(1, broadcast_limit(df.sparkSession) // max(1, row_bytes))
