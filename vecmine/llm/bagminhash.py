@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from ..session import cut_lineage
+from ..session import cut_lineage, release_unused
 from .base import GOLD, WordHashes, flat, mix, shingles, text_slices, texts_of, words_of
 
 SHINGLE = 5
@@ -254,12 +254,23 @@ def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, limit: float
     ranked = shared.join(degree, "lo").select("band", "lo", "d")
     pivots = ranked.groupBy("band").agg(F.max(F.struct("d", "lo")).alias("p")).select("band", F.col("p.lo").alias("a"))
     pairs = cut_lineage(shared.select("band", "lo").join(pivots, "band").where("lo <> a").select("a", F.col("lo").alias("b")).distinct())
+    del listed, sizes, degree, ranked, pivots
+    release_unused(docs.sparkSession)
     first = cut_lineage(checked(docs, reps, pairs, limit))
+    release_unused(docs.sparkSession)
     ids = reps.select(F.col("node").alias("id"))
     roots = connected_components(first, ids).select(F.col("id").alias("node"), F.col("component").alias("root"))
+    # Both the search for further links and its stages read the components, so these are worked out once.
+    roots = cut_lineage(roots)
+    release_unused(docs.sparkSession)
     second = cut_lineage(_second_links(docs, shared, reps, roots, bands, rows, limit))
+    release_unused(docs.sparkSession)
     if not second.isEmpty():
-        roots = connected_components(first.unionByName(second), ids).select(F.col("id").alias("node"), F.col("component").alias("root"))
+        # The links found join whole components, so only these are nodes now.
+        of = {c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in ("src", "dst")}
+        between = second.join(of["src"], "src").join(of["dst"], "dst").select(F.col("src_root").alias("src"), F.col("dst_root").alias("dst"))
+        merged = connected_components(between, roots.select(F.col("root").alias("id")).distinct())
+        roots = roots.join(merged.withColumnRenamed("id", "root"), "root").select("node", F.col("component").alias("root"))
     named = reps.select("node", "doc_id", "n_copies").join(roots, "node")
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     by_node = named.select("node", "root", "n_copies").join(smallest, "root")
