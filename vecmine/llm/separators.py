@@ -11,8 +11,8 @@ Empty documents (two separators in a row) count 0 tokens. Tokens after a file's
 (`ended` false). Empty files and an empty folder give no rows. A file whose size is no multiple of the id width is an error.
 
 `write_files` makes such files of (doc_id, text): the tasks' ids in files of at most FILE_BYTES, whole documents each, and a
-table (file, ordinal, doc_id) of what was put where. Null and empty texts are documents of 0 tokens. Files of task attempts that
-did not count are never read, as only the files that the table names are.
+table (file, ordinal, doc_id) of what was put where. Null and empty texts are documents of 0 tokens. A file gets its final name when it is
+whole; files of task attempts that did not count may be searched, but the table does not name them, so none of their counts is returned.
 """
 
 from __future__ import annotations
@@ -49,8 +49,9 @@ def write_files(docs: DataFrame, folder: str, json_path: str, ranks_path: str, p
 
         def flush():
             name = f"{uuid.uuid4().hex}.bin"
-            with store.open_output_stream(f"{root}/tokens/{name}") as f:
+            with store.open_output_stream(f"{root}/tokens/{name}.part") as f:
                 f.write(b"".join(held))
+            store.move(f"{root}/tokens/{name}.part", f"{root}/tokens/{name}")
             return pa.record_batch([pa.array([name] * len(ids), pa.string()), pa.array(range(len(ids)), pa.int64()), pa.array(ids, pa.int64())],
                                    names=["file", "ordinal", "doc_id"])
 
@@ -132,7 +133,6 @@ def document_counts(docs: DataFrame, json_path: str, ranks_path: str, pattern: s
     placed = write_files(docs, folder, json_path, ranks_path, pattern, eod, dtype, most)
     if placed.isEmpty():
         return placed.selectExpr("doc_id", "file", "ordinal", "0L AS start", "0L AS n_tokens")
-    files = read_files(spark, folder)
-    known = placed.select("file").distinct()
-    counts = count_tokens(files.join(known, "file", "left_semi"), eod, dtype, block_bytes)
+    # Contents go straight from the scan into the search and are never exchanged; this join leaves out files the table does not name.
+    counts = count_tokens(read_files(spark, folder), eod, dtype, block_bytes)
     return placed.join(counts, ["file", "ordinal"]).select("doc_id", "file", "ordinal", "start", "n_tokens")
