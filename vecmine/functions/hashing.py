@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,11 @@ def hash_uniform(id_col: Column, seed) -> Column:
     return F.conv(head, 16, 10).cast("bigint") / F.lit(SCALE)
 
 
+def hash_uniform_of(key, seed) -> float:
+    """The same draw for one key on the driver."""
+    return int(hashlib.md5(f"{key}|{seed}".encode()).hexdigest()[:HEX_DIGITS], 16) / SCALE
+
+
 def row_key(*cols: Column) -> Column:
     """60-bit integer key from several columns (for tables without a usable key)."""
     return F.conv(F.substring(F.md5(F.concat_ws("|", *cols)), 1, 15), 16, 10).cast("bigint")

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, OneVsRest, RandomForestClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import IndexToString, StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -317,39 +319,71 @@ def random_forest(train: DataFrame, test: DataFrame, trees: int = 10, depth: int
                            RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed))
 
 
-def _svm(c: float, iterations: int):
-    return OneVsRest(classifier=LinearSVC(regParam=1.0 / c, maxIter=iterations))
+def _svm(c: float, rows: float, iterations: int, classes: int):
+    """Soft-margin model for cost c. Spark weighs the mean loss, so its regularisation is 1 / (c * rows); two classes need
+    one model only."""
+    one = LinearSVC(regParam=1.0 / (c * max(rows, 1)), maxIter=iterations)
+    return one if classes == 2 else OneVsRest(classifier=one)
 
 
-def linear_svm(train: DataFrame, test: DataFrame, c: float = 100.0, iterations: int = 20) -> DataFrame:
-    return _ml_fit_predict(train.drop("prediction"), test.drop("prediction"), _svm(c, iterations))
-
-
-def svm_weights(points: DataFrame, c: float = 100.0, iterations: int = 20) -> np.ndarray:
-    """Sum of absolute weights per attribute over the one-versus-rest models."""
+def _indexed(points: DataFrame) -> tuple[DataFrame, int]:
+    """Rows with `vec` and the class number `y`, and the number of classes."""
     data = _ml_input(points.drop("prediction"))
     index = StringIndexer(inputCol="label", outputCol="y", stringOrderType="alphabetAsc").fit(data)
-    model = _svm(c, iterations).setFeaturesCol("vec").setLabelCol("y").fit(index.transform(data))
-    return sum(np.abs(m.coefficients.toArray()) for m in model.models)
+    return index.transform(data), len(index.labels)
 
 
-def svm_grid_search(points: DataFrame, lower: int = -5, upper: int = 5, folds: int = 4, iterations: int = 10,
-                    metric: str = "f1", seed: int = 1) -> DataFrame:
-    """(c, score, best): cross-validated score for C = 2^lower .. 2^(upper-1)."""
-    data = _ml_input(points.drop("prediction"))
-    index = StringIndexer(inputCol="label", outputCol="y", stringOrderType="alphabetAsc").fit(data)
-    svc = LinearSVC(maxIter=iterations)
-    ovr = OneVsRest(classifier=svc, featuresCol="vec", labelCol="y")
-    cs = [2.0 ** e for e in range(lower, upper)]
-    grid = ParamGridBuilder().addGrid(ovr.classifier, [LinearSVC(maxIter=iterations, regParam=1.0 / c) for c in cs]).build()
-    cv = CrossValidator(estimator=ovr, estimatorParamMaps=grid, numFolds=folds, seed=seed, parallelism=4,
-                        evaluator=MulticlassClassificationEvaluator(labelCol="y", metricName=metric))
-    scores = cv.fit(index.transform(data).cache()).avgMetrics
+def linear_svm(train: DataFrame, test: DataFrame, c: float = 1.0, iterations: int = 100) -> DataFrame:
+    rows, classes = train.agg(F.count(F.lit(1)), F.countDistinct("label")).first()
+    return _ml_fit_predict(train.drop("prediction"), test.drop("prediction"), _svm(c, rows, iterations, classes))
+
+
+def svm_weights(points: DataFrame, c: float = 1.0, iterations: int = 100) -> np.ndarray:
+    """Sum of absolute weights per attribute over the models."""
+    data, classes = _indexed(points)
+    model = _svm(c, points.count(), iterations, classes).setFeaturesCol("vec").setLabelCol("y").fit(data)
+    return sum(np.abs(m.coefficients.toArray()) for m in getattr(model, "models", [model]))
+
+
+class SumOfF(Evaluator):
+    """Sum over the classes of the F-measure."""
+
+    def _evaluate(self, dataset):
+        own, said, right = Counter(), Counter(), Counter()
+        for r in dataset.groupBy("y", "prediction").count().collect():  # at most classes x classes rows
+            own[r["y"]] += r["count"]
+            said[r["prediction"]] += r["count"]
+            right[r["y"]] += r["count"] * (r["y"] == r["prediction"])
+        return sum(2.0 * right[c] / (own[c] + said[c]) for c in own)
+
+    def isLargerBetter(self):
+        return True
+
+
+def svm_grid_search(points: DataFrame, lower: int = -5, upper: int = 5, folds: int = 4, iterations: int = 100, seed: int = 1) -> DataFrame:
+    """(c, score, best): cross-validated sum of the classes' F-measures for C = 2^lower .. 2^(upper-1)."""
+    data, classes = _indexed(points)
+    data = data.select("vec", "y").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        cs = [2.0 ** e for e in range(lower, upper)]
+        models = [_svm(c, data.count() * (folds - 1) / folds, iterations, classes) for c in cs]
+        ask = models[0].setFeaturesCol("vec").setLabelCol("y")
+        grid = [{ask.regParam: m.getRegParam()} if classes == 2 else {ask.classifier: m.getClassifier()} for m in models]
+        cv = CrossValidator(estimator=ask, estimatorParamMaps=grid, numFolds=folds, seed=seed, parallelism=4, evaluator=SumOfF())
+        scores = cv.fit(data).avgMetrics
+    finally:
+        data.unpersist()
     best = int(np.argmax(scores))
     return points.sparkSession.createDataFrame(
         [(c, float(s), i == best) for i, (c, s) in enumerate(zip(cs, scores))], "c double, score double, best boolean")
 
 
+def self_tuned_svm(train: DataFrame, test: DataFrame, iterations: int = 100, **grid) -> DataFrame:
+    """The linear model with the best C of the grid, fitted to all of `train`."""
+    best = svm_grid_search(train, iterations=iterations, **grid).where("best").first()["c"]
+    return linear_svm(train, test, best, iterations)
+
+
 def som_classify(train: DataFrame, test: DataFrame, **options) -> DataFrame:
     """Majority class of the map cell a point falls into, from the training points of that cell."""
     weights = som_fit(train, **options)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import distances as D
 from ..functions.distances import MEASURES, block_distance
-from ..functions.hashing import hash_uniform
+from ..functions.hashing import hash_uniform, hash_uniform_of
 from ..session import broadcast_limit, cut_lineage
 from .centroids import Representatives, assign_nearest, centroids, dims_of, nearest_index
 from .filters import MidrangeScaler
@@ -71,9 +71,10 @@ def cluster_sums(points: DataFrame, centres: np.ndarray, metric: str) -> tuple[n
     return n, s
 
 
-def _random_centres(low: np.ndarray, high: np.ndarray, k: int, seed) -> np.ndarray:
-    rng = np.random.default_rng(seed)
-    return low + rng.random((k, len(low))) * (high - low)
+def _random_centres(low: np.ndarray, high: np.ndarray, which, seed: int, it: int) -> np.ndarray:
+    """Positions in the box of the centres numbered `which`, the same ones as `_kmeans_by_tiles` draws."""
+    u = np.array([[hash_uniform_of(f"{c}-{a}", f"{seed}-{it}") for a in range(len(low))] for c in which])
+    return low + u.reshape(-1, len(low)) * (high - low)
 
 
 def _fits(points: DataFrame, k: int, d: int) -> bool:
@@ -95,14 +96,15 @@ def kmeans(points: DataFrame, k: int = 4, iterations: int = 100, metric: str = "
         d = len(low)
         if not _fits(points, k, d):
             return _kmeans_by_tiles(points, k, iterations, metric, seed, tolerance, low, high)
-        centres = _random_centres(low, high, k, [seed, 0])
+        centres = _random_centres(low, high, range(k), seed, 0)
         for it in range(1, iterations + 1):
             n, s = cluster_sums(held, centres, metric)
-            fresh = _random_centres(low, high, k, [seed, it])
-            moved = np.where(n[:, None] > 0, s / np.maximum(n, 1)[:, None], fresh)
+            moved = s / np.maximum(n, 1)[:, None]
+            empty = np.flatnonzero(n == 0)
+            moved[empty] = _random_centres(low, high, empty, seed, it)
             shift = np.sqrt(((moved - centres) ** 2).sum(axis=1)).max()
             centres = moved
-            if shift <= tolerance and (n > 0).all():
+            if shift <= tolerance:
                 break
         return assign_nearest(points, Representatives(_frame(points.sparkSession, centres), d), metric).drop("distance")
     finally:
@@ -171,12 +173,15 @@ def kmedoids_step(points: DataFrame, medoids: DataFrame, metric: str = "euclidea
 
 
 def kmedoids(points: DataFrame, k: int = 4, iterations: int = 100, metric: str = "euclidean", seed: int = 1) -> DataFrame:
-    """Points with `prediction`, from k random data points as first medoids; stops when the medoids stay."""
+    """Points with `prediction`, from k random data points as first medoids; stops when the medoids stay.
+
+    Medoids lie in k different places as long as there are so many: one that lost its points, or met another, is drawn anew.
+    """
     start = points.select("id", "features", hash_uniform(F.col("id"), f"{seed}:medoid").alias("u")).orderBy("u", "id").limit(k)
     medoids = start.select((F.row_number().over(_by_draw()) - 1).cast("bigint").alias("id"), "features", F.col("id").alias("point"))
-    medoids = cut_lineage(medoids)
-    for _ in range(iterations):
-        moved = cut_lineage(kmedoids_step(points, medoids, metric))
+    medoids = _apart(points, medoids, k, f"{seed}:medoid:0")
+    for it in range(1, iterations + 1):
+        moved = _apart(points, kmedoids_step(points, medoids, metric), k, f"{seed}:medoid:{it}")
         same = moved.join(medoids.select("id", F.col("point").alias("old")), "id").where("point = old").count()
         kept = moved.count()
         medoids = moved
@@ -186,6 +191,22 @@ def kmedoids(points: DataFrame, k: int = 4, iterations: int = 100, metric: str =
     return assign_nearest(points, reps, metric).drop("distance")
 
 
+def _apart(points: DataFrame, medoids: DataFrame, k: int, draw: str) -> DataFrame:
+    """(id, features, point): the medoids, those in one place once, filled up to k with random data points of other places."""
+    kept = cut_lineage(medoids.groupBy("features").agg(F.min("id").alias("id"), F.min_by("point", "id").alias("point"))
+                       .select("id", "features", "point"))
+    missing = k - kept.count()
+    if not missing:
+        return kept
+    places = points.select("id", "features").join(kept.select("features"), "features", "left_anti").groupBy("features").agg(
+        F.min("id").alias("id"))
+    drawn = places.withColumn("u", hash_uniform(F.col("id"), draw)).orderBy("u", "id").limit(missing)
+    drawn = drawn.select(F.row_number().over(_by_draw()).alias("r"), "features", F.col("id").alias("point"))
+    names = points.sparkSession.range(k).join(kept.select("id"), "id", "left_anti").withColumn("u", F.lit(0.0))
+    names = names.select(F.row_number().over(_by_draw()).alias("r"), "id")
+    return cut_lineage(kept.unionByName(drawn.join(names, "r").select("id", "features", "point")))
+
+
 def _by_draw():
     from pyspark.sql import Window
 

@@ -150,7 +150,7 @@ def select_backward(points: DataFrame, n: int, metric: str = "pearson") -> DataF
     return _by_relation(points, n, metric)
 
 
-def rank_svm_rfe(points: DataFrame, remove: float = 0.2, c: float = 100.0, iterations: int = 10) -> DataFrame:
+def rank_svm_rfe(points: DataFrame, remove: float = 0.2, c: float = 1.0, iterations: int = 100) -> DataFrame:
     """(attr, rank): refit a linear SVM, drop the given share of the lightest attributes, repeat."""
     left = list(range(len(points.select("features").first()[0])))
     order: list[int] = []  # worst first

@@ -20,7 +20,7 @@ from .pairs import Block, batch_of, chunks, pack, plan_tiles, shape_of, tile_red
 
 # Which score is better, per index ("larger", "smaller" or "smaller magnitude").
 DIRECTION = {
-    "sse": "smaller", "avg_pairwise_sim": "smaller", "centroid_sim": "smaller", "trace_scatter": "smaller",
+    "sse": "smaller", "avg_pairwise_sim": "larger", "centroid_sim": "larger", "trace_scatter": "smaller",
     "hybrid_centroid": "larger", "hybrid_pairwise": "larger", "minmaxcut": "smaller", "c_index": "smaller",
     "gamma": "larger", "gplus": "smaller", "tau": "larger", "wb": "smaller", "point_biserial": "larger",
     "aic": "smaller magnitude", "bic": "larger",

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -90,7 +91,7 @@ def pps_probabilities(points: DataFrame, t: int, delta: float = 0.1, seeds=(1,),
     prof = prof or profile(points)
     s0, rows = initial_sample(points, prof, initial_sample_size(prof.k, delta), seeds)
     if rows is None:
-        return _pps_by_join(points, prof.sizes, s0, t, seeds, metric, only_selected)
+        return _pps_by_join(points, prof.sizes, s0, t, seeds, metric, only_selected, **params)
 
     n_of = prof.n_of
     groups: dict[tuple[int, int], list] = {}
@@ -150,9 +151,9 @@ def pps_probabilities(points: DataFrame, t: int, delta: float = 0.1, seeds=(1,),
     return points.withColumn("u", _draws(seeds, ":pps")).mapInArrow(probabilities, _PPS_DDL)
 
 
-def _pps_by_join(points, sizes, s0, t, seeds, metric, only_selected) -> DataFrame:
+def _pps_by_join(points, sizes, s0, t, seeds, metric, only_selected, **params) -> DataFrame:
     """The same by equi-joins on the cluster, for more clusters than can be shipped."""
-    dist = MEASURES[metric].column
+    dist = partial(MEASURES[metric].column, **params)
     seed_rows = s0.select("run", "prediction", F.col("id").alias("sid"), F.col("features").alias("sf"))
     near = points.join(seed_rows, "prediction")
     totals = near.groupBy("run", "prediction", "sid").agg(

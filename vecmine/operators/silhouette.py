@@ -31,6 +31,12 @@ def _checked(prof: Profile) -> Profile:
     return prof
 
 
+def _refuse_one_cluster(points: DataFrame) -> None:
+    low, high = points.agg(F.min("prediction"), F.max("prediction")).first()
+    if low == high:
+        raise ValueError("a silhouette needs at least two clusters")
+
+
 def _finish(sums: DataFrame, sizes: DataFrame, k: int, singleton: str, runs: bool = False) -> DataFrame:
     """From (id, prediction, run, other, total) to (id, prediction[, run], a, b, s)."""
     if singleton not in ("one", "zero"):
@@ -264,6 +270,7 @@ def _nearest_foreign(points: DataFrame, reps: DataFrame, metric: str) -> DataFra
 
 def simplified_scores(points: DataFrame, metric: str = "euclidean") -> DataFrame:
     """a and b are distances to the nearest-to-centroid members of the own and the closest other cluster."""
+    _refuse_one_cluster(points)
     seen = _against_representatives(points, representatives(points, metric), metric)
     return seen.select("id", "prediction", F.col("own").alias("a"), F.col("other").alias("b"),
                        _score(F.col("own"), F.col("other")).alias("s"))
@@ -271,6 +278,7 @@ def simplified_scores(points: DataFrame, metric: str = "euclidean") -> DataFrame
 
 def simplified_centroid_scores(points: DataFrame) -> DataFrame:
     """Centroid variant: squared distances over n-1 (own) and n (each other cluster)."""
+    _refuse_one_cluster(points)
     stats = centroids(points).select(
         F.col("prediction").alias("id"), F.col("centroid").alias("features"), "n",
         (1.0 / F.col("n")).alias("scale"), F.lit(0.0).alias("shift"))
@@ -328,6 +336,7 @@ def _by_centroid_tiles(points: DataFrame, stats: DataFrame, own_value) -> DataFr
 
 def frahling_sohler_scores(points: DataFrame, metric: str = "euclidean") -> DataFrame:
     """Exact sums, but only to the own cluster and to the one whose centroid is the nearest other."""
+    _refuse_one_cluster(points)
     cents = centroids(points).select(F.col("prediction").alias("id"), F.col("centroid").alias("features"))
     seen = _against_representatives(points, cents, metric).select(
         "id", "features", "prediction", F.col("other_id").alias("neighbour"))
@@ -361,6 +370,7 @@ def frahling_sohler_scores(points: DataFrame, metric: str = "euclidean") -> Data
 def sq_euclidean_scores(points: DataFrame, singleton: str = "zero") -> DataFrame:
     """Squared-Euclidean silhouette in closed form, linear in the points: the mean squared distance from x to a
     cluster is |x - centroid|^2 plus the cluster's mean squared spread, so one aggregate per cluster is enough."""
+    _refuse_one_cluster(points)
     vec = array_to_vector("features")
     stats = points.groupBy("prediction").agg(
         F.count(F.lit(1)).alias("n"), Summarizer.mean(vec).alias("m"),

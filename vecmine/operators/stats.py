@@ -31,21 +31,29 @@ def percentiles(points: DataFrame, ps: list[float], small: int = 200_000, bins:
     cells = long_form(points)
     bounds = _bounds(cells)
     spots = []
-    for attr, (_, _, n) in bounds.items():
+    for attr, (*_, n) in bounds.items():
         for p in ps:
             pos = n * p / 100.0 + p / 100.0
             k = int(max(1, min(math.floor(pos), n)))
             spots.append((attr, p, k, min(k + 1, n), 0.0 if pos < 1 or pos >= n else pos - k))
     found = order_statistics(cells, bounds, {(a, k) for a, _, k1, k2, _ in spots for k in (k1, k2)}, small, bins)
-    rows = [(a, float(p), found[a, k] + f * (found[a, k2] - found[a, k])) for a, p, k, k2, f in spots]
+    rows = []
+    for a, p, k, k2, f in spots:
+        x, y = found[a, k], found[a, k2]
+        rows.append((a, float(p), x if f == 0 or x == y else x + f * (y - x)))
     return points.sparkSession.createDataFrame(pa.table({
         "attr": pa.array([x[0] for x in rows], pa.int32()), "p": [x[1] for x in rows], "value": [x[2] for x in rows]}))
 
 
-def _bounds(cells: DataFrame) -> dict[int, tuple[float, float, int]]:
-    """{attr: (min, max, count)}; as many entries as a point has attributes."""
-    got = cells.groupBy("attr").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count(F.lit(1)).alias("m"))
-    return {r["attr"]: (r["lo"], r["hi"], r["m"]) for r in got.collect()}
+def _bounds(cells: DataFrame) -> dict[int, tuple]:
+    """{attr: (min and max of the finite cells, their count, cells of -inf, cells of +inf, all cells)}; as many entries as a
+    point has attributes."""
+    v, inf = F.col("value"), F.lit(math.inf)
+    finite = F.when(F.abs(v) < inf, v)
+    got = cells.groupBy("attr").agg(
+        F.min(finite).alias("lo"), F.max(finite).alias("hi"), F.count(finite).alias("m"), F.count(F.when(v == -inf, 1)).alias("low"),
+        F.count(F.when(v == inf, 1)).alias("high"), F.count("value").alias("n"))
+    return {r["attr"]: (r["lo"], r["hi"], r["m"], r["low"], r["high"], r["n"]) for r in got.collect()}
 
 
 _RANGE = pa.schema([("attr", pa.int32()), ("rng", pa.int32()), ("lo", pa.float64()), ("hi", pa.float64()), ("before", pa.int64())])
@@ -56,18 +64,21 @@ def order_statistics(cells: DataFrame, bounds: dict, need: set[tuple[int, int]],
     """{(attr, k): k-th smallest value} of the (attr, value) cells.
 
     Histograms narrow each rank down to a range with at most `small` values (or one distinct value) before any
-    sorting, so no task ever sorts a whole attribute. NaN sorts last, as in Spark.
+    sorting, so no task ever sorts a whole attribute. Infinite and NaN cells (last, as in Spark) are placed by their counts.
     """
     spark = cells.sparkSession
     # Open ranges: (attr, lo, hi, values inside, values below) -> ranks looked for.
     open_: dict[tuple, set[int]] = {}
-    for attr, k in need:
-        lo, hi, m = bounds[attr]
-        open_.setdefault((attr, lo, hi, m, 0), set()).add(k)
     found: dict[tuple[int, int], float] = {}
+    for attr, k in need:
+        lo, hi, m, low, high, _ = bounds[attr]
+        if low < k <= low + m:
+            open_.setdefault((attr, lo, hi, m, low), set()).add(k)
+        else:
+            found[attr, k] = -math.inf if k <= low else math.inf if k <= low + m + high else math.nan
 
     def settle():
-        for key in [x for x in open_ if x[1] == x[2] or (math.isnan(x[1]) and math.isnan(x[2]))]:
+        for key in [x for x in open_ if x[1] == x[2]]:
             found.update({(key[0], k): key[1] for k in open_.pop(key)})
 
     def inside(keys):
@@ -77,8 +88,9 @@ def order_statistics(cells: DataFrame, bounds: dict, need: set[tuple[int, int]],
 
     settle()
     while wide := [x for x in open_ if x[3] > small]:
-        share = F.try_divide(F.col("value") - F.col("lo"), F.col("hi") - F.col("lo"))
-        slot = F.when(F.isnan(share) | share.isNull(), F.lit(bins)).otherwise(F.least(F.floor(share * bins), F.lit(bins - 1)))
+        # Halves, since the difference of two finite values can be infinite.
+        share = F.try_divide(F.col("value") / 2 - F.col("lo") / 2, F.col("hi") / 2 - F.col("lo") / 2)
+        slot = F.coalesce(F.least(F.floor(share * bins), F.lit(bins - 1)), F.lit(bins))
         hist = inside(wide).groupBy("attr", "rng", "before", slot.cast("int").alias("bin")).agg(
             F.count(F.lit(1)).alias("m"), F.min("value").alias("lo"), F.max("value").alias("hi"))
         w = Window.partitionBy("rng").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
@@ -91,6 +103,8 @@ def order_statistics(cells: DataFrame, bounds: dict, need: set[tuple[int, int]],
             del open_[key]
         for r in hit:  # one row per rank still open
             open_.setdefault((r["attr"], r["lo"], r["hi"], r["m"], r["upto"] - r["m"]), set()).add(r["k"])
+        if stuck := [x[0] for x in wide if x in open_ and x[1] < x[2]]:
+            raise ArithmeticError(f"values of attributes {sorted(set(stuck))} lie too close for a histogram")
         settle()
     if open_:
         keys = list(open_)

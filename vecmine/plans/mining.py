@@ -75,7 +75,7 @@ def _select_k(result, s):
 
 def clusterize(s, d):
     p = retain_attributes(lineitem_points(s, d), [0, 2, 3])
-    return C.kmeans(p, 3, 10).select("id", "prediction")
+    return C.kmeans(p, 3).select("id", "prediction")
 
 
 def knn_votes(s, d):
@@ -132,19 +132,19 @@ QUERIES = {
     "range_join": lambda s, d: rounded(N.range_join(embedding_points(s, d), EPS), "distance"),
     "assign_nearest": assign,
     "box_range": lambda s, d: N.box_range(lineitem_points(s, d), [10, 20000, 0.02, 0.01], [40, 60000, 0.08, 0.06]).select("id", "label"),
-    "kmeans": lambda s, d: C.kmeans(lineitem_points(s, d), 4, 20).groupBy("prediction").agg(F.count(F.lit(1)).alias("n")),
+    "kmeans": lambda s, d: C.kmeans(lineitem_points(s, d), 4).groupBy("prediction").agg(F.count(F.lit(1)).alias("n")),
     "kmeans_step": kmeans_step,
-    "kmedoids": lambda s, d: C.kmedoids(embedding_points(s, d), 4, 10).select("id", "prediction"),
+    "kmedoids": lambda s, d: C.kmedoids(embedding_points(s, d), 4).select("id", "prediction"),
     "kmedoids_step": kmedoids_step,
     "farthest_first": lambda s, d: C.farthest_first(embedding_points(s, d), 4, first=0).select("id", "prediction"),
     "farthest_first_select_k": lambda s, d: _select_k(C.farthest_first_select_k(embedding_points(s, d), 2, 5, first=0), s),
-    "kmeans_select_k": lambda s, d: _select_k(C.kmeans_select_k(embedding_points(s, d), 2, 3, repeats=2, iterations=5), s),
-    "kmeans_best_of": lambda s, d: _select_k(C.kmeans_select_k(embedding_points(s, d), 3, 3, repeats=3, iterations=5), s),
+    "kmeans_select_k": lambda s, d: _select_k(C.kmeans_select_k(embedding_points(s, d), 2, 6, repeats=2), s),
+    "kmeans_best_of": lambda s, d: _select_k(C.kmeans_select_k(embedding_points(s, d), 3, 3, repeats=3), s),
     "dbscan": lambda s, d: C.dbscan(embedding_points(s, d), EPS, MIN_POINTS, normalize=False).select("id", "prediction"),
     "dbscan_core_points": lambda s, d: C.core_points(embedding_points(s, d), EPS, MIN_POINTS),
     "mcl": lambda s, d: G.mcl(mcl_matrix(s, d)),
     "mcl_expand_inflate_step": lambda s, d: rounded(G.expand_inflate(mcl_matrix(s, d)), "w"),
-    "som_batch": lambda s, d: C.som(lineitem_points(s, d), epochs=10).select("id", "prediction"),
+    "som_batch": lambda s, d: C.som(lineitem_points(s, d)).select("id", "prediction"),
     "som_assign": lambda s, d: C.som_assign(embedding_points(s, d), som_weights()).select("id", "prediction"),
     "clusterize": clusterize,
     "clf_zero_r": lambda s, d: K.class_counts(lineitem_points(s, d)),
@@ -159,9 +159,9 @@ QUERIES = {
     "clf_random_forest": _ml(K.random_forest, lineitem_points),
     "bagging_nearest_mean": bagging,
     "oob_error": lambda s, d: rounded(K.out_of_bag_error(lineitem_points(s, d), bags=5), "error"),
-    "clf_som": _ml(lambda a, b: K.som_classify(a, b, epochs=5), lineitem_points),
+    "clf_som": _ml(lambda a, b: K.som_classify(a, b), lineitem_points),
     "clf_linear_svm": _ml(K.linear_svm, status_points),
-    "svm_grid_search": lambda s, d: K.svm_grid_search(status_points(s, d), -1, 1, folds=3, iterations=5),
+    "svm_grid_search": lambda s, d: K.svm_grid_search(status_points(s, d)),
     "cv_nearest_mean": lambda s, d: K.cross_validate_nearest_mean(lineitem_points(s, d), 10),
     "confusion_counts": confusion,
     "classification_measures": lambda s, d: rounded(K.measures(confusion(s, d)).select("label", *MEASURES), *MEASURES),
@@ -173,7 +173,7 @@ QUERIES = {
     "rank_from_score": lambda s, d: E.rank_scores(E.gain_ratio(lineitem_points(s, d))),
     "select_forward": lambda s, d: rounded(E.select_forward(lineitem_points(s, d), 2), "score", digits=9),
     "select_backward": lambda s, d: rounded(E.select_backward(lineitem_points(s, d), 3), "score", digits=9),
-    "rank_svm_rfe": lambda s, d: E.rank_svm_rfe(status_points(s, d), iterations=5),
+    "rank_svm_rfe": lambda s, d: E.rank_svm_rfe(status_points(s, d)),
     "rank_ensemble": lambda s, d: E.rank_ensemble(lineitem_points(s, d)),
 }
 

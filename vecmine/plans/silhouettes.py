@@ -9,6 +9,7 @@ from ..operators import indices as I
 from ..operators import sampling as P
 from ..operators import silhouette as S
 from ..operators.centroids import centroids
+from ..session import cut_lineage
 from ..sources.points import embedding_points, lineitem_points
 from .common import CENT, EMB, EMBL, LI, LIL, SZ, r, rounded, sr, su
 
@@ -71,19 +72,19 @@ def sampling_report(s, d):
 
 
 def silhouette_error_study(s, d):
-    study = S.error_study(coarse(embedding_points(s, d)), t=T_EMB, runs=5)
+    study = S.error_study(coarse(embedding_points(s, d)), t=T_EMB, runs=100)
     return rounded(S.error_summary(study), "max_error", "avg_error", "var_error", "share_correct")
 
 
 def silhouette_method_comparison(s, d):
-    return rounded(S.method_comparison(coarse(embedding_points(s, d)), t=T_EMB, runs=5), "score", "error")
+    return rounded(S.method_comparison(coarse(embedding_points(s, d)), t=T_EMB, runs=100), "score", "error")
 
 
 def silhouette_report(s, d):
     import time
 
     start = time.time()
-    summary = S.summarize(S.simplified_scores(lineitem_points(s, d)))
+    summary = cut_lineage(S.summarize(S.simplified_scores(lineitem_points(s, d))))
     return S.report("simplified", summary, time.time() - start)
 
 
