@@ -138,7 +138,7 @@ QUERIES = {
     "kmedoids_step": kmedoids_step,
     "farthest_first": lambda s, d: C.farthest_first(embedding_points(s, d), 4, first=0).select("id", "prediction"),
     "farthest_first_select_k": lambda s, d: _select_k(C.farthest_first_select_k(embedding_points(s, d), 2, 5, first=0), s),
-    "kmeans_select_k": lambda s, d: _select_k(C.kmeans_select_k(embedding_points(s, d), 2, 6, repeats=2), s),
+    "kmeans_select_k": lambda s, d: _select_k(C.kmeans_select_k(embedding_points(s, d), 2, 3, repeats=2), s),
     "kmeans_best_of": lambda s, d: _select_k(C.kmeans_select_k(embedding_points(s, d), 3, 3, repeats=3), s),
     "dbscan": lambda s, d: C.dbscan(embedding_points(s, d), EPS, MIN_POINTS, normalize=False).select("id", "prediction"),
     "dbscan_core_points": lambda s, d: C.core_points(embedding_points(s, d), EPS, MIN_POINTS),
@@ -161,7 +161,7 @@ QUERIES = {
     "oob_error": lambda s, d: rounded(K.out_of_bag_error(lineitem_points(s, d), bags=5), "error"),
     "clf_som": _ml(lambda a, b: K.som_classify(a, b), lineitem_points),
     "clf_linear_svm": _ml(K.linear_svm, status_points),
-    "svm_grid_search": lambda s, d: K.svm_grid_search(status_points(s, d)),
+    "svm_grid_search": lambda s, d: K.svm_grid_search(status_points(s, d), iterations=5),
     "cv_nearest_mean": lambda s, d: K.cross_validate_nearest_mean(lineitem_points(s, d), 10),
     "confusion_counts": confusion,
     "classification_measures": lambda s, d: rounded(K.measures(confusion(s, d)).select("label", *MEASURES), *MEASURES),
@@ -173,7 +173,7 @@ QUERIES = {
     "rank_from_score": lambda s, d: E.rank_scores(E.gain_ratio(lineitem_points(s, d))),
     "select_forward": lambda s, d: rounded(E.select_forward(lineitem_points(s, d), 2), "score", digits=9),
     "select_backward": lambda s, d: rounded(E.select_backward(lineitem_points(s, d), 3), "score", digits=9),
-    "rank_svm_rfe": lambda s, d: E.rank_svm_rfe(status_points(s, d)),
+    "rank_svm_rfe": lambda s, d: E.rank_svm_rfe(status_points(s, d), iterations=20),
     "rank_ensemble": lambda s, d: E.rank_ensemble(lineitem_points(s, d)),
 }
 
