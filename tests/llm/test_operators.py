@@ -208,6 +208,22 @@ def test_separator_scan(spark):
     assert sorted((str(x.doc_id), x.n_tokens) for x in counts) == sorted((str(d), len(b.encode(t or ""))) for d, t in ODD)
 
 
+def test_separator_inside_a_text(spark):
+    b = ByteBpe(**bpe_files())
+    end = "<|endoftext|>"
+    rows = [(1, "first"), (2, f"one {end} two{end}"), (3, "third text here"), (4, end), (5, f"{end}" + " " * 5000 + f"x {end}"), (6, "last of the file")]
+    got = {x.doc_id: x for x in separators.document_counts(spark.createDataFrame(rows, DOC).coalesce(1), **bpe_files(), eod=50256, block_bytes=64).collect()}
+    assert len({x.file for x in got.values()}) == 1
+    start = 0
+    for d, t in rows:
+        n = len(b.plain.encode(t, add_special_tokens=False).ids)
+        assert b.encode_ordinary(t).tolist() == b.plain.encode(t, add_special_tokens=False).ids
+        assert (got[d].start, got[d].n_tokens) == (start, n)
+        start += n + 1
+    with pytest.raises(Exception, match="id of ordinary text"):
+        separators.document_counts(spark.createDataFrame([(1, "a!")], DOC), **bpe_files(), eod=0)
+
+
 def test_bagminhash_unbiased_and_classes(spark):
     r = random.Random(5)
     gaps = []

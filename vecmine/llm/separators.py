@@ -11,7 +11,8 @@ Empty documents (two separators in a row) count 0 tokens. Tokens after a file's
 (`ended` false). Empty files and an empty folder give no rows. A file whose size is no multiple of the id width is an error.
 
 `write_files` makes such files of (doc_id, text): the tasks' ids in files of at most FILE_BYTES, whole documents each, and a
-table (file, ordinal, doc_id) of what was put where. Null and empty texts are documents of 0 tokens. A file gets its final name when it is
+table (file, ordinal, doc_id) of what was put where. Null and empty texts are documents of 0 tokens. Strings of added tokens
+(<|endoftext|>) are encoded as ordinary text, so no text can hold the separator; an `eod` that ordinary text yields is an error. A file gets its final name when it is
 whole; files of task attempts that did not count may be searched, but the table does not name them, so none of their counts is returned.
 """
 
@@ -57,7 +58,9 @@ def write_files(docs: DataFrame, folder: str, json_path: str, ranks_path: str, p
 
         for part in text_slices(batches):
             for doc, text in zip(part.column("doc_id").to_pylist(), texts_of(part)):
-                tokens = bpe.encode(text)
+                tokens = bpe.encode_ordinary(text)
+                if (tokens == eod).any():
+                    raise ValueError("the end-of-document id is an id of ordinary text")
                 if len(tokens) and int(tokens.max()) > np.iinfo(dtype).max:
                     raise ValueError("ids do not fit the file's width")
                 data = tokens.astype(dtype).tobytes() + close.tobytes()
