@@ -133,6 +133,27 @@ def test_language(spark):
     assert {x.lang_pred for x in language.identify(frame(spark, ODD), empty).collect()} == {"und"}
 
 
+def test_language_sample_counts_distinct_texts(spark):
+    r = random.Random(15)
+    kinds = {"aa": "bakolumi", "bb": "strengphx", "cc": "ñéwyzqua"}
+    def text(k):
+        return " ".join("".join(r.choice(kinds[k]) for _ in range(r.randint(2, 8))) for _ in range(40))
+    distinct = {"aa": [text("aa") for _ in range(6)], "bb": [text("bb") for _ in range(60)], "cc": [text("cc") for _ in range(300)]}
+    few = spark.createDataFrame([(t, k) for k in kinds for t in distinct[k]], "text string, lang string")
+    train = few.withColumn("n", F.expr("CASE lang WHEN 'aa' THEN 2000 WHEN 'bb' THEN 100 ELSE 1 END"))
+    train = train.select("text", "lang", F.explode(F.sequence(F.lit(1), "n"))).select("text", "lang").repartition(4)
+    got = collections.defaultdict(set)
+    for x in language.sampled(train, 20).collect():
+        got[x.lang].add(x.text)
+    once = collections.defaultdict(set)
+    for x in language.sampled(few, 20).collect():
+        once[x.lang].add(x.text)
+    assert got == once and {k: len(v) for k, v in got.items()} == {"aa": 6, "bb": 20, "cc": 20}
+    model = language.fit(train, sample=20)
+    assert model.langs == ["aa", "bb", "cc"]
+    assert [model.predict([text(k)])[0] for k in kinds] == [["aa"], ["bb"], ["cc"]]
+
+
 def test_toxicity_ways_agree(spark):
     r = random.Random(6)
     plain = [f"w{i}" for i in range(300)]

@@ -3,7 +3,8 @@
 A text becomes a TF-IDF vector of hashed character n-grams (orders 1 to 3 of its lower-case letters, everything else one
 boundary mark), logarithmic in the count and of length one. Every language has several centroids (spherical k-means over
 at most `SAMPLE` distinct texts of it); a text gets the language of the most similar centroid. It is rejected if it has no
-letter, or if that cosine is below `REJECT` times the least that the sample's texts of as many distinct n-grams reach. Document frequencies cover all training texts. Sampling is by a hash of the text.
+letter, or if that cosine is below `REJECT` times the least that the sample's texts of as many distinct n-grams reach. Document frequencies cover all training texts.
+The sample is the smallest hashes of a language's distinct texts, whatever the number of their copies.
 
 Null and empty texts and texts without letters: `und`, score 0, rejected. Rows with a null language teach nothing. If
 nothing can be learned (empty table), every text is `und`. Repeated rows are predicted one by one.
@@ -145,6 +146,19 @@ class Model:
         return langs, scores, cosines, rejected
 
 
+def sampled(train: DataFrame, sample: int) -> DataFrame:
+    """(lang, text): the `sample` distinct texts of each language with the smallest hashes, all of them where there are fewer."""
+    hashed = train.withColumn("u", F.xxhash64("text"))
+    distinct = {r.lang: r.n for r in hashed.select("lang", "u").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # More than twice the sample by a threshold on the hash (over seven deviations above it, also for small samples), then the smallest.
+    wanted = 2.0 * sample + 10.0 * np.sqrt(2.0 * sample) + 20.0
+    share = F.lit(1.0)
+    for lang in sorted(distinct):
+        share = F.when(F.col("lang") == lang, F.lit(min(1.0, float(wanted / distinct[lang])))).otherwise(share)
+    return (hashed.where((F.col("u") / F.lit(2.0 ** 64) + F.lit(0.5)) <= share).dropDuplicates(["lang", "u"])
+            .withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("u"))).where(F.col("k") <= sample).select("lang", "text"))
+
+
 def fit(train: DataFrame, buckets: int = BUCKETS, sample: int = SAMPLE, centroids: int = CENTROIDS, reject: float = REJECT) -> Model:
     """From rows (text, lang). Collects one row per bucket and per centroid."""
     train = train.select("text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
@@ -172,15 +186,6 @@ def fit(train: DataFrame, buckets: int = BUCKETS, sample: int = SAMPLE, centroid
     if not per:
         return Model(idf, [], np.zeros((0, buckets), np.float32), np.zeros(len(STEPS) + 1))
 
-    # About twice the sample by a threshold on the text's hash, then the smallest hashes of distinct texts.
-    share = F.lit(1.0)
-    for lang in sorted(per):
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, 2.0 * sample / per[lang]))).otherwise(share)
-    u = F.xxhash64("text")
-    picked = (train.withColumn("u", u).where((F.col("u") / F.lit(2.0 ** 64) + F.lit(0.5)) < share)
-              .dropDuplicates(["lang", "u"])
-              .withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("u"))).where(F.col("k") <= sample))
-
     def to_vectors(batches):
         for part in text_slices(batches):
             texts = texts_of(part)
@@ -203,7 +208,7 @@ def fit(train: DataFrame, buckets: int = BUCKETS, sample: int = SAMPLE, centroid
             low[s] = cos[step == s].min()
         return pd.DataFrame({"lang": pdf.lang.iloc[0], "c": [r.astype(np.float32).tobytes() for r in c], "floors": [low.tolist()] * len(c)})
 
-    learned = (picked.select("text", "lang").mapInArrow(to_vectors, "lang string, v binary, m long")
+    learned = (sampled(train, sample).mapInArrow(to_vectors, "lang string, v binary, m long")
                .groupBy("lang").applyInPandas(learn, "lang string, c binary, floors array<double>").collect())
     learned.sort(key=lambda r: (r.lang, bytes(r.c)))
     # The least of all languages; a step without texts takes the next lower one's limit, the lowest none at all.
