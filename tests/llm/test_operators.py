@@ -245,6 +245,17 @@ def test_separator_inside_a_text(spark):
         separators.document_counts(spark.createDataFrame([(1, "a!")], DOC), **bpe_files(), eod=0)
 
 
+def test_signatures_do_not_depend_on_the_slice():
+    r = random.Random(25)
+    lists = [[b"w%d" % r.randrange(5000 if i % 3 else 8) for _ in range(r.choice([1, 4, 15, 20, 30, 200]))] for i in range(2000)]
+    def signed(some):
+        words = bagminhash.flat(bagminhash.WordHashes(), some)
+        return bagminhash.signatures(*bagminhash.multisets(*bagminhash.shingles(*words, 5)), len(some), 160)
+    together = signed(lists)
+    assert all((signed([lists[i]])[0] == together[i]).all() for i in range(60))
+    assert all((signed(lists[i: i + 7]) == together[i: i + 7]).all() for i in range(0, 1000, 100))
+
+
 def test_bagminhash_unbiased_and_classes(spark):
     r = random.Random(5)
     gaps = []

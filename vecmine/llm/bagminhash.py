@@ -4,7 +4,8 @@ The weight of a shingle is how often it occurs. The weight axis is cut into the
 (shingle, block) owns a Poisson process whose rate is the block's length and whose points carry a register and a place in
 the block. A text sees the points below its weights; register i keeps the earliest point that falls to it. Two texts have
 the same point there with the probability of their weighted Jaccard similarity, sum of minima over sum of maxima. Points
-come in order of time, so an element is done when its next point is later than all registers.
+come in order of time, so an element is done when its next point is later than all registers. Times are summed strictly from left
+to right, so that a text has the same signature to the last bit whatever else its task works on.
 
 Texts with the same words are one node. Nodes that share a band meet at the band's most connected node; the pair is checked on
 the shingles themselves. Where a band then still holds several components, everything outside the largest one meets everything
@@ -72,7 +73,8 @@ def signatures(own: np.ndarray, item: np.ndarray, count: np.ndarray, texts: int,
         many = int(np.clip(40_000 // len(doc), 1, 64))
         step = (np.arange(number, number + many, dtype=np.uint64) + np.uint64(1)) * GOLD
         x = mix(seed[:, None] + step[None, :])
-        when = time[:, None] + np.cumsum(-np.log(_uniform(x)) / rate[:, None], axis=1)
+        # The carried time is the first summand: the rounding does not depend on where chunks begin.
+        when = np.cumsum(np.concatenate([time[:, None], -np.log(_uniform(x)) / rate[:, None]], axis=1), axis=1)[:, 1:]
         place = mix(x ^ np.uint64(0x94D049BB133111EB))
         register = ((place >> np.uint64(40)) % np.uint64(registers)).astype(np.int64)
         inside = low[:, None] + np.floor((place & np.uint64(0xFFFFFFFF)).astype(np.float64) / 4294967296.0 * rate[:, None]) < weight[:, None]
