@@ -291,6 +291,45 @@ def test_bagminhash_unbiased_and_classes(spark):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("signs", [([7] * 6, [7] * 6), ([1, 2, 3, 4, 5, 6], [9, 9, 9, 4, 9, 9])])
+def test_second_pass_checks_every_pair_of_a_band(spark, signs):
+    """Two similar texts meet in their second band only, be it that bytes of their first band's registers collide or that few registers agree."""
+    import xxhash
+    words = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:-2])), (3, " ".join(words[:30]))]
+    nodes = [xxhash.xxh3_128_digest(t.encode()) for _, t in rows]
+    los = [int.from_bytes(n[8:], "big", signed=True) for n in nodes]
+    keys = [[1, 10], [2, 10], [3, 10]]
+    sig = [bytes(signs[0]), bytes(signs[1]), bytes(range(20, 26))]
+    reps = spark.createDataFrame([(d, n, lo, k, s) for (d, _), n, lo, k, s in zip(rows, nodes, los, keys, sig)],
+                                 "doc_id long, node binary, lo long, bands array<long>, sig binary")
+    shared = spark.createDataFrame([(10, 1, lo) for lo in los], "band long, pos int, lo long")
+    roots = reps.select("node", F.col("node").alias("root"))
+    got = bagminhash._second_links(frame(spark, rows), shared, reps, roots, 2, 3, 0.8).collect()
+    assert {frozenset((bytes(x.src), bytes(x.dst))) for x in got} == {frozenset(nodes[:2])}
+
+
+def test_block_links_equal_brute_force(monkeypatch):
+    r = random.Random(35)
+    monkeypatch.setattr(bagminhash, "BLOCK_SHINGLES", 700)
+    bags, nodes = {}, []
+    for i in range(90):
+        base = random.Random(i // 6).sample(range(400), 40) if i < 60 else r.sample(range(400), r.randint(1, 60))
+        c = collections.Counter(base + [base[0]] * r.randint(0, 3) + [r.randrange(400) for _ in range(r.randint(0, 5))])
+        item = np.array(sorted(c), np.uint64)
+        bags[i] = (item, np.array([c[int(x)] for x in item]))
+        nodes.append({"node": i, "r": i // 2, "bands": [r.randrange(3), r.randrange(3), 5]})
+    got = bagminhash.block_links(2, nodes, nodes[30:], lambda v: bags[v["node"]], 0.8)
+    def joined(links):
+        group = {v["node"]: v["r"] for v in nodes}
+        for a, b in links:
+            group = {k: group[a] if g == group[b] else g for k, g in group.items()}
+        return {frozenset(k for k in group if group[k] == g) for g in group.values()}
+    want = [(x["node"], y["node"]) for x in nodes for y in nodes[30:] if x["r"] != y["r"] and all(a != b for a, b in zip(x["bands"][:2], y["bands"]))
+            and bagminhash.similarity(bags[x["node"]], bags[y["node"]]) >= 0.8]
+    assert want and set(got) <= set(want) and joined(got) == joined(want) and len(joined(want)) < 45
+
+
 def test_nearest_recall_and_scores(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(1500, 32))

@@ -9,7 +9,7 @@ to right, so that a text has the same signature to the last bit whatever else it
 
 Texts with the same words are one node. Nodes that share a band meet at the band's most connected node; the pair is checked on
 the shingles themselves. Where a band then still holds several components, everything outside the largest one meets everything
-in other components, after a comparison of signatures; so every pair that shares a band is either connected or checked.
+in other components, in the first band whose key both have; so every pair that shares a band is either connected or checked.
 Similar pairs share no band with a probability of less than 1e-5 at the limit. The class of a document is the smallest
 doc_id of its component.
 
@@ -34,10 +34,10 @@ from .base import GOLD, WordHashes, flat, mix, shingles, text_slices, texts_of,
 SHINGLE = 5
 LIMIT = 0.8
 BANDS, ROWS = 32, 5
-# A pair whose signatures agree in a smaller share is not checked in the second pass: four standard errors below LIMIT.
-LOWEST_AGREEMENT = 0.68
 BLOCK_NODES = 512
 BLOCK_TEXTS = 3000
+# Shingles that a pair of blocks holds at once for its exact checks, or those of one text.
+BLOCK_SHINGLES = 400_000
 _U = 1.0 / (1 << 53)
 
 
@@ -89,8 +89,8 @@ def signatures(own: np.ndarray, item: np.ndarray, count: np.ndarray, texts: int,
     return sig
 
 
-def _sketch(lists: list[list[bytes]], memo: WordHashes, bands: int, rows: int):
-    """(band keys [texts x bands], one byte per register [texts x registers]) of texts with words."""
+def _sketch(lists: list[list[bytes]], memo: WordHashes, bands: int, rows: int) -> np.ndarray:
+    """Band keys [texts x bands] of texts with words."""
     words, offsets = flat(memo, lists)
     own, item, count = multisets(*shingles(words, offsets, SHINGLE))
     sig = signatures(own, item, count, len(lists), bands * rows)
@@ -99,15 +99,14 @@ def _sketch(lists: list[list[bytes]], memo: WordHashes, bands: int, rows: int):
     cells = bits.reshape(len(lists), bands, rows)
     for r in range(rows):
         key = mix(key * GOLD + cells[:, :, r])
-    key = mix(key + np.arange(1, bands + 1, dtype=np.uint64)[None, :])
-    return key, (bits >> np.uint64(56)).astype(np.uint8)
+    return mix(key + np.arange(1, bands + 1, dtype=np.uint64)[None, :])
 
 
-NODE = "doc_id long, tkey long, node binary, lo long, bands array<long>, sig binary"
+NODE = "doc_id long, tkey long, node binary, lo long, bands array<long>"
 
 
 def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, hash of the text, node (128-bit name of the words, null without words), its lower half, band keys, signature bytes."""
+    """doc_id, hash of the text, node (128-bit name of the words, null without words), its lower half, band keys."""
     def run(batches):
         memo = WordHashes()
         for part in text_slices(batches):
@@ -115,13 +114,13 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame
             lists = words_of(texts_of(part))
             for a in range(0, len(lists), BLOCK_TEXTS):
                 some = lists[a: a + BLOCK_TEXTS]
-                key, sig = _sketch(some, memo, bands, rows)
+                key = _sketch(some, memo, bands, rows)
                 names = [xxhash.xxh3_128_digest(b" ".join(x)) if x else None for x in some]
                 lo = np.array([int.from_bytes(n[8:], "big", signed=True) if n else 0 for n in names], np.int64)
                 yield pa.record_batch(
                     [ids.slice(a, len(some)), part.column("tkey").slice(a, len(some)), pa.array(names, pa.binary()), pa.array(lo),
-                     pa.ListArray.from_arrays(pa.array(np.arange(0, key.size + 1, bands), pa.int32()), pa.array(key.view(np.int64).reshape(-1))),
-                     pa.array([s.tobytes() for s in sig], pa.binary())], names=["doc_id", "tkey", "node", "lo", "bands", "sig"])
+                     pa.ListArray.from_arrays(pa.array(np.arange(0, key.size + 1, bands), pa.int32()), pa.array(key.view(np.int64).reshape(-1)))],
+                    names=["doc_id", "tkey", "node", "lo", "bands"])
 
     return docs.select("doc_id", F.xxhash64("text").alias("tkey"), "text").mapInArrow(run, NODE)
 
@@ -186,7 +185,69 @@ def _blocks(rows: DataFrame, known: DataFrame, name: str) -> DataFrame:
     """Rows (band, pos, lo, r) of a band gathered into blocks of about BLOCK_NODES, with what is known of the nodes."""
     sizes = rows.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_NODES)).alias("k"))
     dealt = rows.join(sizes, "band").select("band", "pos", "lo", "r", F.pmod(F.xxhash64("lo"), F.col("k")).alias("c"))
-    return dealt.join(known, "lo").groupBy("band", "pos", "c").agg(F.collect_list(F.struct("lo", "node", "r", "sig", "z")).alias(name)).drop("c")
+    return dealt.join(known, "lo").groupBy("band", "pos", "c").agg(F.collect_list(F.struct("node", "r", "bands", "z")).alias(name)).drop("c")
+
+
+def block_links(pos: int, xs: list[dict], ys: list[dict], bag, limit: float) -> list[tuple[bytes, bytes]]:
+    """Links between the components of two blocks (node, r, bands, z) of a band: every pair of different components that has no
+    earlier band in common is checked exactly, unless links found before have joined the two."""
+    kx, ky = (np.array([v["bands"] for v in vs], np.int64) for vs in (xs, ys))
+    _, comp = np.unique([v["r"] for v in xs] + [v["r"] for v in ys], return_inverse=True)
+    cx, cy = comp[: len(xs)].copy(), comp[len(xs):].copy()
+    here = np.stack([(kx[:, : pos + 1] == k[: pos + 1]).argmax(1) == pos for k in ky])
+    bags: dict = {}
+    links = []
+
+    def held(v):
+        if v["node"] not in bags:
+            if sum(len(b[0]) for b in bags.values()) > BLOCK_SHINGLES:
+                bags.clear()
+            bags[v["node"]] = bag(v)
+        return bags[v["node"]]
+
+    def against(some: list[int], parts: list):
+        """All ys against the xs `some`, whose bags are `parts`: sums of minima through one list of all their shingles."""
+        by_size = np.argsort([p[1].sum() for p in parts], kind="stable")
+        has, parts = np.array(some)[by_size], [parts[a] for a in by_size]
+        names, slot = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        times, sizes = np.concatenate([p[1] for p in parts]), np.array([p[1].sum() for p in parts])
+        starts, count = np.cumsum([0] + [len(p[0]) for p in parts]), np.zeros(len(names), np.int64)
+        for i, y in enumerate(ys):
+            if not (here[i, has] & (cx[has] != cy[i])).any():
+                continue
+            item, n = held(y)
+            total = int(n.sum())
+            # Similarity is at most the smaller size over the larger one, so the others need no check.
+            a, b = np.searchsorted(sizes, total * limit * (1 - 1e-9)), np.searchsorted(sizes, total / limit * (1 + 1e-9), side="right")
+            at = a + np.flatnonzero(here[i, has[a:b]] & (cx[has[a:b]] != cy[i]))
+            if not len(at):
+                continue
+            own = np.minimum(np.searchsorted(names, item), len(names) - 1)
+            known = names[own] == item
+            own = own[known]
+            count[own] = n[known]
+            part = slice(starts[a], starts[b])
+            least = np.add.reduceat(np.minimum(times[part], count[slot[part]]), starts[a:b] - starts[a])[at - a]
+            count[own] = 0
+            for j in has[at[least / (sizes[at] + total - least) >= limit]].tolist():
+                if cx[j] != cy[i]:
+                    old, new = cx[j], cy[i]
+                    cx[cx == old] = new
+                    cy[cy == old] = new
+                    links.append((xs[j]["node"], y["node"]))
+
+    some, parts, held_now = [], [], 0
+    for j in np.flatnonzero((here & (cx[None, :] != cy[:, None])).any(0)).tolist():
+        b = bag(xs[j])
+        if some and held_now + len(b[0]) > BLOCK_SHINGLES:
+            against(some, parts)
+            some, parts, held_now = [], [], 0
+        some.append(j)
+        parts.append(b)
+        held_now += len(b[0])
+    if some:
+        against(some, parts)
+    return links
 
 
 def _second_links(docs: DataFrame, shared: DataFrame, reps: DataFrame, roots: DataFrame, bands: int, rows: int, limit: float) -> DataFrame:
@@ -201,43 +262,17 @@ def _second_links(docs: DataFrame, shared: DataFrame, reps: DataFrame, roots: Da
     largest = (rest.groupBy("band", "r").agg(F.count(F.lit(1)).alias("n")).groupBy("band")
                .agg(F.max(F.struct("n", "r")).alias("top")).select("band", F.col("top.r").alias("top")))
     texts = _texts(docs, reps, rest.select("lo"))
-    known = texts.join(reps.select("node", "sig"), "node").select("lo", "node", "sig", "z")
+    known = texts.join(reps.select("node", "bands"), "node").select("lo", "node", "bands", "z")
     outside = rest.join(largest, "band").where("r <> top").select(rest.columns)
     met = _blocks(rest, known, "x").join(_blocks(outside, known, "y").drop("pos"), "band").select("pos", "x", "y")
-    registers, least = bands * rows, int(np.ceil(LOWEST_AGREEMENT * bands * rows))
 
     def link(batches):
         press, memo = zstandard.ZstdDecompressor(), WordHashes()
         for batch in batches:
             for pos, xs, ys in zip(*(batch.column(c).to_pylist() for c in ("pos", "x", "y"))):
-                sx, sy = (np.frombuffer(b"".join(v["sig"] for v in vs), np.uint8).reshape(-1, registers) for vs in (xs, ys))
-                rx, ry = (np.array([v["r"] for v in vs]) for vs in (xs, ys))
-                bags: dict = {}
-                merged: dict = {}
-
-                def top(r):
-                    while r in merged:
-                        r = merged[r]
-                    return r
-
-                def bag(v):
-                    if v["node"] not in bags:
-                        bags[v["node"]] = _bag(v["z"], press, memo)
-                    return bags[v["node"]]
-
-                src, dst = [], []
-                for i, y in enumerate(ys):
-                    same = sx == sy[i]
-                    near = np.flatnonzero((same.sum(1) >= least) & (rx != ry[i]))
-                    if len(near):
-                        near = near[same[near].reshape(len(near), bands, rows).all(2).argmax(1) == pos]
-                    for j in near.tolist():
-                        a, b = top(int(rx[j])), top(int(ry[i]))
-                        if a != b and similarity(bag(xs[j]), bag(y)) >= limit:
-                            merged[a] = b
-                            src.append(xs[j]["node"])
-                            dst.append(y["node"])
-                if src:
+                found = block_links(pos, xs, ys, lambda v: _bag(v["z"], press, memo), limit)
+                if found:
+                    src, dst = zip(*found)
                     yield pa.record_batch([pa.array(src, pa.binary()), pa.array(dst, pa.binary())], names=["src", "dst"])
 
     return met.mapInArrow(link, "src binary, dst binary")
@@ -247,7 +282,7 @@ def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, limit: float
     """(doc_id, class_id, n_copies, tkey, root) per row of (doc_id, text); n_copies counts the rows with the same words."""
     all_rows = cut_lineage(sketches(docs, bands, rows))
     reps = cut_lineage(all_rows.where("node IS NOT NULL").groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_copies"), F.first("lo").alias("lo"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
+        F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_copies"), F.first("lo").alias("lo"), F.first("bands").alias("bands")))
     listed = reps.select("lo", F.posexplode("bands").alias("pos", "band"))
     sizes = listed.groupBy("band").agg(F.min("lo").alias("least"), F.max("lo").alias("most"), F.count(F.lit(1)).alias("n"))
     shared = cut_lineage(listed.join(sizes.where("least < most").select("band", "n"), "band").select("band", "pos", "lo", "n"))
