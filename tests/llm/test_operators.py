@@ -348,3 +348,10 @@ def test_nearest_recall_and_scores(spark):
         assert [f[0] for f in found] == list(range(1, 21)) and all(f[2] == s[f[1]] for f in found)
         hit += len({f[1] for f in found} & set(best.tolist()))
     assert hit / (75 * 20) >= 0.9
+
+
+def test_nearest_index_of_many_copies(spark):
+    few = np.random.default_rng(4).normal(size=(5, 8))
+    rows = spark.range(20000).select(F.col("id").alias("vec_id"), F.element_at(F.array(*[F.array(*map(F.lit, v.tolist())) for v in few]), (F.col("id") % 5 + 1).cast("int")).alias("v"))
+    assert len(nearest.Index.fit(rows, lists=8, sample=20).centres) == 5
+    assert len(nearest.Index.fit(rows.where("vec_id % 5 = 0"), lists=8, sample=1).centres) == 1

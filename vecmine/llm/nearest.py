@@ -58,12 +58,13 @@ class Index:
     @classmethod
     def fit(cls, rows: DataFrame, lists: int = LISTS, probes: int = PROBES, sample: int = SAMPLE, rounds: int = 15) -> Index:
         """From the `sample` distinct vectors with the smallest hash."""
-        total = rows.count()
-        if not total:
-            return cls(np.eye(1), np.zeros((1, 1)), 1)
         h = F.xxhash64("v")
-        share = min(1.0, 2.0 * sample / total)
-        picked = (rows.select(h.alias("h"), "v").where((F.col("h") / F.lit(2.0 ** 64) + F.lit(0.5)) < share).dropDuplicates(["h"])
+        distinct = rows.select(h.alias("h")).distinct().count()
+        if not distinct:
+            return cls(np.eye(1), np.zeros((1, 1)), 1)
+        # More than twice the sample, over seven deviations above it also for small samples.
+        share = min(1.0, (2.0 * sample + 10.0 * (2.0 * sample) ** 0.5 + 20.0) / distinct)
+        picked = (rows.select(h.alias("h"), "v").where((F.col("h") / F.lit(2.0 ** 64) + F.lit(0.5)) <= share).dropDuplicates(["h"])
                   .orderBy("h").limit(sample).select("v").toArrow()["v"].combine_chunks())
         x = np.asarray(picked.flatten()).reshape(len(picked), -1)
         turn = rotation(x.shape[1])
