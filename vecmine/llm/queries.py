@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, compression, language, nearest, packing, piece, pii, recompression, separators, toxicity
-from .base import crc_fold, table
+from . import (bagminhash, compression, hardneg, language, nearest, packing, periodic, piece, pii, recompression, separators, simhash,
+               toxicity)
+from .base import crc_fold, table, text_slices, texts_of
 
 
 def tokenizer_path(name: str) -> str:
@@ -75,8 +79,43 @@ def op10_nearest(spark: SparkSession, folder: str) -> DataFrame:
     return nearest.search(table(spark, folder, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 20 == 0)
 
 
+def op11_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.components(documents(spark, folder))
+
+
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings", "vec_id", "embedding", "label")
+    # A seventh of the rows carry a wrong label, so that negatives above and below the positives exist in every class.
+    wrong = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mine(vectors.withColumn("label", wrong), F.col("vec_id") % 100 == 0)
+
+
+def looped_tail(words: list[bytes], doc_id: int | None) -> list[bytes]:
+    """Every tenth document's words repeat from some word on, as the query's contract fixes it; without a doc_id nothing changes."""
+    h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    n, g = len(words), h // 10
+    if h % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
+
+
+def with_looped_tails(docs: DataFrame) -> DataFrame:
+    def run(batches):
+        for batch in text_slices(batches):
+            texts = [b" ".join(looped_tail(t.encode().split(), d)).decode() for d, t in zip(batch.column("doc_id").to_pylist(), texts_of(batch))]
+            yield pa.record_batch([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, text string")
+
+
+def op13_periodic(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic.digests(periodic.find(with_looped_tails(documents(spark, folder))))
+
+
 QUERIES = {f.__name__: f for f in (op1_pii, op2_compression, op3_piece, op4_language, op5_substrings, op6_token_counts, op7_toxicity,
-                                   op8_packing, op9_near_duplicates, op10_nearest)}
+                                   op8_packing, op9_near_duplicates, op10_nearest, op11_simhash, op12_hard_negatives, op13_periodic)}
 ORACLES: dict[str, str] = {
     # Words with a space after each, whole windows by slices; the smallest doc_id of every window decides.
     "op5_substrings": """
@@ -89,4 +128,17 @@ WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''),
                      list_transform(list_filter(list_zip(words, range(1, len(words) + 1)), lambda z: NOT list_contains(ps, z[2])), lambda z: z[1]) END AS kw
               FROM w LEFT JOIN gone USING (doc_id))
 SELECT doc_id, n AS n_words, n - len(kw) AS n_removed, sha256(array_to_string(kw, ' ')) AS kept_sha256 FROM kept""",
+    # Every anchor against every row; positives, then the window below each.
+    "op12_hard_negatives": """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     s AS (SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, list_inner_product(a.x, r.x)::BIGINT AS score
+           FROM v a JOIN v r ON a.vec_id <> r.vec_id WHERE a.vec_id % 100 = 0),
+     p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+           QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+QUALIFY rank <= 5""",
 }
