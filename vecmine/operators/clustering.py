@@ -25,6 +25,7 @@ from .graph import connected_components
 from .indices import sse
 from .neighbours import neighbour_counts
 from .pairs import Block, batch_of, chunks, matrix, nearest, pack, plan_tiles, shape_of, tile_reduce
+from .slabs import near_reduce, supported
 from .stats import as_row, attribute_stats
 
 
@@ -315,9 +316,7 @@ def _local_forest(L: Block, R: Block, near: np.ndarray) -> np.ndarray:
 
 
 def core_forest(core: DataFrame, eps: float, metric: str = "euclidean") -> DataFrame:
-    """(src, dst): a spanning forest per tile of the graph of core points nearer than eps."""
-    n, d = shape_of(core)
-    plan = plan_tiles(core.sparkSession, d, n)
+    """(src, dst): a spanning forest per pair of blocks of the graph of core points nearer than eps."""
     schema = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
 
     def kernel(L: Block, R: Block):
@@ -328,6 +327,10 @@ def core_forest(core: DataFrame, eps: float, metric: str = "euclidean") -> DataF
             edges = _local_forest(L, R, near)
             yield batch_of(schema, edges[:, 0], edges[:, 1])
 
+    if supported(metric):
+        return near_reduce(core, None, kernel, "src long, dst long", eps, metric)
+    n, d = shape_of(core)
+    plan = plan_tiles(core.sparkSession, d, n)
     return tile_reduce(pack(core, plan.left_rows), None, kernel, "src long, dst long", plan)
 
 
@@ -356,9 +359,6 @@ def dbscan(points: DataFrame, eps: float = 0.1, min_points: int = 6, metric: str
 
 def _border(rest: DataFrame, core: DataFrame, eps: float, metric: str) -> DataFrame:
     """(id, prediction): the smallest cluster among the core points nearer than eps."""
-    n, d = shape_of(rest)
-    m, _ = shape_of(core)
-    plan = plan_tiles(rest.sparkSession, d, max(1, n), max(1, m))
     schema = pa.schema([("id", pa.int64()), ("prediction", pa.int64())])
     big = np.iinfo(np.int64).max
 
@@ -368,8 +368,12 @@ def _border(rest: DataFrame, core: DataFrame, eps: float, metric: str) -> DataFr
             ok = low < big
             yield batch_of(schema, L.ids[part][ok], low[ok])
 
-    met = tile_reduce(pack(rest, plan.left_rows), pack(core, plan.right_rows, "component"), kernel,
-                      "id long, prediction long", plan)
+    if supported(metric):
+        met = near_reduce(rest, core, kernel, "id long, prediction long", eps, metric, right_extra=("component",))
+    else:
+        n, d = shape_of(rest)
+        plan = plan_tiles(rest.sparkSession, d, max(1, n), max(1, shape_of(core)[0]))
+        met = tile_reduce(pack(rest, plan.left_rows), pack(core, plan.right_rows, "component"), kernel, "id long, prediction long", plan)
     return met.groupBy("id").agg(F.min("prediction").alias("prediction"))
 
 

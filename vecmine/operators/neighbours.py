@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.distances import MEASURES
 from .pairs import Block, batch_of, chunks, nearest, pack, plan_tiles, shape_of, tile_reduce
+from .slabs import near_reduce, supported
 
 
 def knn_join(points: DataFrame, k: int, metric: str = "euclidean", exclude_equal: bool = False, **params) -> DataFrame:
@@ -27,9 +28,7 @@ def _bounded_below(metric: str) -> bool:
 
 
 def range_join(points: DataFrame, eps: float, metric: str = "euclidean", **params) -> DataFrame:
-    """(id, other, distance) with id < other and distance < eps. Blocks too far apart are skipped unread."""
-    n, d = shape_of(points)
-    plan = plan_tiles(points.sparkSession, d, n)
+    """(id, other, distance) with id < other and distance < eps. Under a norm, only blocks of points that may be near meet."""
     schema = pa.schema([("id", pa.int64()), ("other", pa.int64()), ("distance", pa.float64())])
 
     def kernel(L: Block, R: Block):
@@ -43,13 +42,20 @@ def range_join(points: DataFrame, eps: float, metric: str = "euclidean", **param
             a, b = L.ids[part][i], R.ids[j]
             yield batch_of(schema, np.minimum(a, b), np.maximum(a, b), dist[i, j])
 
-    return tile_reduce(pack(points, plan.left_rows), None, kernel, "id long, other long, distance double", plan)
+    return _pairs_within(points, kernel, "id long, other long, distance double", eps, metric)
 
 
-def neighbour_counts(points: DataFrame, eps: float, metric: str = "euclidean", **params) -> DataFrame:
-    """(id, degree): how many points, the point itself included, are nearer than eps. No pair leaves a task."""
+def _pairs_within(points: DataFrame, kernel, schema: str, eps: float, metric: str) -> DataFrame:
+    """The kernel over pairs of blocks: all that may hold near points under a norm, else all pairs."""
+    if supported(metric):
+        return near_reduce(points, None, kernel, schema, eps, metric)
     n, d = shape_of(points)
     plan = plan_tiles(points.sparkSession, d, n)
+    return tile_reduce(pack(points, plan.left_rows), None, kernel, schema, plan)
+
+
+def neighbour_counts(points: DataFrame, eps: float, metric: str = "euclidean", **params) -> DataFrame:
+    """(id, degree): how many points, the point itself included, are nearer than eps. No pair leaves a task."""
     schema = pa.schema([("id", pa.int64()), ("degree", pa.int64())])
 
     def kernel(L: Block, R: Block):
@@ -64,7 +70,7 @@ def neighbour_counts(points: DataFrame, eps: float, metric: str = "euclidean", *
         if L.key != R.key:
             yield batch_of(schema, R.ids, right)
 
-    parts = tile_reduce(pack(points, plan.left_rows), None, kernel, "id long, degree long", plan)
+    parts = _pairs_within(points, kernel, "id long, degree long", eps, metric)
     return parts.groupBy("id").agg(F.sum("degree").alias("degree"))
 
 

@@ -155,8 +155,8 @@ QUERIES = {
     "feature_mutual_information": lambda s, d: rounded(K.mutual_information(discrete(s, d)), "mi", digits=9),
     "feature_conditional_mi": lambda s, d: rounded(K.conditional_mutual_information(discrete(s, d)), "cmi"),
     "clf_kdb": kdb,
-    "clf_tree": _ml(K.tree, lineitem_points),
-    "clf_random_forest": _ml(K.random_forest, lineitem_points),
+    "clf_tree_gini": _ml(K.tree, lineitem_points),
+    "clf_random_forest_gini": _ml(K.random_forest, lineitem_points),
     "bagging_nearest_mean": bagging,
     "oob_error": lambda s, d: rounded(K.out_of_bag_error(lineitem_points(s, d), bags=5), "error"),
     "clf_som": _ml(lambda a, b: K.som_classify(a, b), lineitem_points),
@@ -169,7 +169,7 @@ QUERIES = {
     "score_symmetrical_uncertainty": lambda s, d: rounded(E.symmetrical_uncertainty(lineitem_points(s, d)), "score", digits=9),
     "score_kl_divergence": lambda s, d: rounded(E.kl_divergence(lineitem_points(s, d)), "score"),
     "score_relief": lambda s, d: rounded(E.relief(embedding_points(s, d)), "score"),
-    "score_rf_permutation": lambda s, d: rounded(E.forest_permutation(status_points(s, d)), "score"),
+    "score_rf_permutation_gini": lambda s, d: rounded(E.forest_permutation(status_points(s, d)), "score"),
     "rank_from_score": lambda s, d: E.rank_scores(E.gain_ratio(lineitem_points(s, d))),
     "select_forward": lambda s, d: rounded(E.select_forward(lineitem_points(s, d), 2), "score", digits=9),
     "select_backward": lambda s, d: rounded(E.select_backward(lineitem_points(s, d), 3), "score", digits=9),
