@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,6 +94,33 @@ def test_warping(spark):
     assert got["similarity"][1]["distance"] == 1
 
 
+def test_both_walks_and_paths_are_alike():
+    rng = np.random.default_rng(5)
+    absolute = lambda u, v: np.abs(u - v)
+    for _ in range(60):
+        n, m = rng.integers(1, 40, 2)
+        a, b = rng.integers(0, 4, n).astype(float), rng.integers(0, 4, m).astype(float)
+        for low, high in (R._full(n, m), R._band(n, m, int(rng.integers(0, 6)))):
+            offsets = np.r_[0, np.cumsum(high - low + 1)]
+            one, two = np.zeros(offsets[-1], np.uint8), np.zeros(offsets[-1], np.uint8)
+            x, y = R._by_cells(a, b, absolute, low, high, offsets, one), R._by_diagonals(a, b, absolute, low, high, offsets, two)
+            assert x == y and (one == two).all()
+            i, j = R._path(one, offsets, low, n, m)
+            assert x == pytest.approx(np.abs(a[i] - b[j]).sum()) and (i[0], j[0]) == (0, 0)
+            assert set(zip(np.diff(i).tolist(), np.diff(j).tolist())) <= {(1, 1), (1, 0), (0, 1)}
+        assert R._warp(a, b, absolute, *R._full(n, m))[0] == pytest.approx(dtw(a, b))
+
+
+def test_long_band_and_empty_series(spark):
+    long = np.sin(np.arange(50_000) / 50)
+    distance, at, _ = R._warp(long, np.roll(long, 3), lambda u, v: np.abs(u - v), *R._band(50_000, 50_000, 5))
+    assert distance < 50 and len(at) >= 50_000
+    pairs = spark.createDataFrame([(1, [], 2, [1.0]), (1, None, 3, [1.0]), (4, [1.0], 5, [2.0])], "key_a long, a array<double>, key_b long, b array<double>")
+    for method in ("full", "band", "fast", "similarity"):
+        got = {r["key_b"]: r for r in R.warp_pairs(pairs, method, 2).collect()}
+        assert math.isnan(got[2]["distance"]) and got[2]["path"] == 0 and math.isnan(got[3]["distance"]) and got[5]["path"] == 1
+
+
 def write(tmp_path, name, text):
     p = tmp_path / name
     p.write_text(text)

@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import partial
 
 import numpy as np
 from pyspark.sql import Column
@@ -274,6 +275,93 @@ def _block_rbf_dist(X, Y, gamma=0.01):
     return 1.0 - _block_rbf(X, Y, gamma)
 
 
+def _block_sets(X, Y):
+    """(sizes of the rows' integer sets, of both sides, and of their intersections)."""
+    def cells(Z):
+        whole = np.trunc(Z).astype(np.int64)
+        row = np.repeat(np.arange(len(Z)), Z.shape[1])
+        once = np.unique(np.c_[row, whole.ravel()], axis=0) if whole.size else np.zeros((0, 2), np.int64)
+        return once[:, 0], once[:, 1]
+
+    (rx, vx), (ry, vy) = cells(X), cells(Y)
+    shared = np.intersect1d(vx, vy)
+    both = np.zeros((len(X), len(Y)))
+    # Values in slices, so that the indicator matrices stay small whatever the range of the values.
+    for s in range(0, len(shared), 4096):
+        part = shared[s: s + 4096]
+        A, B = (np.zeros((n, len(part)), np.float32) for n in (len(X), len(Y)))
+        for M, r, v in ((A, rx, vx), (B, ry, vy)):
+            at = np.minimum(np.searchsorted(part, v), len(part) - 1)
+            hit = part[at] == v
+            M[r[hit], at[hit]] = 1.0
+        both += A @ B.T
+    return np.bincount(rx, minlength=len(X)), np.bincount(ry, minlength=len(Y)), both
+
+
+def _block_jaccard(X, Y):
+    a, b, both = _block_sets(X, Y)
+    return both / (a[:, None] + b[None, :] - both)
+
+
+def _block_consistency(X, Y, n=100):
+    a, b, both = _block_sets(X, Y)
+    k = np.maximum(a[:, None], b[None, :]).astype(np.float64)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        value = (both * n - k * k) / (k * (n - k))
+    return np.where((k == 0) | (k == n), 0.0, value)
+
+
+def _block_spearman(X, Y):
+    k = float(X.shape[1])
+    return 1.0 - 6.0 * _block_sq(X, Y) / (k * (k * k - 1))
+
+
+def _block_footrule(X, Y):
+    k = X.shape[1]
+    return 1.0 - _block_manhattan(X, Y) / (k * k / 2.0 if k % 2 == 0 else (k + 1) * (k - 1) / 2.0)
+
+
+def _block_angular(X, Y):
+    def angles(V):
+        turn = np.arctan2(V[:, 1], V[:, 0])
+        return np.arctan2(np.sqrt(V[:, 0] ** 2 + V[:, 1] ** 2), V[:, 2]), np.where(turn < 0, turn + 2 * math.pi, turn)
+
+    (tx, ax), (ty, ay) = angles(X), angles(Y)
+    turn = np.abs(ax[:, None] - ay[None, :])
+    return np.sqrt((tx[:, None] - ty[None, :]) ** 2 + np.minimum(turn, 2 * math.pi - turn) ** 2)
+
+
+def _block_max_product(X, Y):
+    out = np.full((len(X), len(Y)), -np.inf)
+    for a in range(X.shape[1]):
+        np.maximum(out, X[:, a, None] * Y[None, :, a], out=out)
+    return np.where(out > 0, out, np.nan)
+
+
+def _block_polynomial(X, Y, p=1.0):
+    return (X @ Y.T) ** p
+
+
+def _block_normalized(X, Y, low=None, high=None):
+    low, high = np.asarray(low, dtype=np.float64), np.asarray(high, dtype=np.float64)
+    span = high - low
+
+    def scale(V):
+        return np.where(span > 0, (V - low) / np.where(span > 0, span, 1.0), 0.5)
+
+    return _block_euclidean(scale(X), scale(Y)) / math.sqrt(X.shape[1])
+
+
+def _block_normalized_similarity(X, Y, low=None, high=None):
+    return 1.0 - _block_normalized(X, Y, low, high)
+
+
+def _block_mahalanobis(X, Y, inverse=None):
+    # The inverse covariance is L L^T: distances are Euclidean after turning by L.
+    L = np.linalg.cholesky(np.asarray(inverse, dtype=np.float64))
+    return _block_euclidean(X @ L, Y @ L)
+
+
 MEASURES: dict[str, Measure] = {
     m.name: m
     for m in [
@@ -285,36 +373,58 @@ MEASURES: dict[str, Measure] = {
         Measure("chebyshev", chebyshev, "smaller", _block_chebyshev),
         Measure("cosine_similarity", cosine_similarity, "larger", _block_cosine_sim),
         Measure("cosine_distance", cosine_distance, "smaller", _block_cosine_dist),
-        Measure("jaccard_similarity", jaccard_similarity, "larger"),
-        Measure("jaccard_distance", jaccard_distance, "smaller"),
-        Measure("consistency_index", consistency_index, "larger"),
+        Measure("jaccard_similarity", jaccard_similarity, "larger", _block_jaccard),
+        Measure("jaccard_distance", jaccard_distance, "smaller", lambda X, Y: 1.0 - _block_jaccard(X, Y)),
+        Measure("consistency_index", consistency_index, "larger", _block_consistency),
         Measure("pearson", pearson, "absolute", _block_pearson),
-        Measure("spearman_rank", spearman_rank, "absolute"),
-        Measure("spearman_footrule", spearman_footrule, "larger"),
-        Measure("normalized_euclidean", normalized_euclidean, "smaller"),
-        Measure("normalized_euclidean_similarity", normalized_euclidean_similarity, "larger"),
-        Measure("angular", angular, "smaller"),
-        Measure("mahalanobis", mahalanobis, "smaller"),
-        Measure("max_product", max_product, "larger"),
+        Measure("spearman_rank", spearman_rank, "absolute", _block_spearman),
+        Measure("spearman_footrule", spearman_footrule, "larger", _block_footrule),
+        Measure("normalized_euclidean", normalized_euclidean, "smaller", _block_normalized),
+        Measure("normalized_euclidean_similarity", normalized_euclidean_similarity, "larger", _block_normalized_similarity),
+        Measure("angular", angular, "smaller", _block_angular),
+        Measure("mahalanobis", mahalanobis, "smaller", _block_mahalanobis),
+        Measure("max_product", max_product, "larger", _block_max_product),
         Measure("linear_kernel", linear_kernel, "none", _block_linear),
-        Measure("polynomial_kernel", polynomial_kernel, "none"),
+        Measure("polynomial_kernel", polynomial_kernel, "none", _block_polynomial),
         Measure("rbf_kernel", rbf_kernel, "none", _block_rbf),
         Measure("rbf_distance", rbf_distance, "smaller", _block_rbf_dist),
     ]
 }
 
 
-def measure(name_or_measure) -> Measure:
-    """Look a measure up, or wrap a user's ``(Column, Column) -> Column`` callable as a distance."""
-    if isinstance(name_or_measure, Measure):
-        return name_or_measure
-    if callable(name_or_measure):
-        return Measure(getattr(name_or_measure, "__name__", "custom"), name_or_measure)
-    return MEASURES[name_or_measure]
+def measure(which) -> Measure:
+    """A measure by name, a Measure itself, or a user's distance as a ``(Column, Column) -> Column`` callable (no block form: see `custom`)."""
+    if isinstance(which, Measure):
+        return which
+    if callable(which):
+        return Measure(getattr(which, "__name__", "custom"), which)
+    return MEASURES[which]
+
+
+def custom(name: str, pair: Callable | None = None, block: Callable | None = None, direction: str = "smaller", column: Callable | None = None) -> Measure:
+    """A user's measure for the pair operators: `block(X, Y)` gives the (n, m) matrix of two blocks, or `pair(x, y)` one number, which
+    is then asked row by row."""
+    if block is None:
+        if pair is None:
+            raise ValueError("a measure needs a pair or a block function")
+
+        def block(X, Y):
+            return np.array([[pair(x, y) for y in Y] for x in X], dtype=np.float64).reshape(len(X), len(Y))
+    return Measure(name, column, direction, block)
+
+
+# Measures that need numbers of the whole data set: its ranges, or its inverse covariance.
+BOUND = {"normalized_euclidean": "ranges", "normalized_euclidean_similarity": "ranges", "mahalanobis": "covariance"}
+
+
+def with_params(which, **params) -> Measure:
+    """A measure with fixed block parameters."""
+    m = measure(which)
+    return Measure(m.name, m.column, m.direction, partial(m.block, **params), {**m.params, **params})
 
 
-def block_distance(name: str, X: np.ndarray, Y: np.ndarray, **params) -> np.ndarray:
-    m = MEASURES[name]
+def block_distance(which, X: np.ndarray, Y: np.ndarray, **params) -> np.ndarray:
+    m = measure(which)
     if m.block is None:
-        raise ValueError(f"{name} has no block form")
+        raise ValueError(f"{m.name} has no block form")
     return m.block(X, Y, **params)

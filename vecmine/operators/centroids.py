@@ -9,9 +9,9 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.distances import MEASURES, block_distance
+from ..functions.distances import block_distance, measure
 from ..session import collect_bounded
-from .pairs import CHUNK_CELLS, matrix, nearest
+from .pairs import CHUNK_CELLS, bound, matrix, nearest
 
 
 def cluster_sizes(points: DataFrame, key: str = "prediction") -> DataFrame:
@@ -51,7 +51,7 @@ def nearest_index(X: np.ndarray, reps: np.ndarray, metric: str) -> tuple[np.ndar
     step = max(1, CHUNK_CELLS // max(1, len(reps)))
     for s in range(0, len(X), step):
         d = block_distance(metric, X[s:s + step], reps)
-        bad = MEASURES[metric].badness_np(d)
+        bad = measure(metric).badness_np(d)
         p = np.argmin(np.where(np.isnan(bad), np.inf, bad), axis=1)
         pos[s:s + step] = p
         score[s:s + step] = d[np.arange(len(p)), p]
@@ -61,6 +61,7 @@ def nearest_index(X: np.ndarray, reps: np.ndarray, metric: str) -> tuple[np.ndar
 def assign_nearest(points: DataFrame, reps: Representatives, metric: str = "euclidean",
                    out: str = "prediction", dist: str = "distance") -> DataFrame:
     """Points with the id of the closest representative and its distance."""
+    metric = bound(points, metric)
     base = points.drop(out, dist)
     if reps.local is not None:
         shared = points.sparkSession.sparkContext.broadcast(reps.local)

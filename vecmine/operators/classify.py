@@ -18,7 +18,7 @@ from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.distances import MEASURES, block_distance
+from ..functions.distances import block_distance, measure
 from ..session import collect_bounded, settle_small
 from ..sources.points import class_index, long_form
 from .centroids import dims_of
@@ -63,7 +63,7 @@ def nearest_mean(train: DataFrame, test: DataFrame, metric: str = "euclidean") -
 def nearest_mean_by_group(means: DataFrame, test: DataFrame, group: str | None, dims: int,
                           metric: str = "euclidean") -> DataFrame:
     """Label of the closest class mean, means and points matched on the integer column `group` if given."""
-    m = MEASURES[metric]
+    m = measure(metric)
     ship = _shipped_means(means, dims, group)
     if ship is None:
         # Beyond the limit: meet on the group (or on the label set) with an ordinary join, one running minimum per point.

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import distances as D
-from ..functions.distances import MEASURES, block_distance
+from ..functions.distances import block_distance, measure
 from ..functions.hashing import hash_uniform, hash_uniform_of
 from ..session import broadcast_limit, cut_lineage
 from .centroids import Representatives, assign_nearest, centroids, dims_of, nearest_index
@@ -24,7 +24,7 @@ from .filters import MidrangeScaler
 from .graph import connected_components
 from .indices import sse
 from .neighbours import neighbour_counts
-from .pairs import Block, batch_of, chunks, matrix, nearest, pack, plan_tiles, shape_of, tile_reduce
+from .pairs import Block, batch_of, bound, chunks, matrix, nearest, pack, plan_tiles, shape_of, tile_reduce
 from .slabs import near_reduce, supported
 from .stats import as_row, attribute_stats
 
@@ -84,6 +84,7 @@ def _fits(points: DataFrame, k: int, d: int) -> bool:
 
 def kmeans_step(points: DataFrame, centres: DataFrame, metric: str = "euclidean") -> DataFrame:
     """One Lloyd step from given centres (id, features): (prediction, n, centroid)."""
+    metric = bound(points, metric)
     reps = Representatives(centres, dims_of(points))
     return centroids(assign_nearest(points, reps, metric))
 
@@ -91,6 +92,7 @@ def kmeans_step(points: DataFrame, centres: DataFrame, metric: str = "euclidean"
 def kmeans(points: DataFrame, k: int = 4, iterations: int = 100, metric: str = "euclidean", seed: int = 1,
            tolerance: float = 1e-4) -> DataFrame:
     """Points with `prediction`. Starts at random positions in the bounding box; empty clusters restart there."""
+    metric = bound(points, metric)
     held = points.select("features").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         low, high = bounding_box(held)
@@ -139,6 +141,7 @@ def _kmeans_by_tiles(points, k, iterations, metric, seed, tolerance, low, high)
 
 def medoids_of(points: DataFrame, centres: DataFrame, metric: str = "euclidean") -> DataFrame:
     """(id = cluster, features, point): the data point nearest to every centre, ties by id."""
+    metric = bound(points, metric)
     d = dims_of(points)
     reps = Representatives(centres, d)
     if reps.local is None:
@@ -156,7 +159,7 @@ def medoids_of(points: DataFrame, centres: DataFrame, metric: str = "euclidean")
             order = np.argsort(own, kind="stable")
             X = matrix(batch.column("features"))[order]
             pos, score = nearest_index(M, X, metric)
-            bad = MEASURES[metric].badness_np(score)
+            bad = measure(metric).badness_np(score)
             yield pa.RecordBatch.from_pydict({
                 "id": pa.array(ids), "bad": pa.array(bad), "point": pa.array(own[order][pos]),
                 "features": pa.array([x.tolist() for x in X[pos]], pa.list_(pa.float64()))})
@@ -168,6 +171,7 @@ def medoids_of(points: DataFrame, centres: DataFrame, metric: str = "euclidean")
 
 def kmedoids_step(points: DataFrame, medoids: DataFrame, metric: str = "euclidean") -> DataFrame:
     """Assign to the given medoids (id, features), average, and take the data points nearest to the averages."""
+    metric = bound(points, metric)
     assigned = assign_nearest(points, Representatives(medoids, dims_of(points)), metric)
     means = centroids(assigned).select(F.col("prediction").alias("id"), F.col("centroid").alias("features"))
     return medoids_of(points, means, metric)
@@ -224,7 +228,7 @@ def farthest_first_centres(points: DataFrame, k: int, metric: str = "euclidean",
         else:
             row = held.where(F.col("id") == first).first()
         found = [(row["id"], list(row["features"]))]
-        m = MEASURES[metric]
+        m = measure(metric)
         while len(found) < k:
             M = np.array([f for _, f in found])
             ship = held.sparkSession.sparkContext.broadcast(M)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..session import collect_bounded, cut_lineage, settle_small
 from ..sources.points import long_form
-from .pairs import Block, batch_of, pack, plan_tiles, tile_reduce
+from .pairs import Block, batch_of, matrix, pack, plan_tiles, tile_reduce
 
 
 def _plogp(n: Column, total: Column) -> Column:
@@ -118,15 +118,28 @@ def mdl_cuts(points: DataFrame, weight: str = "values") -> DataFrame:
         "attr": pa.array([c[0] for c in cuts], pa.int32()), "cut": pa.array([c[1] for c in cuts], pa.float64())}))
 
 
-def two_bin_cuts(points: DataFrame, weight: str = "values") -> DataFrame:
-    """(attr, cut, lef): the single cut with the lowest weighted class entropy, first one on ties."""
+def split_records(points: DataFrame, weight: str = "values") -> DataFrame:
+    """The best single cut of every attribute with what it parts: (attr, cut, lef, entropy, entropy1, entropy2, kinds1, kinds2, size1,
+    size2, counts1, counts2). Counts are class -> rows, kinds the number of classes, sizes the weights; the first cut wins ties."""
     table, k = running_counts(points, weight)
+    names = sorted(r["label"] for r in points.select("label").where("label IS NOT NULL").distinct().collect())  # k, checked above
     zero = F.lit(0).cast("bigint")
     cand = table.where("pos > 0").withColumns(
         {"lo": zero, **{f"a{i}": zero for i in range(k)}, **{f"b{i}": F.col(f"t{i}") for i in range(k)}})
-    lef = _split_cost(k, end="m")[0]
-    best = cand.groupBy("attr").agg(F.min(F.struct(lef.alias("lef"), F.col("value").alias("cut"))).alias("x"))
-    return best.select("attr", "x.cut", "x.lef")
+    lef, e1, e2, left, right = _split_cost(k, end="m")
+    kinds = lambda cs: sum(((c > 0).cast("int") for c in cs), F.lit(0))
+    counts = lambda cs: F.map_from_entries(F.array(*[F.struct(F.lit(n), c.cast("bigint")) for n, c in zip(names, cs)]))
+    whole = _entropy([F.col(f"t{i}") for i in range(k)])
+    best = cand.groupBy("attr").agg(F.min_by(
+        F.struct(F.col("value").alias("cut"), lef.alias("lef"), whole.alias("entropy"), e1.alias("entropy1"), e2.alias("entropy2"), kinds(left).alias("kinds1"),
+                 kinds(right).alias("kinds2"), F.col("pos").alias("size1"), (F.col("m") - F.col("pos")).alias("size2"),
+                 counts(left).alias("counts1"), counts(right).alias("counts2")), F.struct(lef.alias("l"), F.col("value").alias("v"))).alias("x"))
+    return best.select("attr", "x.*")
+
+
+def two_bin_cuts(points: DataFrame, weight: str = "values") -> DataFrame:
+    """(attr, cut, lef): the single cut with the lowest weighted class entropy, first one on ties."""
+    return split_records(points, weight).select("attr", "cut", "lef")
 
 
 def optimal_cuts(points: DataFrame, bins: int, weight: str = "values") -> DataFrame:
@@ -184,10 +197,68 @@ def optimal_cuts(points: DataFrame, bins: int, weight: str = "values") -> DataFr
 
 
 def apply_cuts(points: DataFrame, cuts: DataFrame) -> DataFrame:
-    """Cells become the number of their attribute's cuts at or below the value. `cuts` is (attr, cut)."""
-    per = cuts.groupBy("attr").agg(F.collect_list("cut").alias("cuts"))
-    table = per.agg(F.map_from_entries(F.collect_list(F.struct("attr", "cuts"))).alias("m")).scalar()
-    with_cuts = points.withColumn("_c", table)
-    binned = F.transform("features", lambda x, i: F.size(F.filter(
-        F.coalesce(F.try_element_at(F.col("_c"), i), F.array().cast("array<double>")), lambda b: b <= x)).cast("double"))
-    return with_cuts.withColumn("features", binned).drop("_c")
+    """Cells become the number of their attribute's cuts at or below the value (NaN lies above all). `cuts` is (attr, cut). Cuts are shipped
+    while they fit the broadcast limit; beyond it cells meet them in a join, as counts per slice of the cuts."""
+    rows = collect_bounded(cuts, 16)
+    if rows is None:
+        return _apply_by_join(points, cuts)
+    by: dict[int, list[float]] = {}
+    for r in rows:
+        by.setdefault(r["attr"], []).append(r["cut"])
+    shipped = points.sparkSession.sparkContext.broadcast({a: np.sort(np.array(c, dtype=np.float64)) for a, c in by.items()})
+
+    @F.arrow_udf("array<double>")
+    def number(v: pa.Array) -> pa.Array:
+        X = matrix(v)
+        out = np.zeros(X.shape)
+        for a, c in shipped.value.items():
+            if a < X.shape[1]:
+                out[:, a] = np.searchsorted(c, X[:, a], side="right")
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(X) + 1) * X.shape[1], pa.int32()), pa.array(out.ravel()))
+
+    return points.withColumn("features", number("features"))
+
+
+def _apply_by_join(points: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Every distinct (attr, value) once takes its place among the cuts: both are ordered together, and the cuts up to a value counted by
+    slices of the order. Cells then look their number up by an equi-join."""
+    spark = points.sparkSession
+    cells = long_form(points, "id")
+    values = cells.select("attr", "value").distinct()
+    both = values.withColumn("c", F.lit(0)).unionByName(cuts.select("attr", F.col("cut").alias("value"), F.lit(1).alias("c")))
+    # Cuts come before an equal value.
+    slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sliced = cut_lineage(both.repartitionByRange(slices, "attr", "value", F.desc("c")).withColumn("slice", F.spark_partition_id()))
+    prior = Window.partitionBy("attr").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    offset = sliced.groupBy("attr", "slice").agg(F.sum("c").alias("n")).select("attr", "slice", F.coalesce(F.sum("n").over(prior), F.lit(0)).alias("before"))
+    inner = Window.partitionBy("attr", "slice").orderBy("value", F.desc("c")).rowsBetween(Window.unboundedPreceding, 0)
+    placed = sliced.withColumn("here", F.sum("c").over(inner)).where("c = 0").join(offset, ["attr", "slice"])
+    numbers = placed.select("attr", "value", (F.col("here") + F.col("before")).cast("double").alias("bin"))
+    met = cells.join(numbers, ["attr", "value"])
+    packed = met.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("attr", "bin"))), lambda x: x["bin"]).alias("features"))
+    return points.drop("features").join(packed, "id").select(*points.columns)
+
+
+class EntropyBinner:
+    """Cells to bin numbers by class entropy: `bins` 2, 3, ... optimal bins, or None for the cuts that the MDL criterion accepts."""
+
+    def __init__(self, bins: int | None = None, weight: str = "values"):
+        self.bins, self.weight, self.cuts = bins, weight, None
+
+    def fit(self, points: DataFrame) -> "EntropyBinner":
+        if self.bins is None:
+            found = mdl_cuts(points, self.weight)
+        elif self.bins == 2:
+            found = two_bin_cuts(points, self.weight).select("attr", "cut")
+        else:
+            found = optimal_cuts(points, self.bins, self.weight).select("attr", F.explode("cuts").alias("cut"))
+        self.cuts = cut_lineage(found)
+        return self
+
+    def transform(self, points: DataFrame) -> DataFrame:
+        if self.cuts is None:
+            raise ValueError("fit first")
+        return apply_cuts(points, self.cuts)
+
+    def fit_transform(self, points: DataFrame) -> DataFrame:
+        return self.fit(points).transform(points)

@@ -11,7 +11,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.distances import MEASURES
+from ..functions.distances import measure
 from ..functions.hashing import hash_uniform
 from ..session import one_row, settle_small
 from ..sources.points import class_index, long_form
@@ -132,7 +132,7 @@ def relation_to_class(points: DataFrame, metric: str = "pearson") -> DataFrame:
 
 
 def _by_relation(points: DataFrame, n: int, metric: str) -> DataFrame:
-    bad = MEASURES[metric].badness(F.col("score"))
+    bad = measure(metric).badness(F.col("score"))
     scored = relation_to_class(points, metric)
     usable = scored.where(F.col("score").isNotNull() & ~F.isnan("score"))
     ordered = usable.agg(F.array_sort(F.collect_list(F.struct(bad.alias("b"), F.col("attr"), F.col("score")))).alias("r"))

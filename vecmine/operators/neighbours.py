@@ -7,8 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.distances import MEASURES
-from .pairs import Block, batch_of, chunks, nearest, pack, plan_tiles, shape_of, tile_reduce
+from ..functions.distances import measure
+from .pairs import Block, batch_of, bound, chunks, nearest, pack, plan_tiles, shape_of, tile_reduce
 from .slabs import near_reduce, supported
 
 
@@ -29,13 +29,14 @@ def _bounded_below(metric: str) -> bool:
 
 def range_join(points: DataFrame, eps: float, metric: str = "euclidean", **params) -> DataFrame:
     """(id, other, distance) with id < other and distance < eps. Under a norm, only blocks of points that may be near meet."""
+    metric = bound(points, metric)
     schema = pa.schema([("id", pa.int64()), ("other", pa.int64()), ("distance", pa.float64())])
 
     def kernel(L: Block, R: Block):
         if _bounded_below(metric) and L.key != R.key and _box_gap(L, R) >= eps:
             return
         for part, dist in chunks(L, R, metric, **params):
-            near = MEASURES[metric].badness_np(dist) < eps
+            near = measure(metric).badness_np(dist) < eps
             if L.key == R.key:
                 near &= np.arange(part.start, part.stop)[:, None] < np.arange(len(R))[None, :]
             i, j = np.nonzero(near)
@@ -56,6 +57,7 @@ def _pairs_within(points: DataFrame, kernel, schema: str, eps: float, metric: st
 
 def neighbour_counts(points: DataFrame, eps: float, metric: str = "euclidean", **params) -> DataFrame:
     """(id, degree): how many points, the point itself included, are nearer than eps. No pair leaves a task."""
+    metric = bound(points, metric)
     schema = pa.schema([("id", pa.int64()), ("degree", pa.int64())])
 
     def kernel(L: Block, R: Block):

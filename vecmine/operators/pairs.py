@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.distances import block_distance
+from ..functions.distances import BOUND, block_distance, measure, with_params
 from ..session import cut_lineage, parallelism
 
 BLOCK_BYTES = 8 * 1024 * 1024
@@ -209,6 +209,39 @@ def batch_of(schema: pa.Schema, *arrays) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, type=f.type) for a, f in zip(arrays, schema)], schema=schema)
 
 
+def bound(points: DataFrame, metric):
+    """A measure ready for blocks: one that needs the data set's ranges or covariance gets them from one pass over the points."""
+    if not isinstance(metric, str) or metric not in BOUND:
+        return metric
+    d = shape_of(points)[1]
+    if BOUND[metric] == "ranges":
+        row = points.agg(*[f(F.get("features", i)).alias(f"{n}{i}") for n, f in (("lo", F.min), ("hi", F.max)) for i in range(d)]).first()
+        return with_params(metric, low=[row[f"lo{i}"] for i in range(d)], high=[row[f"hi{i}"] for i in range(d)])
+    return with_params(metric, inverse=np.linalg.inv(covariance(points, d)))
+
+
+def covariance(points: DataFrame, d: int) -> np.ndarray:
+    """Sample covariance matrix: every task sends one row of sums, taken about the first of its points."""
+    def run(batches):
+        n, shift, s, S = 0, None, np.zeros(d), np.zeros((d, d))
+        for batch in batches:
+            if batch.num_rows:
+                X = matrix(batch.column("features"))
+                shift = X[0].copy() if shift is None else shift
+                X = X - shift
+                n, s, S = n + len(X), s + X.sum(axis=0), S + X.T @ X
+        if n:
+            yield pa.record_batch([pa.array([n]), pa.array([(s / n + shift).tolist()]), pa.array([(S - np.outer(s, s) / n).ravel().tolist()])], names=["n", "m", "S"])
+
+    total, mean, scatter = 0, np.zeros(d), np.zeros((d, d))
+    for r in points.select("features").mapInArrow(run, "n long, m array<double>, S array<double>").toLocalIterator():  # a row per task, one at a time
+        gap = np.array(r["m"]) - mean
+        both = total + r["n"]
+        scatter += np.array(r["S"]).reshape(d, d) + np.outer(gap, gap) * total * r["n"] / both
+        mean, total = mean + gap * r["n"] / both, both
+    return scatter / max(1, total - 1)
+
+
 # ---- sums of distances per (point, class) --------------------------------------------------------
 
 _SUMS = "id long, prediction long, run int, other long, total double"
@@ -243,6 +276,7 @@ def class_sums(points: DataFrame, metric: str, sample: DataFrame | None = None,
     sample; without it every point meets every other point once and both directions are recorded.
     """
     spark = points.sparkSession
+    metric = bound(points, metric)
     n, d = shape or shape_of(points)
     if sample is None:
         plan = plan_tiles(spark, d, n)
@@ -292,9 +326,8 @@ def nearest(queries: DataFrame, refs: DataFrame, k: int, metric: str = "euclidea
     """
     from pyspark.sql import Window
 
-    from ..functions.distances import MEASURES
-
-    m = MEASURES[metric]
+    metric = bound(refs, metric)
+    m = measure(metric)
     spark = queries.sparkSession
     n, d = shape_of(queries)
     n_refs = n if refs is queries else shape_of(refs)[0]

@@ -12,10 +12,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.distances import MEASURES, block_distance
+from ..functions.distances import block_distance, measure
 from ..functions.hashing import hash_uniform
 from ..session import collect_bounded, parallelism, settle_small
-from .pairs import batch_of, matrix
+from .pairs import batch_of, bound, matrix
 
 
 def _draws(seeds, tag: str):
@@ -86,6 +86,7 @@ def pps_probabilities(points: DataFrame, t: int, delta: float = 0.1, seeds=(1,),
     gamma is the largest share of a point in the total distance of any initial-sample point of its cluster, at
     least 1/n; clusters of at most t points are taken whole. Passes: sizes, initial sample, its totals, the points.
     """
+    metric = bound(points, metric)
     spark = points.sparkSession
     points = points.select("id", "features", "prediction")
     prof = prof or profile(points)
@@ -153,7 +154,7 @@ def pps_probabilities(points: DataFrame, t: int, delta: float = 0.1, seeds=(1,),
 
 def _pps_by_join(points, sizes, s0, t, seeds, metric, only_selected, **params) -> DataFrame:
     """The same by equi-joins on the cluster, for more clusters than can be shipped."""
-    dist = partial(MEASURES[metric].column, **params)
+    dist = partial(measure(metric).column, **params)
     seed_rows = s0.select("run", "prediction", F.col("id").alias("sid"), F.col("features").alias("sf"))
     near = points.join(seed_rows, "prediction")
     totals = near.groupBy("run", "prediction", "sid").agg(

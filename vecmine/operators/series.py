@@ -68,23 +68,85 @@ def series_arrays(series: DataFrame) -> DataFrame:
 
 # ---- dynamic time warping ------------------------------------------------------------------------
 
+# From this mean width on, a window is walked by whole anti-diagonals; narrower ones cell by cell.
+WIDE = 48
+DIAGONAL, UP, LEFT = 0, 1, 2
+
+
 def _warp(a: np.ndarray, b: np.ndarray, cost, low: np.ndarray, high: np.ndarray):
-    """(distance, path length) of the cheapest monotone path through columns low[i]..high[i] of each row."""
+    """(distance, rows, columns) of the cheapest monotone path through columns low[i]..high[i] of each row; equal ways prefer the
+    diagonal, then the step down. Only one byte per cell of the window is kept. An empty series has no path and distance NaN."""
+    n, m = len(a), len(b)
+    if not n or not m:
+        return math.nan, np.zeros(0, int), np.zeros(0, int)
+    offsets = np.r_[0, np.cumsum(high - low + 1)]
+    moves = np.zeros(offsets[-1], np.uint8)
+    total = (_by_diagonals if offsets[-1] >= WIDE * n else _by_cells)(a, b, cost, low, high, offsets, moves)
+    return total, *_path(moves, offsets, low, n, m)
+
+
+def _by_diagonals(a, b, cost, low, high, offsets, moves) -> float:
+    """All cells with i + j = s at once, from the two diagonals before. Windows are monotone, so a diagonal's rows are consecutive."""
     n, m = len(a), len(b)
+    rows = np.arange(n)
+    sums = np.arange(n + m - 1)
+    first, last = np.searchsorted(rows + high, sums), np.searchsorted(rows + low, sums, side="right") - 1
+    # Costs by row + 1, so that the row before the first one is there and infinite.
+    older, old, new = (np.full(n + 1, math.inf) for _ in range(3))
+    spans = [(0, 0)] * 3
+    for s in sums:
+        x, y = int(first[s]), int(last[s]) + 1
+        new[spans[0][0]: spans[0][1]] = math.inf
+        if x < y:
+            i = rows[x:y]
+            step, best = cost(a[x:y], b[s - i]), older[x:y].copy()
+            if s == 0:
+                best[0] = 0.0
+            way = np.zeros(y - x, np.uint8)
+            for code, other in ((UP, old[x:y]), (LEFT, old[x + 1: y + 1])):
+                less = other < best
+                best[less], way[less] = other[less], code
+            new[x + 1: y + 1] = step + best
+            moves[offsets[x:y] + s - i - low[x:y]] = way
+        spans = [spans[1], spans[2], (x + 1, y + 1)]
+        older, old, new = old, new, older
+    return float(old[n])
+
+
+def _by_cells(a, b, cost, low, high, offsets, moves) -> float:
     inf = math.inf
-    total = np.full((n + 1, m + 1), inf)
-    total[0, 0] = 0.0
-    for i in range(n):
-        step = cost(a[i], b[low[i]:high[i] + 1])
-        row, above = total[i + 1], total[i]
-        for j in range(low[i], high[i] + 1):
-            row[j + 1] = step[j - low[i]] + min(above[j], above[j + 1], row[j])
-    i, j, length = n, m, 1
-    while (i, j) != (1, 1):
-        options = [(total[i - 1, j - 1], i - 1, j - 1), (total[i - 1, j], i - 1, j), (total[i, j - 1], i, j - 1)]
-        _, i, j = min((o for o in options if o[1] >= 1 and o[2] >= 1), key=lambda o: o[0])
-        length += 1
-    return float(total[n, m]), length, total
+    above, left_edge = [], 0
+    for i in range(len(a)):
+        lo, hi = int(low[i]), int(high[i])
+        step, row, at = cost(a[i], b[lo: hi + 1]).tolist(), [], int(offsets[i])
+        width = len(above)
+        before = inf
+        for j in range(lo, hi + 1):
+            k = j - left_edge
+            best, way = (above[k - 1] if 0 < k <= width else inf), DIAGONAL
+            if i == 0 and j == 0:
+                best = 0.0
+            up = above[k] if 0 <= k < width else inf
+            if up < best:
+                best, way = up, UP
+            if before < best:
+                best, way = before, LEFT
+            before = step[j - lo] + best
+            row.append(before)
+            moves[at + j - lo] = way
+        above, left_edge = row, lo
+    return float(above[-1])
+
+
+def _path(moves, offsets, low, n: int, m: int) -> tuple[np.ndarray, np.ndarray]:
+    i, j = n - 1, m - 1
+    rows, columns = [i], [j]
+    while i or j:
+        way = moves[offsets[i] + j - low[i]]
+        i, j = i - (way != LEFT), j - (way != UP)
+        rows.append(i)
+        columns.append(j)
+    return np.array(rows[::-1]), np.array(columns[::-1])
 
 
 def _full(n: int, m: int):
@@ -112,19 +174,14 @@ def _fast(a: np.ndarray, b: np.ndarray, cost, radius: int):
         return _full(len(a), len(b))
     sa, sb = _shrink(a), _shrink(b)
     low, high = _fast(sa, sb, cost, radius)
-    total = _warp(sa, sb, cost, low, high)[2]
+    _, at, to = _warp(sa, sb, cost, low, high)
     n, m = len(a), len(b)
     lo, hi = np.full(n, m - 1), np.zeros(n, dtype=int)
     fa, fb = n / len(sa), m / len(sb)
-    i, j = len(sa), len(sb)
-    while True:
-        rows = slice(max(0, math.floor((i - 1) * fa) - radius), min(n, math.ceil(i * fa) + radius))
-        lo[rows] = np.minimum(lo[rows], max(0, math.floor((j - 1) * fb) - radius))
-        hi[rows] = np.maximum(hi[rows], min(m - 1, math.ceil(j * fb) - 1 + radius))
-        if (i, j) == (1, 1):
-            break
-        options = [(total[i - 1, j - 1], i - 1, j - 1), (total[i - 1, j], i - 1, j), (total[i, j - 1], i, j - 1)]
-        _, i, j = min((o for o in options if o[1] >= 1 and o[2] >= 1), key=lambda o: o[0])
+    for i, j in zip(at.tolist(), to.tolist()):
+        rows = slice(max(0, math.floor(i * fa) - radius), min(n, math.ceil((i + 1) * fa) + radius))
+        lo[rows] = np.minimum(lo[rows], max(0, math.floor(j * fb) - radius))
+        hi[rows] = np.maximum(hi[rows], min(m - 1, math.ceil((j + 1) * fb) - 1 + radius))
     lo[0], hi[-1] = 0, m - 1
     return np.minimum.accumulate(lo[::-1])[::-1], np.maximum.accumulate(hi)
 
@@ -133,7 +190,7 @@ def warp_pairs(pairs: DataFrame, method: str = "full", radius: int = 1) -> DataF
     """(key_a, key_b, distance, path) for rows (key_a, a, key_b, b): `full`, `band`, `fast` or `similarity`.
 
     Distances add absolute differences along the path. `similarity` adds squared differences, drops NaN, and
-    returns 1 - z / (1 + z) with z = sqrt(total) / path length.
+    returns 1 - z / (1 + z) with z = sqrt(total) / path length. A pair with an empty or null series has distance NaN and path 0.
     """
     if method not in ("full", "band", "fast", "similarity"):
         raise ValueError(method)
@@ -142,19 +199,23 @@ def warp_pairs(pairs: DataFrame, method: str = "full", radius: int = 1) -> DataF
         for batch in batches:
             out = {"key_a": batch.column("key_a"), "key_b": batch.column("key_b"), "distance": [], "path": []}
             for x, y in zip(batch.column("a"), batch.column("b")):
-                a, b = np.array(x.as_py(), dtype=float), np.array(y.as_py(), dtype=float)
+                a, b = np.array(x.as_py() or (), dtype=float), np.array(y.as_py() or (), dtype=float)
                 absolute = lambda u, v: np.abs(u - v)
                 if method == "similarity":
                     a, b = a[~np.isnan(a)], b[~np.isnan(b)]
-                    dist, length, _ = _warp(a, b, lambda u, v: (u - v) ** 2, *_full(len(a), len(b)))
-                    z = math.sqrt(dist) / length
+                    dist, path, _ = _warp(a, b, lambda u, v: (u - v) ** 2, *_full(len(a), len(b)))
+                    z = math.sqrt(dist) / len(path) if len(path) else math.nan
                     dist = 1 - z / (1 + z)
                 else:
+                    if not len(a) or not len(b):
+                        out["distance"].append(math.nan)
+                        out["path"].append(0)
+                        continue
                     window = {"full": lambda: _full(len(a), len(b)), "band": lambda: _band(len(a), len(b), radius),
                               "fast": lambda: _fast(a, b, absolute, radius)}[method]()
-                    dist, length, _ = _warp(a, b, absolute, *window)
+                    dist, path, _ = _warp(a, b, absolute, *window)
                 out["distance"].append(dist)
-                out["path"].append(length)
+                out["path"].append(len(path))
             yield pa.RecordBatch.from_pydict({
                 "key_a": out["key_a"], "key_b": out["key_b"], "distance": pa.array(out["distance"], pa.float64()),
                 "path": pa.array(out["path"], pa.int32())})

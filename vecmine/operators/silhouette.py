@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from ..functions import distances as D
 from ..functions import vectors as V
 from ..functions.distances import block_distance
-from ..session import collect_bounded, settle_small
+from ..session import collect_bounded, cut_lineage, settle_small
 from .centroids import Representatives, centroids, cluster_sizes, dims_of
-from .pairs import CHUNK_CELLS, Block, batch_of, class_sums, chunks, matrix, pack, plan_tiles, shape_of, tile_reduce
+from .pairs import CHUNK_CELLS, Block, batch_of, bound, chunks, class_sums, matrix, pack, plan_tiles, shape_of, tile_reduce
 from .sampling import Profile, pps_sample, profile, uniform_sample
 
 
@@ -65,6 +65,79 @@ def exact_scores(points: DataFrame, metric: str = "euclidean", singleton: str =
     return _finish(class_sums(points, metric, shape=(prof.n, prof.d), **params), prof.sizes, prof.k, singleton)
 
 
+_MANY = pa.schema([("id", pa.int64()), ("conf", pa.int32()), ("prediction", pa.int64()), ("other", pa.int64()), ("total", pa.float64())])
+
+
+def exact_scores_many(points: DataFrame, metric: str = "euclidean", singleton: str = "one") -> DataFrame:
+    """(conf, id, prediction, a, b, s) for several clusterings of the same points, given as an array column `labels` with one cluster
+    per clustering. Every distance is computed once; its matrix is then summed by the clusters of each clustering."""
+    if singleton not in ("one", "zero"):
+        raise ValueError("singleton is 'one' or 'zero'")
+    metric = bound(points, metric)
+    n, d = shape_of(points)
+    confs = points.agg(F.max(F.size("labels"))).first()[0] or 0
+    spread = points.select("id", "features", *[F.get("labels", c).cast("long").alias(f"c{c}") for c in range(confs)])
+    plan = plan_tiles(points.sparkSession, d, n)
+    blocks = pack(spread, plan.left_rows, *[f"c{c}" for c in range(confs)])
+
+    def groups(block: Block):
+        """Per clustering: the order of the points by cluster, where clusters start in it, and their names."""
+        if not hasattr(block, "groups"):
+            block.groups = []
+            for c in range(confs):
+                own = block.cols[f"c{c}"]
+                order = np.argsort(own, kind="stable")
+                first = np.flatnonzero(np.r_[True, own[order][1:] != own[order][:-1]])
+                block.groups.append((order, first, own[order][first]))
+        return block.groups
+
+    def rows(block: Block, conf: int, sums: np.ndarray, names: np.ndarray):
+        m, k = sums.shape
+        return batch_of(_MANY, np.repeat(block.ids, k), np.full(m * k, conf), np.repeat(block.cols[f"c{conf}"], k), np.tile(names, m), sums.ravel())
+
+    def kernel(L: Block, R: Block):
+        left = [np.zeros((len(L), len(first))) for _, first, _ in groups(R)]
+        right = [np.zeros((len(R), len(first))) for _, first, _ in groups(L)]
+        for part, dist in chunks(L, R, metric):
+            for c in range(confs):
+                order, first, _ = groups(R)[c]
+                left[c][part] = np.add.reduceat(dist[:, order], first, axis=1)
+                if L.key != R.key:
+                    # Clusters of this slice of the left block, added to where they belong.
+                    own, names = L.cols[f"c{c}"][part], groups(L)[c][2]
+                    by = np.argsort(own, kind="stable")
+                    at = np.flatnonzero(np.r_[True, own[by][1:] != own[by][:-1]])
+                    right[c][:, np.searchsorted(names, own[by][at])] += np.add.reduceat(dist[by], at, axis=0).T
+        for c in range(confs):
+            yield rows(L, c, left[c], groups(R)[c][2])
+            if L.key != R.key:
+                yield rows(R, c, right[c], groups(L)[c][2])
+
+    parts = tile_reduce(blocks, None, kernel, "id long, conf int, prediction long, other long, total double", plan)
+    sums = parts.groupBy("conf", "id", "prediction", "other").agg(F.sum("total").alias("total"))
+    sizes, _ = settle_small(spread.select(F.posexplode(F.array(*[f"c{c}" for c in range(confs)])).alias("conf", "other"))
+                            .groupBy("conf", "other").agg(F.count(F.lit(1)).alias("n")))
+    if sizes.groupBy("conf").agg(F.count(F.lit(1)).alias("k")).where("k < 2").count():
+        raise ValueError("a silhouette needs at least two clusters")
+    own = F.col("other") == F.col("prediction")
+    per = sums.join(sizes, ["conf", "other"]).groupBy("conf", "id", "prediction").agg(
+        F.coalesce(F.sum(F.when(own & (F.col("n") > 1), F.col("total") / (F.col("n") - 1))), F.lit(0.0)).alias("a"),
+        F.min(F.when(~own, F.col("total") / F.col("n"))).alias("b"), F.max(F.when(own, F.col("n") == 1)).alias("alone"))
+    s = _score(F.col("a"), F.col("b"))
+    if singleton == "zero":
+        s = F.when(F.col("alone"), F.lit(0.0)).otherwise(s)
+    return per.select("conf", "id", "prediction", "a", "b", s.alias("s"))
+
+
+def labelled_together(configs: dict[int, DataFrame]) -> tuple[DataFrame, list[int]]:
+    """Points with `labels`, one cluster per configuration, and the configurations in that order; points must be the same in all."""
+    confs = sorted(configs)
+    out = configs[confs[0]].select("id", "features", F.col("prediction").alias("p0"))
+    for i, conf in enumerate(confs[1:], 1):
+        out = out.join(configs[conf].select("id", F.col("prediction").alias(f"p{i}")), "id")
+    return out.select("id", "features", F.array(*[f"p{i}" for i in range(len(confs))]).alias("labels")), confs
+
+
 def summarize(scores: DataFrame) -> DataFrame:
     return scores.agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct("prediction").alias("k"), F.avg("s").alias("silh"))
@@ -147,6 +220,7 @@ def estimate_scores(points: DataFrame, sample: DataFrame, runs: int = 1, metric:
     `sample` has columns (run, id, features, prediction, pi). Points stay where they are while the sample
     fits the broadcast limit; a larger sample meets the points in tiles.
     """
+    metric = bound(points, metric)
     prof = _checked(prof or profile(points))
     shared = _gather(points, sample, prof)
     if shared is None:
@@ -171,6 +245,7 @@ def estimate_scores(points: DataFrame, sample: DataFrame, runs: int = 1, metric:
 def estimate(points: DataFrame, sample: DataFrame, runs: int = 1, metric: str = "euclidean",
              singleton: str = "one", prof: Profile | None = None, **params) -> DataFrame:
     """(run, n, silh): the mean estimate of each run; only per-batch totals leave the tasks."""
+    metric = bound(points, metric)
     prof = _checked(prof or profile(points))
     shared = _gather(points, sample, prof)
     if shared is None:
@@ -193,6 +268,7 @@ def estimate(points: DataFrame, sample: DataFrame, runs: int = 1, metric: str =
 
 def pps_silhouette(points: DataFrame, t: int | None = None, eps: float = 0.1, delta: float = 0.1,
                    seeds: list[int] = (1,), metric: str = "euclidean", **params) -> DataFrame:
+    metric = bound(points, metric)
     prof = profile(points)
     sample = pps_sample(points, t or sample_size(prof.n, prof.k, eps, delta), delta, seeds, metric, prof, **params)
     return estimate(points, sample, len(seeds), metric, prof=prof, **params)
@@ -200,6 +276,7 @@ def pps_silhouette(points: DataFrame, t: int | None = None, eps: float = 0.1, de
 
 def uniform_silhouette(points: DataFrame, t: int | None = None, eps: float = 0.1, delta: float = 0.1,
                        seeds: list[int] = (1,), metric: str = "euclidean", **params) -> DataFrame:
+    metric = bound(points, metric)
     prof = profile(points)
     sample = uniform_sample(points, t or sample_size(prof.n, prof.k, eps, delta), seeds, prof)
     return estimate(points, sample, len(seeds), metric, prof=prof, **params)
@@ -209,6 +286,7 @@ def uniform_silhouette(points: DataFrame, t: int | None = None, eps: float = 0.1
 
 def representatives(points: DataFrame, metric: str = "euclidean") -> DataFrame:
     """(id = cluster, features): the member of each cluster nearest to the cluster's centroid."""
+    metric = bound(points, metric)
     m = D.measure(metric)
     cents, _ = settle_small(centroids(points).select("prediction", "centroid"), 8 * dims_of(points) + 32)
     near = points.join(cents, "prediction")
@@ -270,6 +348,7 @@ def _nearest_foreign(points: DataFrame, reps: DataFrame, metric: str) -> DataFra
 
 def simplified_scores(points: DataFrame, metric: str = "euclidean") -> DataFrame:
     """a and b are distances to the nearest-to-centroid members of the own and the closest other cluster."""
+    metric = bound(points, metric)
     _refuse_one_cluster(points)
     seen = _against_representatives(points, representatives(points, metric), metric)
     return seen.select("id", "prediction", F.col("own").alias("a"), F.col("other").alias("b"),
@@ -336,6 +415,7 @@ def _by_centroid_tiles(points: DataFrame, stats: DataFrame, own_value) -> DataFr
 
 def frahling_sohler_scores(points: DataFrame, metric: str = "euclidean") -> DataFrame:
     """Exact sums, but only to the own cluster and to the one whose centroid is the nearest other."""
+    metric = bound(points, metric)
     _refuse_one_cluster(points)
     cents = centroids(points).select(F.col("prediction").alias("id"), F.col("centroid").alias("features"))
     seen = _against_representatives(points, cents, metric).select(
@@ -398,6 +478,13 @@ def rank_configurations(scores: DataFrame) -> DataFrame:
     return scores.withColumn("best", F.col("conf") == best)
 
 
+def _exact_of(configs: dict[int, DataFrame], metric) -> DataFrame:
+    """(conf, exact) of all configurations from one pass over the pairs of points."""
+    points, confs = labelled_together(configs)
+    scores = exact_scores_many(cut_lineage(points), metric).groupBy("conf").agg(F.avg("s").alias("exact"))
+    return cut_lineage(scores.select(F.get(F.array(*map(F.lit, confs)), F.col("conf")).alias("conf"), "exact"))
+
+
 def error_study(configs: dict[int, DataFrame], t: int, runs: int, delta: float = 0.1,
                 metric: str = "euclidean", methods: tuple[str, ...] = ("pps", "uniform")) -> DataFrame:
     """(method, conf, run, exact, estimate, error, chosen, hit) for repeated estimates of several clusterings.
@@ -405,15 +492,14 @@ def error_study(configs: dict[int, DataFrame], t: int, runs: int, delta: float =
     All runs of one configuration and method share one pass over the points.
     """
     seeds = list(range(1, runs + 1))
-    exact, rows = None, None
+    exact, rows = _exact_of(configs, metric), None
     for conf, points in configs.items():
-        one = summarize(exact_scores(points, metric)).select(F.lit(conf).alias("conf"), F.col("silh").alias("exact"))
-        exact = one if exact is None else exact.unionByName(one)
         for method in methods:
             call = pps_silhouette if method == "pps" else uniform_silhouette
             est = call(points, t, delta=delta, seeds=seeds, metric=metric).select(
                 F.lit(method).alias("method"), F.lit(conf).alias("conf"), "run", F.col("silh").alias("estimate"))
             rows = est if rows is None else rows.unionByName(est)
+    rows = cut_lineage(rows)
     truth = exact.agg(F.max_by("conf", F.struct(F.col("exact"), -F.col("conf")))).scalar()
     chosen = rows.groupBy("method", "run").agg(
         F.max_by("conf", F.struct(F.col("estimate"), -F.col("conf"))).alias("chosen"))
@@ -440,13 +526,14 @@ def method_comparison(configs: dict[int, DataFrame], t: int, runs: int, delta: f
         one = df.select(F.lit(conf).alias("conf"), F.lit(method).alias("method"), F.col("silh").alias("score"))
         rows = one if rows is None else rows.unionByName(one)
 
+    exact = _exact_of(configs, metric)
     for conf, points in configs.items():
-        add(conf, "exact", summarize(exact_scores(points, metric)))
+        add(conf, "exact", exact.where(F.col("conf") == conf).select(F.col("exact").alias("silh")))
         add(conf, "pps", pps_silhouette(points, t, delta=delta, seeds=seeds, metric=metric).agg(F.avg("silh").alias("silh")))
         add(conf, "uniform", uniform_silhouette(points, t, delta=delta, seeds=seeds, metric=metric).agg(F.avg("silh").alias("silh")))
         add(conf, "simplified", summarize(simplified_scores(points, metric)))
         add(conf, "frahling_sohler", summarize(frahling_sohler_scores(points, metric)))
-    exact = rows.where("method = 'exact'").select("conf", F.col("score").alias("exact"))
+    rows = cut_lineage(rows)
     return rows.join(exact, "conf").select(
         "conf", "method", "score", F.abs(F.col("score") - F.col("exact")).alias("error"))
 

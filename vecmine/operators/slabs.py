@@ -59,8 +59,8 @@ class Frame:
         return out
 
 
-def supported(metric: str) -> bool:
-    return metric in DUAL
+def supported(metric) -> bool:
+    return isinstance(metric, str) and metric in DUAL
 
 
 def frame_of(points: DataFrame, d: int, eps: float, metric: str, directions: int = DIRECTIONS) -> Frame:

@@ -150,6 +150,19 @@ def bin_mdl(s, d):
     return Z.mdl_cuts(L.remove_attributes(marked, [3]))
 
 
+def split_record(s, d):
+    out = Z.split_records(lineitem_points(s, d))
+    flat = out.select("attr", "cut", "lef", "entropy", "entropy1", "entropy2", "kinds1", "kinds2", "size1", "size2",
+                      *[F.element_at(f"counts{k}", F.lit(c)).alias(f"{c.lower()}{k}") for k in (1, 2) for c in "ANR"])
+    return rounded(flat, "lef", "entropy", "entropy1", "entropy2")
+
+
+def _binned(s, d, bins):
+    """Bin numbers of the three attributes with few distinct values."""
+    p = L.retain_attributes(lineitem_points(s, d), [0, 2, 3])
+    return spread(Z.EntropyBinner(bins).fit_transform(p), 3, "id")
+
+
 def _draw_rows(df):
     return df.select("id", "label")
 
@@ -188,6 +201,10 @@ QUERIES = {
     "bin_entropy_2": lambda s, d: rounded(Z.two_bin_cuts(lineitem_points(s, d)), "lef"),
     "bin_entropy_3": lambda s, d: _cuts(s, d, 3),
     "bin_entropy_4": lambda s, d: _cuts(s, d, 4),
+    "bin_split_record": split_record,
+    "bin_apply_2": _li(lambda p: Z.EntropyBinner(2).fit_transform(p)),
+    "bin_apply_3": lambda s, d: _binned(s, d, 3),
+    "bin_apply_4": lambda s, d: _binned(s, d, 4),
     "bootstrap_sample": lambda s, d: P.bootstrap(lineitem_points(s, d))[0].select("draw", "id"),
     "out_of_bag": lambda s, d: P.bootstrap(lineitem_points(s, d))[1].select("id"),
     "subsample": lambda s, d: _draw_rows(P.subsample(lineitem_points(s, d), size=1000)[0]),
@@ -296,6 +313,12 @@ def _cut_sql(bins: int) -> str:
       SELECT CAST(attr AS INTEGER) AS attr, {order}, {sr('lef')} AS lef FROM rk WHERE rn = 1"""
 
 
+def _apply_sql(bins: int) -> str:
+    cells = ", ".join("(" + " + ".join(f"(f{f} >= c{k}[{i + 1}])::int" for k in range(1, bins)) + f")::double AS f{i}" for i, f in enumerate((0, 2, 3)))
+    cuts = ", ".join(f"list(cut{k} ORDER BY attr) AS c{k}" for k in range(1, bins))
+    return f"WITH cuts AS ({_cut_sql(bins)}), c AS (SELECT {cuts} FROM cuts), {LI} SELECT id, {cells} FROM li, c"
+
+
 _POS = f"WITH {LI}, ps AS (SELECT *, row_number() OVER (ORDER BY {su('id', '1')}, id) - 1 AS pos FROM li)"
 _BOOT = f"""WITH {LI}, ps AS (SELECT *, row_number() OVER (ORDER BY {su('id', '1:pos')}, id) - 1 AS pos FROM li),
   dr AS (SELECT draw, CAST(floor({su('draw', '1:0')} * (SELECT count(*) FROM li)) AS BIGINT) AS pos FROM range((SELECT count(*) FROM li)) t(draw)),
@@ -344,6 +367,17 @@ ORACLES = {
     "bin_equal_width": _wide("lo=lo;hi=hi", "trunc(({x} - s.lo[{j}]) / (s.hi[{j}] - s.lo[{j}]) * 9.0)"),
     "bin_entropy_2": f"""WITH {LIL}, {_LIVAL.format(src='lil')}, al AS (SELECT attr, v AS cut, pos::double / m * {_entropy_sql(['ba', 'bn', 'br'])} + (m - pos)::double / m * {_entropy_sql(['(ta - ba)', '(tn - bn)', '(tr - br)'])} AS lef FROM cu WHERE pos > 0),
       rk AS (SELECT *, row_number() OVER (PARTITION BY attr ORDER BY round(lef, 12), cut) AS rn FROM al) SELECT CAST(attr AS INTEGER) AS attr, cut, {sr('lef')} AS lef FROM rk WHERE rn = 1""",
+    "bin_split_record": f"""WITH {LIL}, {_LIVAL.format(src='lil')}, al AS (SELECT attr, v AS cut, pos, m, {_entropy_sql(['ta', 'tn', 'tr'])} AS e, {_entropy_sql(['ba', 'bn', 'br'])} AS e1,
+        {_entropy_sql(['(ta - ba)', '(tn - bn)', '(tr - br)'])} AS e2, ba, bn, br, ta, tn, tr FROM cu WHERE pos > 0),
+      rk AS (SELECT *, pos::double / m * e1 + (m - pos)::double / m * e2 AS lef, row_number() OVER (PARTITION BY attr ORDER BY round(pos::double / m * e1 + (m - pos)::double / m * e2, 12), cut) AS rn FROM al)
+      SELECT CAST(attr AS INTEGER) AS attr, cut, {sr('lef')} AS lef, {sr('e')} AS entropy, {sr('e1')} AS entropy1, {sr('e2')} AS entropy2,
+        (ba > 0)::int + (bn > 0)::int + (br > 0)::int AS kinds1, (ta > ba)::int + (tn > bn)::int + (tr > br)::int AS kinds2, pos AS size1, m - pos AS size2,
+        ba::bigint AS a1, bn::bigint AS n1, br::bigint AS r1, (ta - ba)::bigint AS a2, (tn - bn)::bigint AS n2, (tr - br)::bigint AS r2 FROM rk WHERE rn = 1""",
+    "bin_apply_2": f"""WITH {LIL}, {_LIVAL.format(src='lil')}, al AS (SELECT attr, v AS cut, pos::double / m * {_entropy_sql(['ba', 'bn', 'br'])} + (m - pos)::double / m * {_entropy_sql(['(ta - ba)', '(tn - bn)', '(tr - br)'])} AS lef FROM cu WHERE pos > 0),
+      rk AS (SELECT *, row_number() OVER (PARTITION BY attr ORDER BY round(lef, 12), cut) AS rn FROM al), c AS (SELECT list(cut ORDER BY attr) AS l FROM rk WHERE rn = 1)
+      SELECT id, {', '.join(f'(f{i} >= l[{i + 1}])::int::double AS f{i}' for i in range(4))} FROM li, c""",
+    "bin_apply_3": _apply_sql(3),
+    "bin_apply_4": _apply_sql(4),
     "bin_entropy_3": _cut_sql(3),
     "bin_entropy_4": _cut_sql(4),
     "bootstrap_sample": f"{_BOOT} SELECT draw, id FROM bag",

@@ -71,13 +71,19 @@ def sampling_report(s, d):
     return P.sampling_report(p).select("prediction", "n", r("expected").alias("expected"), "realised")
 
 
+def silhouette_exact_many(s, d):
+    """Three clusterings of the embeddings at once: the labels, ids by parity and size of a coordinate."""
+    p = embedding_points(s, d).withColumn("labels", F.array(F.col("prediction"), F.col("id") % 3, (F.get("features", 0) > 0).cast("long")))
+    return rounded(S.exact_scores_many(p).groupBy("conf").agg(F.count(F.lit(1)).alias("n"), F.avg("s").alias("silh")), "silh")
+
+
 def silhouette_error_study(s, d):
-    study = S.error_study(coarse(embedding_points(s, d)), t=T_EMB, runs=5)
+    study = S.error_study(coarse(embedding_points(s, d)), t=T_EMB, runs=100)
     return rounded(S.error_summary(study), "max_error", "avg_error", "var_error", "share_correct")
 
 
 def silhouette_method_comparison(s, d):
-    return rounded(S.method_comparison(coarse(embedding_points(s, d)), t=T_EMB, runs=5), "score", "error")
+    return rounded(S.method_comparison(coarse(embedding_points(s, d)), t=T_EMB, runs=100), "score", "error")
 
 
 def silhouette_report(s, d):
@@ -96,6 +102,7 @@ def cluster_centroids(s, d):
 QUERIES = {
     "silhouette_exact": lambda s, d: _summary(S.exact_scores(embedding_points(s, d))),
     "silhouette_exact_per_point": lambda s, d: _scores(S.exact_scores(embedding_points(s, d))),
+    "silhouette_exact_many": silhouette_exact_many,
     "silhouette_by_cluster": lambda s, d: rounded(S.by_cluster(S.exact_scores(embedding_points(s, d))), "avg_s", "min_s", "max_s"),
     "pps_probabilities": pps_probabilities,
     "pps_sample": pps_sample,
@@ -188,7 +195,15 @@ _SQ = """WITH {li}, lil AS (SELECT id, c, unnest([0, 1, 2, 3]) AS attr, unnest([
     pt AS (SELECT id, c, max(CASE WHEN oc = c THEN md * n / (n - 1) END) AS a, min(CASE WHEN oc <> c THEN md END) AS b FROM pr GROUP BY 1, 2),
     sc AS (SELECT id, c, coalesce((b - a) / nullif(greatest(a, b), 0), 0) AS s FROM pt)"""
 
+_MANY = f"""WITH {EMB}, em AS (SELECT id, f, unnest([0, 1, 2])::int AS conf, unnest([c, id % 3, (f[1] > 0)::bigint]) AS c FROM emb),
+    sz AS (SELECT conf, c, count(*)::double AS n FROM em GROUP BY ALL), pd AS (SELECT a.id, b.id AS nb, list_distance(a.f, b.f) AS d FROM emb a JOIN emb b ON a.id <> b.id),
+    pr AS (SELECT x.conf, x.id, x.c, y.c AS oc, sum(d) AS t FROM pd JOIN em x USING (id) JOIN em y ON y.id = pd.nb AND y.conf = x.conf GROUP BY ALL),
+    pt AS (SELECT pr.conf, id, pr.c, coalesce(sum(CASE WHEN oc = pr.c THEN t / nullif(n - 1, 0) END), 0) AS a, min(CASE WHEN oc <> pr.c THEN t / n END) AS b
+      FROM pr JOIN sz ON sz.conf = pr.conf AND sz.c = oc GROUP BY ALL)
+    SELECT conf, count(*) AS n, {sr('avg((b - a) / greatest(a, b))')} AS silh FROM pt GROUP BY conf"""
+
 ORACLES = {
+    "silhouette_exact_many": _MANY,
     "silhouette_exact": f"{EXACT} {SUMMARY}",
     "silhouette_exact_per_point": f"{EXACT} {_ROWS}",
     "silhouette_by_cluster": f"{EXACT} SELECT c AS prediction, count(*) AS n, {sr('avg(s)')} AS avg_s, {sr('min(s)')} AS min_s, {sr('max(s)')} AS max_s FROM sc GROUP BY c",

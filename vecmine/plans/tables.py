@@ -193,6 +193,26 @@ _H = ", h AS (SELECT (SELECT sum(rn * log2(rn)) FROM rr) AS hr, (SELECT sum(cn *
 _EV = "WITH ev AS (SELECT user_id AS key, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, value FROM events)"
 
 
+def _dtw(cost: str, result: str = "t", radius: int | None = None) -> str:
+    """Warping of neighbouring users' normalised series: anti-diagonals of all pairs, a row per series position with the cost there
+    (t), one diagonal before (tp), and the lengths of the paths (l, lp)."""
+    ratio = "(m::double / n)"
+    low, high = "0", "m - 1"
+    if radius is not None:
+        low = f"greatest(0, least(m - 1, floor(i * {ratio}) - {radius}))"
+        high = f"CASE WHEN i = n - 1 THEN m - 1 ELSE greatest(greatest(0, least(m - 1, ceil(i * {ratio} + {ratio}) - 1 + {radius})), {low}) END"
+    return f"""WITH RECURSIVE {_EV.removeprefix("WITH ")}, mu AS (SELECT *, value - avg(value) OVER (PARTITION BY key) AS v FROM ev),
+      de AS (SELECT *, avg(abs(v)) OVER (PARTITION BY key) AS d FROM mu), se AS (SELECT key, list(CASE WHEN d = 0 THEN 0 ELSE v / d END ORDER BY pos) AS a FROM de GROUP BY key),
+      pr AS (SELECT x.key AS ka, y.key AS kb, x.a, y.a AS b, len(x.a) AS n, len(y.a) AS m FROM se x JOIN se y ON y.key = x.key + 1),
+      rw AS MATERIALIZED (SELECT ka, kb, n, m, i, a[i + 1] AS av, b, {low} AS lo, {high} AS hi FROM (SELECT *, unnest(range(n)) AS i FROM pr)),
+      dp AS (SELECT ka, i, 0::bigint AS s, CASE WHEN i = 0 THEN {cost.format(y='b[1]')} ELSE 'inf'::double END AS t, 'inf'::double AS tp, 1 AS l, 1 AS lp FROM rw
+        UNION ALL SELECT ka, i, s + 1, CASE WHEN s + 1 - i BETWEEN lo AND hi THEN {cost.format(y='b[s - i + 2]')} + least(dg, up, t) ELSE 'inf'::double END, t,
+          1 + CASE WHEN dg <= up AND dg <= t THEN dl WHEN up <= t THEN ul ELSE l END, l
+        FROM (SELECT dp.*, coalesce(lag(tp) OVER w, 'inf'::double) AS dg, coalesce(lag(t) OVER w, 'inf'::double) AS up, coalesce(lag(lp) OVER w, 0) AS dl, coalesce(lag(l) OVER w, 0) AS ul
+              FROM dp WINDOW w AS (PARTITION BY ka ORDER BY i)) JOIN rw USING (ka, i) WHERE s + 1 <= n + m - 2)
+      SELECT ka AS key_a, kb AS key_b, {sr(result)} AS distance, l AS path FROM dp JOIN rw USING (ka, i) WHERE i = n - 1 AND s = n + m - 2"""
+
+
 def _trip(key: str) -> str:
     return f"WITH {LIL} SELECT {key}, CAST(attr AS INTEGER) AS attr, count(*) AS n, {sr('sum(v)', 4)} AS total FROM lil GROUP BY ALL"
 
@@ -212,6 +232,9 @@ ORACLES = {
     "series_normalize": f"{_EV}, m AS (SELECT *, avg(value) OVER (PARTITION BY key) AS mu FROM ev), q AS (SELECT *, avg(abs(value - mu)) OVER (PARTITION BY key) AS mad FROM m) SELECT key, pos, {sr('CASE WHEN mad = 0 THEN 0 ELSE (value - mu) / mad END')} AS value FROM q",
     "series_paa": f"""{_EV}, n AS (SELECT key, count(*)::double AS n FROM ev GROUP BY 1), b AS (SELECT key, p, CAST(floor(n / 8.0::double * p + 0.5) AS INTEGER) AS a, CAST(floor(n / 8.0::double * (p + 1) + 0.5) AS INTEGER) AS z FROM n, range(8) t(p) WHERE n >= 8)
       SELECT b.key, p AS pos, (a + z - 1) / 2.0::double AS time, {sr('avg(value)')} AS value, count(*) AS size FROM b JOIN ev ON ev.key = b.key AND ev.pos >= a AND ev.pos < z GROUP BY b.key, p, a, z""",
+    "series_dtw_pairs": _dtw("abs(av - {y})"),
+    "series_dtw_band": _dtw("abs(av - {y})", radius=5),
+    "series_dtw_similarity": _dtw("pow(av - {y}, 2)", "1 - (sqrt(t) / l) / (1 + sqrt(t) / l)"),
     "import_clustered_csv": _trip("c AS prediction"),
     "read_points_json": _trip("c AS prediction"),
     "read_two_header_csv": _trip("c AS prediction"),
