@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.ml.stat import ChiSquareTest
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.special import log_gamma
+from ..functions.special import chi_square_tail, log_gamma
 from ..session import cut_lineage, settle_small
 
 
@@ -72,19 +70,9 @@ def chi_square(table: DataFrame, yates: bool = False) -> DataFrame:
 
 
 def chi_square_test(df: DataFrame, row: str, col: str) -> DataFrame:
-    """(statistic, df, p_value) from Spark's test on label and indexed category."""
-    table = contingency(df, row, col)
-
-    def index(key):
-        # Distinct categories only.
-        vals = table.select(key).distinct().agg(F.array_sort(F.collect_set(key))).scalar()
-        return F.array_position(vals, F.col(key)).cast("double")
-
-    data = df.select(F.col(row).alias("row_key"), F.col(col).alias("col_key"))
-    data = data.withColumn("label", index("row_key")).withColumn("x", index("col_key"))
-    data = data.select("label", array_to_vector(F.array("x")).alias("features"))
-    res = ChiSquareTest.test(data, "features", "label", flatten=True)
-    return res.select("statistic", F.col("degreesOfFreedom").cast("long").alias("df"), F.col("pValue").alias("p_value"))
+    """(statistic, df, p_value) of two columns, from their contingency table; any number of categories."""
+    out = chi_square(contingency(df, row, col)).select(F.col("chi_square").alias("statistic"), "df")
+    return out.withColumn("p_value", chi_square_tail(F.col("statistic"), F.col("df")))
 
 
 def cramers_v(table: DataFrame) -> DataFrame:

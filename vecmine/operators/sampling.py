@@ -186,11 +186,19 @@ def uniform_sample(points: DataFrame, t: int, seeds=(1,), prof: Profile | None =
     return drawn.where(F.col("u") < F.col("pi")).select("run", "id", "features", "prediction", "pi")
 
 
-def sampling_report(probabilities: DataFrame) -> DataFrame:
-    """(run, prediction, n, expected, realised) from inclusion probabilities and draws."""
+def sampling_report(probabilities: DataFrame, **settings) -> DataFrame:
+    """(run, prediction, n, expected, realised) from inclusion probabilities and draws, and a column for every setting given (t, eps, delta)."""
     return probabilities.groupBy("run", "prediction").agg(
         F.count(F.lit(1)).alias("n"), F.sum("pi").alias("expected"),
-        F.count(F.when(F.col("u") < F.col("pi"), 1)).alias("realised"))
+        F.count(F.when(F.col("u") < F.col("pi"), 1)).alias("realised")).withColumns({k: F.lit(v) for k, v in settings.items()})
+
+
+def uniform_report(points: DataFrame, t: int, seeds=(1,), prof: Profile | None = None, **settings) -> DataFrame:
+    """The same for uniform samples: every point of a cluster has pi = min(1, t / cluster size). Points are read once and not kept."""
+    prof = prof or profile(points)
+    drawn = points.select("id", "prediction").join(prof.sizes, "prediction").select(
+        "prediction", F.least(F.lit(1.0), F.lit(float(t)) / F.col("n")).alias("pi"), F.posexplode(_draws(seeds, ":uni")).alias("run", "u"))
+    return sampling_report(drawn, t=t, **settings)
 
 
 # ---- ranks without a global window ---------------------------------------------------------------

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import models as M
 from ..operators import trees as T
 from ..sources.points import lineitem_points
-from .common import LI, rounded, sr
+from .common import LI, rounded, sr, su
 
 DIMS = 4
 
@@ -33,19 +34,35 @@ def permutation(s, d):
     return rounded(T.permutation_scores(grown, rows), "score")
 
 
-QUERIES = {"clf_tree": tree, "clf_random_forest": forest, "forest_oob_error": forest_error, "score_rf_permutation": permutation}
+def bagged_means(s, d):
+    p = lineitem_points(s, d).drop("prediction")
+    share = F.element_at("distribution", F.col("predicted"))
+    out = M.Bagging(M.NearestMean(), 4).fit(p).transform(p)
+    return rounded(out.select("id", "predicted", share.alias("share")), "share")
+
+
+def bagged_error(s, d):
+    return rounded(M.Bagging(M.NearestMean(), 4).fit(lineitem_points(s, d)).out_of_bag_error(), "error")
+
+
+QUERIES = {"model_bagging": bagged_means, "model_bagging_oob": bagged_error,
+           "model_cross_validate": lambda s, d: M.cross_validate(M.Majority(), lineitem_points(s, d), 5),
+           "clf_tree": tree, "clf_random_forest": forest, "forest_oob_error": forest_error, "score_rf_permutation": permutation}
 
 
 def _listed(template: str, joint: str = ", ") -> str:
     return joint.join(template.format(a=a) for a in range(DIMS))
 
 
+def _copies(bag: str, seed: int = 1) -> str:
+    u = f"(cast('0x' || substr(md5(cast(id as varchar) || '|{seed}:bag:' || {bag}), 1, 13) as bigint) / 4503599627370496.0::double)"
+    return "(" + " + ".join(f"({u} >= {c!r}::double)::int" for c in T.COPIES) + ")::bigint"
+
+
 def grown_sql(trees: int, depth: int, attributes: int, bags: bool, seed: int = 1) -> str:
     """CTEs up to `said` (tree, id, label, w, predicted)."""
     sizes = T.try_sizes(DIMS, attributes)
-    bag = f"(cast('0x' || substr(md5(cast(id as varchar) || '|{seed}:bag:' || tree), 1, 13) as bigint) / 4503599627370496.0::double)"
-    copies = " + ".join(f"({bag} >= {c!r}::double)::int" for c in T.COPIES)
-    w = f"({copies})::bigint" if bags else "1::bigint"
+    w = _copies("tree", seed) if bags else "1::bigint"
     parts = [f"{LI}, r0 AS (SELECT tree, id, label, {_listed('f{a}')}, {w} AS w, 1::bigint AS node FROM li, range({trees}) t(tree))"]
     u = lambda key, tail: f"(cast('0x' || substr(md5({key} || '|{seed}:' || tree || ':' || node || ':' || {tail}), 1, 13) as bigint) / 4503599627370496.0::double)"
     parts.append(f"s0 AS (SELECT tree, node, label, sum(w)::bigint AS n, {_listed('sum(w * f{a}) AS s{a}')} FROM r0 WHERE w > 0 GROUP BY ALL)")
@@ -72,7 +89,19 @@ def grown_sql(trees: int, depth: int, attributes: int, bags: bool, seed: int = 1
 
 _TOP = "SELECT {by}, arg_min(predicted, struct_pack(a := -n, b := predicted)) AS predicted, max(n) / sum(n)::double AS share FROM (SELECT {by}, predicted, count(*) AS n FROM said {where} GROUP BY ALL) GROUP BY ALL"
 
+_BAG = f"""WITH {LI}, rw AS (SELECT tree, id, label, f0, f1, f2, f3, {_copies('tree')} AS w FROM li, range(4) t(tree)),
+  mn AS (SELECT tree, label AS l, {_listed('sum(w * f{a}) / sum(w) AS m{a}')} FROM rw WHERE w > 0 GROUP BY ALL),
+  said AS (SELECT rw.tree, id, label, any_value(w) AS w, arg_min(l, struct_pack(d := {_listed('pow(f{a} - m{a}, 2)', ' + ')}, l := l)) AS predicted FROM rw JOIN mn USING (tree) GROUP BY ALL)"""
+
 ORACLES = {
+    "model_bagging": f"{_BAG} SELECT id, predicted, {sr('share')} AS share FROM ({_TOP.format(by='id', where='')})",
+    "model_bagging_oob": f"{_BAG} SELECT count(*) AS tested, {sr('avg((predicted <> label)::int)')} AS error FROM ({_TOP.format(by='id, label', where='WHERE w = 0')})",
+    "model_cross_validate": f"""WITH {LI}, ps AS (SELECT label, (row_number() OVER (ORDER BY {su('id', '1')}, id) - 1) % 5 AS fold FROM li),
+      ct AS (SELECT k.fold, label, count(*) AS n FROM ps JOIN range(5) k(fold) ON ps.fold <> k.fold GROUP BY ALL),
+      tp AS (SELECT fold, arg_min(label, struct_pack(a := -n, b := label)) AS predicted FROM ct GROUP BY 1), pr AS (SELECT label, predicted FROM ps JOIN tp USING (fold)),
+      k AS (SELECT DISTINCT label FROM pr)
+      SELECT k.label, sum((pr.label = k.label AND predicted = k.label)::int)::bigint AS tp, sum((pr.label <> k.label AND predicted = k.label)::int)::bigint AS fp,
+        sum((pr.label <> k.label AND predicted <> k.label)::int)::bigint AS tn, sum((pr.label = k.label AND predicted <> k.label)::int)::bigint AS fn FROM k, pr GROUP BY 1""",
     "clf_tree": f"{grown_sql(1, 4, 2, False)} SELECT id, label, predicted FROM said",
     "clf_random_forest": f"{grown_sql(3, 3, 2, True)} SELECT id, label, predicted, {sr('share')} AS share FROM ({_TOP.format(by='id, label', where='')})",
     "forest_oob_error": f"{grown_sql(3, 3, 2, True)} SELECT count(*) AS tested, {sr('avg((predicted <> label)::int)')} AS error FROM ({_TOP.format(by='id, label', where='WHERE w = 0')})",

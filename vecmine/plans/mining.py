@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -69,7 +71,8 @@ def som_weights() -> np.ndarray:
 
 def _select_k(result, s):
     key, _, scores = result
-    return s.createDataFrame([(*[int(x) for x in row[:-1]], float(row[-1]), tuple(row[:-1]) == key) for row in scores],
+    shown = [(*map(int, row[:-1]), math.floor(row[-1] * 1e6 + 0.5) / 1e6, tuple(row[:-1]) == key) for row in scores]
+    return s.createDataFrame(shown,
                              ", ".join(f"{n} int" for n in ("k", "repeat")[:len(key)]) + ", score double, best boolean")
 
 
@@ -138,7 +141,7 @@ QUERIES = {
     "kmedoids_step": kmedoids_step,
     "farthest_first": lambda s, d: C.farthest_first(embedding_points(s, d), 4, first=0).select("id", "prediction"),
     "farthest_first_select_k": lambda s, d: _select_k(C.farthest_first_select_k(embedding_points(s, d), 2, 5, first=0), s),
-    "kmeans_select_k": lambda s, d: _select_k(C.kmeans_select_k(embedding_points(s, d), 2, 3, repeats=2), s),
+    "kmeans_select_k": lambda s, d: _select_k(C.kmeans_select_k(embedding_points(s, d)), s),
     "kmeans_best_of": lambda s, d: _select_k(C.kmeans_select_k(embedding_points(s, d), 3, 3, repeats=3), s),
     "dbscan": lambda s, d: C.dbscan(embedding_points(s, d), EPS, MIN_POINTS, normalize=False).select("id", "prediction"),
     "dbscan_core_points": lambda s, d: C.core_points(embedding_points(s, d), EPS, MIN_POINTS),

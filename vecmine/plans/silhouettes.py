@@ -71,6 +71,19 @@ def sampling_report(s, d):
     return P.sampling_report(p).select("prediction", "n", r("expected").alias("expected"), "realised")
 
 
+def sampling_report_settings(s, d):
+    """The report of a run with its settings: the sample size follows from eps and delta."""
+    points = lineitem_points(s, d)
+    prof = P.profile(points)
+    t = S.sample_size(prof.n, prof.k, 0.1, 0.1)
+    rows = P.sampling_report(P.pps_probabilities(points, t, 0.1, prof=prof), t=t, eps=0.1, delta=0.1)
+    return rounded(rows.drop("run"), "expected")
+
+
+def uniform_report(s, d):
+    return rounded(P.uniform_report(lineitem_points(s, d), T_LI, seeds=(1, 2)), "expected")
+
+
 def silhouette_exact_many(s, d):
     """Three clusterings of the embeddings at once: the labels, ids by parity and size of a coordinate."""
     p = embedding_points(s, d).withColumn("labels", F.array(F.col("prediction"), F.col("id") % 3, (F.get("features", 0) > 0).cast("long")))
@@ -103,6 +116,8 @@ QUERIES = {
     "silhouette_exact": lambda s, d: _summary(S.exact_scores(embedding_points(s, d))),
     "silhouette_exact_per_point": lambda s, d: _scores(S.exact_scores(embedding_points(s, d))),
     "silhouette_exact_many": silhouette_exact_many,
+    "sampling_report_settings": sampling_report_settings,
+    "uniform_report": uniform_report,
     "silhouette_by_cluster": lambda s, d: rounded(S.by_cluster(S.exact_scores(embedding_points(s, d))), "avg_s", "min_s", "max_s"),
     "pps_probabilities": pps_probabilities,
     "pps_sample": pps_sample,
@@ -204,6 +219,9 @@ _MANY = f"""WITH {EMB}, em AS (SELECT id, f, unnest([0, 1, 2])::int AS conf, unn
 
 ORACLES = {
     "silhouette_exact_many": _MANY,
+    "uniform_report": " UNION ALL ".join(
+        f"""SELECT {run}::int AS run, c AS prediction, count(*) AS n, {sr('sum(pi)')} AS expected, sum((u < pi)::int)::bigint AS realised, {T_LI} AS t FROM (
+          SELECT c, {su('id', f'{run + 1}:uni')} AS u, least(1.0, {T_LI}.0::double / count(*) OVER (PARTITION BY c)) AS pi FROM (WITH {LI} SELECT * FROM li)) GROUP BY c""" for run in (0, 1)),
     "silhouette_exact": f"{EXACT} {SUMMARY}",
     "silhouette_exact_per_point": f"{EXACT} {_ROWS}",
     "silhouette_by_cluster": f"{EXACT} SELECT c AS prediction, count(*) AS n, {sr('avg(s)')} AS avg_s, {sr('min(s)')} AS min_s, {sr('max(s)')} AS max_s FROM sc GROUP BY c",

@@ -44,6 +44,14 @@ def _warp(method, radius=1):
     return lambda s, d: rounded(R.warp_pairs(neighbour_pairs(s, d), method, radius), "distance")
 
 
+def clusterize_files(s, d):
+    """Points from a CSV, clustered and written as a CSV again: the sizes of the clusters read back."""
+    raw, out = scratch_dir(s, "to-cluster"), scratch_dir(s, "clustered")
+    X.export_clustering(lineitem_points(s, d), raw, 4)
+    X.clusterize(s, raw, out, 4)
+    return X.read_clustered_csv(s, out).groupBy("prediction").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _totals(points, by):
     """What a file round trip must preserve: rows, cells and attribute totals per group."""
     long = long_form(points, by)
@@ -165,6 +173,7 @@ QUERIES = {
     "series_dtw_band": _warp("band", 5),
     "series_dtw_fast": _warp("fast", 3),
     "series_dtw_similarity": _warp("similarity"),
+    "clusterize_files": clusterize_files,
     "import_clustered_csv": import_clustered_csv,
     "read_points_json": read_points_json,
     "read_two_header_csv": read_two_header_csv,

@@ -118,6 +118,15 @@ def export_clustering(points: DataFrame, path: str, dims: int, mode: str = "over
     points.select(*cols, F.col("prediction").alias("cluster")).write.mode(mode).option("header", True).csv(path)
 
 
+def clusterize(spark: SparkSession, source: str, target: str, k: int, iterations: int = 100, headers: int = 1, seed: int = 1) -> None:
+    """Read a CSV of points (its cluster column, if any, is dropped), cluster them and write `element0..,cluster` to `target`."""
+    from ..operators.centroids import dims_of
+    from ..operators.clustering import kmeans
+
+    points = read_clustered_csv(spark, source, headers).drop("prediction")
+    export_clustering(kmeans(points, k, iterations, seed=seed), target, dims_of(points))
+
+
 def write_report(rows: DataFrame, path: str, append: bool = True) -> None:
     """Result lines `type,n,k,silh,time`, added to or replacing those at `path`."""
     rows.write.mode("append" if append else "overwrite").option("header", True).csv(path)

@@ -54,3 +54,11 @@ def random_points_in_box(points: DataFrame, elements: int, dims: int, seed: int
     drawn = uniform_points(points.sparkSession, elements, dims, seed).withColumn("s", box)
     return drawn.select("id", F.transform("features", lambda u, i: F.get("s.min", i) + u * (
         F.get("s.max", i) - F.get("s.min", i))).alias("features"))
+
+
+def clustered_points(spark: SparkSession, elements: int, k: int, dims: int = 3, outliers: int = 4, minor: float = 1.0, major: float = 10_000.0,
+                     seed: int = 1, iterations: int = 100) -> DataFrame:
+    """`ball_points` with the k-means cluster of every point as `prediction`, ready to be exported as a clustering."""
+    from ..operators.clustering import kmeans
+
+    return kmeans(ball_points(spark, elements, dims, outliers, minor, major, seed), k, iterations, seed=seed)
