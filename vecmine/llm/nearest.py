@@ -1,37 +1,45 @@
 """Approximate nearest neighbours by an adaptive dimension scan.
 
-Vectors are turned by one random rotation and dealt to lists by a coarse quantiser (k-means on a bounded sample). A query
-scans its `probes` most promising lists. In a list the columns are read in blocks: the first block ranks the candidates, the
-best of them are scored in full and give the limit. Then block by block the rest is tested: turned at random, the first d of D
-columns hold on average d / D of the product, so part * D / d estimates it with deviation |q| |x| sqrt((1 + c^2)(1 - d / D) / d), c being
+Vectors are turned by one random rotation and dealt to lists by a coarse quantiser (k-means on a bounded sample; the number of lists
+grows with the square root of the rows). A query scans its most promising lists, as many as bring `FOUND` of the neighbours of sampled vectors. It
+starts with a limit that the sample proves: its k-th best product there. In a list the columns are read in blocks: turned at random, the first
+d of D columns hold on average d / D of the product, so part * D / d estimates it with deviation |q| |x| sqrt((1 + c^2)(1 - d / D) / d), c being
 the estimated cosine. A candidate whose estimate plus `Z` deviations stays below the limit is given up, as is one that
-cannot reach it even if all that is unread points the query's way. Survivors are scored on the original vectors in double
+cannot reach it even if all that is unread points the query's way. A block of queries is tested against a block of candidates at once, in
+single precision; what survives the last columns is scored on the original vectors in double
 precision, so scores are exact and equal vectors tie exactly.
 
-Every row is indexed, every query row asks. Lists are cut into blocks of rows, so that a list with most rows (one common vector)
+Every row is indexed, every query asks. Lists are cut into blocks of bounded size, so that a list with most rows (one common vector)
 is many blocks; queries travel to their lists in blocks too. Vectors that are null, zero, or hold null or non-finite components take no
-part, nor do rows with a null vec_id or another length than most rows have. Repeated rows are candidates each. An empty table gives no rows.
+part, nor do rows with a null vec_id or another length than most rows have. Repeated rows are candidates each; a query row that is repeated with the
+same vector is asked once, one with another vector is a query of its own under the same id. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import cut_lineage
-from .base import mix
 
 NEIGHBOURS = 20
 SAMPLE = 20_000
-LISTS = 32
-PROBES = 24
+# Lists are rows^0.5 / 8 within these bounds.
+LISTS_LEAST, LISTS_MOST = 16, 4096
+FOUND = 0.96
+ASKED = 256
 COLUMNS = 16
 Z = 2.1
 BLOCK_ROWS = 4096
 QUERY_ROWS = 1024
+# Queries that are gathered in one task before they are dealt to their lists.
+QUERY_TASK = 8192
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -50,33 +58,70 @@ def rotation(dims: int, seed: int = 17) -> np.ndarray:
 
 
 class Index:
-    """Rotation and centres of the coarse lists."""
+    """Rotation and centres of the coarse lists, and the sample they come from."""
 
-    def __init__(self, turn: np.ndarray, centres: np.ndarray, probes: int):
-        self.turn, self.centres, self.probes = turn, centres, probes
+    def __init__(self, turn: np.ndarray, centres: np.ndarray, probes: int, ids: np.ndarray | None = None, rows: np.ndarray | None = None,
+                 x: np.ndarray | None = None):
+        self.turn, self.centres, self.probes, self.ids, self.rows, self.x = turn, centres, probes, ids, rows, x
 
     @classmethod
-    def fit(cls, rows: DataFrame, lists: int = LISTS, probes: int = PROBES, sample: int = SAMPLE, rounds: int = 15) -> Index:
+    def fit(cls, rows: DataFrame, lists: int | None = None, probes: int | None = None, sample: int = SAMPLE, rounds: int = 15, k: int = NEIGHBOURS,
+            found: float = FOUND) -> Index:
         """From the `sample` distinct vectors with the smallest hash."""
         h = F.xxhash64("v")
-        distinct = rows.select(h.alias("h")).distinct().count()
-        if not distinct:
+        seen = rows.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(h, 0.02).alias("d")).first()
+        if not seen["n"]:
             return cls(np.eye(1), np.zeros((1, 1)), 1)
-        # More than twice the sample, over seven deviations above it also for small samples.
-        share = min(1.0, (2.0 * sample + 10.0 * (2.0 * sample) ** 0.5 + 20.0) / distinct)
-        picked = (rows.select(h.alias("h"), "v").where((F.col("h") / F.lit(2.0 ** 64) + F.lit(0.5)) <= share).dropDuplicates(["h"])
-                  .orderBy("h").limit(sample).select("v").toArrow()["v"].combine_chunks())
-        x = np.asarray(picked.flatten()).reshape(len(picked), -1)
+        # Half as much again as the sample in expectation: over the error of the estimate and seven deviations also for small samples.
+        share = min(1.0, (1.5 * sample + 10.0 * (1.5 * sample) ** 0.5 + 40.0) / max(1, seen["d"]))
+        picked = (rows.select("vec_id", "row", h.alias("h"), "v").where((F.col("h") / F.lit(2.0 ** 64) + F.lit(0.5)) <= share)
+                  .groupBy("h").agg(F.min(F.struct("vec_id", "row", "v")).alias("r")).orderBy("h").limit(sample).select("r.*").toArrow())
+        x = _matrix(picked["v"].combine_chunks(), len(picked["v"][0]))
+        ids = np.asarray(picked["vec_id"])
         turn = rotation(x.shape[1])
-        x = x @ turn
-        centres = x[:: max(1, len(x) // lists)][:lists].copy()
+        turned = x @ turn
+        lists = lists or max(LISTS_LEAST, min(LISTS_MOST, round(math.sqrt(seen["n"]) / 8)))
+        centres = turned[:: max(1, len(x) // lists)][:lists].copy()
         for _ in range(rounds):
-            own = np.argmin((centres ** 2).sum(1) - 2 * x @ centres.T, 1)
+            own = np.argmin((centres ** 2).sum(1) - 2 * turned @ centres.T, 1)
             sums = np.zeros_like(centres)
-            np.add.at(sums, own, x)
+            np.add.at(sums, own, turned)
             n = np.bincount(own, minlength=len(centres))
             centres[n > 0] = sums[n > 0] / n[n > 0, None]
-        return cls(turn, centres, min(probes, len(centres)))
+        index = cls(turn, centres, len(centres), ids, np.asarray(picked["row"]), x)
+        # A handful of vectors, however often repeated, is scanned whole.
+        index.probes = min(probes or (len(centres) if len(x) <= 10 * k else index.probes_for(turned, k, found)), len(centres))
+        return index
+
+    def probes_for(self, turned: np.ndarray, k: int, found: float) -> int:
+        """How many lists hold that share of the k best of sampled vectors among the sample."""
+        q = turned[:: max(1, len(turned) // ASKED)][:ASKED]
+        order = np.argsort(-(q @ self.centres.T), axis=1, kind="stable")
+        place = np.empty_like(order)
+        np.put_along_axis(place, order, np.arange(order.shape[1])[None, :], 1)
+        score = q @ turned.T
+        top = np.argsort(-score, axis=1, kind="stable")[:, 1: k + 1]
+        needed = np.sort(np.take_along_axis(place, self.list_of(turned)[top], 1).ravel())
+        return int(needed[min(len(needed) - 1, math.ceil(found * len(needed)) - 1)]) + 1 if len(needed) else 1
+
+    def best(self, ids: np.ndarray, q: np.ndarray, k: int) -> np.ndarray:
+        """Positions of a query's k best rows of the sample but its own (all, if fewer; -1 fills up)."""
+        out = np.full((len(q), k), -1)
+        for s in range(0, len(q), QUERY_ROWS):
+            part = slice(s, s + QUERY_ROWS)
+            score = q[part] @ self.x.T
+            score[ids[part, None] == self.ids[None, :]] = -np.inf
+            m = min(k, len(self.ids))
+            top = np.argpartition(-score, m - 1, axis=1)[:, :m]
+            out[part, :m] = np.where(np.isfinite(np.take_along_axis(score, top, 1)), top, -1)
+        return out
+
+    def limits(self, ids: np.ndarray, q: np.ndarray, k: int) -> np.ndarray:
+        """The score that a query's k-th best has at least, as the sample proves."""
+        top = self.best(ids, q, k)
+        low = np.array([(self.x[t] * v).sum(1).min() if (t >= 0).all() else -np.inf for t, v in zip(top, q)])
+        # Sums in another order differ in their last bits.
+        return low - 1e-9 * (1 + np.abs(np.where(np.isfinite(low), low, 0)))
 
     def list_of(self, x: np.ndarray) -> np.ndarray:
         return np.argmin((self.centres ** 2).sum(1) - 2 * x @ self.centres.T, 1)
@@ -90,101 +135,154 @@ def _matrix(column, dims: int) -> np.ndarray:
     return np.asarray(pa.array(column).flatten() if not hasattr(column, "flatten") else column.flatten(), dtype=np.float64).reshape(-1, dims)
 
 
-def scan(ids: np.ndarray, x: np.ndarray, turned: np.ndarray, qid: np.ndarray, q: np.ndarray, q_turned: np.ndarray, k: int = NEIGHBOURS,
-         columns: int = COLUMNS, z: float = Z):
-    """(query id, candidate id, score) arrays: the k best of a block for each query, and how many products were given up early."""
-    n, dims = turned.shape
+def scan(ids: np.ndarray, x: np.ndarray, turned: np.ndarray, qid: np.ndarray, q: np.ndarray, q_turned: np.ndarray, limit: np.ndarray,
+         k: int = NEIGHBOURS, columns: int = COLUMNS, z: float = Z):
+    """(query, candidate, score) arrays of positions: for each query the k best of a block that reach its limit, and how many products of
+    columns were given up early."""
+    dims = turned.shape[1]
     cuts = list(range(0, dims, columns)) + [dims]
-    # Lengths of what is unread after each block.
-    rest_x = [np.sqrt((turned[:, c:] ** 2).sum(1)) for c in cuts[1:-1]]
-    rest_q = [np.sqrt((q_turned[:, c:] ** 2).sum(1)) for c in cuts[1:-1]]
-    blocks = [np.ascontiguousarray(turned[:, a:b]) for a, b in zip(cuts, cuts[1:])]
-    first = q_turned[:, : cuts[1]] @ blocks[0].T
-    size_x, size_q = np.sqrt((turned ** 2).sum(1)), np.sqrt((q_turned ** 2).sum(1))
-    out, saved = [], 0
-    for i in range(len(qid)):
-        part, alive = first[i], np.arange(n)
-        top = np.argpartition(-part, k)[: k + 1] if n > k + 1 else alive
-        full = turned[top] @ q_turned[i]
-        full = np.sort(full[ids[top] != qid[i]])[::-1]
-        limit = full[k - 1] if len(full) >= k else -np.inf
-        limit -= 1e-9 * (1 + abs(limit)) if np.isfinite(limit) else 0
-        for b in range(1, len(blocks)):
-            left = dims - cuts[b]
-            seen, both = cuts[b], size_x[alive] * size_q[i]
-            guess = part * (dims / seen)
-            spread = both * np.sqrt((1 + np.minimum(1, (guess / both) ** 2)) * (left / dims / seen))
-            keep = (guess + z * spread >= limit) & (part + rest_q[b - 1][i] * rest_x[b - 1][alive] >= limit)
-            saved += left * int(len(keep) - keep.sum())
-            alive, part = alive[keep], part[keep]
-            part = part + blocks[b][alive] @ q_turned[i, cuts[b]: cuts[b + 1]]
-        alive = alive[part >= limit]
-        alive = alive[ids[alive] != qid[i]]
-        score = (x[alive] * q[i]).sum(1)
-        best = np.lexsort((ids[alive], -score))[:k]
-        out.append((np.full(len(best), qid[i]), ids[alive][best], score[best]))
-    return [np.concatenate(c) if out else np.zeros(0) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)], saved
-
-
-BLOCK = "list int, block long, ids binary, x binary"
-
-
-def search(vectors: DataFrame, is_query, k: int = NEIGHBOURS, lists: int = LISTS, probes: int = PROBES, columns: int = COLUMNS, z: float = Z,
-           sample: int = SAMPLE) -> DataFrame:
+    blocks = [np.ascontiguousarray(turned[:, a:b], np.float32) for a, b in zip(cuts, cuts[1:])]
+    q_blocks = [np.ascontiguousarray(q_turned[:, a:b], np.float32) for a, b in zip(cuts, cuts[1:])]
+    # Lengths of what is unread after each block, and of all.
+    rest_x, rest_q = ([np.sqrt((v[:, c:] ** 2).sum(1)).astype(np.float32) for c in cuts] for v in (turned, q_turned))
+    low = limit.astype(np.float32)
+
+    def hopeful(part, i, j, b):
+        """Which partial products after block b may still reach the limit."""
+        left, seen = dims - cuts[b + 1], cuts[b + 1]
+        both = rest_q[0][i] * rest_x[0][j]
+        need = low[i] - 1e-5 * both
+        keep = part + rest_q[b + 1][i] * rest_x[b + 1][j] >= need
+        if left:
+            guess = part * np.float32(dims / seen)
+            spread = both * np.sqrt((1 + np.minimum(1, (guess / np.maximum(both, np.float32(1e-30))) ** 2)) * np.float32(left / dims / seen))
+            keep &= guess + z * spread >= need
+        return keep
+
+    every_q, every_x = np.arange(len(q))[:, None], np.arange(len(x))[None, :]
+    part = q_blocks[0] @ blocks[0].T
+    i, j = np.nonzero(hopeful(part, every_q, every_x, 0))
+    part = part[i, j]
+    saved = (len(q) * len(x) - len(i)) * (dims - cuts[1])
+    for b in range(1, len(blocks)):
+        for s in range(0, len(i), 1 << 18):
+            at = slice(s, s + (1 << 18))
+            part[at] += np.einsum("ij,ij->i", q_blocks[b][i[at]], blocks[b][j[at]])
+        keep = hopeful(part, i, j, b)
+        saved += (len(keep) - int(keep.sum())) * (dims - cuts[b + 1])
+        i, j, part = i[keep], j[keep], part[keep]
+    other = ids[j] != qid[i]
+    i, j = i[other], j[other]
+    score = np.concatenate([(x[j[s: s + (1 << 17)]] * q[i[s: s + (1 << 17)]]).sum(1) for s in range(0, len(i), 1 << 17)] or [np.zeros(0)])
+    reach = score >= limit[i]
+    i, j, score = i[reach], j[reach], score[reach]
+    order = np.lexsort((ids[j], -score, i))
+    i, j, score = i[order], j[order], score[order]
+    place = np.arange(len(i)) - np.searchsorted(i, i)
+    return i[place < k], j[place < k], score[place < k], saved
+
+
+def _bytes(*arrays) -> list[pa.Array]:
+    return [pa.array([a.tobytes()], pa.binary()) for a in arrays]
+
+
+def search(vectors: DataFrame, is_query, k: int = NEIGHBOURS, lists: int | None = None, probes: int | None = None, columns: int = COLUMNS,
+           z: float = Z, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id, score of the k largest inner products found; `is_query` is a condition on vec_id."""
-    rows = cut_lineage(usable(vectors))
-    index = Index.fit(rows, lists, probes, sample)
+    spark = vectors.sparkSession
+    # Rows are written once, so their running numbers stay the same if a task is repeated.
+    rows = cut_lineage(usable(vectors)).withColumn("row", F.monotonically_increasing_id())
+    index = Index.fit(rows, lists, probes, sample, k=k)
     dims = len(index.turn)
+    shipped = spark.sparkContext.broadcast(index)
+
+    @F.arrow_udf("int")
+    def own_list(v: pa.Array) -> pa.Array:
+        return pa.array(shipped.value.list_of(_matrix(v, dims) @ shipped.value.turn).astype(np.int32)) if len(v) else pa.array([], pa.int32())
+
+    dealt = rows.withColumn("list", own_list("v"))
+    sizes = dealt.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_ROWS)).alias("stripes"))  # a row per list
+    salted = dealt.join(F.broadcast(sizes), "list").withColumn("stripe", F.pmod(F.xxhash64("row"), "stripes").cast("int"))
 
-    def pack(batches, of, most):
-        """Rows gathered by list into blocks of at most `most` rows."""
-        waiting: dict = {}
-        made = 0
+    def pack(batches):
+        """Candidates of one list and stripe after the other, as blocks."""
+        held, name, made = [], None, 0
 
-        def block(name, parts):
-            ids, x = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-            tag = int(mix(np.array([ids[0] * 31 + len(ids) + made], np.int64).view(np.uint64))[0] >> np.uint64(1))
-            return pa.record_batch([pa.array([name], pa.int32()), pa.array([tag], pa.int64()), pa.array([ids.tobytes()], pa.binary()),
-                                    pa.array([x.tobytes()], pa.binary())], names=["list", "block", "ids", "x"])
+        def block():
+            parts = [np.concatenate(c) for c in zip(*held)]
+            return [pa.record_batch([pa.array([name[0]], pa.int32()), *_bytes(*[v[s: s + 2 * BLOCK_ROWS] for v in parts])], names=["list", "ids", "rows", "x"])
+                    for s in range(0, len(parts[0]), 2 * BLOCK_ROWS)]
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids, x = np.asarray(batch.column("vec_id")), _matrix(batch.column("v"), dims)
-            for name, at in of(x):
-                for a in range(0, len(at), most):
-                    some = at[a: a + most]
-                    held = waiting.setdefault(name, [])
-                    held.append((ids[some], x[some]))
-                    if sum(len(p[0]) for p in held) >= most:
-                        made += 1
-                        yield block(name, waiting.pop(name))
-        for name in sorted(waiting):
-            made += 1
-            yield block(name, waiting[name])
-
-    def to_lists(x):
-        own = index.list_of(x @ index.turn)
-        return [(int(j), np.flatnonzero(own == j)) for j in np.unique(own)]
-
-    def to_probes(x):
-        asked = index.lists_for(x @ index.turn)
-        return [(int(j), np.flatnonzero((asked == j).any(1))) for j in np.unique(asked)]
-
-    candidates = rows.mapInArrow(lambda it: pack(it, to_lists, BLOCK_ROWS), BLOCK)
-    queries = (rows.where(is_query).mapInArrow(lambda it: pack(it, to_probes, QUERY_ROWS), BLOCK)
-               .select("list", F.col("block").alias("qblock"), F.col("ids").alias("qids"), F.col("x").alias("qx")))
+            which = np.c_[np.asarray(batch.column("list")), np.asarray(batch.column("stripe"))]
+            ids, numbers, x = np.asarray(batch.column("vec_id")), np.asarray(batch.column("row")), _matrix(batch.column("v"), dims)
+            cuts = np.r_[0, np.flatnonzero((which[1:] != which[:-1]).any(1)) + 1, len(which)]
+            for a, b in zip(cuts, cuts[1:]):
+                if held and tuple(which[a]) != name:
+                    yield from block()
+                    held = []
+                name = tuple(which[a].tolist())
+                held.append((ids[a:b], numbers[a:b], x[a:b]))
+        if held:
+            yield from block()
+
+    candidates = (salted.select("list", "stripe", "vec_id", "row", "v").repartition("list", "stripe").sortWithinPartitions("list", "stripe")
+                  .mapInArrow(pack, "list int, ids binary, rows binary, x binary").withColumn("block", F.monotonically_increasing_id()))
+
+    def ask(batches):
+        """Queries of a task with their first limits, in blocks by list."""
+        parts = [(np.asarray(b.column("vec_id")), _matrix(b.column("v"), dims)) for b in batches if b.num_rows]
+        if not parts:
+            return
+        own = shipped.value
+        ids, x = (np.concatenate(c) for c in zip(*parts))
+        low, asked = own.limits(ids, x, k), own.lists_for(x @ own.turn)
+        for name in np.unique(asked):
+            at = np.flatnonzero((asked == name).any(1))
+            for s in range(0, len(at), QUERY_ROWS):
+                some = at[s: s + QUERY_ROWS]
+                yield pa.record_batch([pa.array([name], pa.int32()), *_bytes(ids[some], x[some], low[some])], names=["list", "qids", "qx", "low"])
+
+    def ask_sample(batches):
+        own = shipped.value
+        for batch in batches:
+            if batch.num_rows:
+                ids, x = np.asarray(batch.column("vec_id")), _matrix(batch.column("v"), dims)
+                i, j = np.nonzero((top := own.best(ids, x, k)) >= 0)
+                j = top[i, j]
+                yield hits(ids[i], tags(x)[i], own.rows[j], own.ids[j], (own.x[j] * x[i]).sum(1))
+
+    asking = cut_lineage(rows.where(is_query).select("vec_id", "v").dropDuplicates(["vec_id", "v"]))
+    tasks = max(1, math.ceil(asking.count() / QUERY_TASK))
+    queries = asking.repartition(tasks).mapInArrow(ask, "list int, qids binary, qx binary, low binary").withColumn("qblock", F.monotonically_increasing_id())
     # The pairs of blocks are dealt evenly, whatever the size of their list.
     met = candidates.join(queries, "list").repartition(F.col("block"), F.col("qblock"))
 
     def run(batches):
+        turn = shipped.value.turn
         for batch in batches:
-            for ids, x, qids, qx in zip(*(batch.column(c).to_pylist() for c in ("ids", "x", "qids", "qx"))):
-                ids, qids = np.frombuffer(ids, np.int64), np.frombuffer(qids, np.int64)
+            for ids, numbers, x, qids, qx, low in zip(*(batch.column(c).to_pylist() for c in ("ids", "rows", "x", "qids", "qx", "low"))):
+                ids, numbers, qids, low = (np.frombuffer(v, t) for v, t in ((ids, np.int64), (numbers, np.int64), (qids, np.int64), (low, np.float64)))
                 x, qx = (np.frombuffer(v, np.float64).reshape(-1, dims) for v in (x, qx))
-                (a, b, c), _ = scan(ids, x, x @ index.turn, qids, qx, qx @ index.turn, k, columns, z)
-                yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64())], names=["query_id", "vec_id", "score"])
+                i, j, score, _ = scan(ids, x, x @ turn, qids, qx, qx @ turn, low, k, columns, z)
+                yield hits(qids[i], tags(qx)[i], numbers[j], ids[j], score)
+
+    # The sample's best are known anyway, so no query is left with fewer than k if there are as many vectors.
+    found = met.mapInArrow(run, HITS).unionByName(asking.mapInArrow(ask_sample, HITS))
+    order = Window.partitionBy("query_id", "tag").orderBy(F.desc("score"), "vec_id", "row")
+    placed = found.withColumn("place", F.dense_rank().over(order)).where(F.col("place") <= k).withColumn("twice", F.lag("row").over(order) == F.col("row"))
+    return placed.where("twice IS NULL OR NOT twice").select("query_id", F.col("place").cast("int").alias("rank"), "vec_id", "score")
+
+
+HITS = "query_id long, tag long, row long, vec_id long, score double"
+
+
+def hits(*columns) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(c) for c in columns], names=["query_id", "tag", "row", "vec_id", "score"])
+
 
-    found = met.mapInArrow(run, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+def tags(q: np.ndarray) -> np.ndarray:
+    """Tells queries of one id with different vectors apart."""
+    return np.array([xxhash.xxh3_64_intdigest(v.tobytes()) >> 1 for v in q], np.int64)
