@@ -154,24 +154,76 @@ def test_language_sample_counts_distinct_texts(spark):
     assert [model.predict([text(k)])[0] for k in kinds] == [["aa"], ["bb"], ["cc"]]
 
 
-def test_toxicity_ways_agree(spark):
+def toxic_case(spark):
     r = random.Random(6)
     plain = [f"w{i}" for i in range(300)]
+
     def text(bad):
         return " ".join(r.choice(["vile", "awfulness", "nasty"]) if bad and r.random() < 0.1 else r.choice(plain) for _ in range(60))
+
     rows = [(i, text(i % 4 == 0)) for i in range(400)]
     docs = frame(spark, rows + ODD)
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
-    counting = docs.join(labels.where("doc_id % 3 = 0"), "doc_id").select("text", "toxic")
-    scored = {x.doc_id: x.score for x in toxicity.score(docs, counting, labels.where("doc_id % 3 = 2")).collect()}
+    fold = F.col("doc_id") % 3
+    return rows, docs, labels.where(fold != 1).select("doc_id", "toxic", (fold == 2).cast("int").alias("fold"))
+
+
+def test_toxicity_finds_held_out_texts(spark):
+    rows, docs, known = toxic_case(spark)
+    scored = collections.defaultdict(list)
+    for x in toxicity.score(docs, known).collect():
+        scored[x.doc_id].append(x.score)
     held = [i for i in range(400) if i % 3 == 1]
-    assert np.mean([(scored[i] >= 0.5) == (i % 4 == 0) for i in held]) > 0.95
-    ratios = toxicity.log_ratios(toxicity.unit_counts(counting))
-    shipped = sorted((str(x.doc_id), round(x.a, 5), round(x.b, 5)) for x in toxicity.features(docs, ratios).collect())
-    joined = sorted((str(x.doc_id), round(x.a, 5), round(x.b, 5)) for x in toxicity._features_by_join(docs, ratios, toxicity.STRONG).collect())
-    assert shipped == joined
-    none = toxicity.score(docs, counting.limit(0), labels.limit(0)).collect()
-    assert {x.score for x in none} == {0.5}
+    assert np.mean([(scored[i][0] >= 0.5) == (i % 4 == 0) for i in held]) > 0.95
+    assert sum(map(len, scored.values())) == len(rows) + len(ODD)
+    assert {x.score for x in toxicity.score(docs, known.limit(0)).collect()} == {0.5}
+    assert toxicity.score(docs.limit(0), known).count() == 0
+
+
+def test_toxicity_equals_plain_counts(spark):
+    """Counts, probabilities and both features, from dictionaries of texts."""
+    rows, docs, known = toxic_case(spark)
+    texts, taught = {}, docs.join(known, "doc_id").select("text", "toxic", "fold")
+    for x in taught.collect():
+        texts[x.text, x.toxic] = min(x.fold, texts.get((x.text, x.toxic), 9))
+    where = collections.defaultdict(set)
+    for t, c in texts:
+        w = t.split()
+        for u in {("w", x) for x in w} | {("b", *p) for p in zip([None] + w, w)} | {(n, x[:n]) for x in w for n in (7, 5) if len(x) > n}:
+            where[u].add((t, c))
+    n = {u: [len([1 for _, c in v if c == k]) for k in (0, 1)] for u, v in where.items()}
+    kinds = {k: [v for u, v in n.items() if u[0] == k] for k in ("b", "w", 7, 5)}
+    big = {k: [sum(x[c] for x in v) for c in (0, 1)] for k, v in kinds.items()}
+    types = {k: [sum(x[c] > 0 for x in v) for c in (0, 1)] for k, v in kinds.items()}
+
+    def ratio(u):
+        if u not in n or max(n[u]) < 2:
+            return None
+        k = u[0]
+        shared = (sum(n[u]) + 1) / (sum(big[k]) + len(kinds[k]))
+        p = [(max(n[u][c] - 1, 0) + types[k][c] * shared) / big[k][c] for c in (0, 1)]
+        return np.log(p[1] / p[0]) - np.log(types[k][1] / big[k][1]) + np.log(types[k][0] / big[k][0])
+
+    def word(x):
+        for u in [("w", x)] + [(m, x[:m]) for m in (7, 5) if len(x) > m]:
+            if ratio(u) is not None:
+                return ratio(u)
+        return 0.0
+
+    sample, share = toxicity.labelled_sample(docs, known)
+    assert sample.count() == len(texts)
+    assert share == pytest.approx({c: taught.where(f"toxic = {c}").count() / len([1 for _, k in texts if k == c]) for c in (0, 1)})
+    model = toxicity.fit_model(toxicity.unit_counts(sample), (0, 1))
+    got = {x.doc_id: (x.a, x.b) for x in toxicity.features(docs, model).collect()}
+    for d, t in rows[::7]:
+        r = []
+        for v, x in zip([None] + t.split(), t.split()):
+            both = ratio(("b", v, x))
+            r.append(word(x) if both is None else both - (word(v) if v else 0.0))
+        assert got[d] == pytest.approx((np.mean(r), np.sqrt(np.mean(np.clip(np.array(r) - toxicity.STRONG, 0, 1)))), abs=1e-5)
+    few, share = toxicity.labelled_sample(docs, known, texts=20)
+    assert few.count() == 40 and share[0] == pytest.approx(taught.where("toxic = 0").count() / 20)
+    assert toxicity.labelled_sample(docs, known, chars=500)[0].groupBy("toxic").count().count() == 2
 
 
 def brute_dedup(rows):
@@ -350,8 +402,26 @@ def test_nearest_recall_and_scores(spark):
     assert hit / (75 * 20) >= 0.9
 
 
+def test_nearest_repeated_query_rows(spark):
+    x = np.random.default_rng(8).normal(size=(300, 16))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(0, x[0].tolist()), (20, x[5].tolist()), (7, x[7].tolist())]
+    got = nearest.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, probes=99).collect()
+    by = collections.defaultdict(list)
+    for g in got:
+        by[g.query_id].append((g["rank"], g.vec_id, g.score))
+    ids, all_ = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    for q, vectors in ((0, [x[0]]), (20, [x[20], x[5]]), (40, [x[40]])):
+        want = []
+        for v in vectors:
+            s = (all_ * v).sum(1)
+            s[ids == q] = -np.inf
+            want += [(r + 1, int(ids[j]), s[j]) for r, j in enumerate(np.lexsort((ids, -s))[:20])]
+        assert sorted(by[q]) == sorted(want)
+    assert nearest.search(spark.createDataFrame([], "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).count() == 0
+
+
 def test_nearest_index_of_many_copies(spark):
     few = np.random.default_rng(4).normal(size=(5, 8))
-    rows = spark.range(20000).select(F.col("id").alias("vec_id"), F.element_at(F.array(*[F.array(*map(F.lit, v.tolist())) for v in few]), (F.col("id") % 5 + 1).cast("int")).alias("v"))
+    rows = spark.range(20000).select(F.col("id").alias("vec_id"), F.element_at(F.array(*[F.array(*map(F.lit, v.tolist())) for v in few]), (F.col("id") % 5 + 1).cast("int")).alias("v"), F.col("id").alias("row"))
     assert len(nearest.Index.fit(rows, lists=8, sample=20).centres) == 5
     assert len(nearest.Index.fit(rows.where("vec_id % 5 = 0"), lists=8, sample=1).centres) == 1
