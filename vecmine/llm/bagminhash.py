@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from ..session import cut_lineage, release_unused
-from .base import GOLD, WordHashes, flat, mix, shingles, text_slices, texts_of, words_of
+from .base import GOLD, WordHashes, aside, flat, mix, shingles, text_slices, texts_of, words_of
 
 SHINGLE = 5
 LIMIT = 0.8
@@ -317,7 +317,9 @@ def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, limit: float
 
 
 def one_of_each(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, limit: float = LIMIT) -> DataFrame:
-    """One row of docs per class, that of the smallest doc_id (rows without one come last); wordless texts all stay."""
+    """One row of docs per class, that of the smallest doc_id (rows without one come last); wordless texts all stay. Of rows that agree in
+    doc_id and text one stays, which of them is not defined. Columns may have any names."""
+    docs, named = aside(docs, "doc_id", "text")
     found = cut_lineage(classes(docs, bands, rows, limit))
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "tkey")
     chosen = found.where("root IS NOT NULL").groupBy("root").agg(F.min(order).alias("o")).select("o.doc_id", "o.tkey")
@@ -330,9 +332,9 @@ def one_of_each(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, limit: fl
         return keyed.join(keys, F.col("_id").eqNullSafe(F.col("_k")) & (F.col("_tkey") == F.col("_t")), "left_semi").drop("_id", "_tkey")
 
     if again.isEmpty():
-        return among(stay)
+        return named(among(stay))
     # Rows that repeat both doc_id and text: few, and only these are compared as whole rows.
     both = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in ("doc_id", "tkey")]
     twice = stay.alias("x").join(again.alias("y"), both[0] & both[1], "left_semi")
     single = stay.alias("x").join(again.alias("y"), both[0] & both[1], "left_anti")
-    return among(single).unionByName(among(twice).dropDuplicates(["doc_id", "text"]))
+    return named(among(single).unionByName(among(twice).dropDuplicates(["doc_id", "text"])))

@@ -112,3 +112,11 @@ def sha256(data: bytes) -> str:
 
 def crc_fold(column, mod: int):
     return F.crc32(column.cast("string").cast("binary")) % F.lit(mod)
+
+
+def aside(docs: DataFrame, *keep: str):
+    """(docs whose columns but `keep` have neutral names, a function that gives results their names back). An operator's own helper columns
+    then cannot meet a column of the input."""
+    names = {c: c if c in keep else f"column{i}" for i, c in enumerate(docs.columns)}
+    plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    return plain, lambda out: out.select(*[F.col(n).alias(c) for c, n in names.items()])

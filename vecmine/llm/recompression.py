@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .base import WordHashes, mix, owners, pair_name, sha256, text_slices, texts_of, words_of
+from .base import WordHashes, aside, mix, owners, pair_name, sha256, text_slices, texts_of, words_of
 
 WINDOW = 50
 CAPS = (1, 2, 2)
@@ -268,7 +268,9 @@ def dedup(docs: DataFrame) -> DataFrame:
 
 
 def remove(docs: DataFrame) -> DataFrame:
-    """The same rows, texts that lose words rewritten as their kept words joined by spaces; others unchanged. n_chars follows."""
+    """The same rows, texts that lose words rewritten as their kept words joined by spaces; others unchanged. n_chars follows.
+    Columns may have any names."""
+    docs, named = aside(docs, "doc_id", "text", "n_chars")
     schema = docs.schema
 
     def run(batches):
@@ -290,4 +292,4 @@ def remove(docs: DataFrame) -> DataFrame:
                     columns["n_chars"].to_pylist(), texts, lost)], columns["n_chars"].type)
             yield pa.record_batch([columns[f.name] for f in schema], names=schema.names)
 
-    return _with_ranges(docs).mapInArrow(run, schema)
+    return named(_with_ranges(docs).mapInArrow(run, schema))
