@@ -28,9 +28,10 @@ def literal(rows):
 def test_block_form_equals_column_form(spark, make, data, name):
     points, params = make(data), {}
     m = D.measure(bound(points, name))
-    if D.BOUND.get(name) == "ranges":
+    need = D.BOUND.get(name, ("", None))[0]
+    if need == "ranges":
         params = {"low": literal(data.min(0)), "high": literal(data.max(0))}
-    elif D.BOUND.get(name):
+    elif need:
         params = {"inverse": literal(np.linalg.inv(np.cov(data.T)))}
     pairs = make(data[:6]).select(F.col("id").alias("i"), F.col("features").alias("x")).crossJoin(points.select(F.col("id").alias("j"), F.col("features").alias("y")))
     want = {(r.i, r.j): r.v for r in pairs.select("i", "j", m.column(F.col("x"), F.col("y"), **params).alias("v")).collect()}

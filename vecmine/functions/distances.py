@@ -379,10 +379,10 @@ MEASURES: dict[str, Measure] = {
         Measure("pearson", pearson, "absolute", _block_pearson),
         Measure("spearman_rank", spearman_rank, "absolute", _block_spearman),
         Measure("spearman_footrule", spearman_footrule, "larger", _block_footrule),
-        Measure("normalized_euclidean", normalized_euclidean, "smaller", _block_normalized),
-        Measure("normalized_euclidean_similarity", normalized_euclidean_similarity, "larger", _block_normalized_similarity),
+        Measure("normalized_euclidean", normalized_euclidean, "smaller"),
+        Measure("normalized_euclidean_similarity", normalized_euclidean_similarity, "larger"),
         Measure("angular", angular, "smaller", _block_angular),
-        Measure("mahalanobis", mahalanobis, "smaller", _block_mahalanobis),
+        Measure("mahalanobis", mahalanobis, "smaller"),
         Measure("max_product", max_product, "larger", _block_max_product),
         Measure("linear_kernel", linear_kernel, "none", _block_linear),
         Measure("polynomial_kernel", polynomial_kernel, "none", _block_polynomial),
@@ -413,14 +413,18 @@ def custom(name: str, pair: Callable | None = None, block: Callable | None = Non
     return Measure(name, column, direction, block)
 
 
-# Measures that need numbers of the whole data set: its ranges, or its inverse covariance.
-BOUND = {"normalized_euclidean": "ranges", "normalized_euclidean_similarity": "ranges", "mahalanobis": "covariance"}
+# Measures that have a block form only once they know numbers of the whole data set: what they need, and that form.
+BOUND = {
+    "normalized_euclidean": ("ranges", _block_normalized),
+    "normalized_euclidean_similarity": ("ranges", _block_normalized_similarity),
+    "mahalanobis": ("covariance", _block_mahalanobis),
+}
 
 
-def with_params(which, **params) -> Measure:
-    """A measure with fixed block parameters."""
-    m = measure(which)
-    return Measure(m.name, m.column, m.direction, partial(m.block, **params), {**m.params, **params})
+def with_numbers(name: str, **numbers) -> Measure:
+    """A measure of BOUND with the data set's numbers."""
+    m = MEASURES[name]
+    return Measure(m.name, m.column, m.direction, partial(BOUND[name][1], **numbers), numbers)
 
 
 def block_distance(which, X: np.ndarray, Y: np.ndarray, **params) -> np.ndarray:

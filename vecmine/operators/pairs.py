@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.distances import BOUND, block_distance, measure, with_params
+from ..functions.distances import BOUND, block_distance, measure, with_numbers
 from ..session import cut_lineage, parallelism
 
 BLOCK_BYTES = 8 * 1024 * 1024
@@ -214,10 +214,10 @@ def bound(points: DataFrame, metric):
     if not isinstance(metric, str) or metric not in BOUND:
         return metric
     d = shape_of(points)[1]
-    if BOUND[metric] == "ranges":
+    if BOUND[metric][0] == "ranges":
         row = points.agg(*[f(F.get("features", i)).alias(f"{n}{i}") for n, f in (("lo", F.min), ("hi", F.max)) for i in range(d)]).first()
-        return with_params(metric, low=[row[f"lo{i}"] for i in range(d)], high=[row[f"hi{i}"] for i in range(d)])
-    return with_params(metric, inverse=np.linalg.inv(covariance(points, d)))
+        return with_numbers(metric, low=[row[f"lo{i}"] for i in range(d)], high=[row[f"hi{i}"] for i in range(d)])
+    return with_numbers(metric, inverse=np.linalg.inv(covariance(points, d)))
 
 
 def covariance(points: DataFrame, d: int) -> np.ndarray:
