@@ -72,12 +72,9 @@ def sampling_report(s, d):
 
 
 def sampling_report_settings(s, d):
-    """The report of a run with its settings: the sample size follows from eps and delta."""
-    points = lineitem_points(s, d)
-    prof = P.profile(points)
-    t = S.sample_size(prof.n, prof.k, 0.1, 0.1)
-    rows = P.sampling_report(P.pps_probabilities(points, t, 0.1, prof=prof), t=t, eps=0.1, delta=0.1)
-    return rounded(rows.drop("run"), "expected")
+    """The report of a run with its settings."""
+    p = P.pps_probabilities(lineitem_points(s, d), T_LI, 0.1)
+    return rounded(P.sampling_report(p, t=T_LI, eps=0.1, delta=0.1), "expected")
 
 
 def uniform_report(s, d):
