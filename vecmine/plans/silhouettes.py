@@ -74,7 +74,7 @@ def sampling_report(s, d):
 def sampling_report_settings(s, d):
     """The report of a run with its settings."""
     p = P.pps_probabilities(lineitem_points(s, d), T_LI, 0.1)
-    return rounded(P.sampling_report(p, t=T_LI, eps=0.1, delta=0.1), "expected")
+    return rounded(P.sampling_report(p, t=T_LI, eps=0.1, delta=0.1).drop("run"), "expected")
 
 
 def uniform_report(s, d):
@@ -216,6 +216,8 @@ _MANY = f"""WITH {EMB}, em AS (SELECT id, f, unnest([0, 1, 2])::int AS conf, unn
 
 ORACLES = {
     "silhouette_exact_many": _MANY,
+    "sampling_report_settings": f"{_pps_sql(_P_LI, _D, T_LI)} SELECT c AS prediction, count(*) AS n, {sr('sum(pi)')} AS expected, "
+                                f"CAST(sum((u < pi)::int) AS BIGINT) AS realised, {T_LI} AS t, 0.1::double AS eps, 0.1::double AS delta FROM q GROUP BY c",
     "uniform_report": " UNION ALL ".join(
         f"""SELECT {run}::int AS run, c AS prediction, count(*) AS n, {sr('sum(pi)')} AS expected, sum((u < pi)::int)::bigint AS realised, {T_LI} AS t FROM (
           SELECT c, {su('id', f'{run + 1}:uni')} AS u, least(1.0, {T_LI}.0::double / count(*) OVER (PARTITION BY c)) AS pi FROM (WITH {LI} SELECT * FROM li)) GROUP BY c""" for run in (0, 1)),
