@@ -267,12 +267,23 @@ def bootstrap(points: DataFrame, size: int | None = None, fraction: float = 1.0,
     tag = F.concat(F.lit(f"{seed}:"), F.col("bag").cast("string"), *([F.lit(":"), F.col("label")] if stratified else []))
     draws = draws.withColumn("pos", F.floor(hash_uniform(F.col("draw"), tag) * F.col("n")).cast("bigint"))
     pos = pos.withColumn("pos", F.col("pos").cast("bigint"))
-    bag = draws.select(*by, "bag", "draw", "pos").join(pos, [*by, "pos"]).select("bag", "draw", *points.columns)
-    every = points.withColumn("bag", F.explode(F.sequence(F.lit(0), F.lit(bags - 1))))
-    oob = every.join(bag.select("bag", "id").distinct(), ["bag", "id"], "left_anti").select("bag", *points.columns)
+    # The counts' broadcast mark reaches up through their draws, which are as many as the points: both sides are sorted instead.
+    bag = draws.select(*by, "bag", "draw", "pos").hint("merge").join(pos, [*by, "pos"]).select("bag", "draw", *points.columns)
+    # Bags that drew an id, a bit each. All draws of a row meet it in one task, so a row an id leaves it and points move once for all bags.
+    one = F.lit(1).cast("bigint")
+    bit = F.call_function("shiftleft", one, F.pmod("bag", F.lit(_WORD)).cast("int"))
+    words = [F.bit_or(F.when(F.floor(F.col("bag") / _WORD) == w, bit)).alias(f"_w{w}") for w in range(math.ceil(bags / _WORD))]
+    taken = bag.groupBy("id").agg(*words)
+    masks = F.array(*[F.coalesce(f"_w{w}", F.lit(0).cast("bigint")) for w in range(len(words))])
+    free = F.filter(F.sequence(F.lit(0), F.lit(bags - 1)), lambda b: F.call_function(
+        "getbit", F.get(masks, F.floor(b / _WORD).cast("int")), F.pmod(b, F.lit(_WORD))) == 0)
+    oob = points.join(taken.hint("merge"), "id", "left").withColumn("bag", F.explode(free)).select("bag", *points.columns)
     return bag, oob
 
 
+_WORD = 62  # bags a word of bits holds
+
+
 def _draw_table(counts: DataFrame, by, bags: int, total: int) -> DataFrame:
     """(by..., n, bag, draw) with `want` draws per group and bag, generated in slices spread over all cores.
 
