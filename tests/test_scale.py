@@ -3,7 +3,10 @@
 import io
 from contextlib import redirect_stdout
 
+import numpy as np
+
 from vecmine.operators import indices as I
+from vecmine.operators.pairs import Block, chunks
 from vecmine.operators.sampling import bootstrap
 
 
@@ -24,3 +27,29 @@ def test_bootstrap_never_ships_draws(make):
     drawn = {(r["bag"], r["id"]) for r in bag.collect()}
     rest = [(r["bag"], r["id"]) for r in oob.collect()]
     assert len(rest) == len(set(rest)) and set(rest) == {(b, i) for b in range(70) for i in range(40)} - drawn
+
+
+def test_point_biserial_of_many_pairs(spark, make, monkeypatch):
+    """Products of pair counts do not fit 64 bits from some hundred thousand points on."""
+    row = (5_000_000_000, 9e9, 2e10, 50_000_000_000, 1.5e11, 5e11)
+    stats = spark.createDataFrame([row], "fw long, dw double, dw2 double, fb long, db double, db2 double")
+    monkeypatch.setattr(I, "pair_statistics", lambda points, metric: stats)
+    score = I.point_biserial(make([[0.0]])).first()["score"]
+    fw, dw, dw2, fb, db, db2 = map(float, row)
+    nd = fw + fb
+    spread = dw2 - dw * dw / fw + db2 - db * db / fb
+    assert abs(score - (db / fb - dw / fw) * (fw * fb) ** 0.5 / nd / (spread / nd) ** 0.5) < 1e-12
+
+
+def test_distance_buffers_stay_small():
+    """A kernel holds a dozen buffers and an executor runs several: 4 MB each, however large the blocks."""
+    def block(n):
+        b = Block.__new__(Block)
+        b.ids, b.X, b.cols, b.key = np.arange(n), np.random.default_rng(1).random((n, 2)), {}, 0
+        return b
+
+    seen = 0
+    for part, dist in chunks(block(1000), block(4096), "euclidean"):
+        assert dist.nbytes <= 1 << 22 and dist.shape == (part.stop - part.start, 4096)
+        seen += len(dist)
+    assert seen == 1000

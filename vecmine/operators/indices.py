@@ -253,7 +253,8 @@ def wb(points: DataFrame, metric: str = "euclidean") -> DataFrame:
 
 def point_biserial(points: DataFrame, metric: str = "euclidean") -> DataFrame:
     s = pair_statistics(points, metric).agg(*[F.sum(c).alias(c) for c in ("fw", "dw", "dw2", "fb", "db", "db2")])
-    fw, fb = F.col("fw"), F.col("fb")
+    # Numbers of pairs: their products outgrow 64 bits from some hundred thousand points on.
+    fw, fb = F.col("fw").cast("double"), F.col("fb").cast("double")
     nd = fw + fb
     mw, mb = F.col("dw") / fw, F.col("db") / fb
     spread = (F.col("dw2") - fw * mw * mw) + (F.col("db2") - fb * mb * mb)
