@@ -25,7 +25,8 @@ BLOCK_BYTES = 8 * 1024 * 1024
 BLOCK_ROWS = 8192
 STRIPE_BYTES = 64 * 1024 * 1024
 STRIPE_ROWS = 65536
-CHUNK_CELLS = 1 << 22
+# Cells of a distance buffer: a kernel holds a dozen such buffers, whatever the number of points.
+CHUNK_CELLS = 1 << 19
 # Distance work (cells x dimensions) that makes a tile worth a task of its own.
 TILE_WORK = 4_000_000
 
