@@ -5,6 +5,7 @@ from contextlib import redirect_stdout
 
 import numpy as np
 
+from vecmine.operators import graph as G
 from vecmine.operators import indices as I
 from vecmine.operators.pairs import Block, chunks
 from vecmine.operators.sampling import bootstrap
@@ -53,3 +54,25 @@ def test_distance_buffers_stay_small():
         assert dist.nbytes <= 1 << 22 and dist.shape == (part.stop - part.start, 4096)
         seen += len(dist)
     assert seen == 1000
+
+
+def test_markov_step_meets_only_entries_that_can_count(spark):
+    """A hub's many light entries cannot reach the limit, so they are left out of the product; what is left is exact."""
+    rng = np.random.default_rng(3)
+    M = np.zeros((90, 90))
+    M[:60, :60] = 1.0  # light: 1/60 each
+    M[60:, 60:] = np.kron(np.eye(10), rng.random((3, 3)) + 0.2)
+    M[10, 70] = M[80, 5] = 30.0  # heavy entries of the light rows and columns
+    M /= M.sum(axis=1, keepdims=True)
+    i, j = np.nonzero(M)
+    m = spark.createDataFrame([(int(a), int(b), float(M[a, b])) for a, b in zip(i, j)], "src long, dst long, w double")
+    want = (M @ M) ** 2
+    want[want < 0.001] = 0
+    want = want / np.maximum(want.sum(axis=1, keepdims=True), 1e-300)
+    got = np.zeros_like(M)
+    for r in G.expand_inflate(m).collect():
+        got[r["src"], r["dst"]] = r["w"]
+    assert np.allclose(got, want)
+    left, right = G._within_reach(m, 0.001 ** 0.5)
+    met = left.select("src", "dst").join(right.select(right.src.alias("dst"), right.dst.alias("to")), "dst").count()
+    assert met < 20_000 < 60 ** 3

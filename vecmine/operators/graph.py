@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, narrowed, release_unused
+from ..session import cut_lineage, narrowed, release_unused, settle_small
 
 
 def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -47,22 +47,42 @@ def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def row_normalize(m: DataFrame) -> DataFrame:
     """(src, dst, w) with every row of weights summing to one."""
     m = cut_lineage(m)
-    total = m.groupBy("src").agg(F.sum("w").alias("_t"))
+    total, _ = settle_small(m.groupBy("src").agg(F.sum("w").alias("_t")), 16)  # a row per node, so entries need not be shuffled
     return m.join(total, "src").select("src", "dst", (F.col("w") / F.col("_t")).alias("w"))
 
 
 def transition_matrix(edges: DataFrame, nodes: DataFrame, loop: float = 1.0) -> DataFrame:
-    """Symmetric edges (src < dst) plus self loops, row-normalised."""
+    """Symmetric edges (src < dst) plus self loops, row-normalised; one entry per pair of nodes."""
     two = F.array(F.struct("src", "dst", "w"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
     both = edges.select(F.explode(two).alias("e")).select("e.*")
     loops = nodes.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(float(loop)).alias("w"))
-    return row_normalize(both.unionByName(loops))
+    return row_normalize(both.unionByName(loops).groupBy("src", "dst").agg(F.sum("w").alias("w")))
+
+
+def _within_reach(m: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """Entries in the rows and in the columns of `m` that can give M * M an entry of `least` or more; no other entry can be needed.
+
+    An entry is a row times a column, so neither the row's sum times the column's maximum nor the product of their norms is below it.
+    """
+    size = F.abs("w")
+    stats = [F.max(size).alias("top"), F.sum(size).alias("sum"), F.sqrt(F.sum(size * size)).alias("norm")]
+    rows, cols = (settle_small(m.groupBy(c).agg(*stats), 32)[0] for c in ("src", "dst"))
+    least *= 1 - 1e-9  # sums are rounded
+
+    def able(own: DataFrame, other: DataFrame, key: str) -> DataFrame:
+        most = other.agg(F.max("sum").alias("sum"), F.max("norm").alias("norm")).first()
+        if most["sum"] is None:
+            return own.select(key)
+        return own.where(F.least(F.col("top") * most["sum"], F.col("norm") * most["norm"]) >= least).select(key)
+
+    return m.join(able(rows, cols, "src"), "src"), m.join(able(cols, rows, "dst"), "dst")
 
 
 def expand_inflate(m: DataFrame, power: float = 2.0, max_zero: float = 0.001) -> DataFrame:
-    """One step: M * M, entries to the power, entries below `max_zero` dropped, rows normalised."""
-    right = m.select(F.col("src").alias("dst"), F.col("dst").alias("to"), F.col("w").alias("w2"))
-    squared = m.join(right, "dst").groupBy("src", F.col("to")).agg(F.sum(F.col("w") * F.col("w2")).alias("w"))
+    """One step: M * M, entries to the power, entries below `max_zero` dropped, rows normalised. `m` has one entry per (src, dst)."""
+    left, right = _within_reach(m, max_zero ** (1 / power)) if power > 0 and max_zero > 0 else (m, m)
+    right = right.select(F.col("src").alias("dst"), F.col("dst").alias("to"), F.col("w").alias("w2"))
+    squared = left.select("src", "dst", "w").join(right, "dst").groupBy("src", F.col("to")).agg(F.sum(F.col("w") * F.col("w2")).alias("w"))
     powered = squared.select("src", F.col("to").alias("dst"), F.pow("w", F.lit(float(power))).alias("w"))
     return row_normalize(powered.where(F.abs("w") >= F.lit(float(max_zero))))
 
@@ -73,7 +93,6 @@ def mcl(m: DataFrame, power: float = 2.0, max_zero: float = 0.001, residual: flo
     Attractors are the nodes that keep weight on themselves; attractors holding each other form one cluster, named by
     its smallest node. A node joins its heaviest attractor; nodes without one stay alone.
     """
-    m = cut_lineage(m)
     for _ in range(most_steps):
         m = cut_lineage(expand_inflate(m, power, max_zero))
         chaos = m.groupBy("src").agg((F.max("w") - F.sum(F.col("w") * F.col("w"))).alias("r")).agg(F.max("r")).first()[0]
