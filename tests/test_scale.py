@@ -5,6 +5,7 @@ from contextlib import redirect_stdout
 
 import numpy as np
 
+from vecmine.operators import classify as K
 from vecmine.operators import graph as G
 from vecmine.operators import indices as I
 from vecmine.operators.pairs import Block, chunks
@@ -76,3 +77,15 @@ def test_markov_step_meets_only_entries_that_can_count(spark):
     left, right = G._within_reach(m, 0.001 ** 0.5)
     met = left.select("src", "dst").join(right.select(right.src.alias("dst"), right.dst.alias("to")), "dst").count()
     assert met < 20_000 < 60 ** 3
+
+
+def test_bayes_cells_are_not_dealt_by_value(spark, make):
+    """Attributes and their values are few: a join dealt by them sends most cells to a few tasks."""
+    points = make([[i % 3, i % 2, i % 5] for i in range(60)], labels=["ab"[i % 7 % 2] for i in range(60)]).drop("prediction")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for scores in (K.naive_bayes(points, points), K.dependent_bayes(points, points)):
+            assert "SortMergeJoin" not in plan_of(scores) and "ShuffledHashJoin" not in plan_of(scores)
+            assert scores.count() == 120
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -166,10 +166,11 @@ def naive_bayes(train: DataFrame, test: DataFrame) -> DataFrame:
     total = sum(n for _, n in labels)
     wide = long_form(train, "label").groupBy("attr", "value").agg(
         *[F.count(F.when(F.col("label") == c, 1)).alias(f"n{i}") for i, (c, _) in enumerate(labels)])
+    # Few values a row: counts are shipped while they fit, so that cells are not dealt by attribute or value, whose rows grow with the input.
+    wide, _ = settle_small(wide, 8 * len(labels) + 32)
     distinct = wide.groupBy("attr").agg(F.count(F.lit(1)).alias("v"))
     cells = long_form(test, "id")
-    # Counts per (attr, value) are an aggregate: the join is broadcast when small and split on skew when not.
-    met = cells.join(distinct, "attr", "left").join(wide, ["attr", "value"], "left")
+    met = cells.join(F.broadcast(distinct), "attr", "left").join(wide, ["attr", "value"], "left")  # one row per attribute
     values = F.coalesce("v", F.lit(0)) + F.when(F.col("n0").isNull(), 1).otherwise(0)
     parts = [F.sum(F.log2(F.coalesce(f"n{i}", F.lit(0)) + 1.0) - F.log2(F.lit(float(n)) + values)).alias(f"s{i}")
              for i, (_, n) in enumerate(labels)]
@@ -260,10 +261,12 @@ def dependent_bayes(train: DataFrame, test: DataFrame, k: int = 1, threshold: fl
     per_class = [F.count(F.when(F.col("label") == c, 1)) for c, _ in labels]
     seen = keyed(train, "label")
     num = seen.groupBy("attr", "value", "up").agg(*[x.alias(f"n{i}") for i, x in enumerate(per_class)])
-    den = seen.groupBy("attr", "up").agg(*[x.alias(f"d{i}") for i, x in enumerate(per_class)])
-    known = seen.groupBy("attr", "value").agg(F.lit(1).alias("known"))
+    # Shipped while they fit, the rest derived from them: neither cells nor training rows are dealt by attribute or value.
+    num, _ = settle_small(num, 8 * len(labels) + 64)
+    den, _ = settle_small(num.groupBy("attr", "up").agg(*[F.sum(f"n{i}").alias(f"d{i}") for i in range(len(labels))]), 8 * len(labels) + 48)
+    known, _ = settle_small(num.groupBy("attr", "value").agg(F.lit(1).alias("known")), 48)
     distinct = known.groupBy("attr").agg(F.count(F.lit(1)).alias("v"))
-    met = keyed(test, "id").join(distinct, "attr").join(known, ["attr", "value"], "left").join(
+    met = keyed(test, "id").join(F.broadcast(distinct), "attr").join(known, ["attr", "value"], "left").join(
         num, ["attr", "value", "up"], "left").join(den, ["attr", "up"], "left")
     values = F.col("v") + F.when(F.col("known").isNull(), 1).otherwise(0)
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("double")
