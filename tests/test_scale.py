@@ -6,6 +6,7 @@ from contextlib import redirect_stdout
 import numpy as np
 
 from vecmine.operators import classify as K
+from vecmine.operators import clustering as C
 from vecmine.operators import graph as G
 from vecmine.operators import indices as I
 from vecmine.operators.pairs import Block, chunks
@@ -89,3 +90,15 @@ def test_bayes_cells_are_not_dealt_by_value(spark, make):
             assert scores.count() == 120
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_kept_points_are_packed(make):
+    """A pass of k-means or a map over kept points reads a few binary rows, not every cell."""
+    rng = np.random.default_rng(5)
+    X, centres = rng.random((300, 3)), rng.random((4, 3))
+    packed = C._packed(make(X).repartition(3))
+    assert packed.count() <= 3
+    n, s = C.cluster_sums(packed, centres, "euclidean")
+    own = ((X[:, None] - centres) ** 2).sum(axis=2).argmin(axis=1)
+    assert n.tolist() == np.bincount(own, minlength=4).tolist()
+    assert np.allclose(s, [X[own == c].sum(axis=0) for c in range(4)])

@@ -40,17 +40,26 @@ def bounding_box(points: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.array(row["min"]), np.array(row["max"])
 
 
-def cluster_sums(points: DataFrame, centres: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
+def _packed(points: DataFrame) -> DataFrame:
+    """(rows, payload): the vectors of every batch as one binary matrix, so that a pass over kept points reads arrays and parses no cells."""
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                X = matrix(batch.column("features"))
+                yield pa.record_batch([pa.array([len(X)]), pa.array([X.tobytes()], pa.binary())], names=["rows", "payload"])
+
+    return points.select("features").mapInArrow(run, "rows long, payload binary")
+
+
+def cluster_sums(packed: DataFrame, centres: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
     """(counts, vector sums) per nearest centre. Each task sends one row per non-empty centre."""
-    ship = points.sparkSession.sparkContext.broadcast(centres)
+    ship = packed.sparkSession.sparkContext.broadcast(centres)
 
     def run(batches):
         k, d = ship.value.shape
         n, s = np.zeros(k, dtype=np.int64), np.zeros((k, d))
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            X = matrix(batch.column("features"))
+        for rows, payload in ((r, p) for b in batches for r, p in zip(b.column("rows").to_pylist(), b.column("payload"))):
+            X = np.frombuffer(payload.as_buffer()).reshape(rows, -1)
             pos, _ = nearest_index(X, ship.value, metric)
             n += np.bincount(pos, minlength=k)
             order = np.argsort(pos, kind="stable")
@@ -61,7 +70,7 @@ def cluster_sums(points: DataFrame, centres: np.ndarray, metric: str) -> tuple[n
             "c": pa.array(used, pa.int64()), "n": pa.array(n[used]),
             "s": pa.array([r.tolist() for r in s[used]], pa.list_(pa.float64()))})
 
-    parts = points.select("features").mapInArrow(run, "c long, n long, s array<double>")
+    parts = packed.mapInArrow(run, "c long, n long, s array<double>")
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
 
@@ -93,9 +102,9 @@ def kmeans(points: DataFrame, k: int = 4, iterations: int = 100, metric: str = "
            tolerance: float = 1e-4) -> DataFrame:
     """Points with `prediction`. Starts at random positions in the bounding box; empty clusters restart there."""
     metric = bound(points, metric)
-    held = points.select("features").persist(StorageLevel.MEMORY_AND_DISK)
+    held = _packed(points).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        low, high = bounding_box(held)
+        low, high = bounding_box(points)
         d = len(low)
         if not _fits(points, k, d):
             return _kmeans_by_tiles(points, k, iterations, metric, seed, tolerance, low, high)
@@ -424,7 +433,7 @@ def som_fit(points: DataFrame, width: int = 2, height: int = 2, epochs: int = 20
     grid = som_grid(width, height, hexagonal)
     apart = np.sqrt(((grid[:, None, :] - grid[None, :, :]) ** 2).sum(axis=2))
     weights = np.random.default_rng(seed).random((len(grid), d))
-    held = points.select("features").persist(StorageLevel.MEMORY_AND_DISK)
+    held = _packed(points).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         for e in range(epochs):
             share = e / epochs
