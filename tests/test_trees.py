@@ -138,6 +138,19 @@ def test_permutation_equals_brute_force(spark, make, data):
     assert [got[a] for a in range(4)] == pytest.approx(want)
 
 
+def test_permutation_counts_votes_where_the_rows_are(make, data, monkeypatch):
+    X, y = data
+    X = X.copy()
+    X[5, 2] = np.nan  # speaks in every sum of its row, whatever attributes a node asks for
+    rows = make(X, labels=[None if i == 7 else str(c) for i, c in enumerate(y)]).drop("prediction")
+    forest, bagged = T.random_forest(rows, trees=5, attributes=2, depth=4)
+    shipped, forest.rows = forest.rows, None
+    want = {r.attr: r.score for r in T.permutation_scores(forest, bagged).collect()}  # votes by joins
+    forest.rows = shipped
+    monkeypatch.setattr(T, "out_of_bag", lambda *_: pytest.fail("changed rows or their votes left the tasks"))
+    assert {r.attr: r.score for r in T.permutation_scores(forest, bagged).collect()} == pytest.approx(want)
+
+
 def test_odd_inputs(spark, make):
     one = make([[1.0, 2.0], [3.0, 4.0]], labels=["x", "x"]).drop("prediction")
     assert {r.predicted for r in T.random_tree(one).transform(one).collect()} == {"x"}

@@ -399,7 +399,11 @@ def som_classify(train: DataFrame, test: DataFrame, **options) -> DataFrame:
 
 def confusion_counts(predicted: DataFrame, *by: str) -> DataFrame:
     """(*by, label, tp, fp, tn, fn) for every true class."""
-    pairs = predicted.groupBy(*by, "label", "predicted").agg(F.count(F.lit(1)).alias("n"))
+    return confusion_of(predicted.groupBy(*by, "label", "predicted").agg(F.count(F.lit(1)).alias("n")), *by)
+
+
+def confusion_of(pairs: DataFrame, *by: str) -> DataFrame:
+    """The same from counted pairs (*by, label, predicted, n)."""
     truth = pairs.groupBy(*by, "label").agg(
         F.sum(F.when(F.col("label") == F.col("predicted"), F.col("n")).otherwise(0)).alias("tp"), F.sum("n").alias("pos"))
     called = pairs.groupBy(*by, F.col("predicted").alias("label")).agg(F.sum("n").alias("called"))

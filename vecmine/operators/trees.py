@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import hash_uniform
 from ..session import broadcast_limit, collect_bounded, cut_lineage, one_row, settle_small
 from .centroids import dims_of
-from .classify import confusion_counts, measures
+from .classify import confusion_of, measures
 from .pairs import matrix
 from .stats import as_row, attribute_stats
 
@@ -68,19 +68,29 @@ def _chunks(batches, most: int = CHUNK_ROWS):
         yield pa.Table.from_batches(held)
 
 
-def _apart(X: np.ndarray, centre: np.ndarray, mask: np.ndarray) -> np.ndarray:
-    """Manhattan distances on the attributes of the mask, summed in the order of the attributes."""
-    out = np.zeros(len(X))
-    for a in range(X.shape[1]):
-        out += np.abs(X[:, a] - centre[:, a]) * mask[:, a]
-    return out
+def _right(columns: np.ndarray, zero: np.ndarray, rest: np.ndarray, masks: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Whether the rest's mean is closer in Manhattan distance on the attributes of the mask, summed in the order of the attributes. Rows are
+    columns of the first matrix, nodes those of the next three; row i asks node k[i]."""
+    left, right = np.zeros(columns.shape[1]), np.zeros(columns.shape[1])
+    for a, x in enumerate(columns):
+        mask = masks[a].take(k)
+        for total, centre in ((left, zero), (right, rest)):
+            gap = x - centre[a].take(k)
+            np.abs(gap, out=gap)
+            gap *= mask
+            total += gap
+    return left > right
+
+
+def _columns(X: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(X.T)
 
 
 class Local:
     """Nodes of all trees as arrays for the tasks."""
 
     def __init__(self, rows, dims: int, open_nodes=()):
-        self.trees = {}
+        self.trees, self.leaves = {}, {}
         for r in [*rows, *open_nodes]:
             self.trees.setdefault(r["tree"], []).append(r)
         for t, nodes in self.trees.items():
@@ -94,20 +104,30 @@ class Local:
                 if r["attrs"] is not None:
                     masks[i, r["attrs"]], inner[i] = 1.0, True
             ids = np.array([r["node"] for r in nodes], np.int64)
-            self.trees[t] = (ids, inner, masks, zero, rest, np.array([r["leaf"] for r in nodes], object), [r["tries"] for r in nodes])
-
-    def place(self, t: int, X: np.ndarray) -> np.ndarray:
-        """Position, among the nodes of tree t, of the node every row stops at."""
-        ids, inner, masks, zero, rest, _, _ = self.trees[t]
-        at = np.zeros(len(X), np.int64)
-        going = np.flatnonzero(inner[at])
+            # Position of an inner node's left child; the right one follows it.
+            below = np.searchsorted(ids, 2 * ids)
+            self.trees[t] = (ids, inner, _columns(masks), _columns(zero), _columns(rest), below, [r["tries"] for r in nodes])
+            self.leaves[t] = [r["leaf"] for r in nodes]
+        self.classes = sorted({c for leaves in self.leaves.values() for c in leaves if c is not None})
+        code = {c: i for i, c in enumerate(self.classes)}
+        self.codes = {t: np.array([code.get(c, -1) for c in leaves], np.int32) for t, leaves in self.leaves.items()}
+
+    def place(self, t: int, columns: np.ndarray) -> np.ndarray:
+        """Position, among the nodes of tree t, of the node every row (a column of the matrix) stops at."""
+        _, inner, masks, zero, rest, below, _ = self.trees[t]
+        at = np.zeros(columns.shape[1], np.int64)
+        going = np.arange(len(at)) if len(inner) and inner[0] else at[:0]
         while len(going):
             k = at[going]
-            right = _apart(X[going], zero[k], masks[k]) > _apart(X[going], rest[k], masks[k])
-            at[going] = np.searchsorted(ids, 2 * ids[k] + right)
-            going = going[inner[at[going]]]
+            k = below[k] + _right(columns if len(going) == len(at) else columns.take(going, axis=1), zero, rest, masks, k)
+            at[going] = k
+            going = going[inner[k]]
         return at
 
+    def vote(self, t: int, columns: np.ndarray) -> np.ndarray:
+        """Number in `classes` of the class that tree t gives every row; -1 for none."""
+        return self.codes[t][self.place(t, columns)]
+
 
 @dataclass
 class Forest:
@@ -127,12 +147,14 @@ class Forest:
 
             @F.arrow_udf("array<string>")
             def ask(v: pa.Array) -> pa.Array:
-                X, model = matrix(v), shared.value
-                said = np.empty((len(X), trees), object)
+                X, model = _columns(matrix(v)), shared.value
+                said = np.full((len(v), trees), -1, np.int32)
                 for t in range(trees):
                     if t in model.trees:
-                        said[:, t] = model.trees[t][5][model.place(t, X)]
-                return pa.array(said.tolist(), pa.list_(pa.string()))
+                        said[:, t] = model.vote(t, X)
+                flat = said.ravel()
+                names = pa.array(model.classes, pa.string()).take(pa.array(flat, mask=flat < 0))
+                return pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * trees, pa.int32()), names)
 
             return points.withColumn("votes", ask("features"))
         state = points.select("id", "features", F.explode(F.sequence(F.lit(0), F.lit(self.trees - 1))).alias("tree"), F.lit(1).cast("long").alias("node"))
@@ -162,12 +184,19 @@ def _side(attrs: Column) -> Column:
 def with_majority(voted: DataFrame, votes: Column | None = None) -> DataFrame:
     """Adds `predicted` and `distribution` from an array of votes; no vote gives null and an empty map."""
     votes = F.col("votes") if votes is None else votes
+
+    def once(c: Column, fn) -> Column:
+        """`fn` of a value that is worked out once, however often `fn` names it."""
+        return F.get(F.transform(F.array(c), fn), 0)
+
+    def tally(said: Column) -> Column:
+        return F.transform(F.array_distinct(said), lambda c: F.struct((-F.size(F.filter(said, lambda v: v == c))).alias("less"), c.alias("label")))
+
     said = F.filter(votes, lambda v: v.isNotNull())
-    tally = F.transform(F.array_distinct(said), lambda c: F.struct((-F.size(F.filter(said, lambda v: v == c))).alias("less"), c.alias("label")))
-    total = F.size(said).cast("double")
-    return voted.withColumns({
-        "predicted": F.array_min(tally)["label"],
-        "distribution": F.map_from_entries(F.transform(tally, lambda x: F.struct(x["label"], -x["less"] / total)))})
+    both = once(said, lambda v: once(tally(v), lambda x: F.struct(
+        F.array_min(x)["label"].alias("predicted"),
+        F.map_from_entries(F.transform(x, lambda y: F.struct(y["label"], -y["less"] / F.size(v).cast("double")))).alias("distribution"))))
+    return voted.withColumn("__said", both).withColumns({"predicted": F.col("__said.predicted"), "distribution": F.col("__said.distribution")}).drop("__said")
 
 
 def _decided(stats: DataFrame, sizes: list[int], dims: int, seed: int, last: bool) -> DataFrame:
@@ -200,42 +229,48 @@ def _shipped_sums(points: DataFrame, local: Local | None, trees: int, dims: int)
     def run(batches):
         model = shared.value
         for table in _chunks(batches):
-            X, names = matrix(table.column("features")), table.column("label").combine_chunks().dictionary_encode()
+            X, names = _columns(matrix(table.column("features"))), table.column("label").combine_chunks().dictionary_encode()
             code, names = np.asarray(names.indices), names.dictionary.to_pylist()
             W = matrix(table.column("w"))
             for t in range(trees):
                 if model is None:
-                    yield from parts(t, np.ones(len(X), np.int64), np.zeros(len(X), bool), 0, X, code, names, W[:, t])
+                    here = np.flatnonzero(W[:, t] > 0)
+                    yield from parts(t, np.ones(1, np.int64), np.zeros(len(here), np.int64), np.zeros(len(here), bool), 0, X[:, here], code[here], names, W[here, t])
                     continue
                 ids, _, _, zero, rest, _, tries = model.trees.get(t, ((),) * 7)
                 if not any(x is not None for x in tries):
                     continue
                 here = np.flatnonzero(W[:, t] > 0)
-                at = model.place(t, X[here])
+                at = model.place(t, X.take(here, axis=1))
                 asking = np.array([x is not None for x in tries])[at]
                 here, at = here[asking], at[asking]
+                mine, w, label = X.take(here, axis=1), W[here, t], code[here]
                 for k in range(max(len(x) for x in tries if x is not None)):
-                    masks = np.zeros((len(tries), dims))
+                    masks = np.zeros((dims, len(tries)))
                     for i, x in enumerate(tries):
                         if x is not None:
-                            masks[i, x[k]] = 1.0
-                    side = _apart(X[here], zero[at], masks[at]) > _apart(X[here], rest[at], masks[at])
-                    yield from parts(t, ids[at], side, k, X[here], code[here], names, W[here, t])
-
-    def parts(t, node, side, k, X, code, names, w):
-        keep = w > 0
-        node, side, X, code, w = node[keep], side[keep], X[keep], code[keep], w[keep]
-        if not len(node):
+                            masks[x[k], i] = 1.0
+                    yield from parts(t, ids, at, _right(mine, zero, rest, masks, at), k, mine, label, names, w)
+
+    def parts(t, ids, at, side, k, X, code, names, w):
+        """Sums per node (its place in ids), side and class, all of them numbered as one."""
+        if not len(at):
             return
-        order = np.lexsort((code, side, node))
-        node, side, X, code, w = node[order], side[order], X[order], code[order], w[order]
-        new = np.r_[True, (node[1:] != node[:-1]) | (side[1:] != side[:-1]) | (code[1:] != code[:-1])]
-        at = np.flatnonzero(new)
-        sums = np.add.reduceat(X * w[:, None], at, axis=0)
-        size = len(at)
+        kinds = len(names)
+        key, bins = (at * 2 + side) * kinds + code, 2 * len(ids) * kinds
+        if bins > 4 * len(key):
+            found, key = np.unique(key, return_inverse=True)
+        else:
+            found = np.flatnonzero(np.bincount(key, minlength=bins))
+            place = np.zeros(bins, np.int64)
+            place[found] = np.arange(len(found))
+            key = place[key]
+        size = len(found)
+        sums = np.stack([np.bincount(key, weights=x * w, minlength=size) for x in X], axis=1)
+        node, side, code = found // (2 * kinds), found // kinds % 2, found % kinds
         yield pa.record_batch([
-            pa.array(np.full(size, t, np.int32)), pa.array(node[at]), pa.array(np.full(size, k, np.int32)), pa.array(side[at].astype(np.int32)),
-            pa.array([names[c] for c in code[at]], pa.string()), pa.array(np.add.reduceat(w, at).astype(np.int64)),
+            pa.array(np.full(size, t, np.int32)), pa.array(ids[node]), pa.array(np.full(size, k, np.int32)), pa.array(side.astype(np.int32)),
+            pa.array([names[c] for c in code], pa.string()), pa.array(np.bincount(key, weights=w, minlength=size).astype(np.int64)),
             pa.ListArray.from_arrays(pa.array(np.arange(size + 1) * dims, pa.int32()), pa.array(sums.ravel()))],
             names=["tree", "node", "try", "side", "label", "n", "s"])
 
@@ -378,19 +413,74 @@ def out_of_bag_error(forest: Forest, rows: DataFrame) -> DataFrame:
     return said.agg(F.count(F.lit(1)).alias("tested"), F.avg((F.col("predicted") != F.col("label")).cast("double")).alias("error"))
 
 
+VOTED = "attr int, label string, predicted string, n long"
+
+
+def _majority(votes: np.ndarray, kinds: int) -> np.ndarray:
+    """Most frequent class number of every row, ties to the smaller one; -1 (no vote) counts for nothing."""
+    n = np.zeros(votes.shape, np.int64)
+    for t in range(votes.shape[1]):
+        n += votes == votes[:, t, None]
+    best = np.where(votes < 0, -1, n * (kinds + 1) + (kinds - votes)).max(axis=1)
+    return np.where(best < 0, -1, kinds - best % (kinds + 1))
+
+
+def _permuted_counts(forest: Forest, rows: DataFrame) -> DataFrame:
+    """(attr, label, predicted, n): out-of-bag votes on rows (features, label, w), untouched (attr -1) and with every attribute in turn taken
+    from `other`. A task votes on its rows in place, so neither changed rows nor votes leave it."""
+    shared, trees = rows.sparkSession.sparkContext.broadcast(Local(forest.rows, forest.dims)), forest.trees
+
+    def run(batches):
+        model = shared.value
+        kinds = len(model.classes)
+        for table in _chunks(batches):
+            X, Z, W = _columns(matrix(table.column("features"))), _columns(matrix(table.column("other"))), matrix(table.column("w"))
+            names = table.column("label").combine_chunks().dictionary_encode()
+            label, names = np.asarray(names.indices), names.dictionary.to_pylist()
+            out = [(t, np.flatnonzero(W[:, t] == 0)) for t in range(trees) if t in model.trees]
+            plain = np.full((W.shape[0], trees), -1, np.int32)
+            for a in range(-1, len(X)):
+                votes = plain if a < 0 else plain.copy()
+                whole = a < 0 or not (np.isnan(X[a]).any() or np.isnan(Z[a]).any())
+                for t, here in out:
+                    # A tree that never asks for the attribute stays with its vote; a missing value speaks in every sum.
+                    if a >= 0 and whole and not model.trees[t][2][a].any():
+                        continue
+                    mine = X.take(here, axis=1)
+                    if a >= 0:
+                        mine[a] = Z[a].take(here)
+                    votes[here, t] = model.vote(t, mine)
+                said = _majority(votes, kinds)
+                heard = np.flatnonzero(said >= 0)
+                pair, n = np.unique(label[heard].astype(np.int64) * kinds + said[heard], return_counts=True)
+                yield pa.record_batch([pa.array(np.full(len(n), a, np.int32)), pa.array([names[p // kinds] for p in pair], pa.string()),
+                                       pa.array([model.classes[p % kinds] for p in pair], pa.string()), pa.array(n.astype(np.int64))],
+                                      names=["attr", "label", "predicted", "n"])
+
+    parts = rows.select("features", "other", "label", "w").mapInArrow(run, VOTED)
+    return parts.groupBy("attr", "label", "predicted").agg(F.sum("n").alias("n"))
+
+
 def permutation_scores(forest: Forest, rows: DataFrame, seed: int = 1) -> DataFrame:
     """(attr, score): how far the out-of-bag sum of the classes' F-measures falls when an attribute is replaced by uniform values of its
     range, scaled to 0..1. The untouched rows and every changed attribute are voted on in one pass."""
     box = one_row(as_row(attribute_stats(rows).select("attr", "min", "max")))
-    every = rows.where("label IS NOT NULL").withColumn("box", box).withColumn("attr", F.explode(F.sequence(F.lit(-1), F.size("features") - 1)))
-    noise = hash_uniform(F.concat_ws("|", "id", "attr"), f"{seed}:noise")
-    lo, hi = F.get("box.min", F.col("attr")), F.get("box.max", F.col("attr"))
-    changed = F.transform("features", lambda x, i: F.when(i == F.col("attr"), lo + noise * (hi - lo)).otherwise(x))
-    if forest.rows is None:
+    known = rows.where("label IS NOT NULL").withColumn("box", box)
+
+    def random(a: Column) -> Column:
+        lo, hi = F.get("box.min", a), F.get("box.max", a)
+        return lo + hash_uniform(F.concat_ws("|", "id", a), f"{seed}:noise") * (hi - lo)
+
+    if forest.rows:
+        pairs = _permuted_counts(forest, known.withColumn("other", F.array(*[random(F.lit(a)) for a in range(forest.dims)])))
+    else:
+        every = known.withColumn("attr", F.explode(F.sequence(F.lit(-1), F.size("features") - 1)))
+        changed = F.transform("features", lambda x, i: F.when(i == F.col("attr"), random(F.col("attr"))).otherwise(x))
+        every = every.withColumn("features", changed).drop("box")
         # Votes meet rows again by id, so a changed row needs one of its own.
-        every = every.withColumn("id", F.concat_ws("|", "id", "attr"))
-    said = out_of_bag(forest, every.withColumn("features", changed).drop("box")).where("predicted IS NOT NULL")
-    per = measures(confusion_counts(said.select("attr", "label", "predicted"), "attr")).groupBy("attr").agg(F.sum("f_measure").alias("f"))
+        said = out_of_bag(forest, every.withColumn("id", F.concat_ws("|", "id", "attr"))).where("predicted IS NOT NULL")
+        pairs = said.groupBy("attr", "label", "predicted").agg(F.count(F.lit(1)).alias("n"))
+    per = measures(confusion_of(cut_lineage(pairs), "attr")).groupBy("attr").agg(F.sum("f_measure").alias("f"))
     per = cut_lineage(per)
     drop = per.where("attr >= 0").withColumn("drop", per.where("attr = -1").select("f").scalar() - F.col("f"))
     span = one_row(drop.agg(F.min("drop").alias("lo"), F.max("drop").alias("hi")))
