@@ -131,6 +131,18 @@ def features(df):
     return [r["features"] for r in df.orderBy("id").collect()]
 
 
+def test_sparse_rows_are_parsed_once(spark, tmp_path):
+    path = write(tmp_path, "s.tsv", "# none\n2: 7 \tlast\t0:x\n5:1:9\n\tno cells\n")
+    got = X.read_sparse(spark, path, class_column=1, default=-1.0)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    # The map of a row is the argument of a lambda, not part of its body, which runs once for every attribute.
+    assert "array(map_from_entries" in plan and "element_at(map_from_entries" not in plan
+    rows = got.orderBy("id").collect()
+    assert math.isnan(rows[0]["features"][0]) and rows[0]["features"][1:] == [-1.0, 7.0, -1.0, -1.0, -1.0] and rows[0]["label"] == "last"
+    assert rows[1]["features"] == [-1.0] * 5 + [1.0] and rows[1]["label"] is None
+    assert rows[2]["features"] == [-1.0] * 6 and rows[2]["label"] == "no cells"
+
+
 def test_readers(spark, tmp_path):
     one = write(tmp_path, "one.csv", "element0,element1,cluster\n1,2,0\n3,x,1\n")
     rows = X.read_clustered_csv(spark, one).orderBy("id").collect()

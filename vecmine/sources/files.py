@@ -84,13 +84,21 @@ def read_sparse(spark: SparkSession, path: str, class_column: int | None = None,
     """Tokens `index:value`; the number of attributes is the largest index of the whole input plus one."""
     cells = _data_lines(spark, path, "#").select("id", F.split("value", _quoted(sep)).alias("c"))
     tokens = F.filter("c", lambda x, i: x.contains(pair))
-    entry = lambda x: F.struct(
-        F.trim(F.split(x, _quoted(pair))[0]).try_cast("int").alias("k"), _number(F.split(x, _quoted(pair))[1]).alias("v"))
+    # An index reaches to the first `pair`, its value from there to the next one or to the end.
+    head = lambda x: F.substring_index(x, pair, 1)
+    rest = lambda x: F.substring(x, F.char_length(head(x)) + F.lit(len(pair) + 1), F.char_length(x))
+    key = lambda x: F.trim(head(x)).try_cast("int")
+    entries = F.transform(tokens, lambda x: F.struct(key(x).alias("k"), _number(head(rest(x))).alias("v")))
     label = F.lit(None).cast("string") if class_column is None else F.trim(F.get("c", class_column))
-    rows = cells.select("id", F.map_from_entries(F.transform(tokens, entry)).alias("m"), label.alias("label"))
-    width = rows.agg(F.max(F.array_max(F.map_keys("m"))) + 1).scalar()
-    dense = F.transform(F.sequence(F.lit(0), F.col("w") - 1), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(float(default))))
-    return rows.withColumn("w", width).select("id", dense.alias("features"), "label")
+    # The width needs the indices only, not the values.
+    width = cells.agg(F.max(F.array_max(F.transform(tokens, key))) + 1).scalar()
+
+    def dense(m: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.col("w") - 1), lambda i: F.coalesce(F.try_element_at(m, i), F.lit(float(default))))
+
+    # As the variable of a lambda the map is built once a row; by its column name it would be built again for every attribute.
+    features = F.get(F.transform(F.array(F.map_from_entries(entries)), dense), 0)
+    return cells.withColumn("w", width).select("id", features.alias("features"), label.alias("label"))
 
 
 def read_arff(spark: SparkSession, path: str, class_column: int | None = None, sep: str = ",") -> DataFrame:
