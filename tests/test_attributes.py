@@ -186,3 +186,25 @@ def test_sampling_does_not_depend_on_partitioning(make):
     one = {(r["id"], r["fold"]) for r in P.kfold_split(points.repartition(1), 7).collect()}
     many = {(r["id"], r["fold"]) for r in P.kfold_split(points.repartition(23), 7).collect()}
     assert one == many
+
+
+def test_nearest_by_known_cells_sums_few_pairs(monkeypatch):
+    from vecmine.functions.distances import block_distance
+    from vecmine.operators import pairs
+
+    rng = np.random.default_rng(3)
+    whole = np.round(rng.normal(size=(90, 20)) * 4) / 10 + 1000.0
+    whole[40:44] = whole[7]
+    gaps = np.where(rng.random(whole.shape) < 0.2, np.nan, whole)
+    for X in (gaps, gaps[:3], np.where(rng.random(whole.shape) < 0.01, np.inf, gaps), gaps * 1e160, gaps * 1e-160, np.full((4, 2), np.nan)):
+        usable = ~np.eye(len(X), dtype=bool)
+        with np.errstate(all="ignore"):
+            want = block_distance("nan_euclidean", X, X)
+            got = pairs._near_known(X, X, usable, 5)
+        for i in range(len(X)):
+            others = [j for j in range(len(X)) if j != i]
+            first = sorted((w, j) for w, j in ((want[i, j], j) for j in others))[:5]
+            assert sorted((g, j) for g, j in ((got[i, j], j) for j in others) if not np.isnan(g))[:5] == first
+    monkeypatch.setattr(pairs, "block_distance", lambda *_: pytest.fail("every pair was summed cell by cell"))
+    seen = pairs._near_known(gaps, gaps, ~np.eye(90, dtype=bool), 5)
+    assert (~np.isnan(seen)).sum() < 90 * 15

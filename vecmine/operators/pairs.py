@@ -317,6 +317,30 @@ def class_sums(points: DataFrame, metric: str, sample: DataFrame | None = None,
 
 # ---- nearest neighbours --------------------------------------------------------------------------
 
+def _near_known(X: np.ndarray, Y: np.ndarray, usable: np.ndarray, k: int) -> np.ndarray:
+    """Distances over shared known cells where a pair may be among the k nearest of its row, NaN elsewhere. Matrix products give all squared
+    distances up to a proven error; only the pairs that this leaves open are summed cell by cell, as the measure does."""
+    known = [~np.isnan(Z) for Z in (X, Y)]
+    x, y = (np.where(m, Z, 0.0) for m, Z in zip(known, (X, Y)))
+    with np.errstate(over="ignore", invalid="ignore"):
+        scale = (x * x) @ known[1].T.astype(np.float64) + known[0].astype(np.float64) @ (y * y).T
+        if not scale.size or not np.isfinite(scale.max()):
+            return block_distance("nan_euclidean", X, Y)
+    d2 = scale - 2.0 * (x @ y.T)
+    scale *= 8 * (X.shape[1] + 4) * np.finfo(np.float64).eps
+    scale += 1e-300  # squares too small for full precision
+    take = min(k, len(Y))
+    limit = np.partition(np.where(usable, d2 + scale, np.inf), take - 1, axis=1)[:, take - 1]
+    i, j = np.nonzero(usable & (d2 - scale <= limit[:, None]))
+    total = np.zeros(len(i))
+    for a in range(X.shape[1]):
+        gap = X[i, a] - Y[j, a]
+        total += np.where(np.isnan(gap), 0.0, gap * gap)
+    out = np.full(d2.shape, np.nan)
+    out[i, j] = np.sqrt(total)
+    return out
+
+
 def nearest(queries: DataFrame, refs: DataFrame, k: int, metric: str = "euclidean", same: bool = False,
             by_label: bool = False, exclude_equal: bool = False, **params) -> DataFrame:
     """(id, neighbour, score, rank[, hit]): the k nearest `refs` of every query, ties by neighbour id.
@@ -355,8 +379,17 @@ def nearest(queries: DataFrame, refs: DataFrame, k: int, metric: str = "euclidea
         i, j = i[pos < k], j[pos < k]
         return batch_of(schema, L.ids[part][i], R.ids[j], bad[i, j], score[i, j], np.full(len(i), hit))
 
+    screened = metric == "nan_euclidean" and not by_label and not exclude_equal
+
+    def screen(L, R):
+        step = max(1, CHUNK_CELLS // max(1, len(R)))
+        for s in range(0, len(L), step):
+            part = slice(s, min(len(L), s + step))
+            usable = L.ids[part][:, None] != R.ids[None, :] if same else np.ones((part.stop - s, len(R)), bool)
+            yield part, _near_known(L.X[part], R.X, usable, k)
+
     def kernel(L: Block, R: Block):
-        for part, score in chunks(L, R, metric, **params):
+        for part, score in screen(L, R) if screened else chunks(L, R, metric, **params):
             allowed = ~np.isnan(score)
             if same:
                 allowed &= L.ids[part][:, None] != R.ids[None, :]
