@@ -89,3 +89,22 @@ def test_own_measures(make, data):
         D.custom("nothing")
     with pytest.raises(ValueError):
         D.block_distance(lambda x, y: x, data, data)
+
+
+def test_summed_measures_work_in_the_cache(monkeypatch):
+    from vecmine.functions import distances as D
+
+    rng = np.random.default_rng(5)
+    X, Y = rng.normal(size=(70, 20)), rng.normal(size=(300, 20))
+    monkeypatch.setattr(D, "CACHE_CELLS", 1000)
+    seen = []
+
+    def step(sums, gaps):
+        seen.append(gaps.size)
+        sums += np.abs(gaps, out=gaps)
+
+    plain = np.zeros((70, 300))
+    for a in range(20):
+        plain += np.abs(X[:, a, None] - Y[None, :, a])
+    assert (D._accumulate(X, Y, step) == plain).all() and max(seen) <= 1000
+    assert (D.block_distance("manhattan", X, Y) == plain).all()

@@ -192,7 +192,8 @@ def mahalanobis(x, y, inverse: Column):
 def _block_sq(X, Y):
     if X.shape[1] <= 16:
         def step(out, d):
-            out += d * d
+            d *= d
+            out += d
         return _accumulate(X, Y, step)
     xx = np.einsum("ij,ij->i", X, X)
     yy = np.einsum("ij,ij->i", Y, Y)
@@ -212,28 +213,37 @@ def _block_euclidean(X, Y):
     return np.sqrt(_block_sq(X, Y))
 
 
+# Cells whose sums and differences stay in a core's cache while the attributes are gone through.
+CACHE_CELLS = 1 << 14
+
+
 def _accumulate(X, Y, step):
-    out = np.zeros((len(X), len(Y)))
-    for a in range(X.shape[1]):
-        step(out, X[:, a, None] - Y[None, :, a])
+    """`step(sums, differences)` for every attribute in turn; a step may overwrite the differences."""
+    out, columns = np.zeros((len(X), len(Y))), np.ascontiguousarray(Y.T)
+    rows = max(1, CACHE_CELLS // max(1, len(Y)))
+    gaps = np.empty((min(rows, len(X)), len(Y)))
+    for s in range(0, len(X), rows):
+        part, sums = X[s:s + rows], out[s:s + rows]
+        for a in range(X.shape[1]):
+            step(sums, np.subtract(part[:, a, None], columns[a], out=gaps[:len(part)]))
     return out
 
 
 def _block_manhattan(X, Y):
     def step(out, d):
-        out += np.abs(d)
+        out += np.abs(d, out=d)
     return _accumulate(X, Y, step)
 
 
 def _block_chebyshev(X, Y):
     def step(out, d):
-        np.maximum(out, np.abs(d), out=out)
+        np.maximum(out, np.abs(d, out=d), out=out)
     return _accumulate(X, Y, step)
 
 
 def _block_minkowski(X, Y, p=2.0):
     def step(out, d):
-        out += np.abs(d) ** p
+        out += np.abs(d, out=d) ** p
     return _accumulate(X, Y, step) ** (1.0 / p)
 
 
