@@ -60,3 +60,17 @@ def test_one_cluster_is_refused(make):
     for scores in (S.simplified_scores, S.simplified_centroid_scores, S.frahling_sohler_scores, S.sq_euclidean_scores):
         with pytest.raises(ValueError):
             scores(points)
+
+
+def test_mdl_segments_are_never_brought_together(make, monkeypatch):
+    """A step of the recursion reads the table where it is: neither a sort nor an exchange by segment sees all values of an attribute."""
+    import vecmine.operators.discretize as Z
+
+    v = np.r_[np.random.default_rng(4).permutation(200) / 7.0, NAN, INF]
+    points = make(np.c_[v, np.where(v > 9, 3.0, v)], labels=["a" if x < 9 or x > 21 else "b" for x in v])
+    kind, met = type(points), []
+    join = kind.join
+    monkeypatch.setattr(kind, "join", lambda *args, **kw: met.append(join(*args, **kw)) or met[-1])
+    assert len(Z.mdl_cuts(points).collect()) >= 3
+    plans = [t._jdf.queryExecution().executedPlan().toString() for t in met if "vfrom" in t.columns]
+    assert plans and not any("SortMergeJoin" in p or "Exchange hashpartitioning" in p for p in plans)

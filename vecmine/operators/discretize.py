@@ -78,42 +78,43 @@ def mdl_cuts(points: DataFrame, weight: str = "values") -> DataFrame:
     table, k = running_counts(points, weight)
     table = cut_lineage(table)
     cuts: list[tuple[int, float]] = []
-    # Open segments: value range [from, to) per attribute. Few rows; one per accepted cut.
-    open_ = [(r["attr"], float("-inf"), float("inf")) for r in table.select("attr").distinct().collect()]
+    counts = [f"c{i}" for i in range(k)]
+    here = F.struct("pos", *counts)
+    # Open segments: value range [from, to) per attribute with the counts below both ends. Few rows, two per accepted cut; they are shipped, so
+    # that the table is only ever read where it is.
+    top = F.lit(float("inf"))
+    whole = table.groupBy("attr").agg(
+        F.min(F.when(F.col("value") < top, here)).alias("low"), F.max(F.when(F.col("value") == top, here)).alias("high"),
+        F.max(F.struct(F.col("m").alias("pos"), *[F.col(f"t{i}").alias(f"c{i}") for i in range(k)])).alias("all"))
+    open_ = [(r["attr"], float("-inf"), float("inf"), tuple(r["low"]), tuple(r["high"] or r["all"]))
+             for r in whole.where("low IS NOT NULL").collect()]  # one row per attribute
     while open_:
         seg = F.broadcast(spark.createDataFrame(pa.table({
             "attr": pa.array([s[0] for s in open_], pa.int32()), "vfrom": pa.array([s[1] for s in open_], pa.float64()),
-            "vto": pa.array([s[2] for s in open_], pa.float64())})))
-        inside = table.join(seg, "attr").where((F.col("value") >= F.col("vfrom")) & (F.col("value") < F.col("vto")))
-        nxt = table.select("attr", F.col("value").alias("vto"), F.col("pos").alias("e_pos"),
-                           *[F.col(f"c{i}").alias(f"e{i}") for i in range(k)])
-        edge = inside.groupBy("attr", "vfrom", "vto").agg(
-            F.min(F.struct("pos", *[f"c{i}" for i in range(k)])).alias("s"), F.max("m").alias("m"),
-            *[F.max(f"t{i}").alias(f"t{i}") for i in range(k)])
-        edge = edge.join(nxt, ["attr", "vto"], "left").select(
-            "attr", "vfrom", "vto", F.col("s.pos").alias("lo"), F.coalesce("e_pos", "m").alias("hi"),
-            *[F.col("s")[f"c{i}"].alias(f"a{i}") for i in range(k)],
-            *[F.coalesce(f"e{i}", f"t{i}").alias(f"b{i}") for i in range(k)])
-        cand = inside.select("attr", "value", "vfrom", "vto", "pos", *[f"c{i}" for i in range(k)]).join(
-            edge, ["attr", "vfrom", "vto"]).where(F.col("pos") > F.col("lo"))
+            "vto": pa.array([s[2] for s in open_], pa.float64()),
+            **{n: pa.array([s[3][i] for s in open_], pa.int64()) for i, n in enumerate(["lo", *[f"a{i}" for i in range(k)]])},
+            **{n: pa.array([s[4][i] for s in open_], pa.int64()) for i, n in enumerate(["hi", *[f"b{i}" for i in range(k)]])}})))
+        cand = table.join(seg, "attr").where((F.col("value") >= F.col("vfrom")) & (F.col("value") < F.col("vto")) & (F.col("pos") > F.col("lo")))
         lef, e1, e2, lc, rc = _split_cost(k)
         kinds = lambda cs: sum((F.when(c > 0, 1).otherwise(0) for c in cs), F.lit(0))
         cand = cand.select(
-            "attr", "vfrom", "vto", "value", "pos", "lo", "hi", lef.alias("lef"), e1.alias("e1"), e2.alias("e2"),
+            "attr", "vfrom", "vto", "value", "lo", "hi", lef.alias("lef"), e1.alias("e1"), e2.alias("e2"),
             kinds(lc).alias("k1"), kinds(rc).alias("k2"),
             _entropy([F.col(f"b{i}") - F.col(f"a{i}") for i in range(k)]).alias("ent"),
-            kinds([F.col(f"b{i}") - F.col(f"a{i}") for i in range(k)]).alias("kk"))
+            kinds([F.col(f"b{i}") - F.col(f"a{i}") for i in range(k)]).alias("kk"), here.alias("at"))
         best = cand.groupBy("attr", "vfrom", "vto").agg(F.min(F.struct(
-            "lef", "value", "e1", "e2", "k1", "k2", "ent", "kk", "lo", "hi")).alias("x")).select("attr", "vfrom", "vto", "x.*")
+            "lef", "value", "e1", "e2", "k1", "k2", "ent", "kk", "lo", "hi", "at")).alias("x")).select("attr", "vfrom", "vto", "x.*")
         n = (F.col("hi") - F.col("lo")).cast("double")
         delta = F.log2(F.pow(F.lit(3.0), F.col("kk")) - 2) - (
             F.col("kk") * F.col("ent") - F.col("k1") * F.col("e1") - F.col("k2") * F.col("e2"))
         bar = F.log2(n - 1) / n + delta / n
         accepted = best.where((n >= 2) & (F.col("ent") - F.col("lef") >= F.coalesce(bar, F.lit(float("-inf")))))
+        ends = {(s[0], s[1], s[2]): s[3:] for s in open_}
         open_ = []
-        for r in accepted.select("attr", "vfrom", "vto", "value").collect():  # one row per new cut
+        for r in accepted.select("attr", "vfrom", "vto", "value", "at").collect():  # one row per new cut
             cuts.append((r["attr"], r["value"]))
-            open_ += [(r["attr"], r["vfrom"], r["value"]), (r["attr"], r["value"], r["vto"])]
+            low, high = ends[r["attr"], r["vfrom"], r["vto"]]
+            open_ += [(r["attr"], r["vfrom"], r["value"], low, tuple(r["at"])), (r["attr"], r["value"], r["vto"], tuple(r["at"]), high)]
     return spark.createDataFrame(pa.table({
         "attr": pa.array([c[0] for c in cuts], pa.int32()), "cut": pa.array([c[1] for c in cuts], pa.float64())}))
 
