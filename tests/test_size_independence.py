@@ -74,3 +74,34 @@ def test_mdl_segments_are_never_brought_together(make, monkeypatch):
     assert len(Z.mdl_cuts(points).collect()) >= 3
     plans = [t._jdf.queryExecution().executedPlan().toString() for t in met if "vfrom" in t.columns]
     assert plans and not any("SortMergeJoin" in p or "Exchange hashpartitioning" in p for p in plans)
+
+
+def _peak(run):
+    """Result of a call and the most bytes that it held."""
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        return run(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_forest_of_few_near_pairs_lists_them(monkeypatch):
+    from types import SimpleNamespace
+
+    class Ids(SimpleNamespace):
+        def __len__(self):
+            return len(self.ids)
+
+    r = np.random.default_rng(6)
+    for same in (True, False):
+        left = Ids(key=1, ids=r.permutation(1000))
+        right = left if same else Ids(key=2, ids=1000 + r.permutation(1000))
+        near = r.random((1000, 1000)) < 0.0004
+        near = near | near.T | np.eye(1000, dtype=bool) if same else near
+        listed, most = _peak(lambda: C._local_forest(left, right, near))
+        assert most < 2 * near.nbytes
+        monkeypatch.setattr(C, "SPARSE", 1 << 40)
+        assert (C._local_forest(left, right, near) == listed).all() and len(listed) > 300
+        monkeypatch.undo()

@@ -302,19 +302,33 @@ def core_points(points: DataFrame, eps: float = 0.1, min_points: int = 6, metric
     return neighbour_counts(points, eps, metric).where(F.col("degree") >= min_points)
 
 
+# Cells of a block of pairs for each near pair, from which on the near pairs are listed.
+SPARSE = 16
+
+
 def _local_forest(L: Block, R: Block, near: np.ndarray) -> np.ndarray:
     """Edges (id, smallest id of its component) that connect the same points as `near` does."""
     big = np.iinfo(np.int64).max
     same = L.key == R.key
     left, right = L.ids.copy(), R.ids.copy()
     touched_l, touched_r = near.any(axis=1), near.any(axis=0)
+    # Few near pairs are gone through as a list, many as a matrix.
+    sparse = np.count_nonzero(near) * SPARSE <= near.size
+    if sparse:
+        i, j = np.nonzero(near)
+        turn = np.argsort(j, kind="stable")
+        rows, cols = np.flatnonzero(touched_l), np.flatnonzero(touched_r)
+        at_row, at_col = np.searchsorted(i, rows), np.searchsorted(j[turn], cols)
     while True:
         new_l, new_r = left.copy(), right.copy()
+        if sparse and len(i):
+            new_l[rows] = np.minimum(left[rows], np.minimum.reduceat(right[j], at_row))
+            new_r[cols] = np.minimum(right[cols], np.minimum.reduceat(new_l[i[turn]], at_col))
         step = max(1, (1 << 22) // max(1, len(R)))
-        for s in range(0, len(L), step):
+        for s in range(0, 0 if sparse else len(L), step):
             part = slice(s, s + step)
             np.minimum(new_l[part], np.where(near[part], right[None, :], big).min(axis=1), out=new_l[part])
-        for s in range(0, len(L), step):
+        for s in range(0, 0 if sparse else len(L), step):
             part = slice(s, s + step)
             np.minimum(new_r, np.where(near[part], new_l[part][:, None], big).min(axis=0), out=new_r)
         if same:

@@ -66,8 +66,14 @@ def neighbour_counts(points: DataFrame, eps: float, metric: str = "euclidean", *
         left, right = np.zeros(len(L), dtype=np.int64), np.zeros(len(R), dtype=np.int64)
         for part, dist in chunks(L, R, metric, **params):
             near = dist < eps
-            left[part] = near.sum(axis=1)
-            right += near.sum(axis=0)
+            found = np.count_nonzero(near)
+            if found * 16 <= near.size:  # few: counted one by one, and often none
+                i, j = np.nonzero(near) if found else (np.zeros(0, np.int64),) * 2
+                left[part] = np.bincount(i, minlength=len(near))
+                right += np.bincount(j, minlength=len(R))
+            else:
+                left[part] = near.sum(axis=1)
+                right += near.sum(axis=0)
         yield batch_of(schema, L.ids, left)
         if L.key != R.key:
             yield batch_of(schema, R.ids, right)
