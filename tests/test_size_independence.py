@@ -87,6 +87,19 @@ def _peak(run):
         tracemalloc.stop()
 
 
+def test_distances_of_separate_points_take_two_buffers():
+    from vecmine.functions.distances import block_distance
+
+    r = np.random.default_rng(5)
+    X, Y = r.normal(size=(400, 64)), r.normal(size=(500, 64))
+    got, most = _peak(lambda: block_distance("euclidean", X, Y))
+    assert most < 2.5 * got.nbytes
+    assert np.allclose(got, np.sqrt(((X[:, None] - Y[None]) ** 2).sum(axis=2)))
+    Y[:3], Y[3] = X[:3], np.nan  # copies are exactly 0, whatever else is in the block
+    got = block_distance("euclidean", X, Y)
+    assert (got[[0, 1, 2], [0, 1, 2]] == 0).all() and np.isnan(got[:, 3]).all() and np.isfinite(got[:, 4:]).all()
+
+
 def test_forest_of_few_near_pairs_lists_them(monkeypatch):
     from types import SimpleNamespace
 
@@ -105,3 +118,20 @@ def test_forest_of_few_near_pairs_lists_them(monkeypatch):
         monkeypatch.setattr(C, "SPARSE", 1 << 40)
         assert (C._local_forest(left, right, near) == listed).all() and len(listed) > 300
         monkeypatch.undo()
+
+
+def test_many_clusterings_with_infinite_points(make, spark):
+    """Sums by products fall back to sums by cluster where a distance is infinite; many clusters never go by products."""
+    from pyspark.sql import functions as F
+
+    X = np.random.default_rng(7).normal(size=(300, 20))
+    X[5, 0] = INF
+    points = make(X, np.arange(300) % 3)
+    labels = F.array(F.col("prediction"), F.col("id") % 150)
+    got = {(x.conf, x.id): (x.a, x.b) for x in S.exact_scores_many(points.withColumn("labels", labels)).collect()}
+    D = np.sqrt(((X[:, None] - X[None]) ** 2).sum(axis=2))
+    for conf, own in ((0, np.arange(300) % 3), (1, np.arange(300) % 150)):
+        for i in (0, 1, 17, 298):
+            means = {c: D[i, own == c].sum() / ((own == c).sum() - (c == own[i])) for c in set(own)}
+            a, b = means.pop(own[i]), min(means.values())
+            assert np.allclose(got[conf, i], (a, b))
