@@ -4,12 +4,13 @@ import io
 from contextlib import redirect_stdout
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from vecmine.operators import classify as K
 from vecmine.operators import clustering as C
 from vecmine.operators import graph as G
 from vecmine.operators import indices as I
-from vecmine.operators.pairs import Block, chunks
+from vecmine.operators.pairs import Block, chunks, pack, plan_tiles
 from vecmine.operators.sampling import bootstrap
 
 
@@ -80,6 +81,64 @@ def test_markov_step_meets_only_entries_that_can_count(spark):
     assert met < 20_000 < 60 ** 3
 
 
+def test_transition_matrix_is_read_from_its_edges(spark, make, monkeypatch):
+    """A large matrix is neither written nor dealt by its entries: they are made again from the points, and only sums by node move."""
+    monkeypatch.setattr(G, "KEPT_ENTRIES", 0)
+    monkeypatch.setattr(G, "FEW_TERMS", 0)
+    rng = np.random.default_rng(8)
+    # A group of many light entries, small groups of heavy ones, a lone point.
+    X = np.r_[np.eye(12)[:1] + 0.1 * rng.random((60, 12)), np.repeat(np.eye(12)[1:9], 3, axis=0) + 0.1 * rng.random((24, 12)), np.eye(12)[11:]]
+    points = make(X)
+    edges = C.similarity_edges(points, 0.4)
+    small = G.transition_matrix(edges, points)
+    m = G.transition_matrix(edges, points, once=True)
+    plan = plan_of(m)
+    assert "ExistingRDD" in plan and "HashAggregate" not in plan and "hashpartitioning(src" not in plan
+    as_dict = lambda df: {(r["src"], r["dst"]): r["w"] for r in df.collect()}
+    want, got = as_dict(small), as_dict(m)
+    assert m.count() == len(got) == len(want) and all(abs(got[e] - w) < 1e-12 for e, w in want.items())
+    M = np.zeros((85, 85))
+    for (a, b), w in want.items():
+        M[a, b] = w
+    square = (M @ M) ** 2
+    square[square < 0.001] = 0
+    square /= np.maximum(square.sum(axis=1, keepdims=True), 1e-300)
+    step = as_dict(G.expand_inflate(m))
+    assert {(a, b) for a, b in zip(*map(np.ndarray.tolist, np.nonzero(square)))} == set(step)
+    assert all(abs(square[e] - w) < 1e-12 for e, w in step.items()) and not any(a < 60 for a, _ in step)
+    left, right = G._within_reach(m, 0.001 ** 0.5)
+    assert 0 < left.count() < 120 and 0 < right.count() < 120
+
+
+def test_repeated_nodes_share_their_entries(spark, make, monkeypatch):
+    """Ids that come twice give one entry per pair of ids, whichever way the matrix is made."""
+    points = make(np.random.default_rng(4).random((12, 3))).withColumn("id", F.least("id", F.lit(9)))
+    edges = C.similarity_edges(points, 0.7)
+    want = {(r["src"], r["dst"]): r["w"] for r in G.transition_matrix(edges, points).collect()}
+    for kept in (0, 10_000):
+        monkeypatch.setattr(G, "KEPT_ENTRIES", kept)
+        rows = G.transition_matrix(edges, points, once=True).collect()
+        assert len(rows) == len(want) and all(abs(want[r["src"], r["dst"]] - r["w"]) < 1e-12 for r in rows)
+
+
+def test_copies_of_blocks_do_not_grow_with_shuffle_partitions(spark, make):
+    """Vectors read as floats travel as floats, and large sides get the stripes that the cores need."""
+    many = plan_tiles(spark, 64, 307_692)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2000")
+    try:
+        more, both = plan_tiles(spark, 64, 307_692), plan_tiles(spark, 64, 307_692, 307_692)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert many.left_stripes <= more.left_stripes <= 16 and both.left_stripes <= 16 and both.right_stripes <= 16
+    X = np.random.default_rng(2).random((50, 64))
+    for data, cell in ((X.astype(np.float32).astype(float), 4), (X, 8)):
+        blocks = pack(make(data).repartition(1), 64).collect()
+        got = Block(bytes(blocks[0]["payload"]), 0)
+        assert got.X.dtype == np.float64 and {tuple(x) for x in got.X} == {tuple(x) for x in data}
+        assert len(blocks[0]["payload"]) < 50 * (64 * cell + 40) + 2000
+
+
 def test_bayes_cells_are_not_dealt_by_value(spark, make):
     """Attributes and their values are few: a join dealt by them sends most cells to a few tasks."""
     points = make([[i % 3, i % 2, i % 5] for i in range(60)], labels=["ab"[i % 7 % 2] for i in range(60)]).drop("prediction")

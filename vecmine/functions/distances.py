@@ -261,10 +261,10 @@ def _block_nan_euclidean(X, Y):
 def _block_cosine_sim(X, Y):
     nx = np.sqrt(np.einsum("ij,ij->i", X, X))
     ny = np.sqrt(np.einsum("ij,ij->i", Y, Y))
+    sim = X @ Y.T
     with np.errstate(divide="ignore", invalid="ignore"):
-        sim = (X @ Y.T) / (nx[:, None] * ny[None, :])
-    sim[sim < 0] = 0.0
-    return sim
+        sim /= nx[:, None] * ny[None, :]
+        return np.maximum(sim, 0.0, out=sim)
 
 
 def _block_cosine_dist(X, Y):

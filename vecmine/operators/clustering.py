@@ -417,9 +417,10 @@ def similarity_edges(points: DataFrame, above: float, metric: str = "cosine_simi
             keep = sim > above
             if L.key == R.key:
                 keep &= np.arange(part.start, part.stop)[:, None] < np.arange(len(R))[None, :]
-            i, j = np.nonzero(keep)
+            at = np.flatnonzero(keep)
+            i, j = np.divmod(at, max(1, len(R)))
             a, b = L.ids[part][i], R.ids[j]
-            yield batch_of(schema, np.minimum(a, b), np.maximum(a, b), sim[i, j])
+            yield batch_of(schema, np.minimum(a, b), np.maximum(a, b), sim.ravel()[at])
 
     return tile_reduce(pack(points, plan.left_rows), None, kernel, "src long, dst long, w double", plan)
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ STRIPE_ROWS = 65536
 CHUNK_CELLS = 1 << 19
 # Distance work (cells x dimensions) that makes a tile worth a task of its own.
 TILE_WORK = 4_000_000
+# Bytes of block copies that more tasks than the cores need may cost.
+COPY_BYTES = 2 * 1024 ** 3
 
 
 def matrix(col: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -76,9 +79,11 @@ def plan_tiles(spark, d: int, n: int, m: int | None = None) -> TilePlan:
     """Block and stripe sizes for n x m points (`m=None`: each unordered pair of n points once).
 
     Stripes are small enough for one task and numerous enough to keep all cores busy; a side is shuffled
-    once per stripe of the other side.
+    once per stripe of the other side, so large sides get no more stripes than that, whatever the number of
+    shuffle partitions.
     """
     row_bytes = 8 * d + 32
+    busy = 3 * spark.sparkContext.defaultParallelism
     work = n * (m if m is not None else n / 2) * max(1, d)
     unit = int(spark.conf.get("spark.vecmine.tileWork", str(TILE_WORK)))
     most = max(1, min(BLOCK_ROWS, BLOCK_BYTES // row_bytes))
@@ -87,18 +92,40 @@ def plan_tiles(spark, d: int, n: int, m: int | None = None) -> TilePlan:
     def need(count: int) -> int:
         return max(1, math.ceil(count * row_bytes / STRIPE_BYTES), math.ceil(count / STRIPE_ROWS))
 
+    def afford(asked: int, cores: float, copied: int) -> int:
+        """The stripes asked for as far as their copies stay in bounds; in any case enough for the cores."""
+        return min(asked, max(math.ceil(cores), COPY_BYTES // max(1, copied * row_bytes)))
+
     def split(count: int, stripes: int) -> tuple[int, int]:
         rows = max(32, min(most, math.ceil(count / stripes)))
         return rows, max(1, min(stripes, math.ceil(count / rows)))
 
     if m is None:
-        rows, stripes = split(n, max(need(n), math.ceil(math.sqrt(2 * wanted))))
+        rows, stripes = split(n, max(need(n), afford(math.ceil(math.sqrt(2 * wanted)), math.sqrt(2 * busy), n)))
         return TilePlan(rows, rows, stripes, stripes)
-    right_rows, right = split(m, max(need(m), math.ceil(math.sqrt(wanted * min(1.0, m / max(1, n))))))
-    left_rows, left = split(n, max(need(n), math.ceil(wanted / right)))
+    share = min(1.0, m / max(1, n))
+    right_rows, right = split(m, max(need(m), afford(math.ceil(math.sqrt(wanted * share)), math.sqrt(busy * share), n)))
+    left_rows, left = split(n, max(need(n), afford(math.ceil(wanted / right), busy / right, m)))
     return TilePlan(left_rows, right_rows, left, right)
 
 
+def _halved(table: pa.Table) -> pa.Table:
+    """Features in single precision where that loses nothing, as in vectors that were read as floats: half the bytes to copy."""
+    at, col = table.column_names.index("features"), table.column("features").combine_chunks()
+    if not pa.types.is_list(col.type) or col.null_count or len(col) == 0:
+        return table
+    cells = col.flatten()
+    if cells.null_count or not pa.types.is_float64(cells.type):
+        return table
+    exact = np.asarray(cells)
+    with np.errstate(over="ignore", under="ignore"):
+        half = exact.astype(np.float32)
+    if not ((half == exact) | np.isnan(exact)).all():
+        return table
+    offsets = np.asarray(col.offsets)
+    return table.set_column(at, "features", pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), pa.array(half)))
+
+
 def pack(points: DataFrame, rows: int, *extra: str, by: tuple[str, ...] = ()) -> DataFrame:
     """(block long, payload binary, *by) with at most `rows` points per block; no shuffle, stable once written.
 
@@ -107,9 +134,9 @@ def pack(points: DataFrame, rows: int, *extra: str, by: tuple[str, ...] = ()) ->
     extra = tuple(dict.fromkeys(extra + by))
 
     def emit(table: pa.Table, key: int) -> pa.RecordBatch:
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, table.schema) as writer:
-            writer.write_table(table.combine_chunks())
+        sink, whole = pa.BufferOutputStream(), _halved(table.combine_chunks())
+        with pa.ipc.new_stream(sink, whole.schema) as writer:
+            writer.write_table(whole)
         cols = {"block": pa.array([key], pa.int64()), "payload": pa.array([sink.getvalue().to_pybytes()], pa.binary())}
         cols.update({c: pa.array([table.column(c)[0].as_py()], pa.int64()) for c in by})
         return pa.RecordBatch.from_pydict(cols)
@@ -195,7 +222,24 @@ def tile_reduce(
                 R = Block(rp[i].as_py(), rb[i].as_py())
                 yield from kernel(L, R)
 
-    return met.select("lb", "lp", "rb", "rp").mapInArrow(run, schema)
+    return with_parts([(met.select("lb", "lp", "rb", "rp"), run)], schema)
+
+
+def with_parts(parts: list, schema: str) -> DataFrame:
+    """The union of `source.mapInArrow(run, schema)` over `parts`, which it remembers for `map_batches`."""
+    out = reduce(DataFrame.union, [source.mapInArrow(run, schema) for source, run in parts])
+    out.__dict__["_parts"] = parts
+    return out
+
+
+def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """`df.mapInArrow(fn, schema)`. On a result of `tile_reduce` or of this function `fn` runs in the kernels' tasks, so that their
+    rows, which may be far more than the points, do not pass through the JVM first."""
+    def after(run):
+        return lambda batches: fn(run(batches))
+
+    parts = df.__dict__.get("_parts")
+    return with_parts([(source, after(run)) for source, run in parts] if parts else [(df, fn)], schema)
 
 
 def chunks(L: Block, R: Block, metric: str, **params):

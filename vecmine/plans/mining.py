@@ -61,7 +61,7 @@ def kmedoids_step(s, d):
 
 def mcl_matrix(s, d):
     p = embedding_points(s, d)
-    return G.transition_matrix(C.similarity_edges(p, SIM), p)
+    return G.transition_matrix(C.similarity_edges(p, SIM), p, once=True)
 
 
 def som_weights() -> np.ndarray:
