@@ -133,6 +133,17 @@ def test_markov_clustering_separates_cliques(spark):
     assert len({got[i] for i in range(4)}) == 1 and len({got[i] for i in range(10, 14)}) == 1 and got[0] != got[10]
 
 
+def test_markov_clusters_of_an_unkept_matrix(spark, make, monkeypatch):
+    """Clusters are the same whether the first matrix is kept or made again from the points by every pass."""
+    rng = np.random.default_rng(6)
+    points = make(np.repeat(np.eye(6), 4, axis=0) + 0.15 * rng.random((24, 6)))
+    want = clusters(G.mcl(G.transition_matrix(C.similarity_edges(points, 0.5), points), most_steps=2))
+    monkeypatch.setattr(G, "KEPT_ENTRIES", 0)
+    monkeypatch.setattr(G, "FEW_TERMS", 0)
+    got = clusters(G.mcl(G.transition_matrix(C.similarity_edges(points, 0.5), points, once=True), most_steps=2))
+    assert got == want and len(set(got.values())) == 6
+
+
 def test_kmeans_finds_separated_groups(make, spark):
     rng = np.random.default_rng(2)
     X = np.r_[rng.normal(size=(40, 2)), rng.normal(size=(40, 2)) + 50]
