@@ -10,7 +10,7 @@ from vecmine.operators import classify as K
 from vecmine.operators import clustering as C
 from vecmine.operators import graph as G
 from vecmine.operators import indices as I
-from vecmine.operators.pairs import Block, chunks, pack, plan_tiles
+from vecmine.operators.pairs import Block, _Codes, _NearestManhattan, chunks, nearest, pack, plan_tiles
 from vecmine.operators.sampling import bootstrap
 
 
@@ -139,6 +139,60 @@ def test_copies_of_blocks_do_not_grow_with_shuffle_partitions(spark, make):
         assert len(blocks[0]["payload"]) < 50 * (64 * cell + 40) + 2000
 
 
+def test_manhattan_neighbours_are_settled_by_codes(spark, make):
+    """Each pair of blocks is met once, few pairs are summed in full, and the neighbours are the exact ones, ties by id."""
+    rng = np.random.default_rng(9)
+    X, cls = rng.normal(size=(160, 6)), rng.integers(0, 3, 160)
+    X[20:30], X[150] = X[20], X[5]
+    cls[159] = 7  # alone in its class
+    points = make(X, cls).select("id", "features", F.col("prediction").alias("cls"))
+    D = np.zeros((160, 160))
+    for a in range(6):
+        D += np.abs(X[:, a, None] - X[None, :, a])
+    np.fill_diagonal(D, np.nan)
+    want = set()
+    for i in range(160):
+        for hit in (True, False):
+            may = [j for j in range(160) if j != i and (cls[j] == cls[i]) == hit]
+            want |= {(i, j, D[i, j], r, hit) for r, j in enumerate(sorted(may, key=lambda j: (D[i, j], j))[:2], 1)}
+    got = nearest(points.repartition(5), points, 2, "manhattan", same=True, by_label=True)
+    assert {(r.id, r.neighbour, r.score, r["rank"], r.hit) for r in got.collect()} == want  # two sets: not coded
+    both = points.repartition(5)
+    got = nearest(both, both, 2, "manhattan", same=True, by_label=True)
+    assert {(r.id, r.neighbour, r.score, r["rank"], r.hit) for r in got.collect()} == want
+
+    def block(at, key):
+        b = Block.__new__(Block)
+        b.ids, b.X, b.cols, b.key = at, Y[at], {"cls": at % 4}, key
+        return b
+
+    Y = rng.random((1200, 64))
+    work = _NearestManhattan(2, True, None, None)
+    summed = []
+    work._offer = lambda A, i, B, j, offer=work._offer: (summed.append(len(i)), offer(A, i, B, j))
+    for key in range(2):
+        for other in range(key, 2):
+            assert not list(work(block(np.arange(600) + 600 * key, key), block(np.arange(600) + 600 * other, other)))
+    assert sum(summed) < 0.2 * 1200 * 1200
+    codes = _Codes(Y[:600], Y[600:])
+    real = np.abs(Y[:50, None] - Y[None, 600:]).sum(axis=2)
+    lost = codes.x_lost[:50, None] + codes.y_lost[None]
+    assert (np.abs(codes.sums(slice(0, 50)) * codes.step - real) <= lost + 1e-9).all() and lost.max() < 0.1
+
+
+def test_manhattan_neighbours_without_codes(make):
+    """Blocks with cells that are no numbers are met as before."""
+    rng = np.random.default_rng(3)
+    X = rng.random((40, 3))
+    X[7, 1], X[8, 0] = np.nan, np.inf
+    points = make(X)
+    with np.errstate(invalid="ignore"):
+        D = np.abs(X[:, None] - X[None]).sum(axis=2)
+    D[np.arange(40), np.arange(40)] = np.nan
+    got = {(r.id, r.neighbour) for r in nearest(points, points, 1, "manhattan", same=True).collect()}
+    assert got == {(i, int(np.nanargmin(D[i]))) for i in range(40) if not np.isnan(D[i]).all()}
+
+
 def test_bayes_cells_are_not_dealt_by_value(spark, make):
     """Attributes and their values are few: a join dealt by them sends most cells to a few tasks."""
     points = make([[i % 3, i % 2, i % 5] for i in range(60)], labels=["ab"[i % 7 % 2] for i in range(60)]).drop("prediction")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.distances import measure
 from ..functions.hashing import hash_uniform
-from ..session import one_row, settle_small
+from ..session import cut_lineage, one_row, settle_small
 from ..sources.points import class_index, long_form
 from .classify import confusion_counts, measures, svm_weights
 from .filters import EqualWidthBinner, MidrangeScaler, retain_attributes
@@ -73,7 +73,7 @@ def relief(points: DataFrame, k: int = 2) -> DataFrame:
     scaled = MidrangeScaler(0.5, 1.0).fit_transform(points)
     coded = scaled.join(class_index(points), "label").select(
         "id", "features", F.col("class_index").cast("bigint").alias("cls"))
-    near = nearest(coded, coded, k, "manhattan", same=True, by_label=True).select("id", "neighbour", "hit")
+    near = cut_lineage(nearest(coded, coded, k, "manhattan", same=True, by_label=True).select("id", "neighbour", "hit"))  # read twice
     size = near.groupBy("id", "hit").agg(F.count(F.lit(1)).alias("c"))
     a = coded.select("id", F.col("features").alias("x"))
     b = coded.select(F.col("id").alias("neighbour"), F.col("features").alias("y"))

@@ -195,6 +195,7 @@ def tile_reduce(
     (the kernel then reports for both sides; `L.key == R.key` marks a block met with itself).
 
     With `want`/`have` a left block only meets right blocks whose column `have` equals one of its `want` columns.
+    A kernel with a `finish` function reports the rest of what it holds when a task has seen all its pairs of blocks; every task has its own.
     """
     symmetric = right is None
     right = left if symmetric else right
@@ -221,6 +222,8 @@ def tile_reduce(
                 L = Block(lp[i].as_py(), lb[i].as_py())
                 R = Block(rp[i].as_py(), rb[i].as_py())
                 yield from kernel(L, R)
+        if hasattr(kernel, "finish"):
+            yield from kernel.finish()
 
     return with_parts([(met.select("lb", "lp", "rb", "rp"), run)], schema)
 
@@ -385,6 +388,158 @@ def _near_known(X: np.ndarray, Y: np.ndarray, usable: np.ndarray, k: int) -> np.
     return out
 
 
+# A strip of codes and its sums stay in a core's cache; shorter rows than these columns are slower in NumPy.
+STRIP_ROWS, STRIP_COLUMNS = 16, 4096
+
+
+class _Codes:
+    """Vectors of two blocks in steps of one size, small enough that sums of absolute differences fit 16 bits, and what rounding takes from each row."""
+
+    def __init__(self, X: np.ndarray, Y: np.ndarray):
+        self.ok = False
+        if not len(X) or not len(Y) or not 0 < X.shape[1] <= 500 or X.shape[1] != Y.shape[1]:
+            return
+        low = np.minimum(X.min(axis=0), Y.min(axis=0))
+        with np.errstate(over="ignore", invalid="ignore"):
+            span = np.maximum(X.max(axis=0), Y.max(axis=0)) - low
+            total = span.sum()
+        if not np.isfinite(total) or 0 < total < 1e-290 or not np.abs(low).max() < 1e9 * max(total, 1e-290):
+            return
+        self.ok, self.step = True, max(total / 65000, span.max() / 32000) or 1.0
+        self.x, self.x_lost = self._coded(X - low)
+        self.y, self.y_lost = self._coded(Y - low)
+        self.y = np.ascontiguousarray(self.y.T)
+
+    def _coded(self, Z: np.ndarray):
+        code = np.rint(Z / self.step)
+        return code.astype(np.int16), np.abs(Z - code * self.step).sum(axis=1)
+
+    def sums(self, part: slice) -> np.ndarray:
+        """Sums of absolute differences of the codes of `part` of the left rows to all right rows."""
+        own = np.ascontiguousarray(self.x[part].T)[:, :, None]
+        out = np.zeros((own.shape[1], self.y.shape[1]), np.uint16)
+        for c in range(0, out.shape[1], STRIP_COLUMNS):
+            other = self.y[:, c:c + STRIP_COLUMNS]
+            for r in range(0, out.shape[0], STRIP_ROWS):
+                left = own[:, r:r + STRIP_ROWS]
+                total = np.zeros((left.shape[1], other.shape[1]), np.uint16)
+                gap = np.empty(total.shape, np.int16)
+                gaps = gap.view(np.uint16)
+                for x, y in zip(left, other):
+                    np.subtract(x, y, out=gap)
+                    np.abs(gap, out=gap)
+                    np.add(total, gaps, out=total)
+                out[r:r + STRIP_ROWS, c:c + STRIP_COLUMNS] = total
+        return out
+
+
+class _NearestManhattan:
+    """The k nearest other points of every point by sums of absolute differences, from each pair of blocks once.
+
+    Sums of 16-bit codes differ from the distances by no more than what rounding took from both rows. Pairs that this leaves open
+    beside the k best of a point so far are summed in full, as the measure does; only these decide. With `by_label` the k best of the
+    point's own class (column `cls`) and of other classes are held.
+    """
+
+    def __init__(self, k: int, by_label: bool, fallback, schema: pa.Schema):
+        self.k, self.kinds, self.fallback, self.schema = k, 2 if by_label else 1, fallback, schema
+        self.held: dict[int, tuple] = {}
+
+    def _best(self, B: Block):
+        """(ids, distances, neighbours) of a block: k of each kind per point."""
+        if B.key not in self.held:
+            shape = (len(B), self.kinds, self.k)
+            self.held[B.key] = B.ids, np.full(shape, np.inf), np.zeros(shape, np.int64)
+        return self.held[B.key]
+
+    def _kinds(self, A: Block, i, B: Block, j):
+        """0: own class (or any), 1: other class, 2: the point itself."""
+        kind = (A.cols["cls"][i] != B.cols["cls"][j]).astype(np.int8) if self.kinds == 2 else np.zeros(np.broadcast(i, j).shape, np.int8)
+        return np.where(A.ids[i] == B.ids[j], 2, kind)
+
+    def _open(self, codes: _Codes, sums: np.ndarray, A: Block, at: np.ndarray, lost: np.ndarray, other_lost: float, B: Block, others: np.ndarray, flip: bool):
+        """Pairs (place in A, place in B) that may be among the k nearest of points `at` of A; `sums` has them as columns if `flip`."""
+        limit = self._best(A)[1][at, :, -1]
+        slack = lost[at] + other_lost
+        top = np.minimum(np.floor((limit + slack[:, None]) / codes.step) + 1, 65535)
+        known = np.isfinite(limit).all(axis=1)
+        code = np.where(known, top.max(axis=1), 0).astype(np.uint16)
+        hit = np.flatnonzero(sums <= (code[None, :] if flip else code[:, None]))
+        i, j = np.divmod(hit, sums.shape[1])
+        i, j = (j, i) if flip else (i, j)
+        fine = known[i]
+        pairs = [(at[i[fine]], others[j[fine]])]
+        # Points without k neighbours of each kind: the k-th of these sums bounds them, kind by kind.
+        new = np.flatnonzero(~known)
+        for s in range(0, len(new), max(1, CHUNK_CELLS // max(1, len(others)))):
+            some = new[s:s + max(1, CHUNK_CELLS // max(1, len(others)))]
+            own = sums[:, some].T if flip else sums[some]
+            kind = self._kinds(A, at[some][:, None], B, others[None, :])
+            may = np.zeros(own.shape, bool)
+            for which in range(self.kinds):
+                is_kind = kind == which
+                take = min(self.k, own.shape[1])
+                kth = np.partition(np.where(is_kind, own, 65535).astype(np.uint16), take - 1, axis=1)[:, take - 1]
+                bound = np.where(kth < 65535, kth * codes.step + slack[some], np.inf)
+                bound = np.minimum(bound, limit[some, which])
+                most = np.minimum(np.floor((bound + slack[some]) / codes.step) + 1, 65535).astype(np.uint16)
+                may |= is_kind & (own <= most[:, None])
+            a, b = np.nonzero(may)
+            pairs.append((at[some[a]], others[b]))
+        return tuple(np.concatenate(x) for x in zip(*pairs))
+
+    def _offer(self, A: Block, i: np.ndarray, B: Block, j: np.ndarray) -> None:
+        _, best, names = self._best(A)
+        kind = self._kinds(A, i, B, j)
+        i, j, kind = i[kind < 2], j[kind < 2], kind[kind < 2]
+        keys, found, who = [], [], []
+        for s in range(0, len(i), 1 << 14):
+            a, b, which = i[s:s + (1 << 14)], j[s:s + (1 << 14)], kind[s:s + (1 << 14)]
+            dist = np.cumsum(np.abs(A.X[a] - B.X[b]), axis=1)[:, -1]  # in the order of the attributes
+            use = dist <= best[a, which, -1]
+            keys.append(a[use] * self.kinds + which[use])
+            found.append(dist[use])
+            who.append(B.ids[b[use]])
+        if not keys:
+            return
+        flat, flat_names = best.reshape(-1, self.k), names.reshape(-1, self.k)
+        key = np.concatenate(keys)
+        some = np.unique(key)
+        key = np.r_[key, np.repeat(some, self.k)]
+        dist, who = np.r_[np.concatenate(found), flat[some].ravel()], np.r_[np.concatenate(who), flat_names[some].ravel()]
+        order = np.lexsort((who, dist, key))
+        key, dist, who = key[order], dist[order], who[order]
+        place = np.arange(len(key)) - np.searchsorted(key, key)
+        keep = place < self.k
+        flat[key[keep], place[keep]] = dist[keep]
+        flat_names[key[keep], place[keep]] = who[keep]
+
+    def __call__(self, L: Block, R: Block):
+        codes = _Codes(L.X, R.X)
+        if not codes.ok:
+            yield from self.fallback(L, R)
+            if L.key != R.key:
+                yield from self.fallback(R, L)
+            return
+        every, x_most, y_most = np.arange(len(R)), codes.x_lost.max(), codes.y_lost.max()
+        step = max(1, CHUNK_CELLS // len(R))
+        for s in range(0, len(L), step):
+            part = np.arange(s, min(len(L), s + step))
+            sums = codes.sums(slice(s, part[-1] + 1))
+            i, j = self._open(codes, sums, L, part, codes.x_lost, y_most, R, every, False)
+            self._offer(L, i, R, j)
+            if L.key != R.key:
+                j, i = self._open(codes, sums, R, every, codes.y_lost, x_most, L, part, True)
+                self._offer(R, j, L, i)
+
+    def finish(self):
+        for ids, best, names in self.held.values():
+            i, kind, place = np.nonzero(np.isfinite(best))
+            dist = best[i, kind, place]
+            yield batch_of(self.schema, ids[i], names[i, kind, place], dist, dist, kind == 0)
+        self.held = {}
+
+
 def nearest(queries: DataFrame, refs: DataFrame, k: int, metric: str = "euclidean", same: bool = False,
             by_label: bool = False, exclude_equal: bool = False, **params) -> DataFrame:
     """(id, neighbour, score, rank[, hit]): the k nearest `refs` of every query, ties by neighbour id.
@@ -401,7 +556,8 @@ def nearest(queries: DataFrame, refs: DataFrame, k: int, metric: str = "euclidea
     n, d = shape_of(queries)
     n_refs = n if refs is queries else shape_of(refs)[0]
     extra = ["cls"] if by_label else []
-    plan = plan_tiles(spark, d, n, n_refs)
+    coded = metric == "manhattan" and same and refs is queries and not exclude_equal and not params and k > 0
+    plan = plan_tiles(spark, d, n, None if coded else n_refs)
     lblocks = pack(queries, plan.left_rows, *extra)
     rblocks = lblocks if same and refs is queries else pack(refs, plan.right_rows, *extra)
     schema = pa.schema([("id", pa.int64()), ("neighbour", pa.int64()), ("bad", pa.float64()),
@@ -446,8 +602,11 @@ def nearest(queries: DataFrame, refs: DataFrame, k: int, metric: str = "euclidea
             else:
                 yield top(L, R, part, score, allowed, True)
 
-    found = tile_reduce(lblocks, rblocks, kernel, "id long, neighbour long, bad double, score double, hit boolean",
-                        plan)
+    ddl = "id long, neighbour long, bad double, score double, hit boolean"
+    if coded:
+        found = tile_reduce(lblocks, None, _NearestManhattan(k, by_label, kernel, schema), ddl, plan)
+    else:
+        found = tile_reduce(lblocks, rblocks, kernel, ddl, plan)
     w = Window.partitionBy("id", "hit").orderBy("bad", "neighbour")
     ranked = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return ranked.select("id", "neighbour", "score", "rank", *(["hit"] if by_label else []))
