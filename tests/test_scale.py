@@ -10,6 +10,7 @@ from vecmine.operators import classify as K
 from vecmine.operators import clustering as C
 from vecmine.operators import graph as G
 from vecmine.operators import indices as I
+from vecmine.operators import silhouette as S
 from vecmine.operators.pairs import Block, _Codes, _NearestManhattan, chunks, nearest, pack, plan_tiles
 from vecmine.operators.sampling import bootstrap
 
@@ -193,6 +194,22 @@ def test_manhattan_neighbours_without_codes(make):
     assert got == {(i, int(np.nanargmin(D[i]))) for i in range(40) if not np.isnan(D[i]).all()}
 
 
+def test_compared_methods_release_their_copies(make, blobs, monkeypatch):
+    """Scores that copy points to pairs of blocks are settled one clustering at a time, and their files are let go."""
+    X, code = blobs
+    points = make(X, code)
+    events = []
+    monkeypatch.setattr(S, "release_unused", lambda spark: events.append("released"))
+    scores = S.frahling_sohler_scores
+    monkeypatch.setattr(S, "frahling_sohler_scores", lambda *a: (events.append("pairs"), scores(*a))[1])
+    configs = {0: points, 1: points.withColumn("prediction", (F.col("prediction") / 2).cast("bigint"))}
+    got = {(r.conf, r.method): r.score for r in S.method_comparison(configs, 8, 2).collect()}
+    assert events == ["released", "pairs", "released", "pairs", "released"] and len(got) == 10
+    for conf, p in configs.items():
+        assert abs(got[conf, "exact"] - S.summarize(S.exact_scores(p)).first().silh) < 1e-9
+        assert abs(got[conf, "frahling_sohler"] - S.summarize(scores(p)).first().silh) < 1e-9
+
+
 def test_bayes_cells_are_not_dealt_by_value(spark, make):
     """Attributes and their values are few: a join dealt by them sends most cells to a few tasks."""
     points = make([[i % 3, i % 2, i % 5] for i in range(60)], labels=["ab"[i % 7 % 2] for i in range(60)]).drop("prediction")
